@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: magnitudes from here on are treated as missing.
 MAX_MAGNITUDE = 1e15
+#: Fixed value: the pattern of a plain ticker (at most seven characters).
+TICKER = r"^[A-Z][A-Z0-9-]{0,6}$"
 
 
 def col(x) -> Column:
@@ -108,7 +110,7 @@ def sector_dummies(sector, codes, prefix: str = "sector") -> list[Column]:
 def normalize_ticker(x) -> Column:
     """Trim, upper case, '.' as '-'; anything that is not a plain ticker is missing."""
     t = F.regexp_replace(F.upper(F.trim(col(x))), r"\.", "-")
-    return F.when(t.rlike(r"^[A-Z][A-Z0-9]*(-[A-Z0-9]+)?$"), t)
+    return F.when(t.rlike(TICKER), t)
 
 
 def period_end(fiscal_year, fiscal_quarter, year_end_month) -> Column:

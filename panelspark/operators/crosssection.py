@@ -262,7 +262,7 @@ class CrossSection:
 
     def remove_middle(self, df, x, out, share: float) -> DataFrame:
         """Keep only the two tails of (1 - share) / 2 by percentile rank."""
-        tail = (1.0 - share) / 2.0
+        tail = round((1.0 - share) / 2.0, 12)
         df = self.rank_pct(df, x, "_pct")
         keep = (F.col("_pct") <= tail) | (F.col("_pct") > 1.0 - tail)
         return df.withColumn(out, F.when(keep, F.col(x))).drop("_pct")
@@ -306,8 +306,8 @@ class CrossSection:
         v = F.col(x)
         return self.attach(
             df,
-            _long=F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)),
-            _short=F.coalesce(F.sum(F.when(v < 0, -v)), F.lit(0.0)),
+            _long=F.sum(F.when(v > 0, v).otherwise(0.0)),
+            _short=F.sum(F.when(v < 0, -v).otherwise(0.0)),
         )
 
     def harmonic_mean(self, df, x, out) -> DataFrame:

@@ -75,11 +75,11 @@ def _(p):
     return p.select("date", "entity", ts.delay("close", 5).alias("a"), ts.delta("sig", 3).alias("b"))
 
 
-@ts_query("ts_diff", "a~4 b~4",
-          f"close - 2 * lag(close) OVER {E} + lag(close, 2) OVER {E} AS a, "
-          f"close - 3 * lag(close) OVER {E} + 3 * lag(close, 2) OVER {E} - lag(close, 3) OVER {E} AS b")
+@ts_query("ts_diff", "a~ b~",
+          f"ret - 2 * lag(ret) OVER {E} + lag(ret, 2) OVER {E} AS a, "
+          f"ret - 3 * lag(ret) OVER {E} + 3 * lag(ret, 2) OVER {E} - lag(ret, 3) OVER {E} AS b")
 def _(p):
-    return p.select("date", "entity", ts.diff("close", 2).alias("a"), ts.diff("close", 3).alias("b"))
+    return p.select("date", "entity", ts.diff("ret", 2).alias("a"), ts.diff("ret", 3).alias("b"))
 
 
 @ts_query("ts_fill", "a~ b~",
