@@ -33,10 +33,11 @@ def month_anchors(df: DataFrame, date: str = "date") -> DataFrame:
     return df.groupBy(F.trunc(date, "month").alias("month")).agg(F.min(date).alias("anchor"))
 
 
-def top_n_mask(xs: CrossSection, df: DataFrame, adv: str, n: int, out: str, members: DataFrame | None = None) -> DataFrame:
+def top_n_mask(xs: CrossSection, df: DataFrame, adv: str, n: int, out: str,
+               members: DataFrame | None = None, price: str = "close") -> DataFrame:
     """Top ``n`` names by ``adv`` on each month's first date, held through the month.
 
-    A name is alive between its first and last observation of ``adv``. ``members`` (entity, month)
+    A name is alive between its first and last ``price``: an interior gap keeps it. ``members`` (entity, month)
     restricts the ranking to index members. The anchor table has one row per month and the chosen
     table ``n`` rows per month, so both joins move little data.
     """
@@ -49,7 +50,7 @@ def top_n_mask(xs: CrossSection, df: DataFrame, adv: str, n: int, out: str, memb
     ranked = ranked.select("date", "entity", "month", (-F.col(adv)).alias("_neg"))
     chosen = CrossSection(("date",), xs.bound).ordinal(ranked, "_neg", "_o").where(F.col("_o") <= n)
     chosen = chosen.select("entity", "month", F.lit(True).alias("_in"))
-    alive = df.where(F.col(adv).isNotNull()).groupBy("entity").agg(
+    alive = df.where(F.col(price).isNotNull()).groupBy("entity").agg(
         F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     rows = df.withColumn("month", month).join(chosen, ["entity", "month"], "left").join(alive, "entity", "left")
     inside = F.col("_in").isNotNull() & F.col("date").between(F.col("_lo"), F.col("_hi"))

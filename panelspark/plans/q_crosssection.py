@@ -213,7 +213,7 @@ def _(c, p):
 
 @query("top_n_mask", KEY + "in_universe", """
 SELECT p.date, p.entity, t.entity IS NOT NULL AND p.date BETWEEN s.lo AND s.hi AS in_universe
-FROM panel p JOIN (SELECT entity, min(date) AS lo, max(date) AS hi FROM panel WHERE adv IS NOT NULL GROUP BY 1) s ON s.entity = p.entity
+FROM panel p JOIN (SELECT entity, min(date) AS lo, max(date) AS hi FROM panel GROUP BY 1) s ON s.entity = p.entity
 LEFT JOIN (SELECT entity, date_trunc('month', date) AS m FROM panel WHERE adv IS NOT NULL AND
              date IN (SELECT min(date) FROM panel GROUP BY date_trunc('month', date))
            QUALIFY row_number() OVER (PARTITION BY date ORDER BY adv DESC, entity) <= 30) t
