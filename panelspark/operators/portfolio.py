@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.elementwise import sanitize, zero_to_null
 from .crosssection import CrossSection
 from .evaluate import quantile_legs
-from .rolling import BY_ENTITY
+from ..sources.tables import by_entity
 from .splits import calendar
 
 
@@ -153,7 +153,7 @@ def calendar_lag(x: str, pos: str, k: int = 1):
     """x of the same entity exactly k calendar positions earlier, missing when absent then."""
     out = None
     for j in range(1, k + 1):
-        hit = F.when(F.lag(pos, j).over(BY_ENTITY) == F.col(pos) - k, F.lag(x, j).over(BY_ENTITY))
+        hit = F.when(F.lag(pos, j).over(by_entity()) == F.col(pos) - k, F.lag(x, j).over(by_entity()))
         out = hit if out is None else F.coalesce(out, hit)
     return out
 

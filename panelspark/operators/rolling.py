@@ -1,6 +1,6 @@
 """Per-entity (time-series) operators as Column expressions.
 
-Every builder takes the window ``over`` (default: partition by ``entity``, order by ``date``). All
+Every builder takes the window ``over`` (None: partition by ``entity``, order by ``date``). All
 expressions of one select share that spec, so Spark shuffles and sorts the panel once. Panels hold
 one row per (entity, date); one window partition is therefore bounded by the calendar.
 """
@@ -14,15 +14,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import col, div, zero_to_null
-from ..sources.tables import BY_ENTITY
+from ..sources.tables import by_entity
 
 
 def default_min_obs(w: int) -> int:
     return max(2, w // 2)
 
 
-def frame(w: int, over=BY_ENTITY):
-    return over.rowsBetween(-(w - 1), 0)
+def _w(over):
+    return by_entity() if over is None else over
+
+
+def frame(w: int, over=None):
+    return _w(over).rowsBetween(-(w - 1), 0)
 
 
 def _rolled(agg: Column, x, w: int, min_obs: int | None, over) -> Column:
@@ -31,39 +35,39 @@ def _rolled(agg: Column, x, w: int, min_obs: int | None, over) -> Column:
     return F.when(F.count(col(x)).over(f) >= need, agg.over(f))
 
 
-def mean(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def mean(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.avg(col(x)), x, w, min_obs, over)
 
 
-def sum_(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def sum_(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.sum(col(x)), x, w, min_obs, over)
 
 
-def max_(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def max_(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.max(col(x)), x, w, min_obs, over)
 
 
-def min_(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def min_(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.min(col(x)), x, w, min_obs, over)
 
 
-def std(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def std(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.stddev_samp(col(x)), x, w, min_obs, over)
 
 
-def var(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def var(x, w, min_obs=None, over=None) -> Column:
     return _rolled(F.var_samp(col(x)), x, w, min_obs, over)
 
 
-def quantile(x, w, q=0.5, min_obs=None, over=BY_ENTITY) -> Column:
+def quantile(x, w, q=0.5, min_obs=None, over=None) -> Column:
     return _rolled(F.percentile(col(x), F.lit(q)), x, w, min_obs, over)
 
 
-def median(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def median(x, w, min_obs=None, over=None) -> Column:
     return quantile(x, w, 0.5, min_obs, over)
 
 
-def skew(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def skew(x, w, min_obs=None, over=None) -> Column:
     """Bias-corrected sample skewness (Spark's aggregate is the population form)."""
     f = frame(w, over)
     n = F.count(col(x)).over(f)
@@ -72,23 +76,23 @@ def skew(x, w, min_obs=None, over=BY_ENTITY) -> Column:
     return F.when(n >= need, g * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2, F.lit(0)))
 
 
-def delay(x, n, over=BY_ENTITY) -> Column:
-    return F.lag(col(x), n).over(over)
+def delay(x, n, over=None) -> Column:
+    return F.lag(col(x), n).over(_w(over))
 
 
-def delta(x, n, over=BY_ENTITY) -> Column:
+def delta(x, n, over=None) -> Column:
     return col(x) - delay(x, n, over)
 
 
-def simple_return(x, n=1, over=BY_ENTITY) -> Column:
+def simple_return(x, n=1, over=None) -> Column:
     return div(x, delay(x, n, over)) - 1.0
 
 
-def log_return(x, over=BY_ENTITY) -> Column:
+def log_return(x, over=None) -> Column:
     return F.log(col(x)) - F.log(delay(x, 1, over))
 
 
-def diff(x, n, over=BY_ENTITY) -> Column:
+def diff(x, n, over=None) -> Column:
     """n-th discrete difference: the alternating binomial sum of lags."""
     out = col(x)
     for k in range(1, n + 1):
@@ -96,27 +100,27 @@ def diff(x, n, over=BY_ENTITY) -> Column:
     return out
 
 
-def fill(x, over=BY_ENTITY) -> Column:
-    return F.last(col(x), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0))
+def fill(x, over=None) -> Column:
+    return F.last(col(x), ignorenulls=True).over(_w(over).rowsBetween(W.unboundedPreceding, 0))
 
 
-def back_fill(x, over=BY_ENTITY) -> Column:
-    return F.first(col(x), ignorenulls=True).over(over.rowsBetween(0, W.unboundedFollowing))
+def back_fill(x, over=None) -> Column:
+    return F.first(col(x), ignorenulls=True).over(_w(over).rowsBetween(0, W.unboundedFollowing))
 
 
-def zscore(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def zscore(x, w, min_obs=None, over=None) -> Column:
     return (col(x) - mean(x, w, min_obs, over)) / zero_to_null(std(x, w, min_obs, over))
 
 
-def norm(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def norm(x, w, min_obs=None, over=None) -> Column:
     return col(x) - mean(x, w, min_obs, over)
 
 
-def std_normalized(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def std_normalized(x, w, min_obs=None, over=None) -> Column:
     return col(x) / zero_to_null(std(x, w, min_obs, over))
 
 
-def rank(x, w, min_obs=None, pct: bool = False, over=BY_ENTITY) -> Column:
+def rank(x, w, min_obs=None, pct: bool = False, over=None) -> Column:
     """Average-tie rank of today's value among the window's values."""
     x = col(x)
     values = F.collect_list(x).over(frame(w, over))
@@ -130,7 +134,7 @@ def rank(x, w, min_obs=None, pct: bool = False, over=BY_ENTITY) -> Column:
     return F.when(x.isNotNull() & (n >= need), r)
 
 
-def corr(a, b, w, min_obs=None, over=BY_ENTITY) -> Column:
+def corr(a, b, w, min_obs=None, over=None) -> Column:
     """Pearson correlation over the rows of the window where both are present.
 
     Written with covariance and deviations: ``corr`` itself raises on a constant window under ANSI.
@@ -153,7 +157,7 @@ def pairwise(a, b) -> tuple[Column, Column]:
     return F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
 
 
-def beta(y, x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def beta(y, x, w, min_obs=None, over=None) -> Column:
     """Slope of y on x over the window's complete pairs."""
     y, x = pairwise(y, x)
     f = frame(w, over)
@@ -162,7 +166,7 @@ def beta(y, x, w, min_obs=None, over=BY_ENTITY) -> Column:
     return F.when(ok, F.covar_samp(y, x).over(f) / zero_to_null(F.var_samp(x).over(f)))
 
 
-def moments(x, y, w, min_obs=None, over=BY_ENTITY) -> dict[str, Column]:
+def moments(x, y, w, min_obs=None, over=None) -> dict[str, Column]:
     """Pairwise-complete n, means and centred sums Sxx, Syy, Sxy of a window."""
     a, b = pairwise(x, y)
     f = frame(w, over)
@@ -179,14 +183,14 @@ def moments(x, y, w, min_obs=None, over=BY_ENTITY) -> dict[str, Column]:
     }
 
 
-def harmonic_mean(x, w, min_obs=None, over=BY_ENTITY) -> Column:
+def harmonic_mean(x, w, min_obs=None, over=None) -> Column:
     inv = 1.0 / zero_to_null(x)
     f = frame(w, over)
     need = default_min_obs(w) if min_obs is None else min_obs
     return F.when(F.count(inv).over(f) >= need, F.count(inv).over(f) / zero_to_null(F.sum(inv).over(f)))
 
 
-def argmax(x, w, pos="pos", over=BY_ENTITY) -> Column:
+def argmax(x, w, pos="pos", over=None) -> Column:
     """Rows since the window's maximum; the latest of equal maxima counts.
 
     ``pos`` is the row-number column of the same window spec.
@@ -196,7 +200,7 @@ def argmax(x, w, pos="pos", over=BY_ENTITY) -> Column:
     return pos - best["p"]
 
 
-def weighted_lags(x, weights, over=BY_ENTITY) -> Column:
+def weighted_lags(x, weights, over=None) -> Column:
     """Weighted mean of x, lag 1 of x, ...; ``weights`` starts with today's weight."""
     total = float(sum(weights))
     out = None
@@ -210,7 +214,7 @@ def linear_weights(w: int) -> list[int]:
     return list(range(w, 0, -1))
 
 
-def drawdown(ret, w, over=BY_ENTITY) -> Column:
+def drawdown(ret, w, over=None) -> Column:
     """Drawdown of the window's compounded path at its last row; missing if any return is.
 
     With cumulative sums c_1..c_w the value is exp(c_w - max(0, max c)) - 1.
@@ -226,7 +230,7 @@ def drawdown(ret, w, over=BY_ENTITY) -> Column:
     return F.when(F.count(col(ret)).over(f) == w, path)
 
 
-def volume_z(volume, share_factor, w, min_obs=None, over=BY_ENTITY) -> Column:
+def volume_z(volume, share_factor, w, min_obs=None, over=None) -> Column:
     """z-score of today's volume with every volume on today's share basis.
 
     Rescaling all window volumes by the same 1 / F_t leaves a z-score unchanged, so the z-score of
@@ -237,43 +241,43 @@ def volume_z(volume, share_factor, w, min_obs=None, over=BY_ENTITY) -> Column:
     return F.when(s > 0, (v - mean(v, w, min_obs, over)) / s)
 
 
-def forward_sum(x, h, lag: int = 0, over=BY_ENTITY) -> Column:
+def forward_sum(x, h, lag: int = 0, over=None) -> Column:
     """Sum over rows t+lag+1 .. t+lag+h, missing if any of them is."""
-    f = over.rowsBetween(1 + lag, h + lag)
+    f = _w(over).rowsBetween(1 + lag, h + lag)
     return F.when(F.count(col(x)).over(f) == h, F.sum(col(x)).over(f))
 
 
-def forward_log_return(close, h, over=BY_ENTITY) -> Column:
-    return F.log(F.lead(col(close), h).over(over)) - F.log(col(close))
+def forward_log_return(close, h, over=None) -> Column:
+    return F.log(F.lead(col(close), h).over(_w(over))) - F.log(col(close))
 
 
-def forward_returns(x, h, lag: int = 0, over=BY_ENTITY) -> Column:
+def forward_returns(x, h, lag: int = 0, over=None) -> Column:
     """Array of the next h values (missing entries stay NULL)."""
-    return F.array(*[F.lead(col(x), k + lag).over(over) for k in range(1, h + 1)])
+    return F.array(*[F.lead(col(x), k + lag).over(_w(over)) for k in range(1, h + 1)])
 
 
-def forward_any(flag, h, over=BY_ENTITY) -> Column:
+def forward_any(flag, h, over=None) -> Column:
     """True when any of the next h rows carries the flag."""
-    f = over.rowsBetween(1, h)
+    f = _w(over).rowsBetween(1, h)
     return F.coalesce(F.max(col(flag).cast("int")).over(f) == 1, F.lit(False))
 
 
-def price_index(ret_simple, over=BY_ENTITY) -> Column:
+def price_index(ret_simple, over=None) -> Column:
     """Cumulative product of 1 + r over the rows that have r; missing on a row without."""
     r = col(ret_simple)
-    total = F.sum(F.coalesce(F.log1p(r), F.lit(0.0))).over(over.rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum(F.coalesce(F.log1p(r), F.lit(0.0))).over(_w(over).rowsBetween(W.unboundedPreceding, 0))
     return F.when(r.isNotNull(), F.exp(total))
 
 
-def running_max(x, over=BY_ENTITY) -> Column:
-    return F.max(col(x)).over(over.rowsBetween(W.unboundedPreceding, 0))
+def running_max(x, over=None) -> Column:
+    return F.max(col(x)).over(_w(over).rowsBetween(W.unboundedPreceding, 0))
 
 
-def nav_drawdown(nav, over=BY_ENTITY) -> Column:
+def nav_drawdown(nav, over=None) -> Column:
     return col(nav) / running_max(nav, over) - 1.0
 
 
-def sequence_window(fields, w, over=BY_ENTITY, pad: bool = False) -> Column:
+def sequence_window(fields, w, over=None, pad: bool = False) -> Column:
     """The last w rows of the fields as an array of arrays, oldest first.
 
     Short histories are missing, or front-padded with the earliest row when ``pad``.
@@ -285,13 +289,13 @@ def sequence_window(fields, w, over=BY_ENTITY, pad: bool = False) -> Column:
     return F.when(F.size(rows) == w, rows)
 
 
-def rate(x, k, over=BY_ENTITY) -> Column:
+def rate(x, k, over=None) -> Column:
     return div(x, delay(x, k, over))
 
 
-def mean_residual(x, k, over=BY_ENTITY) -> Column:
+def mean_residual(x, k, over=None) -> Column:
     """x minus the mean of the k earlier rows (today excluded)."""
-    return col(x) - F.avg(col(x)).over(over.rowsBetween(-k, -1))
+    return col(x) - F.avg(col(x)).over(_w(over).rowsBetween(-k, -1))
 
 
 def ewm_mean(df, x: str, span: int, out: str, min_obs: int | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
 from ..operators import rolling as ts
-from ..sources.tables import BY_ENTITY, table, weekly_panel
+from ..sources.tables import by_entity, table, weekly_panel
 from .oracle import PANEL
 from .q_rolling import KEY, ts_query
 from .registry import query
@@ -83,7 +83,7 @@ def _(p):
 @ts_query("tradable_flag", "tradable", f"lead(date) OVER {E} IS NOT NULL OR n_trades > 1 AS tradable")
 def _(p):
     # the last row of a name that traded once plays the delisting row
-    last = F.lead("date").over(BY_ENTITY).isNull()
+    last = F.lead("date").over(by_entity()).isNull()
     return p.select("date", "entity", (~(last & (F.col("n_trades") == 1))).alias("tradable"))
 
 

@@ -9,7 +9,7 @@ from ..operators import portfolio as pf
 from ..operators import rolling as ts
 from ..operators.crosssection import CrossSection
 from ..operators.splits import calendar
-from ..sources.tables import names_bound, weekly_panel
+from ..sources.tables import by_entity, names_bound, weekly_panel
 from .oracle import PANEL, more
 from .registry import query
 
@@ -34,7 +34,7 @@ def scored(spark, sf):
     return p.select(
         "date", "entity", "sector", "industry", "volume", "dollar_volume", (F.col("ret") / 100).alias("r"),
         ts.sum_("sig", 10).alias("s1"), ts.mean("volume", 5).alias("s2"),
-        (F.lead("ret", 1).over(ts.BY_ENTITY) / 100).alias("y1"), (ts.forward_sum("ret", 3) / 100).alias("y3"),
+        (F.lead("ret", 1).over(by_entity()) / 100).alias("y1"), (ts.forward_sum("ret", 3) / 100).alias("y3"),
         F.transform(ts.forward_returns("ret", 3), lambda v: v / 100).alias("yd"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
 from ..operators import rolling as ts
-from ..sources.tables import BY_ENTITY, weekly_panel, with_market
+from ..sources.tables import by_entity, weekly_panel, with_market
 from .oracle import MPANEL, PANEL, more
 from .registry import query
 
@@ -169,7 +169,7 @@ def _(p):
 @query("ts_argmax", KEY + "a#", f"""
 SELECT date, entity, rn - arg_max(rn, sig) OVER {W20} AS a FROM numbered""", more(PANEL, NUMBERED))
 def _(spark, sf):
-    p = weekly_panel(spark, sf).withColumn("pos", F.row_number().over(BY_ENTITY))
+    p = weekly_panel(spark, sf).withColumn("pos", F.row_number().over(by_entity()))
     return p.select("date", "entity", ts.argmax("sig", 20).alias("a"))
 
 
