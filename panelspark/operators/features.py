@@ -1,7 +1,13 @@
-"""Named feature sets (being filled in)."""
+"""Named feature sets: compositions of the per-entity, per-date and point-in-time operators."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import rolling as ts
+
 #: Columns that identify a row or carry its bar.
 IDENTIFIERS = ("date", "entity", "asset", "open", "high", "low", "close", "volume")
 
@@ -9,3 +15,11 @@ IDENTIFIERS = ("date", "entity", "asset", "open", "high", "low", "close", "volum
 def feature_columns(df) -> list[str]:
     """Every column that is neither an identifier, a bar field nor a label (``y_``)."""
     return [c for c in df.columns if c not in IDENTIFIERS and not c.startswith("y_")]
+
+
+def market_frame(market: DataFrame, horizon: int, w: int = 20) -> DataFrame:
+    """(date, ret_1d, ret_20d, vol_20d, fwd) of the market series, one row per calendar date."""
+    one = W.partitionBy(F.lit(0)).orderBy("date")
+    return market.select(
+        "date", F.col("mkt").alias("ret_1d"), ts.sum_("mkt", w, w, one).alias("ret_20d"),
+        ts.std("mkt", w, w, one).alias("vol_20d"), ts.forward_sum("mkt", horizon, over=one).alias("fwd"))
