@@ -23,3 +23,36 @@ def market_frame(market: DataFrame, horizon: int, w: int = 20) -> DataFrame:
     return market.select(
         "date", F.col("mkt").alias("ret_1d"), ts.sum_("mkt", w, w, one).alias("ret_20d"),
         ts.std("mkt", w, w, one).alias("vol_20d"), ts.forward_sum("mkt", horizon, over=one).alias("fwd"))
+
+
+def report_days(quarters: DataFrame, cal: DataFrame) -> DataFrame:
+    """(entity, date, rdq_date): each report date on the first trading day on or after it, latest wins."""
+    from .pit import place_on_calendar
+
+    q = quarters.where("rdq_date is not null").select(F.col("gvkey").alias("entity"), "rdq_date")
+    placed = place_on_calendar(q, cal, "rdq_date", "date").where("date is not null")
+    return placed.groupBy("entity", "date").agg(F.max("rdq_date").alias("rdq_date"))
+
+
+def lagged_labels(panel: DataFrame, r: str, horizon: int, lags, bound: int | None = None) -> DataFrame:
+    """(date, entity, lag, label): forward sums at each execution lag, demeaned on the formation date."""
+    from .crosssection import CrossSection
+
+    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("y")) for k in lags])
+    d = panel.select("date", "entity", *[ts.forward_sum(r, horizon, k).alias(f"_y{k}") for k in lags])
+    d = d.select("date", "entity", F.inline(cells))
+    return CrossSection(("date", "lag"), bound).demean(d, "y", "label")
+
+
+def adjust_volume(rows: DataFrame, factors: DataFrame, factor: str, out: str) -> DataFrame:
+    """Volume on the adjusted share basis; a row without a factor keeps its own volume."""
+    return rows.join(factors, ["entity", "date"], "left").withColumn(
+        out, F.col("volume") * F.coalesce(F.col(factor), F.lit(1.0)))
+
+
+def build_context(market: DataFrame, index: DataFrame, periods: int) -> DataFrame:
+    """Full outer join of the market series with an index series, plus |market| and trailing volatility."""
+    one = W.partitionBy(F.lit(0)).orderBy("date")
+    m = market.select("date", "mkt", F.abs("mkt").alias("abs_mkt"),
+                      (ts.std("mkt", 20, 20, one) * F.sqrt(F.lit(float(periods)))).alias("vol"))
+    return m.join(index, "date", "full_outer")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import col, hard_split, p_value, zero_to_null
-from .evaluate import kish, long_run_variance, safe_corr
+from .evaluate import hac_choice, kish, long_run_variances, safe_corr
 
 CALM_STRESS = ("calm", "stress")
 
@@ -211,7 +211,14 @@ def _inverse(s: dict[tuple[int, int], Column], k: int) -> list[list[Column]]:
 
 def regime_regression(d: DataFrame, ic: str, lags: int, kernel: str, states=CALM_STRESS,
                       by=("series",)) -> DataFrame:
-    """(by, term, estimate, se, t, kernel, n): IC on the regime weights without intercept.
+    """(by, term, estimate, se, t, kernel, n): IC on the regime weights without intercept."""
+    out = regime_regressions(d, ic, {"x": (lags, kernel)}, states, by)
+    return out.toDF(*[c.removesuffix("_x") for c in out.columns])
+
+
+def regime_regressions(d: DataFrame, ic: str, choices: dict[str, tuple[int, str]], states=CALM_STRESS,
+                       by=("series",)) -> DataFrame:
+    """(by, term, estimate, n, se_<name>, t_<name>, kernel_<name> ...) for several error choices.
 
     Terms are the regimes and ``contrast`` (last minus first). Standard errors come from the scalar
     series a'(X'X)^-1 x_t e_t: each term's series goes through the same long-run variance.
@@ -241,12 +248,14 @@ def regime_regression(d: DataFrame, ic: str, lags: int, kernel: str, states=CALM
     cells = F.explode(F.array(*[
         F.struct(F.lit(n).alias("term"), z(a).alias("z"), c.alias("estimate")) for n, a, c in terms]))
     long = rows.select(*by, "date", cells.alias("x")).select(*by, "date", "x.term", "x.z", "x.estimate")
-    lrv = long_run_variance(long, "z", lags, kernel, (*by, "term"))
-    est = long.groupBy(*by, "term").agg(F.max("estimate").alias("estimate"))
-    out = lrv.join(est, [*by, "term"])
-    se = F.when(F.col("lrv") >= 0, F.sqrt(F.col("n") * F.col("lrv")))
-    return out.select(*by, "term", "estimate", se.alias("se"),
-                      (F.col("estimate") / zero_to_null(se)).alias("t"), "kernel", "n")
+    # the estimate is one value per term, so it travels as a grouping key
+    lrv = long_run_variances(long, "z", choices, (*by, "term", "estimate"))
+    out = [*by, "term", "estimate", "n"]
+    for name in choices:
+        v = F.col(f"lrv_{name}")
+        se = F.when(v >= 0, F.sqrt(F.col("n") * v))
+        out += [se.alias(f"se_{name}"), (F.col("estimate") / zero_to_null(se)).alias(f"t_{name}"), f"kernel_{name}"]
+    return lrv.select(*out)
 
 
 def split_table(ics: DataFrame, weights: dict[tuple[str, str], DataFrame], h: int, nw_min_lag: int) -> DataFrame:
@@ -260,10 +269,10 @@ def split_table(ics: DataFrame, weights: dict[tuple[str, str], DataFrame], h: in
         stacked = one if stacked is None else stacked.unionByName(one)
     keys = ("split", "kind", "series")
     d = ics.join(F.broadcast(stacked), "date")  # one row per date and split
-    hh = regime_regression(d, "ic", h - 1, "uniform", by=keys)
-    nw = regime_regression(d, "ic", max(h - 1, nw_min_lag), "bartlett", by=keys).select(
-        *keys, "term", F.col("se").alias("se_nw"), F.col("t").alias("t_nw"))
-    return hh.join(nw, [*keys, "term"]).withColumn("h", F.lit(h))
+    choices = {"hh": hac_choice("hansen_hodrick", h, nw_min_lag), "nw": hac_choice("newey_west", h, nw_min_lag)}
+    t = regime_regressions(d, "ic", choices, by=keys)
+    t = t.withColumnRenamed("se_hh", "se").withColumnRenamed("t_hh", "t").withColumnRenamed("kernel_hh", "kernel")
+    return t.drop("kernel_nw").withColumn("h", F.lit(h))
 
 
 def assign_families(table: DataFrame, primary_signals, primary_kind: str) -> DataFrame:
@@ -280,11 +289,11 @@ def assign_families(table: DataFrame, primary_signals, primary_kind: str) -> Dat
     t = table.where("term = 'contrast'").withColumn("family", family)
     t = t.withColumn("p", F.when(F.col("family") == "primary", p_value("t", "less")).otherwise(p_value("t")))
     keys = ["split", "kind", "series"]
-    h = holm(t.where("family = 'primary'"), "p", ("family",), keys)
-    b = benjamini_hochberg(t.where("family = 'exploratory'"), "p", ("family",), keys)
-    r = t.where("family = 'robustness'").withColumns(
-        {"adjusted": F.lit(None).cast("double"), "reject": F.lit(None).cast("boolean")})
-    return h.unionByName(b).unionByName(r)
+    t = holm(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ha", "reject": "_hr"})
+    t = benjamini_hochberg(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ba", "reject": "_br"})
+    pick = lambda a, b: F.when(F.col("family") == "primary", a).when(F.col("family") == "exploratory", b)
+    return t.withColumns({"adjusted": pick(F.col("_ha"), F.col("_ba")), "reject": pick(F.col("_hr"), F.col("_br"))}).drop(
+        "_ha", "_hr", "_ba", "_br")
 
 
 def sector_measures(sector: DataFrame, market: DataFrame, p: str, threshold: float, min_days: int) -> DataFrame:
