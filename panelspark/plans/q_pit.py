@@ -32,9 +32,9 @@ SPELLS = """spells AS (SELECT entity, min(date) AS spell_start, max(date) AS spe
 INFO = """info AS (SELECT entity, info_start, info_end, CAST(floor(entity / 2) AS BIGINT) AS company, 'T' || entity || 'Y' || (y % 100) AS ticker FROM (
   SELECT entity, year(date) AS y, min(date) AS info_start, max(date) AS info_end FROM bars_w WHERE entity % 13 <> 5 GROUP BY 1, 2) WHERE (entity + y) % 6 <> 0)"""
 QUARTERS = """income AS (SELECT gvkey, fyearq, fqtr, saleq, CASE WHEN gvkey % 9 <> 0 THEN cogsq END AS cogsq, ibq,
-    CASE WHEN (gvkey + fyearq + fqtr) % 8 <> 0 THEN round(sum(ocf) OVER (PARTITION BY gvkey, fyearq ORDER BY fqtr), 2) END AS oancfy FROM (
-  SELECT entity AS gvkey, y AS fyearq, qt AS fqtr, round(sum(l_extendedprice), 2) AS saleq, round(sum(l_extendedprice * l_discount), 2) AS cogsq,
-    round(sum(l_extendedprice * (l_tax - 0.035)), 2) AS ibq, round(sum(l_extendedprice * (l_tax - l_discount)), 2) AS ocf FROM facts GROUP BY 1, 2, 3)),
+    CASE WHEN (gvkey + fyearq + fqtr) % 8 <> 0 THEN round(sum(ocf) OVER (PARTITION BY gvkey, fyearq ORDER BY fqtr), 4) END AS oancfy FROM (
+  SELECT entity AS gvkey, y AS fyearq, qt AS fqtr, round(sum(l_extendedprice), 2) AS saleq, round(sum(l_extendedprice * l_discount), 4) AS cogsq,
+    round(sum(l_extendedprice * (l_tax - 0.035)), 5) AS ibq, round(sum(l_extendedprice * (l_tax - l_discount)), 4) AS ocf FROM facts GROUP BY 1, 2, 3)),
 balance AS (SELECT * REPLACE (CASE WHEN k % 4 <> 0 THEN seqq END AS seqq, CASE WHEN k % 8 <> 0 THEN ceqq END AS ceqq,
     CASE WHEN k % 3 <> 0 THEN txditcq END AS txditcq, CASE WHEN k % 5 <> 0 THEN ivaoq END AS ivaoq, CASE WHEN k % 6 <> 0 THEN mibq END AS mibq) FROM (
   SELECT entity AS gvkey, y AS fyearq, qt AS fqtr, entity + y * 4 + qt AS k, sum(l_quantity) * 1000 AS atq, """ + ", ".join(
@@ -236,12 +236,12 @@ def _(spark, sf):
     return pit.first_filing(co.filings(spark, sf), ("A", "R"))
 
 
-@query("quarter_assembly", "gvkey# fq_index# saleq~2 ibq~2 atq~2 seqq~2 period_end rdq_date first_filing", "SELECT * FROM quarters", W_QUARTERS)
+@query("quarter_assembly", "gvkey# fq_index# saleq~2 ibq~5 atq~2 seqq~2 period_end rdq_date first_filing", "SELECT * FROM quarters", W_QUARTERS)
 def _(spark, sf):
     return quarters(spark, sf)
 
 
-@query("ytd_to_quarterly", "gvkey# fyearq# fqtr# oancfy~2 oancfq~2", "SELECT * FROM quarters", W_QUARTERS)
+@query("ytd_to_quarterly", "gvkey# fyearq# fqtr# oancfy~4 oancfq~4", "SELECT * FROM quarters", W_QUARTERS)
 def _(spark, sf):
     return quarters(spark, sf)
 
@@ -290,7 +290,7 @@ vals AS (SELECT gvkey, event, asof_avail, be0 AS be, ni AS ni_ttm, dlttq0 + dlcq
    ibq0 + ibq1 + ibq2 + ibq3 AS ni, oancfq0 + oancfq1 + oancfq2 + oancfq3 AS ocf, saleq0 + saleq1 + saleq2 + saleq3 AS sa, saleq4 + saleq5 + saleq6 + saleq7 AS sb,
    saleq0 - cogsq0 + saleq1 - cogsq1 + saleq2 - cogsq2 + saleq3 - cogsq3 AS gp, [""" + ", ".join(f"ibq{j} > ibq{j + 4}" for j in range(8)) + """] AS rises FROM piv))"""
 W_PIT = more(W_QUARTERS, PIT_VALUES)
-FUND = "be~2 ni_ttm~2 netdebt~2 niq_be~ ocf_at~ gp_at~ ni_inc8q~ at_gr1~ sale_gr1~ oaccruals_at~ taccruals_at~ debt_gr3~ noa_at~ cash_at~"
+FUND = "be~2 ni_ttm~5 netdebt~2 niq_be~6 ocf_at~6 gp_at~6 ni_inc8q~ at_gr1~6 sale_gr1~6 oaccruals_at~6 taccruals_at~6 debt_gr3~6 noa_at~6 cash_at~6"
 
 
 def fundamentals(spark, sf):

@@ -77,12 +77,12 @@ def income_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
     g = f.groupBy(F.col("entity").alias("gvkey"), "fyearq", "fqtr").agg(
         F.round(F.sum(price), 2).alias("saleq"),
-        F.round(F.sum(price * F.col("l_discount")), 2).alias("cogsq"),
-        F.round(F.sum(price * (F.col("l_tax") - 0.035)), 2).alias("ibq"),
-        F.round(F.sum(price * (F.col("l_tax") - F.col("l_discount"))), 2).alias("_ocf"),
+        F.round(F.sum(price * F.col("l_discount")), 4).alias("cogsq"),
+        F.round(F.sum(price * (F.col("l_tax") - 0.035)), 5).alias("ibq"),
+        F.round(F.sum(price * (F.col("l_tax") - F.col("l_discount"))), 4).alias("_ocf"),
     )
     year = W.partitionBy("gvkey", "fyearq").orderBy("fqtr").rowsBetween(W.unboundedPreceding, 0)
-    ytd = F.when((F.col("gvkey") + F.col("fyearq") + F.col("fqtr")) % 8 != 0, F.round(F.sum("_ocf").over(year), 2))
+    ytd = F.when((F.col("gvkey") + F.col("fyearq") + F.col("fqtr")) % 8 != 0, F.round(F.sum("_ocf").over(year), 4))
     cogs = F.when(F.col("gvkey") % 9 != 0, F.col("cogsq"))
     return g.select("gvkey", F.lit(1).alias("keyset"), "fyearq", "fqtr", "saleq", cogs.alias("cogsq"), "ibq",
                     ytd.alias("oancfy"))
