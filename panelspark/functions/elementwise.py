@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,8 +141,7 @@ def gate_within(days, lo: int | None = None, hi: int | None = None) -> Column:
 
 # --- normal distribution ---------------------------------------------------------------------
 # Spark SQL has no erf. The CDF uses West's double-precision form of Hart's algorithm (Wilmott
-# 2005), relative error near 1e-15; the quantile uses Acklam's rational approximation with one
-# Newton-Halley step on that CDF.
+# 2005), relative error near 1e-15; the quantile uses Acklam's rational approximation.
 
 # Numerator and denominator coefficients of the published CDF approximation.
 _CDF_NUM = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383,
@@ -168,38 +165,49 @@ def _poly(x: Column, coefs) -> Column:
     return out
 
 
+def _bind(x, fn) -> Column:
+    """fn(x) with x evaluated once: a one-element array map keeps long formulas from repeating it."""
+    if isinstance(x, str):
+        return fn(F.col(x))
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def norm_cdf(x) -> Column:
-    x = col(x)
-    a = F.abs(x)
-    e = F.exp(-a * a / 2.0)
-    core = e * _poly(a, _CDF_NUM) / _poly(a, _CDF_DEN)
-    cf = a + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        cf = a + F.lit(k) / cf
-    far = e / cf / 2.506628274631
-    tail = F.when(a > 37.0, F.lit(0.0)).when(a < 7.07106781186547, core).otherwise(far)
-    return F.when(x.isNotNull(), F.when(x > 0, 1.0 - tail).otherwise(tail))
+    """Standard normal distribution function."""
+    def formula(v):
+        a = F.abs(v)
+        e = F.exp(-a * a / 2.0)
+        core = e * _poly(a, _CDF_NUM) / _poly(a, _CDF_DEN)
+        cf = a + 0.65
+        for k in (4.0, 3.0, 2.0, 1.0):
+            cf = a + F.lit(k) / cf
+        far = e / cf / 2.506628274631
+        tail = F.when(a > 37.0, F.lit(0.0)).when(a < 7.07106781186547, core).otherwise(far)
+        return F.when(v.isNotNull(), F.when(v > 0, 1.0 - tail).otherwise(tail))
+
+    return _bind(x, formula)
 
 
 def norm_ppf(p) -> Column:
-    p = col(p)
-    q = p - 0.5
-    r = q * q
-    mid = q * _poly(r, _Q_A) / _poly(r, _Q_B)
-    lo_t = F.sqrt(-2.0 * F.log(p))
-    hi_t = F.sqrt(-2.0 * F.log(1.0 - p))
-    lo = _poly(lo_t, _Q_C) / _poly(lo_t, _Q_D)
-    hi = -_poly(hi_t, _Q_C) / _poly(hi_t, _Q_D)
-    x = F.when(p < 0.02425, lo).when(p > 1.0 - 0.02425, hi).otherwise(mid)
-    err = (norm_cdf(x) - p) * math.sqrt(2.0 * math.pi) * F.exp(x * x / 2.0)
-    return F.when((p > 0) & (p < 1), x - err / (1.0 + x * err / 2.0))
+    """Standard normal quantile, relative error about 1e-9."""
+    def formula(v):
+        q = v - 0.5
+        r = q * q
+        mid = q * _poly(r, _Q_A) / _poly(r, _Q_B)
+        lo_t = F.sqrt(-2.0 * F.log(v))
+        hi_t = F.sqrt(-2.0 * F.log(1.0 - v))
+        lo = _poly(lo_t, _Q_C) / _poly(lo_t, _Q_D)
+        hi = -_poly(hi_t, _Q_C) / _poly(hi_t, _Q_D)
+        x = F.when(v < 0.02425, lo).when(v > 1.0 - 0.02425, hi).otherwise(mid)
+        return F.when((v > 0) & (v < 1), x)
+
+    return _bind(p, formula)
 
 
 def p_value(t, alternative: str = "two-sided") -> Column:
     """Normal p-value of a t statistic: ``less`` or ``two-sided``."""
-    cdf = norm_cdf(t)
     if alternative == "less":
-        return cdf
+        return norm_cdf(t)
     if alternative == "two-sided":
-        return 2.0 * F.least(cdf, 1.0 - cdf)
+        return 2.0 * norm_cdf(-F.abs(col(t)))
     raise ValueError(f"unknown alternative {alternative!r}")

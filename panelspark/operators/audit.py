@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def no_lookahead(rows: DataFrame, build: Callable[[DataFrame], DataFrame], features: list[str], cutoff: str,
                  alter: tuple[str, ...] = ("close",)) -> DataFrame:
-    """(feature, changed): cells dated up to ``cutoff`` that differ between three builds.
+    """(feature, cells, changed): cells compared and cells dated up to ``cutoff`` that differ between three builds.
 
     The features are built on all rows, on the rows up to the cutoff, and on rows whose later values
     are altered; a causal feature counts zero changes.
@@ -25,7 +25,8 @@ def no_lookahead(rows: DataFrame, build: Callable[[DataFrame], DataFrame], featu
         j = full.join(o, ["date", "entity"], "full_outer")
         same = [F.coalesce(F.abs(F.col(f) - F.col(f"_{f}")) < 1e-9, F.col(f).isNull() & F.col(f"_{f}").isNull())
                 for f in features]
-        one = j.agg(*[F.sum((~s).cast("bigint")).alias(f) for f, s in zip(features, same, strict=True)])
+        one = j.agg(F.count(F.lit(1)).alias("cells"),
+                    *[F.sum((~s).cast("bigint")).alias(f) for f, s in zip(features, same, strict=True)])
         out = one if out is None else out.unionByName(one)
-    total = out.agg(*[F.sum(f).alias(f) for f in features])
-    return total.unpivot([], features, "feature", "changed")
+    total = out.agg(F.sum("cells").alias("cells"), *[F.sum(f).alias(f) for f in features])
+    return total.unpivot(["cells"], features, "feature", "changed")

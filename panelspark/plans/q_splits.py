@@ -218,8 +218,8 @@ def _(spark, sf):
     return sm.qualifies(rep, ir_min=0.05)
 
 
-@query("no_lookahead_audit", "feature changed#", """
-SELECT unnest(['mean_20', 'rank', 'zscore_20']) AS feature, 0 AS changed""")
+@query("no_lookahead_audit", "feature cells# changed#", """
+SELECT unnest(['mean_20', 'rank', 'zscore_20']) AS feature, 2 * count(*) AS cells, 0 AS changed FROM bars_w WHERE date <= DATE '1998-06-29'""", with_(WEEK_BARS))
 def _(spark, sf):
     from ..operators.audit import no_lookahead
 
