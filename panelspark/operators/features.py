@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +58,251 @@ def build_context(market: DataFrame, index: DataFrame, periods: int) -> DataFram
     m = market.select("date", "mkt", F.abs("mkt").alias("abs_mkt"),
                       (ts.std("mkt", 20, 20, one) * F.sqrt(F.lit(float(periods)))).alias("vol"))
     return m.join(index, "date", "full_outer")
+
+
+def features_long(df: DataFrame, windows=(5, 10, 20, 60)) -> DataFrame:
+    """Log return, rolling mean/std/min/max of it, log-volume mean/std and mean residuals per window."""
+    d = df.withColumns({"ret_1d": ts.log_return("close"), "log_vol": F.log1p("volume")})
+    out = {}
+    for w in windows:
+        for name, fn in (("mean", ts.mean), ("std", ts.std), ("min", ts.min_), ("max", ts.max_)):
+            out[f"ret_1d_{name}_{w}"] = fn("ret_1d", w)
+        out[f"log_vol_mean_{w}"] = ts.mean("log_vol", w)
+        out[f"log_vol_std_{w}"] = ts.std("log_vol", w)
+        out[f"ret_resid_{w}"] = ts.norm("ret_1d", w)
+    return d.withColumns(out)
+
+
+TERMINALS = ("c_ma20", "c_ma60", "hl", "co", "gap", "stoch", "ret1", "ret5", "ret20", "v_ma20", "dv_adv", "vol20",
+             "size", "beta60", "amihud", "hi52", "idio")
+
+
+def terminals(xs, df: DataFrame, market: str = "mkt", group: str = "industry", year: int = 252) -> DataFrame:
+    """17 dimensionless inputs, each sanitized and winsorised per date at 1% / 99%."""
+    from ..functions.elementwise import div, sanitize, zero_to_null
+
+    c, o = F.col("close"), F.col("open")
+    prev = ts.delay("close", 1)
+    d = df.withColumns({
+        "ret1": ts.simple_return("close", 1), "ret5": ts.simple_return("close", 5), "ret20": ts.simple_return("close", 20),
+        "adv": ts.mean("dollar_volume", 60, 20), "_hi": ts.max_("high", 20), "_lo": ts.min_("low", 20)})
+    d = d.withColumns({
+        "c_ma20": div(c, ts.mean("close", 20)), "c_ma60": div(c, ts.mean("close", 60)), "hl": div("high", "low"),
+        "co": div(c - o, o), "gap": div(o - prev, prev), "stoch": div(c - F.col("_lo"), F.col("_hi") - F.col("_lo")),
+        "v_ma20": div("volume", ts.mean("volume", 20)), "dv_adv": div("dollar_volume", "adv"), "vol20": ts.std("ret1", 20),
+        "beta60": ts.corr("ret1", market, 60), "amihud": F.abs("ret1") / zero_to_null("dollar_volume") * 1e9,
+        "hi52": div(c, ts.max_("close", year, min(120, year // 2)))})
+    d = xs.rank_pct(d, "adv", "size")
+    d = xs.demean(d, "ret1", "_n", group)
+    d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))).drop("_n")
+    d = d.select("date", "entity", *[sanitize(t).alias(t) for t in TERMINALS])
+    for t in TERMINALS:
+        d = xs.winsor(d, t, "_w", 0.01).drop(t).withColumnRenamed("_w", t)
+    return d
+
+
+def snapshot_and_sequence(df: DataFrame, market: DataFrame) -> DataFrame:
+    """The 14 snapshot inputs (full windows) and the 4 sequence channels; ``market`` from market_frame.
+
+    Sequence channels: ret_1d, vol_20d, volume_z_20d, rel_ret_1d.
+    """
+    m = market.select("date", F.col("ret_1d").alias("mkt_ret_1d"), F.col("ret_20d").alias("mkt_ret_20d"),
+                      F.col("vol_20d").alias("mkt_vol_20d"))
+    d = df.join(F.broadcast(m), "date", "left")  # one row per date
+    d = d.withColumn("_down", F.least("ret", F.lit(0.0))).withColumn("_down", F.when(F.col("ret").isNotNull(), F.col("_down")))
+    d = d.withColumns({
+        "ret_1d": F.col("ret"), **{f"ret_{w}d": ts.sum_("ret", w, w) for w in (5, 20, 60)}, "mom_120d": ts.sum_("ret", 120, 120),
+        **{f"vol_{w}d": ts.std("ret", w, w) for w in (5, 20, 60)}, "downside_vol_20d": ts.std("_down", 20, 20),
+        "drawdown_60d": ts.drawdown("ret", 59), "dollar_vol_20d": F.log(ts.mean("dollar_volume", 20, 20)),
+        "volume_z_20d": ts.volume_z("volume", "share_factor", 20, 20)})
+    return d.withColumns({
+        "rel_ret_1d": F.col("ret_1d") - F.col("mkt_ret_1d"), "rel_ret_20d": F.col("ret_20d") - F.col("mkt_ret_20d"),
+        "rel_vol_20d": F.col("vol_20d") / F.nullif(F.col("mkt_vol_20d"), F.lit(0.0))}).drop("_down")
+
+
+def need(w: int, share: float = 0.8) -> int:
+    """Observations a window of ``w`` needs: the share rounded up."""
+    return max(1, math.ceil(share * w - 1e-9))
+
+
+def momentum(r: str = "ret", fast=(5, 20), start: int = 251, end: int = 21) -> dict:
+    """Trailing sums and the start..end momentum (as a sum ending ``end`` rows back)."""
+    n = start - end + 1
+    f = ts._w(None).rowsBetween(-start, -end)
+    mom = F.when(F.count(r).over(f) >= need(n), F.sum(r).over(f))
+    return {**{f"ret_{w}d": ts.sum_(r, w, need(w)) for w in fast}, "mom_12_1": mom}
+
+
+def high_ratio(p: str, w: int = 252):
+    return F.col(p) / F.nullif(ts.max_(p, w, need(w)), F.lit(0.0))
+
+
+def beta_bab(df: DataFrame, out: str, r: str = "ret", m: str = "mkt", overlap: int = 3, corr_w: int = 1260,
+             corr_min: int = 750, vol_w: int = 252) -> DataFrame:
+    """Correlation of overlapping sums over a long window times the volatility ratio."""
+    d = df.withColumns({"_r": ts.sum_(r, overlap, overlap), "_m": ts.sum_(m, overlap, overlap)})
+    ratio = ts.std(r, vol_w, need(vol_w)) / F.nullif(ts.std(m, vol_w, need(vol_w)), F.lit(0.0))
+    return d.withColumn(out, ts.corr("_r", "_m", corr_w, corr_min) * ratio).drop("_r", "_m")
+
+
+def amihud(df: DataFrame, out: str, r_simple: str, dollar_m: str, w: int = 126) -> DataFrame:
+    """Mean absolute return per million traded, over rows with volume."""
+    ok = (F.col("volume") > 0) & (F.col(dollar_m) > 0)
+    d = df.withColumn("_il", F.when(ok, F.abs(r_simple) / F.nullif(F.col(dollar_m), F.lit(0.0))))
+    return d.withColumn(out, ts.mean("_il", w, need(w))).drop("_il")
+
+
+def seasonality(df: DataFrame, monthly: DataFrame, out: str, first: int = 2, last: int = 5) -> DataFrame:
+    """Mean return of the next row's calendar month, ``first``..``last`` years back, all years needed.
+
+    A month's return is listed under the target months it will serve, then one equi-join attaches it.
+    """
+    years = last - first + 1
+    targets = monthly.where("ret is not null").select(
+        "entity", "ret", F.explode(F.array(*[F.add_months("month", 12 * k) for k in range(first, last + 1)])).alias("_month"))
+    seas = targets.groupBy("entity", "_month").agg(F.avg("ret").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    step = F.when(F.weekday("date") >= 4, 7 - F.weekday("date")).otherwise(1)
+    d = df.withColumn("_month", F.trunc(F.date_add("date", step), "month"))
+    return d.join(seas, ["entity", "_month"], "left").withColumn(
+        out, F.when(F.col("_n") >= need(years), F.col("_s"))).drop("_month", "_s", "_n")
+
+
+def coskew(df: DataFrame, out: str, x: str = "ret", y: str = "mkt", w: int = 21) -> DataFrame:
+    """mean(x y^2) / (sx sy^2) with both centred inside the window."""
+    a, b = ts.pairwise(x, y)
+    d = df.withColumns({"_x": a, "_y": b})
+    f = ts.frame(w)
+    n = F.count("_x").over(f)
+    mx, my = F.avg("_x").over(f), F.avg("_y").over(f)
+    third = (F.avg(F.col("_x") * F.col("_y") * F.col("_y")).over(f) - 2 * my * F.avg(F.col("_x") * F.col("_y")).over(f)
+             + my * my * mx - mx * F.avg(F.col("_y") * F.col("_y")).over(f) + 2 * mx * my * my - mx * my * my)
+    scale = F.stddev_pop("_x").over(f) * F.var_pop("_y").over(f)
+    return d.withColumn(out, F.when(n >= need(w), third / F.nullif(scale, F.lit(0.0)))).drop("_x", "_y")
+
+
+def ivol_capm(r: str = "ret", m: str = "mkt", w: int = 21):
+    """Residual deviation of the window's regression on the market."""
+    k = ts.moments(r, m, w, need(w))
+    ssr = F.greatest(k["sxx"] - k["sxy"] * k["sxy"] / F.nullif(k["syy"], F.lit(0.0)), F.lit(0.0))
+    return F.sqrt(ssr / F.nullif(k["n"] - 1, F.lit(0)))
+
+
+def short_block(df: DataFrame, r: str = "ret", vol=(5, 60), w: int = 21, q: int = 5, ratio_w: int = 60,
+                ma: int = 50, night: int = 20) -> DataFrame:
+    """vol_shock, rskew, rmax, qspread, overnight, ma_gap, var_ratio and ret_vol_corr."""
+    spread = F.when((F.col("bid") > 0) & (F.col("bid") <= F.col("ask")),
+                    (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2))
+    d = df.withColumns({
+        "_s": F.expm1(r), "_sp": spread, "_on": F.col(r) - F.log(F.col("close") / F.col("open")),
+        "_rq": ts.sum_(r, q, q), "_p": ts.price_index(F.expm1(r)), "_lv": F.when(F.col("volume") > 0, F.log("volume"))})
+    z = lambda c: F.nullif(c, F.lit(0.0))
+    d = d.withColumns({
+        "vol_shock": ts.std(r, vol[0], need(vol[0])) / z(ts.std(r, vol[1], need(vol[1]))),
+        "rskew": ts.skew(r, w, need(w)), "rmax1": ts.max_("_s", w, need(w)), "qspread": ts.mean("_sp", w, need(w)),
+        "overnight": ts.sum_("_on", night, need(night)), "ma_gap": F.col("_p") / z(ts.mean("_p", ma, need(ma))) - 1.0,
+        "var_ratio": ts.var("_rq", ratio_w, need(ratio_w)) / z(q * ts.var(r, ratio_w, need(ratio_w))),
+        "ret_vol_corr": ts.corr(r, "_lv", ratio_w, need(ratio_w))})
+    return d.drop("_s", "_sp", "_on", "_rq", "_p", "_lv")
+
+
+def earnings_timing(rows: DataFrame, cal: DataFrame, reports: DataFrame, cycle: int = 364, ahead: int = 5) -> DataFrame:
+    """Add ``days_since_earn`` and ``earn_next5`` from report dates known at each row.
+
+    ``reports``: (entity, rdq_date). Days count from the first trading date after the latest report;
+    an expected report is ``cycle`` days after a past one and counts when it falls within ``ahead``
+    business days (a multiple of five, so a fixed number of calendar days on weekdays).
+    """
+    from .pit import asof_join, interval_join, nth_trading_day_after, place_on_calendar
+
+    if ahead % 5:
+        raise ValueError("ahead must be a multiple of five business days")
+    pos = cal.select("date", "pos")
+    r = nth_trading_day_after(place_on_calendar(reports, cal, "rdq_date", "_known"), cal, "rdq_date", 1, "_event")
+    ev = r.where("_event is not null").join(F.broadcast(pos.toDF("_event", "ev_pos")), "_event")
+    ev = ev.groupBy("entity", "_event").agg(F.max("ev_pos").alias("ev_pos"))
+    d = rows.join(F.broadcast(pos), "date", "left")
+    d = asof_join(d, ev, "entity", "date", "_event")
+    d = d.withColumn("days_since_earn", F.col("pos") - F.col("asof.ev_pos")).drop("asof", "pos")
+    known = r.where("_known is not null").groupBy("entity").agg(F.min("_known").alias("_first"))
+    days = ahead // 5 * 7
+    due = r.select("entity", F.date_add("rdq_date", cycle - days).alias("_a"), F.date_add("rdq_date", cycle - 1).alias("_b")).distinct()
+    near = interval_join(d.select("entity", "date"), due, ["entity"], "date", "_a", "_b", "left_semi").withColumn("_near", F.lit(1.0))
+    d = d.join(known, "entity", "left").join(near, ["entity", "date"], "left")
+    return d.withColumn("earn_next5", F.when(F.col("date") >= F.col("_first"), F.coalesce("_near", F.lit(0.0)))).drop("_first", "_near")
+
+
+def valuation_ratios(df: DataFrame, me: str) -> DataFrame:
+    """be_me, ni_me and netdebt_me on the day, missing without positive market equity."""
+    m = F.when(F.col(me) > 0, F.col(me))
+    return df.withColumns({
+        "be_me": F.when(F.col("be") > 0, F.col("be") / m), "ni_me": F.col("ni_ttm") / m, "netdebt_me": F.col("netdebt") / m})
+
+
+def cross_section_inputs(xs, df: DataFrame, ranked, unranked, price_flagged, fund_flagged, within, sector: str,
+                         weight: str, sector_codes, min_names: int) -> DataFrame:
+    """Per-date inputs: industry signals, unit ranks, within-sector ranks, flags, 0-fill, dummies."""
+    from ..functions.elementwise import sector_dummies
+    from .crosssection import CrossSection
+    from .universe import zero_fill
+
+    s = CrossSection((*xs.by, sector), xs.bound)
+    d = s.weighted_mean(df, "mom_12_1", weight, "ind_mom_12_1")
+    d = s.weighted_mean(d, "ret_20d", weight, "_sr")
+    d = d.withColumn("ret_20d_ind_rel", F.col("ret_20d") - F.col("_sr")).drop("_sr")
+    names = [*ranked, "ind_mom_12_1", "ret_20d_ind_rel"]
+    for c in within:
+        d = xs.within_or_all(d, c, sector, f"{c}_sector", min_names)
+    for c in names:
+        d = xs.rank_to_unit(d, c, "_u").drop(c).withColumnRenamed("_u", c)
+    cols = [*names, *unranked, *[f"{c}_sector" for c in within]]
+    d = zero_fill(d, cols, {"flag_price_missing": list(price_flagged), "flag_fund_missing": list(fund_flagged)})
+    return d.select("date", "entity", *cols, *sector_dummies(sector, sector_codes),
+                    F.col("flag_price_missing").cast("double").alias("flag_price_missing"),
+                    F.col("flag_fund_missing").cast("double").alias("flag_fund_missing"))
+
+
+def residual_target(df: DataFrame, market_forward: str, r: str = "ret", m: str = "mkt", w: int = 60, h: int = 5,
+                    out: str = "fwd_resid") -> DataFrame:
+    """Forward sum minus trailing beta times the market's forward sum."""
+    return df.withColumn(out, ts.forward_sum(r, h) - ts.beta(r, m, w, w) * F.col(market_forward))
+
+
+def market_cap(df: DataFrame, shares: str, raw_close: str, out: str = "mktcap") -> DataFrame:
+    """Shares carried forward then backward per entity, times the unadjusted close."""
+    d = df.withColumn("_f", ts.fill(shares)).withColumn("_f", F.coalesce("_f", ts.back_fill(shares)))
+    return d.withColumn(out, F.col(raw_close) * F.col("_f")).drop("_f")
+
+
+def training_table(xs, df: DataFrame, terms, universe, group: str, next_return: str, stress: str) -> DataFrame:
+    """Rank-normalised terms and next-row industry-neutral return, complete rows, event weights.
+
+    A missing feature column is refused, so every window scores the same list.
+    """
+    from .tradingcal import training_weight
+
+    missing = [t for t in terms if t not in df.columns]
+    if missing:
+        raise KeyError(f"missing features {missing}")
+    d = df.withColumns({"_u": universe, "_y": F.when(universe, F.col(next_return))})
+    d = xs.demean(d, "_y", "_yn", group)
+    d = xs.rank_centered(d, "_yn", "y")
+    for t in terms:
+        d = d.withColumn("_x", F.when(F.col("_u"), F.col(t)))
+        d = xs.rank_centered(d, "_x", "_r").drop(t, "_x").withColumnRenamed("_r", t)
+    d = d.withColumn("weight", training_weight(stress))
+    return d.select("date", "entity", *terms, "y", "weight").dropna(subset=[*terms, "y"])
+
+
+def score_table(features: DataFrame, predictions: DataFrame, realised: str) -> DataFrame:
+    """Keys, prediction and realised return, one row per (date, entity)."""
+    p = predictions.select("date", "entity", "y_pred").dropDuplicates(["date", "entity"])
+    return features.select("date", "entity", realised).join(p, ["date", "entity"], "left")
+
+
+def dot_prediction(df: DataFrame, coefs: dict[str, float], out: str = "y_pred") -> DataFrame:
+    """Linear score of the rows that have every feature."""
+    total = F.lit(coefs.get("intercept", 0.0))
+    for c, b in coefs.items():
+        if c != "intercept":
+            total = total + F.col(c) * b
+    return df.withColumn(out, total)

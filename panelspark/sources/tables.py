@@ -112,3 +112,38 @@ def market_series(panel: DataFrame) -> DataFrame:
 def with_market(panel: DataFrame) -> DataFrame:
     """Attach ``mkt``: one row per calendar week, so the broadcast side is bounded by the calendar."""
     return panel.join(F.broadcast(market_series(panel)), "date", "left")
+
+
+def hour_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, date, first/last block fields): low and high line numbers play the session's two ends."""
+    li = table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    f = li.select(F.col("l_suppkey").alias("entity"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
+                  price.alias("price"), _trade_order(price).alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber")
+    first, last = F.col("l_linenumber") <= 4, F.col("l_linenumber") >= 4
+
+    def on(cond, c):
+        return F.when(cond, F.col(c))
+
+    g = f.groupBy("entity", "date").agg(
+        (F.sum(on(last, "l_extendedprice")) / F.sum(on(last, "l_quantity"))).alias("vwap_last"),
+        (F.sum(on(first, "l_extendedprice")) / F.sum(on(first, "l_quantity"))).alias("vwap_first"),
+        F.sum(on(first, "l_quantity")).alias("vol_first"), F.sum(on(last, "l_quantity")).alias("vol_last"),
+        F.count(on(first, "price")).cast("double").alias("trades_first"), F.count(on(last, "price")).cast("double").alias("trades_last"),
+        F.min_by(on(first, "price"), on(first, "seq")).alias("_of"), F.max_by(on(first, "price"), on(first, "seq")).alias("close_first"),
+        F.min_by(on(last, "price"), on(last, "seq")).alias("open_last"), F.max_by(on(last, "price"), on(last, "seq")).alias("_cl"),
+        (F.max(on(last, "price")) + F.min(on(last, "price")) - 2 * F.avg(on(last, "price"))).alias("_sk"),
+    )
+    return g.select(
+        "entity", "date", "vwap_first", "vwap_last", "vol_first", "vol_last", "trades_first", "trades_last", "close_first", "open_last",
+        (F.col("close_first") / F.col("_of") - 1).alias("ret_first"), (F.col("_cl") / F.col("open_last") - 1).alias("ret_last"),
+        F.round(F.col("_sk") / F.col("vwap_last"), 9).alias("skew_last"))
+
+
+def user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, date, hour, bar fields) from the events: one row per user, day and hour."""
+    e = table(spark, sf_dir, "events").where("value is not null")
+    seq = F.struct("ts", "event_id")
+    return e.groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(
+        F.min_by("value", seq).alias("open"), F.max_by("value", seq).alias("close"), F.sum("value").alias("volume"),
+        F.count(F.lit(1)).alias("trades"))
