@@ -106,13 +106,13 @@ SELECT p.date, p.entity, sig - f.b0 - f.b1 * ldv AS a,
        CASE WHEN sig IS NOT NULL AND lv IS NOT NULL THEN
          (sig - my) - ((sy1 * s22 - sy2 * s12) * (ldv - m1) + (sy2 * s11 - sy1 * s12) * (lv - m2)) / nullif(s11 * s22 - s12 * s12, 0) END AS b
 FROM logs p
-JOIN (SELECT date, regr_slope(sig, ldv) AS b1, regr_intercept(sig, ldv) AS b0, avg(sig) AS my, avg(ldv) AS m1, avg(lv) AS m2,
+LEFT JOIN (SELECT date, regr_slope(sig, ldv) AS b1, regr_intercept(sig, ldv) AS b0, avg(sig) AS my, avg(ldv) AS m1, avg(lv) AS m2,
              var_pop(ldv) AS s11, var_pop(lv) AS s22, covar_pop(ldv, lv) AS s12,
              covar_pop(sig, ldv) AS sy1, covar_pop(sig, lv) AS sy2
       FROM logs WHERE sig IS NOT NULL GROUP BY date) f ON f.date = p.date""",
-       more(PANEL, "logs AS (SELECT *, ln(dollar_volume) AS ldv, ln(volume) AS lv FROM panel WHERE date >= DATE '1996-01-01')"))
+       more(PANEL, "logs AS (SELECT *, ln(dollar_volume) AS ldv, ln(volume) AS lv FROM panel)"))
 def _(spark, sf):
-    p = weekly_panel(spark, sf).where("date >= '1996-01-01'")
+    p = weekly_panel(spark, sf)
     p = p.withColumn("ldv", F.log("dollar_volume")).withColumn("lv", F.log("volume"))
     c = xs(spark, sf)
     return c.factor_neutral(c.factor_neutral(p, "sig", ["ldv"], "a"), "sig", ["ldv", "lv"], "b")

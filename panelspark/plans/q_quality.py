@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
@@ -175,8 +177,8 @@ def _(spark, sf):
     return ql.prediction_distribution(scored(spark, sf), "s1", (0.01, 0.1, 0.9, 0.99), names_bound(spark, sf) * 400)
 
 
-ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')}) WHERE year(date) BETWEEN 1997 AND 1999
-  UNION ALL SELECT 'alt', * FROM ({ic_sql('s2', 'y3')}) WHERE year(date) BETWEEN 1997 AND 1999)"""
+ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')}) WHERE year(date) >= 1996
+  UNION ALL SELECT 'alt', * FROM ({ic_sql('s2', 'y3')}) WHERE year(date) >= 1996)"""
 
 
 @query("pooled_fold_results", "arm mean~ t~ n#", summary_sql("arms", "ic", 2, by="arm"), more(SCORED, ARMS))
@@ -184,8 +186,8 @@ def _(spark, sf):
     d = scored(spark, sf)
     arms = {}
     for arm, s in (("base", "s1"), ("alt", "s2")):
-        folds = [d.where(F.year("date") == y).select("date", "entity", F.col(s).alias("pred"), "y3") for y in (1997, 1998, 1999)]
-        arms[arm] = folds[0].unionByName(folds[1]).unionByName(folds[2])
+        folds = [d.where(F.year("date") == y).select("date", "entity", F.col(s).alias("pred"), "y3") for y in range(1996, 2002)]
+        arms[arm] = reduce(lambda a, b: a.unionByName(b), folds)
     pooled = ql.pooled_folds(arms)
     ics = ev.rank_ic(pooled, "pred", "y3", by=("arm", "date"), bound=names_bound(spark, sf))
     return ev.series_summary(ics, "ic", 2, by=("arm",))

@@ -22,6 +22,16 @@ def cal(spark, sf):
     return sp.calendar(weekly_panel(spark, sf))
 
 
+# trading days: shipping days with at least nine tenths of the mean activity
+BUSY = """busy AS (SELECT date FROM (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS k FROM lineitem GROUP BY 1)
+  WHERE k >= 0.9 * (SELECT count(*) / count(DISTINCT CAST(l_shipdate AS DATE)) FROM lineitem))"""
+
+
+def busy_days(spark, sf):
+    days = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.count(F.lit(1)).alias("k"))
+    return days.where(F.col("k") >= days.agg(F.avg("k") * 0.9).scalar()).select("date")
+
+
 @query("split_by_date", "date role", """
 SELECT date, CASE WHEN pos <= floor(n * 0.6) THEN 'train' WHEN pos <= floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS role FROM cal""", W_CAL)
 def _(spark, sf):
@@ -107,11 +117,10 @@ def _(spark, sf):
 
 
 @query("trading_holidays", "date", """
-SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM few)
-WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN (SELECT date FROM few)""", more(with_(DAY_BARS), "few AS (SELECT date FROM bars_d WHERE entity % 25 = 3)"))
+SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM busy)
+WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN (SELECT date FROM busy)""", "WITH " + BUSY)
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_suppkey % 25 = 3")
-    return sm.holidays(li.select(F.to_date("l_shipdate").alias("date")))
+    return sm.holidays(busy_days(spark, sf))
 
 
 LABELLED = """lab AS (SELECT *, CAST(sign(y) AS INT) * (CAST(abs(y) >= 0.02 AS INT) + CAST(abs(y) >= 0.05 AS INT)) AS k,
