@@ -306,3 +306,10 @@ def dot_prediction(df: DataFrame, coefs: dict[str, float], out: str = "y_pred")
         if c != "intercept":
             total = total + F.col(c) * b
     return df.withColumn(out, total)
+
+
+def scoring_returns(rows: DataFrame, cal: DataFrame, last: str, horizon: int) -> DataFrame:
+    """(entity, date, r): target returns up to ``horizon`` dates after the last scored date."""
+    end = cal.where(F.col("date") <= F.lit(last).cast("date")).agg(F.max("pos").alias("p"))
+    keep = cal.where(F.col("pos") <= end.select(F.col("p") + horizon).scalar()).select("date")
+    return rows.join(F.broadcast(keep), "date", "left_semi").select("entity", "date", F.coalesce("ret", "fill_ret").alias("r"))

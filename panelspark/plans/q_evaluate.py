@@ -234,9 +234,9 @@ DECILE = """dec AS (SELECT *, CASE WHEN nn < 10 THEN 0 WHEN o <= nn / 10.0 THEN
   dense_rank() OVER (ORDER BY date) - 1 AS pos
   FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s1, entity) AS o, count(*) OVER (PARTITION BY date) AS nn
         FROM scored WHERE s1 IS NOT NULL AND y1 IS NOT NULL)),
-bt AS (SELECT d.date, d.gross, 2 * t.turnover AS turnover, d.gross - 2 * t.turnover * 10 / 10000 AS pnl
+bt AS (SELECT d.date, d.gross, 2 * coalesce(t.turnover, 0) AS turnover, d.gross - 2 * coalesce(t.turnover, 0) * 10 / 10000 AS pnl
   FROM (SELECT date, pos, sum(w * y1) AS gross FROM dec GROUP BY 1, 2) d
-  JOIN (""" + turnover_sql("(SELECT pos, entity, w FROM dec WHERE w <> 0)") + """) t ON t.pos = d.pos)"""
+  LEFT JOIN (""" + turnover_sql("(SELECT pos, entity, w FROM dec WHERE w <> 0)") + """) t ON t.pos = d.pos)"""
 
 
 @query("decile_backtest", "date gross~ turnover~ pnl~ equity~7",
@@ -428,3 +428,27 @@ SELECT (sum(rk) FILTER (WHERE l) - count(*) FILTER (WHERE l) * (count(*) FILTER
 FROM (SELECT {avg_rank('s1', 'one')} AS rk, y3 > 0 AS l FROM (SELECT *, 1 AS one FROM scored WHERE s1 IS NOT NULL AND y3 IS NOT NULL)))""", SCORED)
 def _(spark, sf):
     return ev.binary_auc(scored(spark, sf), "s1", F.col("y3") > 0, bound=names_bound(spark, sf) * 400)
+
+
+def _report_sql():
+    parts = []
+    for s in ("s1", "s2"):
+        for lag in (0, 1):
+            src = f"(SELECT *, y_{lag} - avg(y_{lag}) OVER (PARTITION BY date) AS label FROM lagged)"
+            ic = f"(SELECT 'x' AS series, * FROM ({ic_sql(s, 'label', src=src)}))"
+            legs = f"""(SELECT 'x' AS series, date, avg(label) FILTER (WHERE o > n - n // 5) - avg(label) FILTER (WHERE o <= n // 5) AS spread FROM (
+              SELECT *, row_number() OVER (PARTITION BY date ORDER BY {s}, entity) AS o, count(*) OVER (PARTITION BY date) AS n FROM {src} WHERE {s} IS NOT NULL AND label IS NOT NULL)
+              GROUP BY date HAVING max(n) >= 5)"""
+            parts.append(f"""SELECT '{s}' AS predictor, {lag} AS lag, a.mean AS mean_ic, a.t AS ic_t, a.n AS n_dates, b.mean AS mean_spread, b.t AS spread_t
+              FROM ({summary_sql(ic, 'ic', 2)}) a, ({summary_sql(legs, 'spread', 2)}) b""")
+    return " UNION ALL ".join(parts)
+
+
+LAGGED = "lagged AS (SELECT *, " + ", ".join(
+    f"CASE WHEN count(r) OVER f{k} = 3 THEN sum(r) OVER f{k} END AS y_{k}" for k in (0, 1)) + " FROM scored WINDOW " + ", ".join(
+    f"f{k} AS (PARTITION BY entity ORDER BY date ROWS BETWEEN {1 + k} FOLLOWING AND {3 + k} FOLLOWING)" for k in (0, 1)) + ")"
+
+
+@query("run_report", "predictor lag# mean_ic~ ic_t~6 n_dates# mean_spread~ spread_t~6", _report_sql(), more(SCORED, LAGGED))
+def _(spark, sf):
+    return ev.run_report(scored(spark, sf), ["s1", "s2"], "r", 3, (0, 1), 5, bound=names_bound(spark, sf))

@@ -106,7 +106,7 @@ def _(spark, sf):
     return inf.trial_problems(trials(spark, sf)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("trial_selection", "tag selected_trial_id# metric~4 n_candidates# status", """
+@query("trial_selection", "tag selected_trial_id# metric~6 n_candidates# status", """
 SELECT tag || '#selection' AS tag, arg_max(trial_id, (ir, -trial_id)) AS selected_trial_id, max(ir) AS metric, count(*) AS n_candidates,
   arg_max(status, (ir, -trial_id)) AS status FROM trials WHERE trial_id % 50 <> 0 GROUP BY tag""", with_(TRIALS))
 def _(spark, sf):

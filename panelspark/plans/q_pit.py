@@ -430,3 +430,19 @@ def _(spark, sf):
 @query("month_anchors", "month anchor", "SELECT CAST(date_trunc('month', date) AS DATE) AS month, min(date) AS anchor FROM bars_d GROUP BY 1", with_(DAY_BARS))
 def _(spark, sf):
     return month_anchors(daily_bars(spark, sf))
+
+
+@query("scoring_returns", KEY + "r~", """
+SELECT date, entity, r FROM (SELECT p.date, p.entity, ret AS r FROM panel p LEFT JOIN delists d ON d.entity = p.entity WHERE d.entity IS NULL OR p.date <= d.delist_date UNION ALL
+  SELECT c.date, d.entity, 0.0 FROM delists d JOIN calw c0 ON c0.date = date_trunc('week', d.delist_date) JOIN calw c ON c.pos BETWEEN c0.pos + 1 AND c0.pos + 3)
+WHERE date IN (SELECT date FROM calw WHERE pos <= (SELECT max(pos) FROM calw WHERE date <= DATE '2000-06-30') + 3)""",
+       more(PANEL, DAY_BARS, DELISTS, "calw AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM bars_w))"))
+def _(spark, sf):
+    from ..operators.features import scoring_returns
+
+    p = weekly_panel(spark, sf).select("date", "entity", "ret")
+    d = co.delistings(spark, sf).withColumn("delist_date", F.to_date(F.date_trunc("week", "delist_date")))
+    cal = calendar(p)
+    alive = p.join(d.select("entity", "delist_date"), "entity", "left").where("delist_date is null or date <= delist_date")
+    rows = alive.select("date", "entity", "ret").unionByName(pit.post_delisting_fill(d, cal, 3), allowMissingColumns=True)
+    return scoring_returns(rows, cal, "2000-06-30", 3)

@@ -151,7 +151,7 @@ def _(spark, sf):
 
 
 @query("factor_text", "date mkt_rf~ smb~", """
-SELECT date, round(mkt * 100, 6) / 100 AS mkt_rf, CASE WHEN day(date) % 7 <> 0 THEN round(mkt * 50, 6) / 100 END AS smb FROM market""", MPANEL)
+SELECT date, CASE WHEN mkt * 100 > -99 THEN round(mkt * 100, 6) / 100 END AS mkt_rf, CASE WHEN day(date) % 7 <> 0 AND mkt * 50 > -99 THEN round(mkt * 50, 6) / 100 END AS smb FROM market""", MPANEL)
 def _(spark, sf):
     path = scratch_dir(spark, "factors")
     m = market_series(weekly_panel(spark, sf))
@@ -199,7 +199,7 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("pred"))
 
 
-@query("trial_log_append", "tag n# best~4", """
+@query("trial_log_append", "tag n# best~6", """
 SELECT tag, count(*) AS n, max(ir) AS best FROM trials WHERE trial_id % 50 <> 0 GROUP BY tag""", with_(TRIALS))
 def _(spark, sf):
     path = scratch_dir(spark, "trials")
