@@ -260,6 +260,18 @@ class CrossSection:
             value = F.when(x_.isNotNull(), F.greatest(F.least(x_, hi), lo))
         return df.withColumn(out, value).drop("_lo", "_hi")
 
+    def winsor_all(self, df, xs, p: float) -> DataFrame:
+        """Clip several columns in place; the window plan computes all quantiles in one window."""
+        if not self.windowed:
+            for x in xs:
+                df = self.winsor(df, x, "_wx", p).drop(x).withColumnRenamed("_wx", x)
+            return df
+        w = self._window()
+        probs = F.array(F.lit(float(p)), F.lit(1.0 - p))
+        d = df.select("*", *[F.percentile(F.col(x), probs).over(w).alias(f"_q_{x}") for x in xs])
+        clip = {x: F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col(f"_q_{x}")[1]), F.col(f"_q_{x}")[0])) for x in xs}
+        return d.withColumns(clip).drop(*[f"_q_{x}" for x in xs])
+
     def remove_middle(self, df, x, out, share: float) -> DataFrame:
         """Keep only the two tails of (1 - share) / 2 by percentile rank."""
         tail = round((1.0 - share) / 2.0, 12)

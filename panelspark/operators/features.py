@@ -36,13 +36,13 @@ def report_days(quarters: DataFrame, cal: DataFrame) -> DataFrame:
     return placed.groupBy("entity", "date").agg(F.max("rdq_date").alias("rdq_date"))
 
 
-def lagged_labels(panel: DataFrame, r: str, horizon: int, lags, bound: int | None = None) -> DataFrame:
-    """(date, entity, lag, label): forward sums at each execution lag, demeaned on the formation date."""
+def lagged_labels(panel: DataFrame, r: str, horizon: int, lags, bound: int | None = None, keep=()) -> DataFrame:
+    """(date, entity, keep, lag, label): forward sums at each execution lag, demeaned on the formation date."""
     from .crosssection import CrossSection
 
     cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("y")) for k in lags])
-    d = panel.select("date", "entity", *[ts.forward_sum(r, horizon, k).alias(f"_y{k}") for k in lags])
-    d = d.select("date", "entity", F.inline(cells))
+    d = panel.select("date", "entity", *keep, *[ts.forward_sum(r, horizon, k).alias(f"_y{k}") for k in lags])
+    d = d.select("date", "entity", *keep, F.inline(cells))
     return CrossSection(("date", "lag"), bound).demean(d, "y", "label")
 
 
@@ -96,9 +96,7 @@ def terminals(xs, df: DataFrame, market: str = "mkt", group: str = "industry", y
     d = xs.demean(d, "ret1", "_n", group)
     d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))).drop("_n")
     d = d.select("date", "entity", *[sanitize(t).alias(t) for t in TERMINALS])
-    for t in TERMINALS:
-        d = xs.winsor(d, t, "_w", 0.01).drop(t).withColumnRenamed("_w", t)
-    return d
+    return xs.winsor_all(d, TERMINALS, 0.01)
 
 
 def snapshot_and_sequence(df: DataFrame, market: DataFrame) -> DataFrame:

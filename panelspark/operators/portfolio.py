@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import sanitize, zero_to_null
+from ..session import materialize
 from .crosssection import CrossSection
 from .evaluate import quantile_legs
 from ..sources.tables import by_entity
@@ -56,18 +57,18 @@ def long_short_book(df: DataFrame, pred: str, y: str, q: int, horizon: int = 1,
     """
     if scheme not in ("nonoverlapping", "staggered"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    rows = _with_position(df.where(F.col(pred).isNotNull()))
+    # the legs are written once; gross, turnover and the calendar all read that table
+    cols = [c for c in (y, y_daily) if c]
+    w = leg_weights(df.where(F.col(pred).isNotNull()), pred, q, bound)
+    w = _with_position(materialize(w.select("date", "entity", "leg", "weight", *cols)))
     if scheme == "nonoverlapping":
-        rows = rows.where(F.col("pos") % horizon == 0)
-        rows = rows.withColumn("n_dates", F.ceil(F.col("n_dates") / horizon)).withColumn(
-            "pos", F.floor(F.col("pos") / horizon))
-        w = leg_weights(rows, pred, q, bound)
+        w = w.where(F.col("pos") % horizon == 0)
+        w = w.withColumn("n_dates", F.ceil(F.col("n_dates") / horizon)).withColumn("pos", F.floor(F.col("pos") / horizon))
         legs = w.groupBy("pos", "date").agg(
             F.avg(F.when(F.col("leg") == 1, F.col(y))).alias("long"),
             (-F.avg(F.when(F.col("leg") == -1, F.col(y)))).alias("short"))
         tno = turnover(w.select("pos", "entity", "weight", "n_dates"))
     else:
-        w = leg_weights(rows, pred, q, bound)
         cells = [F.col(y)] if horizon == 1 else [F.col(y_daily)[m] for m in range(horizon)]
         aggs = []
         for m, c in enumerate(cells):
@@ -80,8 +81,7 @@ def long_short_book(df: DataFrame, pred: str, y: str, q: int, horizon: int = 1,
         pieces = cohorts.select("n_dates", live.alias("c")).where(F.col("c.p") < F.col("n_dates"))
         legs = pieces.groupBy(F.col("c.p").alias("pos")).agg(
             (F.sum("c.l") / horizon).alias("long"), (F.sum("c.s") / horizon).alias("short"))
-        dates = calendar(rows.select("date")).select((F.col("pos") - 1).alias("pos"), "date")
-        legs = legs.join(F.broadcast(dates), "pos")
+        legs = legs.join(F.broadcast(w.select("pos", "date").distinct()), "pos")  # one row per date
         tno = turnover(w.select("pos", "entity", "weight", "n_dates"), horizon, factor=1.0 / horizon)
     out = legs.join(tno, "pos", "left")
     return out.select("date", (F.col("long") + F.col("short")).alias("gross"), "long", "short", "turnover")
@@ -116,8 +116,8 @@ def decile_weights(df: DataFrame, pred: str, q: int, bound: int | None = None) -
 def decile_backtest(df: DataFrame, pred: str, realised: str, q: int = 10, cost_bps: float = 10.0,
                     bound: int | None = None) -> DataFrame:
     """(date, gross, turnover, pnl, equity): daily decile book with full-sum turnover and costs."""
-    rows = _with_position(df.where(F.col(pred).isNotNull() & F.col(realised).isNotNull()))
-    w = decile_weights(rows, pred, q, bound)
+    w = decile_weights(df.where(F.col(pred).isNotNull() & F.col(realised).isNotNull()), pred, q, bound)
+    w = _with_position(materialize(w.select("date", "entity", "weight", realised)))
     gross = w.groupBy("pos", "date").agg(F.sum(F.col("weight") * F.col(realised)).alias("gross"))
     held = w.where("weight <> 0").select("pos", "entity", "weight", "n_dates")
     tno = turnover(held, scale=1.0)
@@ -172,7 +172,7 @@ def alpha_positions(df: DataFrame, alpha: str, universe, industry: str | None, w
 
 def alpha_series(positions: DataFrame, ret: str, delay: int = 1) -> DataFrame:
     """(date, pnl, tvr, n_pos, eff_n): delayed PnL, turnover and holdings per date."""
-    d = _with_position(positions)
+    d = _with_position(materialize(positions.select("date", "entity", "position", ret)))
     d = d.withColumn("_held", calendar_lag("position", "pos", delay)).withColumn(
         "_prev", calendar_lag("position", "pos", 1))
     return d.groupBy("date").agg(
@@ -214,6 +214,9 @@ def alpha_fitness(df: DataFrame, alpha: str, ret: str, universe, industry: str |
     candidate is scored in one job and nothing is collected.
     """
     xs = CrossSection(("date",), bound)
+    group = [industry] if industry else []
+    df = materialize(df.select("date", "entity", alpha, ret, *group, universe.alias("_u")))
+    universe = F.col("_u")
     raw = df.withColumn("_raw", F.when(universe, sanitize(alpha))).withColumn("_abs", F.abs("_raw"))
     spread = xs.quantiles(raw, "_abs", {"_scale": 0.5}).join(
         raw.groupBy("date").agg(F.stddev_samp("_raw").alias("_sd"), F.count("_raw").alias("_cells")), "date")

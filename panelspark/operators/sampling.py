@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .crosssection import CrossSection, _null_safe
 
 
@@ -32,6 +33,7 @@ def _first_of_class(df: DataFrame, by: list[str], cap: str, keys, bound: int | N
 def downsample_zero(df: DataFrame, label: str, multiple: float, keys=("date", "entity"),
                     bound: int | None = None) -> DataFrame:
     """Cap class 0 at ``multiple`` times the number of nonzero rows."""
+    df = materialize(df)
     total = df.agg(F.floor(F.sum((F.col(label) != 0).cast("bigint")) * F.lit(float(multiple))).alias("_c"))
     d = _null_safe(df, total, []).withColumn("_zero", (F.col(label) == 0).cast("int"))
     d = d.withColumn("_cap", F.when(F.col("_zero") == 1, F.col("_c"))).drop("_c")
@@ -40,7 +42,7 @@ def downsample_zero(df: DataFrame, label: str, multiple: float, keys=("date", "e
 
 def balance_signed(df: DataFrame, label: str, keys=("date", "entity"), bound: int | None = None) -> DataFrame:
     """For every level |k| >= 1 keep as many +k as -k rows; class 0 is left out."""
-    d = df.where(F.col(label) != 0)
+    d = materialize(df.where(F.col(label) != 0))
     level = F.abs(F.col(label)).alias("_lvl")
     n = d.groupBy(level).agg(
         F.least(F.sum((F.col(label) > 0).cast("bigint")), F.sum((F.col(label) < 0).cast("bigint"))).alias("_cap"))
@@ -53,7 +55,7 @@ def balanced_sample(df: DataFrame, y: str, thresholds, multiple: float, keys=("d
     """Extreme labels dropped, signed buckets, class 0 capped, signs balanced."""
     from ..functions.elementwise import signed_bucket
 
-    d = df.where(F.abs(y) < limit).withColumn("y_bucket", signed_bucket(y, thresholds))
+    d = materialize(df.where(F.abs(y) < limit).withColumn("y_bucket", signed_bucket(y, thresholds)))
     zeros = downsample_zero(d, "y_bucket", multiple, keys, bound).where("y_bucket = 0")
     return zeros.unionByName(balance_signed(d, "y_bucket", keys, bound))
 

@@ -9,7 +9,7 @@ from ..operators import alphas as al
 from ..operators import rolling as ts
 from ..operators import tradingcal as tc
 from ..operators.crosssection import CrossSection
-from ..sources.tables import hour_fields, names_bound, weekly_panel, with_market
+from ..sources.tables import market_panel, names_bound
 from .chain import Chain, lag, mean, med, skew, std, tmax, tmin, tsum, zs
 from .oracle import MPANEL, more
 from .registry import query
@@ -45,10 +45,10 @@ WT, WT5 = "CASE WHEN stress > 0 THEN 1.0 + stress ELSE 0 END", "CASE WHEN stress
 
 def fields(spark, sf):
     """Panel with simulator fields: returns, hourly fields, report countdown and calendar columns."""
-    p = with_market(weekly_panel(spark, sf))
+    p = market_panel(spark, sf, hours=True)
     cal = tc.calendar_features(p.select("date")).select(
         "date", "days_until_last_trading_day_of_quarter", "days_until_last_trading_day_of_month", "days_since_first_trading_day_of_month")
-    p = p.join(hour_fields(spark, sf), ["entity", "date"], "left").join(F.broadcast(cal), "date")  # one row per date
+    p = p.join(F.broadcast(cal), "date")  # one row per date
     weeks = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7)
     return p.withColumns({
         "days_until_next_earnings": 62 - (weeks + F.col("entity") * 5) % 63,

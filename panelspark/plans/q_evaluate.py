@@ -145,6 +145,7 @@ LEGS = """legs AS (SELECT *, CASE WHEN o <= nn // 5 THEN -1 WHEN o > nn - nn //
   dense_rank() OVER (ORDER BY date) - 1 AS pos
   FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s1, entity) AS o, count(*) OVER (PARTITION BY date) AS nn
         FROM scored WHERE s1 IS NOT NULL AND y3 IS NOT NULL AND y1c IS NOT NULL))"""
+BOOK_LEGS = LEGS.replace("AND y1c IS NOT NULL))", "AND y1c IS NOT NULL) WHERE nn >= 5)")
 HALF = LEGS.replace("// 5", "// 2").replace("AND y1c IS NOT NULL", "")
 BOOK = "date gross~ long~ short~ turnover~"
 
@@ -178,7 +179,7 @@ GROUP BY 1"""
 @query("long_short_by_date", BOOK, f"""
 SELECT l.date, l.long + l.short AS gross, long, short, t.turnover
 FROM (SELECT date, pos, avg(y1) FILTER (WHERE leg = 1) AS long, -avg(y1) FILTER (WHERE leg = -1) AS short FROM legs WHERE leg <> 0 GROUP BY 1, 2) l
-JOIN ({turnover_sql('(SELECT pos, entity, leg / k AS w FROM legs WHERE leg <> 0)')}) t ON t.pos = l.pos""", more(SCORED, LEGS))
+JOIN ({turnover_sql('(SELECT pos, entity, leg / k AS w FROM legs WHERE leg <> 0)')}) t ON t.pos = l.pos""", more(SCORED, BOOK_LEGS))
 def _(spark, sf):
     return pf.long_short_book(tradeable(spark, sf), "s1", "y1", 5, bound=names_bound(spark, sf))
 
@@ -189,7 +190,7 @@ NONOVER = """reb AS (SELECT *, pos // 3 AS q FROM legs WHERE leg <> 0 AND pos %
 @query("book_nonoverlapping", BOOK, f"""
 SELECT l.date, l.long + l.short AS gross, long, short, t.turnover
 FROM (SELECT date, q, avg(y3) FILTER (WHERE leg = 1) AS long, -avg(y3) FILTER (WHERE leg = -1) AS short FROM reb GROUP BY 1, 2) l
-JOIN ({turnover_sql('(SELECT q AS pos, entity, leg / k AS w FROM reb)')}) t ON t.pos = l.q""", more(SCORED, LEGS, NONOVER))
+JOIN ({turnover_sql('(SELECT q AS pos, entity, leg / k AS w FROM reb)')}) t ON t.pos = l.q""", more(SCORED, BOOK_LEGS, NONOVER))
 def _(spark, sf):
     return pf.long_short_book(tradeable(spark, sf), "s1", "y3", 5, 3, bound=names_bound(spark, sf))
 
@@ -205,7 +206,7 @@ stag_legs AS (SELECT pos, sum(v) FILTER (WHERE leg = 1) / 3 AS long, -sum(v) FIL
 @query("book_staggered", BOOK, f"""
 SELECT d.date, l.long + l.short AS gross, long, short, t.turnover
 FROM (SELECT DISTINCT date, pos FROM legs) d JOIN stag_legs l ON l.pos = d.pos
-JOIN ({turnover_sql('stag')}) t ON t.pos = d.pos""", more(SCORED, LEGS, STAG))
+JOIN ({turnover_sql('stag')}) t ON t.pos = d.pos""", more(SCORED, BOOK_LEGS, STAG))
 def _(spark, sf):
     return pf.long_short_book(tradeable(spark, sf), "s1", "y3", 5, 3, "staggered", "yd", names_bound(spark, sf))
 
@@ -213,7 +214,7 @@ def _(spark, sf):
 @query("leg_returns", "date long~ short~ gross~", """
 SELECT date, avg(y3) FILTER (WHERE leg = 1) AS long, -avg(y3) FILTER (WHERE leg = -1) AS short,
        avg(y3) FILTER (WHERE leg = 1) - avg(y3) FILTER (WHERE leg = -1) AS gross
-FROM legs WHERE leg <> 0 GROUP BY date""", more(SCORED, LEGS))
+FROM legs WHERE leg <> 0 GROUP BY date""", more(SCORED, BOOK_LEGS))
 def _(spark, sf):
     return pf.long_short_book(tradeable(spark, sf), "s1", "y3", 5, bound=names_bound(spark, sf))
 
@@ -223,7 +224,7 @@ SELECT avg(gross) AS mean_gross, avg(net) AS mean_net, stddev_samp(gross) AS gro
        avg(net) / stddev_samp(net) AS ir_net, avg(turnover) AS mean_turnover, count(*) AS n_periods
 FROM (SELECT l.gross, l.gross - 2 * 0.001 * t.turnover AS net, t.turnover
   FROM (SELECT q, avg(y3) FILTER (WHERE leg = 1) - avg(y3) FILTER (WHERE leg = -1) AS gross FROM reb GROUP BY 1) l
-  JOIN ({turnover_sql('(SELECT q AS pos, entity, leg / k AS w FROM reb)')}) t ON t.pos = l.q)""", more(SCORED, LEGS, NONOVER))
+  JOIN ({turnover_sql('(SELECT q AS pos, entity, leg / k AS w FROM reb)')}) t ON t.pos = l.q)""", more(SCORED, BOOK_LEGS, NONOVER))
 def _(spark, sf):
     book = pf.long_short_book(tradeable(spark, sf), "s1", "y3", 5, 3, bound=names_bound(spark, sf))
     return pf.portfolio_summary(book, 0.001)

@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alphas as al
 from ..operators import features as ft
 from ..operators import pit
 from ..operators import quality as ql
 from ..operators import rolling as ts
 from ..operators import tradingcal as tc
 from ..operators.crosssection import CrossSection
-from ..operators.evaluate import rank_ic
 from ..operators.sampling import balanced_sample
 from ..operators.splits import calendar, purge_overlap
-from ..sources import companies as co
 from ..sources.tables import (
-    market_series, names_bound, table, user_hours, weekly_bars, weekly_panel, with_market,
+    market_panel, market_series, names_bound, user_hours, weekly_bars, weekly_panel, with_market,
 )
-from .chain import Chain, lag, mean, med, rows, skew, std, tmax, tmin, tsum, var
+from .chain import Chain, lag, mean, rows, skew, std, tmax, tmin, tsum, var
 from .oracle import MPANEL, PANEL, WEEK_BARS, more, with_
-from .q_pit import LINKS, FACTS, SECTORS, PIT_VALUES, QUARTERS, DAY_BARS, fundamentals, quarters
+from .q_pit import DAY_BARS, FACTS, PIT_VALUES, QUARTERS, fundamentals, quarters
 from .q_splits import BUSY, busy_days
 from .registry import query
 
@@ -38,7 +35,7 @@ def feat(name, c: Chain, outs, market=True, where=""):
         @query(name, KEY + outs, f"SELECT date, entity, {cols} FROM {c.source}{where}", c.prefix)
         def _(spark, sf):
             p = weekly_panel(spark, sf)
-            return fn(spark, sf, with_market(p) if market else p)
+            return fn(spark, sf, with_market(p, names_bound(spark, sf)) if market else p)
 
         return fn
 
@@ -72,7 +69,7 @@ for _t in ft.TERMINALS:
 @query("terminals", KEY + " ".join(f"{t}~6" for t in ft.TERMINALS),
        f"SELECT date, entity, {', '.join(f'w_{t} AS {t}' for t in ft.TERMINALS)} FROM {TERM.source}", TERM.prefix)
 def _(spark, sf):
-    return ft.terminals(xs(spark, sf), with_market(weekly_panel(spark, sf)), year=100)
+    return ft.terminals(xs(spark, sf), market_panel(spark, sf), year=100)
 
 
 SNAP_COLS = ("ret_1d", "ret_5d", "ret_20d", "ret_60d", "mom_120d", "vol_5d", "vol_20d", "vol_60d", "downside_vol_20d", "drawdown_60d",
@@ -152,7 +149,7 @@ FROM stats t JOIN stats s ON s.entity = t.entity AND s.rn BETWEEN t.rn - 20 AND
   row_number() OVER (PARTITION BY entity ORDER BY date) AS rn FROM mpanel),
 stats AS (SELECT *, avg(x) OVER {rows(21)} AS mx, avg(y) OVER {rows(21)} AS my, stddev_pop(x) OVER {rows(21)} AS sx, var_pop(y) OVER {rows(21)} AS vy FROM prs)"""))
 def _(spark, sf):
-    return ft.coskew(with_market(weekly_panel(spark, sf)), "coskew", "sig", "mkt", 21)
+    return ft.coskew(market_panel(spark, sf), "coskew", "sig", "mkt", 21)
 
 
 IVOL = Chain(MPANEL, "mpanel").add(x="CASE WHEN mkt IS NOT NULL THEN sig END", y="CASE WHEN sig IS NOT NULL THEN mkt END").add(

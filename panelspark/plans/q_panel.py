@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.tables import daily_bars, weekly_panel, with_market
+from ..sources.tables import daily_bars, market_panel, weekly_panel
 from .oracle import DAILY, MPANEL
 from .registry import query
 
@@ -10,7 +10,7 @@ from .registry import query
 @query("weekly_panel", "date entity open~ high~ low~ close~ volume~2 dollar_volume~2 n_trades# "
        "ret~ sig~ industry# sector# mkt~", "SELECT * FROM mpanel", MPANEL)
 def _(spark, sf):
-    return with_market(weekly_panel(spark, sf))
+    return market_panel(spark, sf)
 
 
 @query("daily_bars", "date entity open~ high~ low~ close~ volume~2 dollar_volume~2 n_trades#",

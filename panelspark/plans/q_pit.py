@@ -11,7 +11,7 @@ from ..operators.splits import calendar
 from ..operators.universe import month_anchors
 from ..sources import companies as co
 from ..sources.tables import (
-    daily_bars, market_series, names_bound, table, weekly_bars, weekly_panel, with_market,
+    daily_bars, market_panel, market_series, names_bound, table, weekly_bars, weekly_panel,
 )
 from .oracle import CLASSES, DAY_BARS, MPANEL, PANEL, WEEK_BARS, more, with_
 from .registry import query
@@ -101,7 +101,7 @@ def _(spark, sf):
 
 @query("market_context_join", KEY + "mkt~ rel~", "SELECT date, entity, mkt, ret - mkt AS rel FROM mpanel", MPANEL)
 def _(spark, sf):
-    p = with_market(weekly_panel(spark, sf))
+    p = market_panel(spark, sf)
     return p.withColumn("rel", F.col("ret") - F.col("mkt"))
 
 

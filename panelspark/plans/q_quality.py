@@ -11,13 +11,12 @@ from ..operators import pit
 from ..operators import quality as ql
 from ..operators import rolling as ts
 from ..operators.crosssection import CrossSection
-from ..operators.splits import calendar
 from ..operators.universe import top_n_mask
 from ..sources import companies as co
-from ..sources.tables import daily_bars, names_bound, table, weekly_bars, weekly_panel
-from .oracle import DAY_BARS, PANEL, WEEK_BARS, more, with_
+from ..sources.tables import names_bound, weekly_panel
+from .oracle import PANEL, more
 from .q_evaluate import SCORED, ic_sql, scored, summary_sql
-from .q_pit import COMPANY, SPELLS, W_LINKS, W_QUARTERS, quarters, weeks, with_company
+from .q_pit import COMPANY, W_LINKS, W_QUARTERS, quarters, weeks, with_company
 from .registry import query
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import regimes as rg
-from ..operators.crosssection import CrossSection
 from ..operators.splits import calendar, calendar_year_folds
-from ..sources.tables import market_series, names_bound, weekly_panel, with_market
+from ..session import materialize
+from ..sources.tables import market_series, names_bound, table, weekly_panel
 from .oracle import MPANEL, more
-from .q_evaluate import IC2, SCORED, SCORED_SQL, avg_rank, hac_sql, ics, scored
+from .q_evaluate import IC2, SCORED_SQL, hac_sql, ics, scored
 from .registry import query
 
 MEANS, VARS = (0.0, 0.0), (0.04, 0.16)
@@ -37,16 +37,20 @@ PROBS_IC = more(PROBS, SCORED_SQL, IC2)
 
 
 def all_series(spark, sf):
-    """Market and sector return series in one (series, date, value) table."""
-    p = weekly_panel(spark, sf)
-    m = market_series(p).select(F.lit("market").alias("series"), "date", F.col("mkt").alias("value"))
-    s = p.where("sector is not null and ret is not null").groupBy("sector", "date").agg(F.avg("ret").alias("value"))
-    s = s.select(F.concat(F.lit("sector_"), F.col("sector").cast("string")).alias("series"), "date", "value")
-    return m.unionByName(s)
+    """Market and sector return series in one (series, date, value) table.
+
+    The panel is reduced once to (date, sector) cells; both kinds of series come from the cells.
+    """
+    p = weekly_panel(spark, sf).where("ret is not null")
+    cells = materialize(p.groupBy("date", "sector").agg(
+        F.sum(F.col("ret") * F.col("dollar_volume")).alias("num"), F.sum("dollar_volume").alias("den"), F.avg("ret").alias("value")))
+    m = cells.groupBy("date").agg((F.sum("num") / F.sum("den")).alias("value")).withColumn("series", F.lit("market"))
+    s = cells.where("sector is not null").withColumn("series", F.concat(F.lit("sector_"), F.col("sector").cast("string")))
+    return m.select("series", "date", "value").unionByName(s.select("series", "date", "value"))
 
 
 def probs(spark, sf):
-    return rg.regime_filter(all_series(spark, sf), MEANS, VARS, TRANS, INIT)
+    return materialize(rg.regime_filter(all_series(spark, sf), MEANS, VARS, TRANS, INIT))
 
 
 @query("regime_filter", "series date calm~7 stress~7 log_c~7", "SELECT series, date, calm, stress, log_c FROM probs", PROBS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elementwise as e
 from ..operators import rolling as ts
-from ..sources.tables import by_entity, weekly_panel, with_market
+from ..sources.tables import by_entity, market_panel, names_bound, weekly_panel, with_market
 from .oracle import MPANEL, PANEL, more
 from .registry import query
 
@@ -39,7 +39,7 @@ def ts_query(name: str, outs: str, sql_cols: str, market: bool = False):
                MPANEL if market else PANEL)
         def _(spark, sf):
             p = weekly_panel(spark, sf)
-            return fn(with_market(p) if market else p)
+            return fn(with_market(p, names_bound(spark, sf)) if market else p)
 
         return fn
 
@@ -135,7 +135,7 @@ PAIRS = """pairs AS (SELECT *, CASE WHEN mkt IS NOT NULL THEN sig END AS x,
 
 @query("ts_corr", KEY + "a~", f"SELECT date, entity, {CORR} AS a FROM pairs", more(MPANEL, PAIRS))
 def _(spark, sf):
-    p = with_market(weekly_panel(spark, sf))
+    p = market_panel(spark, sf)
     return p.select("date", "entity", ts.corr("sig", "mkt", 20).alias("a"))
 
 
@@ -143,7 +143,7 @@ def _(spark, sf):
        f"SELECT date, entity, CASE WHEN count(x) OVER {W20} >= 10 "
        f"THEN regr_slope(x, y) OVER {W20} END AS a FROM pairs", more(MPANEL, PAIRS))
 def _(spark, sf):
-    p = with_market(weekly_panel(spark, sf))
+    p = market_panel(spark, sf)
     return p.select("date", "entity", ts.beta("sig", "mkt", 20, 10).alias("a"))
 
 
@@ -155,7 +155,7 @@ def _(spark, sf):
  CASE WHEN count(x) OVER {W20} >= 10 THEN regr_sxy(x, y) OVER {W20} END AS sxy FROM pairs""",
        more(MPANEL, PAIRS))
 def _(spark, sf):
-    p = with_market(weekly_panel(spark, sf))
+    p = market_panel(spark, sf)
     m = ts.moments("sig", "mkt", 20, 10)
     return p.select("date", "entity", *[c.alias(k) for k, c in m.items()])
 

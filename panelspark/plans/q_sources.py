@@ -10,9 +10,9 @@ from ..sources import companies as co
 from ..sources import files as fl
 from ..sources.tables import daily_bars, market_series, table, weekly_bars, weekly_panel
 from ..streaming import jobs
-from .oracle import DAY_BARS, MPANEL, PANEL, WEEK_BARS, more, with_
+from .oracle import DAY_BARS, MPANEL, PANEL, WEEK_BARS, with_
 from .q_infer import TRIALS, trials
-from .q_pit import FUND, SPELLS, W_PIT, W_LINKS, available
+from .q_pit import FUND, W_PIT, W_LINKS, available
 from .q_regimes import INIT, MEANS, PROBS, TRANS, VARS, all_series
 from .registry import query
 

@@ -10,7 +10,7 @@ from ..operators import splits as sp
 from ..operators import rolling as ts
 from ..operators.crosssection import CrossSection
 from ..sources.tables import names_bound, table, weekly_bars, weekly_panel
-from .oracle import DAY_BARS, PANEL, WEEK_BARS, more, with_
+from .oracle import PANEL, WEEK_BARS, more, with_
 from .q_evaluate import SCORED, scored
 from .registry import query
 

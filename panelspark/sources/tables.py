@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.crosssection import CrossSection
+
 
 def by_entity():
     """The window spec of every per-entity operator: one shuffle and one sort serve all of them."""
@@ -47,12 +49,12 @@ def _trade_order(price):
     )
 
 
-def _bars(spark: SparkSession, sf_dir: str, period) -> DataFrame:
+def _bars(spark: SparkSession, sf_dir: str, period, hours: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     facts = li.select(
         F.col("l_suppkey").alias("entity"), period.alias("date"), price.alias("price"),
-        _trade_order(price).alias("seq"), "l_quantity", "l_extendedprice",
+        _trade_order(price).alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber",
     )
     return facts.groupBy("entity", "date").agg(
         F.min_by("price", "seq").alias("open"),
@@ -62,11 +64,12 @@ def _bars(spark: SparkSession, sf_dir: str, period) -> DataFrame:
         F.sum("l_quantity").alias("volume"),
         F.round(F.sum("l_extendedprice"), 2).alias("dollar_volume"),
         F.count(F.lit(1)).alias("n_trades"),
+        *(_hour_aggregates() if hours else []),
     )
 
 
-def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bars(spark, sf_dir, F.to_date(F.date_trunc("week", "l_shipdate")))
+def weekly_bars(spark: SparkSession, sf_dir: str, hours: bool = False) -> DataFrame:
+    return _bars(spark, sf_dir, F.to_date(F.date_trunc("week", "l_shipdate")), hours)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +88,13 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_panel(spark: SparkSession, sf_dir: str, hours: bool = False) -> DataFrame:
     """Bars plus ``ret`` (log return), ``sig`` (ret with holes), industry and sector.
 
     ``sig`` is missing where (entity + ISO week number) is a multiple of 11, so every operator meets
     missing cells inside its windows.
     """
-    bars = weekly_bars(spark, sf_dir)
+    bars = weekly_bars(spark, sf_dir, hours)
     ret = F.log(F.col("close")) - F.log(F.lag("close").over(by_entity()))
     hole = (F.col("entity") + F.weekofyear("date")) % 11 == 0
     return (
@@ -109,35 +112,37 @@ def market_series(panel: DataFrame) -> DataFrame:
     )
 
 
-def with_market(panel: DataFrame) -> DataFrame:
-    """Attach ``mkt``: one row per calendar week, so the broadcast side is bounded by the calendar."""
-    return panel.join(F.broadcast(market_series(panel)), "date", "left")
+def with_market(panel: DataFrame, bound: int | None = None) -> DataFrame:
+    """Attach ``mkt`` to every row; the panel itself is evaluated once."""
+    ok = F.col("ret").isNotNull()
+    d = CrossSection(("date",), bound).attach(
+        panel, _n=F.sum(F.col("ret") * F.col("dollar_volume")), _d=F.sum(F.when(ok, F.col("dollar_volume"))))
+    return d.withColumn("mkt", F.col("_n") / F.col("_d")).drop("_n", "_d")
 
 
-def hour_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, date, first/last block fields): low and high line numbers play the session's two ends."""
-    li = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    f = li.select(F.col("l_suppkey").alias("entity"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
-                  price.alias("price"), _trade_order(price).alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber")
+def market_panel(spark: SparkSession, sf_dir: str, hours: bool = False) -> DataFrame:
+    return with_market(weekly_panel(spark, sf_dir, hours), names_bound(spark, sf_dir))
+
+
+def _hour_aggregates() -> list:
+    """First and last block of a bar: low and high line numbers play the session's two ends."""
     first, last = F.col("l_linenumber") <= 4, F.col("l_linenumber") >= 4
 
     def on(cond, c):
         return F.when(cond, F.col(c))
 
-    g = f.groupBy("entity", "date").agg(
-        (F.sum(on(last, "l_extendedprice")) / F.sum(on(last, "l_quantity"))).alias("vwap_last"),
-        (F.sum(on(first, "l_extendedprice")) / F.sum(on(first, "l_quantity"))).alias("vwap_first"),
+    vwap = F.sum(on(last, "l_extendedprice")) / F.sum(on(last, "l_quantity"))
+    o1, c1 = F.min_by(on(first, "price"), on(first, "seq")), F.max_by(on(first, "price"), on(first, "seq"))
+    o2, c2 = F.min_by(on(last, "price"), on(last, "seq")), F.max_by(on(last, "price"), on(last, "seq"))
+    tilt = F.max(on(last, "price")) + F.min(on(last, "price")) - 2 * F.avg(on(last, "price"))
+    return [
+        vwap.alias("vwap_last"),
         F.sum(on(first, "l_quantity")).alias("vol_first"), F.sum(on(last, "l_quantity")).alias("vol_last"),
-        F.count(on(first, "price")).cast("double").alias("trades_first"), F.count(on(last, "price")).cast("double").alias("trades_last"),
-        F.min_by(on(first, "price"), on(first, "seq")).alias("_of"), F.max_by(on(first, "price"), on(first, "seq")).alias("close_first"),
-        F.min_by(on(last, "price"), on(last, "seq")).alias("open_last"), F.max_by(on(last, "price"), on(last, "seq")).alias("_cl"),
-        (F.max(on(last, "price")) + F.min(on(last, "price")) - 2 * F.avg(on(last, "price"))).alias("_sk"),
-    )
-    return g.select(
-        "entity", "date", "vwap_first", "vwap_last", "vol_first", "vol_last", "trades_first", "trades_last", "close_first", "open_last",
-        (F.col("close_first") / F.col("_of") - 1).alias("ret_first"), (F.col("_cl") / F.col("open_last") - 1).alias("ret_last"),
-        F.round(F.col("_sk") / F.col("vwap_last"), 9).alias("skew_last"))
+        F.count(on(first, "price")).cast("double").alias("trades_first"),
+        F.count(on(last, "price")).cast("double").alias("trades_last"),
+        c1.alias("close_first"), o2.alias("open_last"), (c1 / o1 - 1).alias("ret_first"), (c2 / o2 - 1).alias("ret_last"),
+        F.round(tilt / vwap, 9).alias("skew_last"),
+    ]
 
 
 def user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
