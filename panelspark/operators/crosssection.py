@@ -79,6 +79,33 @@ def split_order(values: DataFrame, by: list[str], order: list[str], count: str |
     )
 
 
+def split_running(values: DataFrame, by: list[str], order: list[str], step, out: str, falling: bool = False) -> DataFrame:
+    """Add ``_i`` (position), ``_n`` (group size) and the running extreme of ``step(i, n)`` in order.
+
+    Running maximum from the first row on, or with ``falling`` the running minimum from the last row
+    back. Each range works on its own; ranges exchange one extreme per group.
+    """
+    ranged = materialize(values.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    parts = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
+    sizes = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes.select(
+        *by, "_part", F.coalesce(F.sum("_k").over(
+            parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_k0"),
+        F.sum("_k").over(parts).alias("_n"))
+    inside = W.partitionBy(*by, "_part").orderBy(*order)
+    d = _null_safe(ranged.withColumn("_nth", F.row_number().over(inside)), sizes, [*by, "_part"])
+    d = d.withColumn("_i", F.col("_nth") + F.col("_k0")).drop("_nth", "_k0")
+    d = d.withColumn("_step", step(F.col("_i"), F.col("_n")))
+    best, worse = (F.min, F.least) if falling else (F.max, F.greatest)
+    frame = inside.rowsBetween(0, W.unboundedFollowing) if falling else inside.rowsBetween(W.unboundedPreceding, 0)
+    other = parts.orderBy("_part")
+    other = other.rowsBetween(1, W.unboundedFollowing) if falling else other.rowsBetween(W.unboundedPreceding, -1)
+    edges = d.groupBy(*by, "_part").agg(best("_step").alias("_e"))
+    edges = edges.select(*by, "_part", best("_e").over(other).alias("_e"))
+    d = _null_safe(d.withColumn("_run", best("_step").over(frame)), edges, [*by, "_part"])
+    return d.withColumn(out, worse("_run", F.coalesce("_e", "_run"))).drop("_run", "_e", "_step", "_part")
+
+
 @dataclass(frozen=True)
 class CrossSection:
     """Grouping keys plus a proven bound on the rows of one group (None: unknown)."""
@@ -115,7 +142,8 @@ class CrossSection:
         if self.windowed:
             w = self._window()
             ordered = w.orderBy(F.col(x).asc_nulls_last())
-            tie = W.partitionBy(*self.by, x)
+            # the peers of a row: a range frame of the same sort, so ties cost no second sort
+            tie = ordered.rangeBetween(W.currentRow, W.currentRow)
             has = F.col(x).isNotNull()
             return df.select(
                 "*",

@@ -9,43 +9,51 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import norm_cdf, norm_ppf, zero_to_null
+from .crosssection import CrossSection, split_running
 from .evaluate import long_run_variance
 
 #: Fixed value: the Euler-Mascheroni constant.
 EULER_GAMMA = 0.5772156649015329
 
 
-def bonferroni(df: DataFrame, p: str, by, alpha: float = 0.05) -> DataFrame:
-    """Add ``adjusted`` = min(1, p N) and ``reject``; N is the family size by aggregation."""
-    w = W.partitionBy(*by)
-    d = df.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.count(p).over(w)))
+def bonferroni(df: DataFrame, p: str, by, alpha: float = 0.05, bound: int | None = None) -> DataFrame:
+    """Add ``adjusted`` = min(1, p N) and ``reject``; N is the family size."""
+    d = CrossSection(tuple(by), bound).attach(df, _n=F.count(p))
+    d = d.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")
     return d.withColumn("reject", F.col("adjusted") <= alpha)
 
 
-def holm(df: DataFrame, p: str, by, keys, alpha: float = 0.05) -> DataFrame:
-    """Step-down: (N - i + 1) p with a running maximum. ``keys`` break ties; a family is a list of
-    declared tests, so its windows stay small."""
+def _running(df: DataFrame, p: str, by, keys, step, falling: bool, bound: int | None) -> DataFrame:
+    """Positions by (p, keys) and the running extreme of the step, in a window for a family proven
+    small, else range by range."""
+    by = list(by)
+    d = df.where(F.col(p).isNotNull())
+    if not CrossSection(tuple(by), bound).windowed:
+        return split_running(d, by, [p, *keys], step, "_run", falling)
     w = W.partitionBy(*by)
     o = w.orderBy(p, *keys)
-    step = (F.count(p).over(w) - F.row_number().over(o) + 1) * F.col(p)
-    d = df.withColumn("_s", step)
-    top = F.max("_s").over(o.rowsBetween(W.unboundedPreceding, 0))
-    d = d.withColumn("adjusted", F.least(F.lit(1.0), top)).drop("_s")
+    d = d.withColumns({"_i": F.row_number().over(o), "_n": F.count(F.lit(1)).over(w)})
+    d = d.withColumn("_step", step(F.col("_i"), F.col("_n")))
+    run = (F.min("_step").over(o.rowsBetween(0, W.unboundedFollowing)) if falling
+           else F.max("_step").over(o.rowsBetween(W.unboundedPreceding, 0)))
+    return d.withColumn("_run", run).drop("_step")
+
+
+def holm(df: DataFrame, p: str, by, keys, alpha: float = 0.05, bound: int | None = None) -> DataFrame:
+    """Step-down: (N - i + 1) p with a running maximum; ``keys`` break ties, missing p are left out."""
+    d = _running(df, p, by, keys, lambda i, n: (n - i + 1) * F.col(p), False, bound)
+    d = d.withColumn("adjusted", F.least(F.lit(1.0), F.col("_run"))).drop("_run", "_i", "_n")
     return d.withColumn("reject", F.col("adjusted") <= alpha)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, by, keys, alpha: float = 0.10) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, by, keys, alpha: float = 0.10, bound: int | None = None) -> DataFrame:
     """Step-up: q = running minimum from the largest p of p N / rank; rejects up to the last p below
     its line."""
-    w = W.partitionBy(*by)
-    o = w.orderBy(p, *keys)
-    d = df.withColumns({"_i": F.row_number().over(o), "_n": F.count(p).over(w)})
-    d = d.withColumn("_q", F.col(p) * F.col("_n") / F.col("_i"))
-    low = F.min("_q").over(o.rowsBetween(0, W.unboundedFollowing))
-    last = F.max(F.when(F.col(p) <= F.col("_i") / F.col("_n") * alpha, F.col("_i"))).over(w)
-    d = d.withColumns({"adjusted": F.least(F.lit(1.0), low), "_last": last})
-    return d.withColumn("reject", F.coalesce(F.col("_i") <= F.col("_last"), F.lit(False))).drop(
-        "_i", "_n", "_q", "_last")
+    d = _running(df, p, by, keys, lambda i, n: F.col(p) * n / i, True, bound)
+    hit = F.when(F.col(p) <= F.col("_i") / F.col("_n") * alpha, F.col("_i"))
+    d = CrossSection(tuple(by), bound).attach(d, _last=F.max(hit))
+    d = d.withColumn("adjusted", F.least(F.lit(1.0), F.col("_run")))
+    return d.withColumn("reject", F.coalesce(F.col("_i") <= F.col("_last"), F.lit(False))).drop("_i", "_n", "_run", "_last")
 
 
 def sharpe_table(series: DataFrame, value: str, lags: int, benchmark: float = 0.0,

@@ -289,8 +289,9 @@ def assign_families(table: DataFrame, primary_signals, primary_kind: str) -> Dat
     t = table.where("term = 'contrast'").withColumn("family", family)
     t = t.withColumn("p", F.when(F.col("family") == "primary", p_value("t", "less")).otherwise(p_value("t")))
     keys = ["split", "kind", "series"]
-    t = holm(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ha", "reject": "_hr"})
-    t = benjamini_hochberg(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ba", "reject": "_br"})
+    size = 10_000  # a family is a declared list of contrasts
+    t = holm(t, "p", ("family",), keys, bound=size).withColumnsRenamed({"adjusted": "_ha", "reject": "_hr"})
+    t = benjamini_hochberg(t, "p", ("family",), keys, bound=size).withColumnsRenamed({"adjusted": "_ba", "reject": "_br"})
     pick = lambda a, b: F.when(F.col("family") == "primary", a).when(F.col("family") == "exploratory", b)
     return t.withColumns({"adjusted": pick(F.col("_ha"), F.col("_ba")), "reject": pick(F.col("_hr"), F.col("_br"))}).drop(
         "_ha", "_hr", "_ba", "_br")

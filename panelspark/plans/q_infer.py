@@ -8,7 +8,7 @@ from ..functions.elementwise import p_value
 from ..operators import evaluate as ev
 from ..operators import infer as inf
 from ..operators import quality as ql
-from ..sources.tables import table, weekly_panel
+from ..sources.tables import names_bound, table, weekly_panel
 from .oracle import PANEL, more, with_
 from .q_regimes import NORM
 from .q_splits import CANDS, PNL, candidate_pnl
@@ -32,7 +32,7 @@ def tests(spark, sf):
 @query("bonferroni", "family entity# p~6 adjusted~6 reject", """
 SELECT *, adjusted <= 0.05 AS reject FROM (SELECT family, entity, p, least(1, p * count(*) OVER (PARTITION BY family)) AS adjusted FROM tests)""", W_TESTS)
 def _(spark, sf):
-    return inf.bonferroni(tests(spark, sf), "p", ("family",))
+    return inf.bonferroni(tests(spark, sf), "p", ("family",), bound=names_bound(spark, sf))
 
 
 @query("holm", "family entity# p~6 adjusted~6 reject", """
@@ -40,7 +40,7 @@ SELECT a.family, a.entity, any_value(a.p) AS p, least(1, max((a.n - b.i + 1) * b
 FROM o a JOIN o b ON a.family = b.family AND b.i <= a.i GROUP BY 1, 2""",
        more(W_TESTS, "o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, entity) AS i, count(*) OVER (PARTITION BY family) AS n FROM tests)"))
 def _(spark, sf):
-    return inf.holm(tests(spark, sf), "p", ("family",), ["entity"])
+    return inf.holm(tests(spark, sf), "p", ("family",), ["entity"], bound=names_bound(spark, sf))
 
 
 @query("benjamini_hochberg", "family entity# p~6 adjusted~6 reject", """
@@ -49,7 +49,7 @@ FROM o a JOIN o b ON a.family = b.family AND b.i >= a.i
 JOIN (SELECT family, coalesce(max(i) FILTER (WHERE p <= i / n * 0.1), 0) AS last FROM o GROUP BY 1) k ON k.family = a.family GROUP BY 1, 2""",
        more(W_TESTS, "o AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, entity) AS i, count(*) OVER (PARTITION BY family) AS n FROM tests)"))
 def _(spark, sf):
-    return inf.benjamini_hochberg(tests(spark, sf), "p", ("family",), ["entity"])
+    return inf.benjamini_hochberg(tests(spark, sf), "p", ("family",), ["entity"], bound=names_bound(spark, sf))
 
 
 RETS = "rets AS (SELECT c.series, p.date, CASE c.series " + " ".join(f"WHEN '{c}' THEN {c}" for c in CANDS) + \

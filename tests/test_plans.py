@@ -79,3 +79,17 @@ def test_scan_prunes_columns_and_pushes_filters(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     plan = spark.read.parquet(str(tmp_path / "t")).where("id > 5").select("b")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in plan and "ReadSchema: struct<id:bigint,b:bigint>" in plan
+
+
+def test_split_running_corrections(spark):
+    """Holm and Benjamini-Hochberg give the same values range by range and in one window."""
+    from panelspark.operators import infer
+
+    rng = random.Random(3)
+    rows = [("f" if i % 5 else "g", i, rng.random() ** 3) for i in range(500)]
+    d = spark.createDataFrame(rows, "fam string, id int, p double").repartition(5).cache()
+    for fn in (infer.holm, infer.benjamini_hochberg):
+        a = {r["id"]: (r["adjusted"], r["reject"]) for r in fn(d, "p", ("fam",), ["id"], bound=1000).collect()}
+        b = {r["id"]: (r["adjusted"], r["reject"]) for r in fn(d, "p", ("fam",), ["id"], bound=None).collect()}
+        assert a.keys() == b.keys()
+        assert all(abs(a[k][0] - b[k][0]) < 1e-12 and a[k][1] == b[k][1] for k in a)
