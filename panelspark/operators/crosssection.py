@@ -102,8 +102,8 @@ def split_running(values: DataFrame, by: list[str], order: list[str], step, out:
     other = other.rowsBetween(1, W.unboundedFollowing) if falling else other.rowsBetween(W.unboundedPreceding, -1)
     edges = d.groupBy(*by, "_part").agg(best("_step").alias("_e"))
     edges = edges.select(*by, "_part", best("_e").over(other).alias("_e"))
-    d = _null_safe(d.withColumn("_run", best("_step").over(frame)), edges, [*by, "_part"])
-    return d.withColumn(out, worse("_run", F.coalesce("_e", "_run"))).drop("_run", "_e", "_step", "_part")
+    d = _null_safe(d.withColumn("_own", best("_step").over(frame)), edges, [*by, "_part"])
+    return d.withColumn(out, worse("_own", F.coalesce("_e", "_own"))).drop("_own", "_e", "_step", "_part")
 
 
 @dataclass(frozen=True)
