@@ -66,18 +66,25 @@ def load_extract(spark: SparkSession, out: str, name: str, identity: dict[str, s
     return spark.read.parquet(f"{out}/{name}")
 
 
+def _part(path, pattern: str):
+    """First group of the pattern in a file path, missing when it does not match."""
+    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+
+
 def read_partitioned_training(spark: SparkSession, factors: str, labels: str, features, label: str,
                               limit: float = 0.2) -> DataFrame:
     """Factor files ``date/code.parquet`` left-joined to label files on (date, code, time).
 
-    Date and code come from the file path; a missing label is 0; rows with |label| >= limit are
+    Date and code come from the file path (either form); a missing label is 0; rows with |label| >= limit are
     dropped; a (date, code) present on one side only gives no rows.
     """
     def tagged(path, cols):
         df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-        parts = F.split("_metadata.file_path", "/")
-        key = [parts[F.size(parts) - 2].alias("date"), F.regexp_replace(parts[F.size(parts) - 1], r"\.parquet$", "").alias("code")]
-        return df.select(*key, *cols)
+        name = F.col("_metadata.file_path")
+        # date/code.parquet, or the partitioned form date=d/code=c/part.parquet
+        day = F.coalesce(_part(name, r"/date=([^/]+)/"), _part(name, r"/([^/]+)/[^/]+$"))
+        code = F.coalesce(_part(name, r"/code=([^/]+)/"), _part(name, r"/([^/]+)\.parquet$"))
+        return df.select(day.alias("date"), code.alias("code"), *cols)
 
     f = tagged(factors, [*features, F.col("close_time").alias("time")])
     lab = tagged(labels, [F.col("Time").alias("time"), label])
@@ -93,11 +100,11 @@ def list_data_files(spark: SparkSession, path: str, glob: str = "*") -> DataFram
 
 
 def read_symbol_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One csv per symbol; of duplicate dates the last line of the file wins."""
-    raw = spark.read.schema(schema).option("header", True).csv(path)
+    """One csv per symbol (``sym.csv`` or ``symbol=sym/``); of duplicate dates the last line wins."""
+    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
     fields = [c for c in raw.columns if c != "date"]
-    parts = F.split("_metadata.file_path", "/")
-    symbol = F.regexp_replace(parts[F.size(parts) - 1], r"\.csv$", "")
+    name = F.col("_metadata.file_path")
+    symbol = F.coalesce(_part(name, r"/symbol=([^/]+)/"), _part(name, r"/([^/]+)\.csv$"))
     # line order inside one file: the block's start, then the position within its partition
     d = raw.select(symbol.alias("symbol"), "date", *fields, F.col("_metadata.file_block_start").alias("_b"),
                    F.monotonically_increasing_id().alias("_i"))

@@ -258,3 +258,72 @@ def test_greedy_prune(spark):
     cand = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0), ("d", -1.0)], "candidate string, fitness double")
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", -0.2), ("b", "c", 0.1)], "a string, b string, corr double")
     assert [r["candidate"] for r in sampling.greedy_prune(cand, pairs, 0.5).collect()] == ["a", "c"]
+
+
+def test_file_layouts(spark, tmp_path):
+    """Both layouts: date/code.parquet files and symbol.csv files with a duplicate date."""
+    from panelspark.sources import files as fl
+
+    for code, t in (("a", [1, 2]), ("b", [1])):
+        for kind, frame in (("factor", {"close_time": t, "f1": [float(v) for v in t]}), ("label", {"Time": t[:1], "y": [0.1]})):
+            folder = tmp_path / kind / "2020-01-02"
+            folder.mkdir(parents=True, exist_ok=True)
+            if not (code == "b" and kind == "label"):
+                pd.DataFrame(frame).to_parquet(folder / f"{code}.parquet", index=False)
+    got = fl.read_partitioned_training(spark, str(tmp_path / "factor"), str(tmp_path / "label"), ["f1"], "y")
+    assert sorted((r["date"], r["code"], r["time"], r["y"]) for r in got.collect()) == [
+        ("2020-01-02", "a", 1, 0.1), ("2020-01-02", "a", 2, 0.0)]
+    (tmp_path / "sym").mkdir()
+    (tmp_path / "sym" / "X.csv").write_text("date,close\n2020-01-02,1.0\n2020-01-03,2.0\n2020-01-02,5.0\n")
+    rows = fl.read_symbol_cache(spark, str(tmp_path / "sym"), "date date, close double").collect()
+    assert sorted((r["symbol"], r["date"].day, r["close"]) for r in rows) == [("X", 2, 5.0), ("X", 3, 2.0)]
+
+
+def test_delimited_header_and_identity(spark, tmp_path):
+    from panelspark.sources import files as fl
+
+    (tmp_path / "t.txt").write_text("KYGVKEY|LINKDT|Other\n001234|2020-01-02|x\n")
+    r = fl.read_delimited(spark, str(tmp_path / "t.txt"), {"kygvkey": "string", "linkdt": "date"}).first()
+    assert r["kygvkey"] == "001234" and r["linkdt"] == dt.date(2020, 1, 2)
+    with pytest.raises(ValueError, match="lacks columns"):
+        fl.read_delimited(spark, str(tmp_path / "t.txt"), {"nope": "string"})
+    d = spark.range(3)
+    fl.extract_bundle({"t": d}, str(tmp_path / "b"), {"source": "s", "lo": "1"})
+    assert fl.load_extract(spark, str(tmp_path / "b"), "t", {"source": "s", "lo": "1"}).count() == 3
+    with pytest.raises(fl.ExtractMismatch, match="lo: 1 != 2"):
+        fl.load_extract(spark, str(tmp_path / "b"), "t", {"source": "s", "lo": "2"})
+
+
+def test_online_filter_over_two_runs(spark, tmp_path):
+    """New dates continue the state; a repeated date changes nothing."""
+    from panelspark.streaming import jobs
+
+    args = ((0.0, 0.0), (0.04, 0.5), ((0.9, 0.1), (0.2, 0.8)), (0.6, 0.4))
+    s = series(spark, [0.1, -0.5, 0.9, 0.0, 0.05, 0.4]).withColumnRenamed("ic", "value")
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    stream = lambda: spark.readStream.schema("series string, date date, value double").parquet(src)
+    s.where("date <= '2020-01-03'").write.parquet(src)
+    jobs.online_regime_filter(stream(), *args, out, ck)
+    s.where("date >= '2020-01-03'").write.mode("append").parquet(src)
+    jobs.online_regime_filter(stream(), *args, out, ck)
+    got = {r["date"]: r["f0"] for r in spark.read.parquet(out).collect()}
+    want = {r["date"]: r["calm"] for r in regimes.regime_filter(s, *args).collect()}
+    assert spark.read.parquet(out).count() == 6 and got == pytest.approx(want)
+
+
+def test_late_quarters_stream_rerun(spark, tmp_path):
+    from panelspark.streaming import jobs
+
+    q = spark.createDataFrame([(7, 8080, dt.date(2020, 5, 1), *[10.0] * 18), (7, 8081, dt.date(2020, 8, 1), *[12.0] * 18),
+                               (7, 8079, dt.date(2020, 9, 1), *[9.0] * 18)],
+                              "gvkey int, fq_index int, avail date, " + ", ".join(f"{c} double" for c in (
+                                  "saleq cogsq ibq atq actq cheq lctq dlcq dlttq ltq ceqq seqq pstkq txditcq ivaoq ivstq mibq oancfq").split()))
+    items = q.columns[3:]
+    src, store, out, ck = (str(tmp_path / n) for n in ("in", "store", "out", "ck"))
+    stream = lambda: spark.readStream.schema(q.schema).parquet(src)
+    for lo, hi in ((8080, 8081), (8079, 8079)):
+        q.where(F.col("fq_index").between(lo, hi)).write.mode("append").parquet(src)
+        jobs.late_quarters(stream(), items, store, out, ck)
+    got = {r["event"]: r["be"] for r in jobs.latest_values(spark, out).collect()}
+    want = {r["event"]: r["be"] for r in pit.fundamental_values(pit.known_quarters(q, items)).collect()}
+    assert got == want and len(got) == 3
