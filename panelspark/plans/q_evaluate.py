@@ -255,14 +255,14 @@ def _(spark, sf):
     return pf.backtest_summary(bt, 10.0, 52)
 
 
-def positions_sql(winsor: bool) -> str:
+def positions_sql(winsor: bool, sign: str = "") -> str:
     clip = "greatest(least(a, hi), lo)" if winsor else "a"
     return f"""pos AS (SELECT *, c / nullif(sum(abs(c)) OVER (PARTITION BY date), 0) AS position, dense_rank() OVER (ORDER BY date) AS dp
   FROM (SELECT *, b - quantile_cont(b, 0.5) OVER (PARTITION BY date) AS c
   FROM (SELECT *, CASE WHEN a IS NOT NULL THEN {clip} END AS b
   FROM (SELECT *, quantile_cont(a, 0.01) OVER (PARTITION BY date) AS lo, quantile_cont(a, 0.99) OVER (PARTITION BY date) AS hi
   FROM (SELECT *, CASE WHEN industry IS NOT NULL THEN u - avg(u) OVER (PARTITION BY date, industry) END AS a
-  FROM (SELECT *, CASE WHEN volume >= 10 THEN s1 END AS u FROM scored)))))),
+  FROM (SELECT *, CASE WHEN volume >= 10 THEN {sign}s1 END AS u FROM scored)))))),
 daily AS (SELECT x.date, sum(p.position * x.r) AS pnl, sum(abs(x.position - p.position)) AS tvr, count(x.position) AS n_pos,
   1 / nullif(sum(x.position * x.position), 0) AS eff_n
   FROM pos x LEFT JOIN pos p ON p.entity = x.entity AND p.dp = x.dp - 1 GROUP BY x.date)"""
@@ -297,9 +297,9 @@ SELECT *, CASE WHEN cells < 100 OR dispersion < 1e-4 OR eff_n < 5 OR days < 100
 FROM (SELECT sqrt(52) * avg(pnl) / stddev_samp(pnl) AS ir, avg(tvr) AS tvr, avg(n_pos) AS numstk, avg(eff_n) AS eff_n, count(pnl) AS days FROM daily),
 (SELECT quantile_cont(coalesce(sd / nullif(sc, 0), 0), 0.5) AS dispersion, sum(c) AS cells FROM (
   SELECT date, stddev_samp(u) AS sd, quantile_cont(abs(u), 0.5) AS sc, count(u) AS c
-  FROM (SELECT date, CASE WHEN volume >= 10 THEN s1 END AS u FROM scored) GROUP BY date))""", more(SCORED, positions_sql(True)))
+  FROM (SELECT date, CASE WHEN volume >= 10 THEN -s1 END AS u FROM scored) GROUP BY date))""", more(SCORED, positions_sql(True, "-")))
 def _(spark, sf):
-    return pf.alpha_fitness(scored(spark, sf), "s1", "r", UNIVERSE(), "industry", min_numstk=20,
+    return pf.alpha_fitness(scored(spark, sf).withColumn("alpha", -F.col("s1")), "alpha", "r", UNIVERSE(), "industry", min_numstk=20,
                             min_effective_n=5, trading_days=52, bound=names_bound(spark, sf))
 
 
