@@ -100,7 +100,7 @@ def _sets(k: int):
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b, jaccard, linked`` of each pair, from the full shingle sets of its two texts."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = store(docs.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>"), "shingle-sets")
+    sets = docs.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")))
@@ -132,37 +132,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     classes = (signed_rows.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
                .agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
     members = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = store(members.join(centres, "bucket"), "shared-buckets")
-    pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = store(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     checked = store(_confirmed(pairs, docs, k, percent), "checked-pairs")
-    links = checked.where("linked").select("a", "b")
-    labels = components(links)
-
-    placed = (shared.join(labels.withColumnRenamed("id", "node"), "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "jaccard")
-    open_members = store(placed.join(mixed, "bucket", "left_semi").join(known, ["centre", "node"], "left")
-                         .withColumn("jaccard", F.coalesce("jaccard", F.lit(1.0))), "open-buckets")
-    x = open_members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("jaccard").alias("ja"))
-    y = open_members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("jaccard").alias("jb"))
-    reach = 1 - percent / 100 + 1e-9
-    across = (x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.abs(F.col("ja") - F.col("jb")) <= reach))
-              .select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    across = store(across, "pairs-across")
-    if not across.isEmpty():
-        links = links.union(_confirmed(across, docs, k, percent).where("linked").select("a", "b"))
-        labels = components(store(links, "links"))
-
-    named = classes.select("set_a", "set_b", "n_shingles", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    result = signed_rows.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    labels = components(checked.where("linked").select("a", "b"))
+    more = _links_across(shared.where("m > 2"), checked, labels, docs, k, percent)
+    if not more.isEmpty():
+        labels = components(checked.where("linked").select("a", "b").union(more))
+
+    nodes = classes.select("set_a", "set_b", "n_shingles", "node")
+    result = signed_rows.select("id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b", "n_shingles"], "left")
+    result = result.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return result.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _links_across(shared: DataFrame, checked: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links between members of a bucket that are not in one component yet.
+
+    Only buckets with a member that is not linked to the centre are looked at. Two members' distances from the centre
+    differ by no more than their own distance, so a pair whose distances differ by more than a link allows is none.
+    """
+    failed = checked.where(~F.col("linked")).select(F.col("a").alias("centre"), F.col("b").alias("node"))
+    buckets = shared.join(failed, ["centre", "node"], "left_semi").select("bucket").distinct()
+    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "jaccard")
+    members = (shared.join(buckets, "bucket", "left_semi").join(known, ["centre", "node"], "left")
+               .join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+               .select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard")))
+    members = store(members, "open-buckets")
+    x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("jaccard").alias("ja"))
+    y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("jaccard").alias("jb"))
+    pairs = (x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.abs(F.col("ja") - F.col("jb")) <= 1 - percent / 100 + 1e-9))
+             .select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = store(pairs, "pairs-across")
+    if pairs.isEmpty():
+        return pairs
+    return store(_confirmed(pairs, docs, k, percent).where("linked").select("a", "b"), "links-across")
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest id) of each group of near-duplicates; all columns stay. Rows without an id stay."""
     kept = near_duplicates(docs, percent, id_column, text_column).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
