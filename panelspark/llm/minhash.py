@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,8 +40,8 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sets[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def bands(sets: np.ndarray, starts: np.ndarray, permutations: int, rows: int) -> np.ndarray:
-    """One key for each set and band: the first half of the bands are rows of minima, the second half rows of maxima.
+def signature(sets: np.ndarray, starts: np.ndarray, permutations: int) -> np.ndarray:
+    """For each set (column) the minima, then the maxima, under every permutation.
 
     A permutation is ``(x ^ b) * a`` on mixed 64-bit hashes. Its minimum and its maximum each agree between two sets
     with probability J, so one evaluation gives two signature entries.
@@ -49,23 +49,50 @@ def bands(sets: np.ndarray, starts: np.ndarray, permutations: int, rows: int) ->
     rng = np.random.default_rng(7)
     multiply = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     flip = rng.integers(1, 1 << 63, permutations, dtype=np.uint64)
-    low = np.empty((permutations, len(starts)), np.uint64)
-    high = np.empty_like(low)
+    out = np.empty((2 * permutations, len(starts)), np.uint64)
     for p in range(permutations):
         v = sets ^ flip[p]
         v *= multiply[p]
-        low[p] = np.minimum.reduceat(v, starts)
-        high[p] = np.maximum.reduceat(v, starts)
-    signature = np.concatenate([low, high])
-    out = np.empty((len(signature) // rows, len(starts)), np.uint64)
+        out[p] = np.minimum.reduceat(v, starts)
+        out[permutations + p] = np.maximum.reduceat(v, starts)
+    return out
+
+
+def bands(entries: np.ndarray, rows: int) -> np.ndarray:
+    """One key for each set and band of ``rows`` signature entries: bands of minima, then bands of maxima."""
+    out = np.empty((len(entries) // rows, entries.shape[1]), np.uint64)
     for band in range(len(out)):
-        key = np.full(len(starts), band + 1, np.uint64)
+        key = np.full(entries.shape[1], band + 1, np.uint64)
         for row in range(rows):
-            key = mix(key * np.uint64(0x9FB21C651E98DF25) + signature[band * rows + row])
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + entries[band * rows + row])
         out[band] = key
     return out.T
 
 
+def sketch(entries: np.ndarray) -> np.ndarray:
+    """A byte of each signature entry, eight to a word."""
+    low = np.ascontiguousarray((mix(entries) & np.uint64(255)).astype(np.uint8).T)
+    return low.view(np.uint64)
+
+
+def _agreements(a: Column, b: Column, words: int) -> Column:
+    """How many bytes two sketches have in common: the bits of each byte of the difference are folded into its lowest."""
+    differ = F.lit(0)
+    for i in range(words):
+        x = a[i].bitwiseXOR(b[i])
+        for n in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(8 * words) - differ
+
+
+def _lists(values: np.ndarray, full: np.ndarray, rows: int) -> pa.Array:
+    """Row i of ``values`` as the list of the i-th full row; other rows have none."""
+    ends = np.zeros(rows + 1, np.int32)
+    ends[1:][full] = values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), signed(np.ascontiguousarray(values).ravel()))
+
+
 def _signatures(k: int, permutations: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -73,18 +100,16 @@ def _signatures(k: int, permutations: int, rows: int):
             size = np.diff(bounds)
             full = np.flatnonzero(size)
             digests = np.zeros((2, len(size)), np.uint64)
-            lists = pa.nulls(len(size), pa.list_(pa.int64()))
+            keys, marks = np.zeros((0, 1), np.uint64), np.zeros((0, 1), np.uint64)
             if len(full):
                 starts = bounds[:-1][full]
                 for i, seed in enumerate((0x51ED270B7A3C9D11, 0xC2B2AE3D27D4EB4F)):
                     digests[i, full] = np.add.reduceat(mix(sets ^ np.uint64(seed)), starts)
-                keys = bands(sets, starts, permutations, rows)
-                ends = np.zeros(len(size) + 1, np.int32)
-                ends[1:] = np.cumsum((size > 0) * keys.shape[1])
-                lists = pa.ListArray.from_arrays(pa.array(ends), signed(np.ascontiguousarray(keys).ravel()))
+                entries = signature(sets, starts, permutations)
+                keys, marks = bands(entries, rows), sketch(entries)
             yield pa.RecordBatch.from_arrays(
-                [block.column("id"), pa.array(size.astype(np.int64)), signed(digests[0]), signed(digests[1]), lists],
-                ["id", "n_shingles", "set_a", "set_b", "bands"])
+                [block.column("id"), pa.array(size.astype(np.int64)), signed(digests[0]), signed(digests[1]), _lists(keys, full, len(size)), _lists(marks, full, len(size))],
+                ["id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
     return run
 
 
@@ -98,14 +123,14 @@ def _sets(k: int):
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b, jaccard, linked`` of each pair, from the full shingle sets of its two texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    """``a, b`` of the pairs that are links, from the full shingle sets of its two texts."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge")  # one plan at every size
     sets = docs.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, shingles array<long>")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common")))
     union = F.col("na") + F.col("nb") - F.col("common")
-    return both.select("a", "b", (F.col("common") / union).alias("jaccard"), (100 * F.col("common") >= percent * union).alias("linked"))
+    return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", k: int = SHINGLE,
@@ -116,30 +141,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     shingles. Two documents are linked if 100 * intersection >= percent * union, confirmed on the full sets; components
     are the linked sets' closure and named after their smallest id. Documents are linked candidates if a band of
     ``band_rows`` minima or maxima agrees (2 * permutations / band_rows bands; a pair at J = 0.85 is missed by all 24
-    bands with a chance of 2e-8, at J = 0.8 with 3e-6).
+    bands with a chance of 2e-8, at J = 0.8 with 3e-6) and the whole signatures agree about as often (``_Likely``).
 
     Equal sets collapse first, so groups of exact copies are one node. In a bucket every member is compared with the
-    bucket's smallest id only (a star). Buckets whose members still lie in several components are then completed: every
-    pair across components is compared too, but for those that the triangle inequality of the Jaccard distance over
-    the common centre rules out. So no link between components is lost and a group of m copies costs about m pairs.
+    bucket's smallest id only (a star). Buckets whose members still lie in several components are then completed: their
+    pairs across components are tested in the join by size and signature, and only likely links are emitted and confirmed.
+    So no link between components is lost and a group of m copies costs about m pairs.
 
     Null, empty or blank text: n_shingles 0, a component of its own. Null id: component_id null, kept true. Rows that
     repeat an id are one document. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed_rows = store(docs.mapInArrow(_signatures(k, permutations, band_rows),
-                                        "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
-    classes = (signed_rows.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
-               .agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+                                        "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "signatures")
+    classes = store(signed_rows.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
+                    .agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    likely = _Likely(classes.select("node", "n_shingles", "sketch"), percent, permutations)
     members = classes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = store(members.join(centres, "bucket"), "shared-buckets")
-    pairs = store(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    checked = store(_confirmed(pairs, docs, k, percent), "checked-pairs")
-    labels = components(checked.where("linked").select("a", "b"))
-    more = _links_across(shared.where("m > 2"), checked, labels, docs, k, percent)
-    if not more.isEmpty():
-        labels = components(checked.where("linked").select("a", "b").union(more))
+    pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = store(_confirmed(store(likely.of(pairs), "pairs"), docs, k, percent), "links")
+    labels = components(links)
+
+    # a bucket of two is decided; in others, members that are still apart are tested too
+    placed = (shared.where("m > 2").select("bucket", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    across = store(likely.across(placed.join(mixed, "bucket", "left_semi")), "pairs-across")
+    if not across.isEmpty():
+        labels = components(links.union(_confirmed(across, docs, k, percent)))
 
     nodes = classes.select("set_a", "set_b", "n_shingles", "node")
     result = signed_rows.select("id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b", "n_shingles"], "left")
@@ -149,27 +180,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _links_across(shared: DataFrame, checked: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links between members of a bucket that are not in one component yet.
+class _Likely:
+    """Pairs that may be links by set sizes (exact) and by the share of agreeing signature entries.
 
-    Only buckets with a member that is not linked to the centre are looked at. Two members' distances from the centre
-    differ by no more than their own distance, so a pair whose distances differ by more than a link allows is none.
+    The entries that agree are a binomial count; 6.5 standard deviations below the linking share are let through, so a
+    link is lost with a chance of about 1e-10.
     """
-    failed = checked.where(~F.col("linked")).select(F.col("a").alias("centre"), F.col("b").alias("node"))
-    buckets = shared.join(failed, ["centre", "node"], "left_semi").select("bucket").distinct()
-    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), "jaccard")
-    members = (shared.join(buckets, "bucket", "left_semi").join(known, ["centre", "node"], "left")
-               .join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
-               .select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard")))
-    members = store(members, "open-buckets")
-    x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("jaccard").alias("ja"))
-    y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("jaccard").alias("jb"))
-    pairs = (x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.abs(F.col("ja") - F.col("jb")) <= 1 - percent / 100 + 1e-9))
-             .select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    pairs = store(pairs, "pairs-across")
-    if pairs.isEmpty():
-        return pairs
-    return store(_confirmed(pairs, docs, k, percent).where("linked").select("a", "b"), "links-across")
+
+    def __init__(self, traits: DataFrame, percent: int, permutations: int):
+        self.traits, self.percent, self.words = traits, percent, 2 * permutations // 8
+        j, n = percent / 100, 2 * permutations
+        self.least = int(n * j - 6.5 * (n * j * (1 - j)) ** 0.5)
+
+    def _side(self, name: str) -> DataFrame:
+        return self.traits.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+
+    def _test(self) -> Column:
+        sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        return sizes & (_agreements(F.col("sa"), F.col("sb"), self.words) >= self.least)
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._test()).select("a", "b")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Of members (bucket, node, component), the likely pairs of a bucket that lie in two components."""
+        x = members.withColumnRenamed("node", "a").withColumnRenamed("component", "ca").join(self._side("a"), "a")
+        y = members.withColumnRenamed("node", "b").withColumnRenamed("component", "cb").join(self._side("b"), "b")
+        apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test()).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

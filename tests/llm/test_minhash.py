@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from panelspark.llm.components import components
-from panelspark.llm.minhash import bands, drop_near_duplicates, near_duplicates
+from panelspark.llm.minhash import bands, drop_near_duplicates, near_duplicates, signature
 
 from .rows import documents, frame
 
@@ -91,6 +91,6 @@ def test_minima_and_maxima_agree_as_often_as_the_sets_overlap(jaccard):
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
     rest = (2000 - common) // 2
     a, b = pool[:common + rest], np.concatenate([pool[:common], pool[common + rest:common + 2 * rest]])
-    keys = bands(np.concatenate([a, b]), np.array([0, len(a)]), 1500, 1)
+    keys = bands(signature(np.concatenate([a, b]), np.array([0, len(a)]), 1500), 1)
     share = (keys[0] == keys[1]).mean()
     assert abs(share - common / (common + 2 * rest)) < 0.03
