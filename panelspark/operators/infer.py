@@ -81,9 +81,10 @@ def psr(sharpe: Column, benchmark: Column) -> Column:
 
 def expected_max_sharpe(n: Column, variance: Column) -> Column:
     """Expected best Sharpe of n unskilled trials with the given cross-trial variance."""
-    z1, z2 = norm_ppf(1.0 - 1.0 / n), norm_ppf(1.0 - 1.0 / (n * math.e))
-    value = F.sqrt(variance) * ((1.0 - EULER_GAMMA) * z1 + EULER_GAMMA * z2)
-    return F.when((n <= 1) | (variance == 0), 0.0).otherwise(value)
+    # the mean of the largest of n normals lies between the quantiles exceeded once in n and once in e n draws
+    once, rarer = (norm_ppf(1.0 - 1.0 / (n * spread)) for spread in (1.0, math.e))
+    best = once + EULER_GAMMA * (rarer - once)
+    return F.when((n > 1) & (variance != 0), best * F.sqrt(variance)).when(n.isNotNull() & variance.isNotNull(), 0.0)
 
 
 def deflated_sharpe(table: DataFrame) -> DataFrame:

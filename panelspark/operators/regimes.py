@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import col, hard_split, p_value, zero_to_null
-from .evaluate import hac_choice, kish, long_run_variances, safe_corr
+from .evaluate import kish, long_run_variances, overlap_kernels, safe_corr
 
 CALM_STRESS = ("calm", "stress")
 
@@ -269,7 +269,8 @@ def split_table(ics: DataFrame, weights: dict[tuple[str, str], DataFrame], h: in
         stacked = one if stacked is None else stacked.unionByName(one)
     keys = ("split", "kind", "series")
     d = ics.join(F.broadcast(stacked), "date")  # one row per date and split
-    choices = {"hh": hac_choice("hansen_hodrick", h, nw_min_lag), "nw": hac_choice("newey_west", h, nw_min_lag)}
+    kernels = overlap_kernels(h, nw_min_lag)
+    choices = {"hh": kernels["hansen_hodrick"], "nw": kernels["newey_west"]}
     t = regime_regressions(d, "ic", choices, by=keys)
     t = t.withColumnRenamed("se_hh", "se").withColumnRenamed("t_hh", "t").withColumnRenamed("kernel_hh", "kernel")
     return t.drop("kernel_nw").withColumn("h", F.lit(h))
@@ -289,9 +290,8 @@ def assign_families(table: DataFrame, primary_signals, primary_kind: str) -> Dat
     t = table.where("term = 'contrast'").withColumn("family", family)
     t = t.withColumn("p", F.when(F.col("family") == "primary", p_value("t", "less")).otherwise(p_value("t")))
     keys = ["split", "kind", "series"]
-    size = 10_000  # a family is a declared list of contrasts
-    t = holm(t, "p", ("family",), keys, bound=size).withColumnsRenamed({"adjusted": "_ha", "reject": "_hr"})
-    t = benjamini_hochberg(t, "p", ("family",), keys, bound=size).withColumnsRenamed({"adjusted": "_ba", "reject": "_br"})
+    t = holm(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ha", "reject": "_hr"})
+    t = benjamini_hochberg(t, "p", ("family",), keys).withColumnsRenamed({"adjusted": "_ba", "reject": "_br"})
     pick = lambda a, b: F.when(F.col("family") == "primary", a).when(F.col("family") == "exploratory", b)
     return t.withColumns({"adjusted": pick(F.col("_ha"), F.col("_ba")), "reject": pick(F.col("_hr"), F.col("_br"))}).drop(
         "_ha", "_hr", "_ba", "_br")

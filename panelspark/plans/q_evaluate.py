@@ -104,7 +104,7 @@ FROM (SELECT *, {avg_rank('y3', 'one')} AS ry, {avg_rank('s1', 'one')} AS rs
       FROM (SELECT *, 1 AS one FROM scored WHERE y3 IS NOT NULL AND s1 IS NOT NULL))""", SCORED)
 def _(spark, sf):
     # weeks are calendar-bounded, so names x weeks bounds the one global group
-    return ev.prediction_metrics(scored(spark, sf), "y3", "s1", bound=names_bound(spark, sf) * 400)
+    return ev.prediction_metrics(scored(spark, sf), "y3", "s1", bound=None)
 
 
 IC2 = f"""ics AS (SELECT 's1' AS series, * FROM ({ic_sql('s1', 'y3')}) UNION ALL SELECT 's2', * FROM ({ic_sql('s2', 'y3')}))"""
@@ -125,7 +125,7 @@ def _(spark, sf):
        f"SELECT 'newey_west', * FROM ({hac_sql('ics', 'ic', 8, kernel='bartlett')})", more(SCORED, IC2))
 def _(spark, sf):
     i = ics(spark, sf)
-    out = [ev.long_run_variance(i, "ic", *ev.hac_choice(c, 3, 8)).withColumn("kernel_set", F.lit(c))
+    out = [ev.long_run_variance(i, "ic", *ev.overlap_kernels(3, 8)[c]).withColumn("kernel_set", F.lit(c))
            for c in ("hansen_hodrick", "newey_west")]
     return out[0].unionByName(out[1])
 
@@ -428,7 +428,7 @@ SELECT (sum(rk) FILTER (WHERE l) - count(*) FILTER (WHERE l) * (count(*) FILTER
        / (CAST(count(*) FILTER (WHERE l) AS DOUBLE) * count(*) FILTER (WHERE NOT l)) AS auc
 FROM (SELECT {avg_rank('s1', 'one')} AS rk, y3 > 0 AS l FROM (SELECT *, 1 AS one FROM scored WHERE s1 IS NOT NULL AND y3 IS NOT NULL)))""", SCORED)
 def _(spark, sf):
-    return ev.binary_auc(scored(spark, sf), "s1", F.col("y3") > 0, bound=names_bound(spark, sf) * 400)
+    return ev.binary_auc(scored(spark, sf), "s1", F.col("y3") > 0, bound=None)
 
 
 def _report_sql():
