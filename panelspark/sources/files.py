@@ -121,11 +121,11 @@ def save_panel(panel: DataFrame, path: str, fields) -> None:
 
 
 def load_panel(spark: SparkSession, path: str, fields, exclude: DataFrame | None = None) -> DataFrame:
-    """The fields joined on (date, entity); sync-conflict copies are skipped, excluded entities dropped."""
+    """The fields joined on (date, entity); sync-conflict copies (`name 2.parquet`) are skipped, excluded entities dropped."""
     out = None
+    copy = F.col("_metadata.file_name").rlike(r"( |%20)\d+\.parquet$")
     for f in fields:
-        one = spark.read.option("pathGlobFilter", "*[!0-9 ].parquet").parquet(f"{path}/{f}").select(
-            "date", "entity", F.col("value").alias(f))
+        one = spark.read.parquet(f"{path}/{f}").where(~copy).select("date", "entity", F.col("value").alias(f))
         out = one if out is None else out.join(one, ["date", "entity"], "full_outer")
     return out if exclude is None else out.join(exclude.select("entity"), "entity", "left_anti")
 
