@@ -18,11 +18,11 @@ from .registry import query
 
 KEY = "date entity# "
 FACTS = "facts AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS d, year(l_shipdate) AS y, quarter(l_shipdate) AS qt, * FROM lineitem)"
-LINKS = """links AS (SELECT entity, lpad(CAST((entity + l_linenumber * 13) % 60 AS VARCHAR), 6, '0') AS gvkey, min(d) AS link_from, max(d) AS link_thru,
+LINKS = """links AS (SELECT entity, printf('%06d', CAST(entity + l_linenumber * 13 AS BIGINT)) AS gvkey, min(d) AS link_from, max(d) AS link_thru,
   CASE WHEN l_linenumber % 4 = 3 THEN 'NR' ELSE 'LC' END AS link_type, CASE WHEN y % 3 = 0 THEN 'J' ELSE 'P' END AS link_prim
   FROM facts WHERE (entity + l_linenumber * 3 + y) % 5 < 2 GROUP BY entity, l_linenumber, y),
 vlinks AS (SELECT * FROM links WHERE link_type IN ('LC', 'LU') AND link_prim IN ('P'))"""
-SECTORS = """sectors AS (SELECT lpad(CAST((entity + l_linenumber * 13) % 60 AS VARCHAR), 6, '0') AS gvkey,
+SECTORS = """sectors AS (SELECT printf('%06d', CAST(entity + l_linenumber * 13 AS BIGINT)) AS gvkey,
   CASE WHEN entity % 10 <> 0 THEN 10 + 5 * (entity % 11) END AS sector, entity, min(d) AS ind_from, max(d) AS ind_thru
   FROM facts WHERE y % 2 = entity % 2 GROUP BY 1, 2, 3, y)"""
 SPELLS = """spells AS (SELECT entity, min(date) AS spell_start, max(date) AS spell_end FROM (
@@ -327,11 +327,11 @@ def _(spark, sf):
 
 
 @query("member_firm_quarters", "gvkey fyearq# fqtr#", """
-SELECT DISTINCT lpad(CAST(q.gvkey % 60 AS VARCHAR), 6, '0') AS gvkey, q.fyearq, q.fqtr FROM quarters q
-JOIN vlinks l ON l.gvkey = lpad(CAST(q.gvkey % 60 AS VARCHAR), 6, '0') AND q.period_end BETWEEN link_from AND link_thru
+SELECT DISTINCT printf('%06d', CAST(q.gvkey AS BIGINT)) AS gvkey, q.fyearq, q.fqtr FROM quarters q
+JOIN vlinks l ON l.gvkey = printf('%06d', CAST(q.gvkey AS BIGINT)) AND q.period_end BETWEEN link_from AND link_thru
 JOIN spells s ON s.entity = l.entity AND q.period_end BETWEEN spell_start AND spell_end""", more(W_QUARTERS, LINKS, SPELLS))
 def _(spark, sf):
-    q = quarters(spark, sf).select(F.lpad((F.col("gvkey") % 60).cast("string"), 6, "0").alias("gvkey"), "fyearq", "fqtr", "period_end")
+    q = quarters(spark, sf).select(co.company_key(F.col("gvkey")).alias("gvkey"), "fyearq", "fqtr", "period_end")
     return pit.member_firm_quarters(q, vlinks(spark, sf), co.membership_spells(spark, sf))
 
 

@@ -20,8 +20,12 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gvkey(entity, line):
-    """Six digits with leading zeros, as company keys have."""
-    return F.lpad(((F.col(entity) + F.col(line) * 13) % 60).cast("string"), 6, "0")
+    """Six digits (or more) with leading zeros, as company keys have; a key is shared by few entities, keys grow with them."""
+    return company_key(F.col(entity) + F.col(line) * 13)
+
+
+def company_key(number):
+    return F.format_string("%06d", number.cast("bigint"))
 
 
 def link_history(spark: SparkSession, sf_dir: str) -> DataFrame:

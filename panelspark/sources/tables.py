@@ -7,8 +7,6 @@ most one row per calendar week however many fact rows that entity has.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,28 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=256)
-def _rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    return table(spark, sf_dir, name).count()
-
+def names_bound(spark: SparkSession, sf_dir: str) -> int | None:
+    """Upper bound on the names of one date: the rows of the entity dimension, counted (from footers) for each plan.
 
-def names_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Upper bound on the names of one date: the row count of the entity dimension (footer only)."""
-    return _rows(spark, sf_dir, "supplier")
+    With the session setting ``panelspark.crosssection.plan`` = ``split`` no bound is given, so that every cross-section
+    takes the split plan.
+    """
+    if spark.conf.get("panelspark.crosssection.plan", None) == "split":
+        return None
+    return table(spark, sf_dir, "supplier").count()
 
 
-def _trade_order(price):
-    """Order of the facts inside one bar as a single BIGINT: weekday, order, line, whole price.
+def _trade_order():
+    """Order of the facts inside one bar: weekday, then order, then line, as one DECIMAL(38).
 
-    One long keeps the first/last aggregates in hash aggregation with map-side combining; a struct
-    would force sort-based aggregation. Widths: 3 + 40 + 3 + 17 bits.
+    A decimal keeps the first/last aggregates in hash aggregation with map-side combining; a struct would force
+    sort-based aggregation. Orders take 19 digits and lines 10, so any BIGINT and INT fits without overlap.
     """
-    return (
-        F.shiftleft(F.weekday("l_shipdate").cast("bigint"), 60)
-        .bitwiseOR(F.shiftleft(F.col("l_orderkey"), 20))
-        .bitwiseOR(F.shiftleft(F.col("l_linenumber").cast("bigint"), 17))
-        .bitwiseOR(F.least(F.floor(price), F.lit(2**17 - 1)))
-    )
+    digits = F.concat(
+        (F.weekday("l_shipdate") + 1).cast("string"),
+        F.lpad(F.col("l_orderkey").cast("bigint").cast("string"), 19, "0"),
+        F.lpad(F.col("l_linenumber").cast("bigint").cast("string"), 10, "0"))
+    return digits.cast("decimal(38,0)")
 
 
 def _bars(spark: SparkSession, sf_dir: str, period, hours: bool = False) -> DataFrame:
@@ -54,7 +52,7 @@ def _bars(spark: SparkSession, sf_dir: str, period, hours: bool = False) -> Data
     price = F.col("l_extendedprice") / F.col("l_quantity")
     facts = li.select(
         F.col("l_suppkey").alias("entity"), period.alias("date"), price.alias("price"),
-        _trade_order(price).alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber",
+        _trade_order().alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber",
     )
     return facts.groupBy("entity", "date").agg(
         F.min_by("price", "seq").alias("open"),
