@@ -242,7 +242,8 @@ class CrossSection:
             q = F.percentile(F.col(x), F.array(*[F.lit(float(p)) for p in probs.values()]))
             table = df.groupBy(*self.by).agg(q.alias("_q"))
             return table.select(*self.by, *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
-        counts = self._value_counts(materialize(df), x)
+        df = materialize(df.select(*self.by, x))
+        counts = self._value_counts(df, x)
         o = split_order(counts, list(self.by), [x], "_eq")
         aggs = []
         for k, p in probs.items():
@@ -254,8 +255,10 @@ class CrossSection:
             ]
         table = o.groupBy(*self.by).agg(F.max("n").alias("_n"), *aggs)
         frac = {k: ((F.col("_n") - 1) * F.lit(float(p))) % 1 for k, p in probs.items()}
-        return table.select(*self.by, *[
+        table = table.select(*self.by, *[
             (F.col(f"{k}_lo") * (1 - frac[k]) + F.col(f"{k}_hi") * frac[k]).alias(k) for k in probs])
+        # a group without values has no value counts, but is a group all the same
+        return _null_safe(df.select(*self.by).distinct(), table, list(self.by)) if self.by else table
 
     def with_quantiles(self, df: DataFrame, x: str, probs: dict[str, float]) -> DataFrame:
         if self.windowed:
@@ -289,14 +292,19 @@ class CrossSection:
         return df.withColumn(out, value).drop("_lo", "_hi")
 
     def winsor_all(self, df, xs, p: float) -> DataFrame:
-        """Clip several columns in place; the window plan computes all quantiles in one window."""
-        if not self.windowed:
-            for x in xs:
-                df = self.winsor(df, x, "_wx", p).drop(x).withColumnRenamed("_wx", x)
-            return df
-        w = self._window()
-        probs = F.array(F.lit(float(p)), F.lit(1.0 - p))
-        d = df.select("*", *[F.percentile(F.col(x), probs).over(w).alias(f"_q_{x}") for x in xs])
+        """Clip several columns in place: one window with all quantiles, or one pass over all columns' value counts."""
+        if self.windowed:
+            w = self._window()
+            probs = F.array(F.lit(float(p)), F.lit(1.0 - p))
+            d = df.select("*", *[F.percentile(F.col(x), probs).over(w).alias(f"_q_{x}") for x in xs])
+        else:
+            df = materialize(df)
+            long = df.select(*self.by, F.explode(F.array(*[
+                F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
+            ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p})
+            wide = ends.groupBy(*self.by).agg(*[
+                F.max(F.when(F.col("_x") == i, F.array("_lo", "_hi"))).alias(f"_q_{x}") for i, x in enumerate(xs)])
+            d = _null_safe(df, wide, list(self.by))
         clip = {x: F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col(f"_q_{x}")[1]), F.col(f"_q_{x}")[0])) for x in xs}
         return d.withColumns(clip).drop(*[f"_q_{x}" for x in xs])
 

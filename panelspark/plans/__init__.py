@@ -12,4 +12,5 @@ def load_all() -> dict[str, Query]:
     for mod in pkgutil.iter_modules(__path__):
         if mod.name.startswith("q_"):
             importlib.import_module(f"{__name__}.{mod.name}")
+    importlib.import_module(f"{__name__}.split_plans").add_twins()
     return REGISTRY

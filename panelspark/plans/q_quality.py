@@ -167,13 +167,13 @@ def _(spark, sf):
 @query("quantile_thresholds", "level~ threshold~", " UNION ALL ".join(f"""
 SELECT {p} AS level, (abs(quantile_cont(y3, {p})) + abs(quantile_cont(y3, {1 - p}))) / 2 AS threshold FROM scored""" for p in (0.01, 0.05, 0.25)), SCORED)
 def _(spark, sf):
-    return ql.symmetric_thresholds(scored(spark, sf), "y3", (0.01, 0.05, 0.25), names_bound(spark, sf) * 400)
+    return ql.symmetric_thresholds(scored(spark, sf), "y3", (0.01, 0.05, 0.25), None)
 
 
 @query("prediction_distribution", "mean~ std~ q0_01~ q0_1~ q0_9~ q0_99~", """
 SELECT avg(s1) AS mean, stddev_samp(s1) AS std, quantile_cont(s1, 0.01) AS q0_01, quantile_cont(s1, 0.1) AS q0_1, quantile_cont(s1, 0.9) AS q0_9, quantile_cont(s1, 0.99) AS q0_99 FROM scored""", SCORED)
 def _(spark, sf):
-    return ql.prediction_distribution(scored(spark, sf), "s1", (0.01, 0.1, 0.9, 0.99), names_bound(spark, sf) * 400)
+    return ql.prediction_distribution(scored(spark, sf), "s1", (0.01, 0.1, 0.9, 0.99), None)
 
 
 ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')}) WHERE year(date) >= 1996

@@ -351,7 +351,7 @@ def _(spark, sf):
 SELECT CAST(s1 > q[1] AS INT) + CAST(s1 > q[2] AS INT) + CAST(s1 > q[3] AS INT) + CAST(s1 > q[4] AS INT) AS bin, avg(r0) AS mean_r
 FROM mixed, (SELECT quantile_cont(s1, [0.2, 0.4, 0.6, 0.8]) AS q FROM mixed) GROUP BY 1""", MIXED)
 def _(spark, sf):
-    return rg.quantile_bin_means(mixed(spark, sf), "r0", "s1", (0.2, 0.4, 0.6, 0.8), names_bound(spark, sf) * 400)
+    return rg.quantile_bin_means(mixed(spark, sf), "r0", "s1", (0.2, 0.4, 0.6, 0.8), None)
 
 
 @query("regime_balanced_loss", "balanced_loss~6", """

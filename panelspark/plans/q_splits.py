@@ -83,7 +83,7 @@ def _(spark, sf):
 def _(spark, sf):
     # a global ordinal: one group holds every row, so the bound is names x weeks
     b = weekly_bars(spark, sf).select("date", "entity").withColumn("d", F.unix_date("date"))
-    return CrossSection((), names_bound(spark, sf) * 400).ordinal(b, "d", "pos", "entity")
+    return CrossSection((), None).ordinal(b, "d", "pos", "entity")
 
 
 @query("top_n_per_group", "date entity# rank#", """
@@ -136,14 +136,14 @@ def labelled(spark, sf):
 SELECT date, entity, k FROM (SELECT *, row_number() OVER (PARTITION BY k = 0 ORDER BY h) AS rn FROM lab)
 WHERE k <> 0 OR rn <= floor((SELECT count(*) FROM lab WHERE k <> 0) * 0.25)""", more(SCORED, LABELLED))
 def _(spark, sf):
-    return sm.downsample_zero(labelled(spark, sf), "k", 0.25, bound=names_bound(spark, sf) * 400)
+    return sm.downsample_zero(labelled(spark, sf), "k", 0.25, bound=None)
 
 
 @query("balance_signed", "date entity# k#", """
 SELECT date, entity, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS rn FROM lab WHERE k <> 0) a
 WHERE rn <= least((SELECT count(*) FROM lab b WHERE b.k = abs(a.k)), (SELECT count(*) FROM lab b WHERE b.k = -abs(a.k)))""", more(SCORED, LABELLED))
 def _(spark, sf):
-    return sm.balance_signed(labelled(spark, sf), "k", bound=names_bound(spark, sf) * 400)
+    return sm.balance_signed(labelled(spark, sf), "k", bound=None)
 
 
 @query("balanced_sample", "date entity# y_bucket#", """
@@ -152,7 +152,7 @@ WHERE CASE WHEN k = 0 THEN rn <= floor((SELECT count(*) FROM lab WHERE k <> 0 AN
   ELSE rn <= least((SELECT count(*) FROM lab b WHERE b.k = abs(a.k) AND abs(y) < 0.08), (SELECT count(*) FROM lab b WHERE b.k = -abs(a.k) AND abs(y) < 0.08)) END""", more(SCORED, LABELLED))
 def _(spark, sf):
     d = labelled(spark, sf).drop("k")
-    return sm.balanced_sample(d, "y", (0.02, 0.05), 0.25, limit=0.08, bound=names_bound(spark, sf) * 400)
+    return sm.balanced_sample(d, "y", (0.02, 0.05), 0.25, limit=0.08, bound=None)
 
 
 @query("replay_subset", "date entity# round# replayed", """
