@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .quality import fold_of
@@ -86,18 +86,19 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, head_tokens: int = HEAD_TOKENS, frequent_tokens: int = FREQUENT) -> Vocabulary:
     """From the counts: the ``head_tokens`` commonest (ties by key) and sums of all; bounded however many tokens there are."""
     head = counts.orderBy(F.desc("n"), "key").limit(head_tokens).collect()
-    frequent = {r.key: i for i, r in enumerate(head[:frequent_tokens])}
-    if (end := int(END_KEY.astype(np.int64))) not in frequent:  # the end always has a symbol of its own
-        frequent[end] = min(len(head), frequent_tokens - 1)
-        frequent = {k: i for k, i in frequent.items() if k == end or i != frequent[end]}
+    end = int(END_KEY.astype(np.int64))
+    if not any(r.key == end for r in head):
+        head += counts.where(F.col("key") == end).limit(1).collect() or [Row(key=end, n=0)]
+    first = [r.key for r in head[:frequent_tokens]]
+    if end not in first:  # the end always has a symbol of its own
+        first[frequent_tokens - 1:] = [end]
+    frequent = {key: i for i, key in enumerate(first)}
     whole = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     rare = counts.where(~F.col("key").isin(list(frequent))).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rare:
         class_n[r["class"]], class_v[r["class"]] = r.n, r.v
     head = sorted(((np.uint64(r.key % (1 << 64)), r.n, frequent.get(r.key, -1)) for r in head), key=lambda r: r[0])
-    if not any(k == END_KEY for k, _, _ in head):
-        head = sorted([*head, (END_KEY, 0, frequent[end])], key=lambda r: r[0])
     symbol_counts = np.zeros(frequent_tokens + CLASSES)
     for _, n, s in head:
         if s >= 0:

@@ -135,7 +135,7 @@ class _Finder:
         raw = text.encode()
         for end in ends:
             place = len(raw[:end].decode())
-            while place < len(text) and text[place] in " \t:=\"'(<" and text[place] != "\n":
+            while place < len(text) and text[place] in " \t:=\"'<" and text[place] != "\n":
                 place += 1
             pattern = _pattern(text, place)
             for kind in self.kinds.get(pattern or "", ()):
@@ -230,9 +230,14 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def pii_report(docs: DataFrame) -> DataFrame:
     """``doc_id``, the number of all spans of each kind, the SHA-256 of the base spans' list and the list of all spans."""
     found = find_pii(docs)
-    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def _mask(patterns: list[tuple[str, str]]):
