@@ -295,10 +295,10 @@ def ridge_predict(df: DataFrame, coefs: DataFrame, xs, out: str) -> DataFrame:
     return d.withColumn(out, fit).drop("_k", "_b")
 
 
-def pooled_folds(tables: dict[str, DataFrame], key: str = "fold") -> DataFrame:
-    """Concatenate the prediction tables of the folds in fold order, tagged by name."""
-    out = None
-    for name, t in tables.items():
-        one = t.withColumn("arm", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def pooled_folds(scored: DataFrame, arms: dict[str, str], keys) -> DataFrame:
+    """The folds' predictions of every arm in long form (``arm``, keys, ``pred``), from one pass over the scored rows.
+
+    ``arms`` names the prediction column of each arm; the folds are rows of one table, told apart by one of the keys.
+    """
+    stacked = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(c).alias("pred")) for arm, c in arms.items()]))
+    return scored.select(*keys, stacked.alias("_a")).select(*keys, "_a.arm", "_a.pred")

@@ -10,9 +10,11 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.elementwise import col, hard_split, p_value, zero_to_null
 from .evaluate import kish, long_run_variances, overlap_kernels, safe_corr
@@ -39,32 +41,30 @@ def regime_filter(series: DataFrame, means, variances, transition, initial, stat
                   by=("series",), order: str = "date", value: str = "value") -> DataFrame:
     """(by, date, <states>, log_c): filtered probabilities and one-step log predictive density.
 
-    The recursion over a series' sorted dates runs inside one ``aggregate``; K is a small literal.
+    The recursion is one linear pass over a series' dates, as an Arrow table; K is a small literal.
     """
-    k = len(states)
-    log2pi = math.log(2.0 * math.pi)
-    rows = series.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).alias("d"), F.col(value).alias("v")))).alias("_r"))
-    cell = "struct<d:date," + ",".join(f"f{i}:double" for i in range(k)) + ",log_c:double>"
-    start = F.struct(*[F.lit(float(initial[i])).alias(f"p{i}") for i in range(k)],
-                     F.array().cast(f"array<{cell}>").alias("out"))
-
-    def step(s, r):
-        logs = [-0.5 * (log2pi + math.log(variances[i]) + (r["v"] - means[i]) * (r["v"] - means[i]) / variances[i])
-                for i in range(k)]
-        peak = F.greatest(*logs)
-        joint = [s[f"p{i}"] * F.exp(logs[i] - peak) for i in range(k)]
-        total = _add(joint)
-        f = [j / total for j in joint]
-        pred = [_add([f[j] * float(transition[j][i]) for j in range(k)]) for i in range(k)]
-        out = F.struct(r["d"].alias("d"), *[f[i].alias(f"f{i}") for i in range(k)],
-                       (F.log(total) + peak).alias("log_c"))
-        return F.struct(*[pred[i].alias(f"p{i}") for i in range(k)],
-                        F.array_append(s["out"], out).alias("out"))
-
-    filtered = rows.select(*by, F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("c"))
-    return filtered.select(*by, F.col("c.d").alias(order), *[F.col(f"c.f{i}").alias(n) for i, n in enumerate(states)],
-                           F.col("c.log_c").alias("log_c"))
+    log_norm = [0.5 * (math.log(2.0 * math.pi) + math.log(v)) for v in variances]
+    chain = np.asarray(transition, dtype=float)
+    names = [order, *states, "log_c"]
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        values = np.asarray(table.column(value), dtype=float)
+        logs = -0.5 * (values[:, None] - np.asarray(means)) ** 2 / np.asarray(variances) - np.asarray(log_norm)
+        peak = logs.max(axis=1)
+        likelihood = np.exp(logs - peak[:, None])
+        filtered, total, ahead = np.empty_like(likelihood), np.empty(len(values)), np.asarray(initial, dtype=float)
+        for t in range(len(values)):
+            joint = ahead * likelihood[t]
+            total[t] = joint.sum()
+            filtered[t] = joint / total[t]
+            ahead = filtered[t] @ chain
+        columns = [table.column(c) for c in (*by, order)] + [pa.array(filtered[:, i]) for i in range(len(states))] + [pa.array(np.log(total) + peak)]
+        return pa.Table.from_arrays(columns, names=[*by, *names])
+
+    rows = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value))
+    fields = [rows.schema[c] for c in (*by, order)] + [T.StructField(c, T.DoubleType()) for c in (*states, "log_c")]
+    return rows.groupBy(*by).applyInArrow(scan, T.StructType(fields))
 
 
 def gate_weights(probs: DataFrame, transition, kind: str, horizon: int = 1, states=CALM_STRESS) -> DataFrame:
@@ -121,9 +121,10 @@ def causal_vol_assignment(series: DataFrame, w: int, calm_share: float, k: int,
     d = trailing_vol(series, w, by, value)
     past = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     cuts = [calm_share + j * (1.0 - calm_share) / (k - 1) for j in range(k - 1)]
-    level = _add([(F.col("vol") > F.percentile("vol", F.lit(c)).over(past)).cast("int") for c in cuts])
+    d = d.withColumn("_cuts", F.percentile("vol", F.array(*[F.lit(c) for c in cuts])).over(past))
+    level = _add([(F.col("vol") > F.col("_cuts")[j]).cast("int") for j in range(k - 1)])
     ready = F.col("vol").isNotNull() & (F.count("vol").over(past) >= min_history)
-    return d.withColumn("regime", F.when(ready, level).otherwise(-1))
+    return d.withColumn("regime", F.when(ready, level).otherwise(-1)).drop("_cuts")
 
 
 def runs(df: DataFrame, flag: Column, by, order: str = "date") -> DataFrame:

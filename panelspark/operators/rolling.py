@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from math import comb
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.elementwise import col, div, zero_to_null
 from ..sources.tables import by_entity
@@ -302,32 +304,22 @@ def ewm_mean(df, x: str, span: int, out: str, min_obs: int | None = None,
              entity: str = "entity", date: str = "date"):
     """Exponentially weighted mean, span w, weights (1 - a)^age with a = 2 / (w + 1).
 
-    A missing value ages both sums and contributes to neither. The recursion runs inside one
-    ``aggregate`` over the entity's date-sorted array (one array entry per calendar date at most),
-    and the rows keep their other columns by an explode of the same array.
+    A missing value ages both sums and contributes to neither. The recursion is one linear pass over an entity's rows,
+    which are at most one per calendar date, as an Arrow table.
     """
     need = default_min_obs(span) if min_obs is None else min_obs
     keep = 1.0 - 2.0 / (span + 1.0)
-    rest = [c for c in df.columns if c not in (entity, out)]
-    rows = F.sort_array(F.collect_list(F.struct(date, *[c for c in rest if c != date])))
-    start = F.struct(
-        F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(0).alias("n"),
-        F.array().cast("array<double>").alias("out"),
-    )
-
-    def step(s, r):
-        v = r[x]
-        has = v.isNotNull()
-        num = s["num"] * keep + F.coalesce(v, F.lit(0.0))
-        den = s["den"] * keep + F.when(has, 1.0).otherwise(0.0)
-        n = s["n"] + F.when(has, 1).otherwise(0)
-        value = F.when((n >= need) & (den > 0), num / den)
-        return F.struct(num.alias("num"), den.alias("den"), n.alias("n"),
-                        F.array_append(s["out"], value).alias("out"))
-
-    return (
-        df.groupBy(entity).agg(rows.alias("_rows"))
-        .withColumn("_ewm", F.aggregate("_rows", start, step, lambda s: s["out"]))
-        .select(entity, F.posexplode("_rows").alias("_i", "_r"), "_ewm")
-        .select(entity, "_r.*", F.element_at("_ewm", F.col("_i") + 1).alias(out))
-    )
+    df = df.drop(out)
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by(date)
+        num = den = 0.0
+        seen, means = 0, []
+        for v in table.column(x).to_pylist():
+            num, den = num * keep, den * keep
+            if v is not None:
+                num, den, seen = num + v, den + 1.0, seen + 1
+            means.append(num / den if seen >= need and den > 0 else None)
+        return table.append_column(out, pa.array(means, pa.float64()))
+
+    return df.groupBy(entity).applyInArrow(scan, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -8,6 +8,7 @@ from ..functions import elementwise as e
 from ..operators import rolling as ts
 from ..sources.tables import by_entity, table, weekly_panel
 from .oracle import PANEL
+from .q_regimes import NORM
 from .q_rolling import KEY, ts_query
 from .registry import query
 
@@ -169,20 +170,12 @@ def _(p):
     return p.select("date", "entity", calm.alias("calm"), stress.alias("stress"))
 
 
-SERIES = """
+@query("p_value", KEY + "p_less~7 p_two~7", f"""
 SELECT date, entity, cdf AS p_less, 2 * least(cdf, 1 - cdf) AS p_two FROM (
-  SELECT date, entity, CASE WHEN t IS NOT NULL THEN 0.5 + sign(t) / sqrt(2 * pi()) * (
-      SELECT sum(term) FROM (SELECT pow(-1, k) * pow(abs(t), 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)) AS term
-                             FROM range(60) AS g(k))) END AS cdf
-  FROM (SELECT date, entity, CASE WHEN sig IS NOT NULL THEN least(greatest(sig * 2, -4), 4) END AS t FROM panel))"""
-
-
-@query("p_value", KEY + "p_less~7 p_two~7", SERIES, PANEL)
+  SELECT date, entity, {NORM} AS cdf FROM (SELECT date, entity, sig * 2 AS t FROM panel))""", PANEL)
 def _(spark, sf):
-    p = weekly_panel(spark, sf)
-    t = F.least(F.greatest(F.col("sig") * 2, F.lit(-4.0)), F.lit(4.0))
-    t = F.when(F.col("sig").isNotNull(), t)
-    return p.select("date", "entity", e.p_value(t, "less").alias("p_less"), e.p_value(t).alias("p_two"))
+    p = weekly_panel(spark, sf).withColumn("t", F.col("sig") * 2)
+    return p.select("date", "entity", e.p_value("t", "less").alias("p_less"), e.p_value("t").alias("p_two"))
 
 
 @ts_query("window_gates", "near far between", "day(last_day(date)) - day(date) <= 5 AS near, "

@@ -178,7 +178,7 @@ def _(spark, sf):
 
 
 @query("ic_p_values", "series t~6 p~6", f"""
-SELECT series, t, 2 * least(cdf, 1 - cdf) AS p FROM (SELECT series, t, {NORM} AS cdf FROM (SELECT series, greatest(least(mean / sqrt(lrv / n), 5), -5) AS t FROM ({hac_sql('rets', 'v', 2)})))""", W_RETS)
+SELECT series, t, 2 * least(cdf, 1 - cdf) AS p FROM (SELECT series, t, {NORM} AS cdf FROM (SELECT series, mean / sqrt(lrv / n) AS t FROM ({hac_sql('rets', 'v', 2)})))""", W_RETS)
 def _(spark, sf):
     s = ev.series_summary(rets(spark, sf), "v", 2)
-    return s.withColumn("t", F.greatest(F.least("t", F.lit(5.0)), F.lit(-5.0))).withColumn("p", p_value("t"))
+    return s.withColumn("p", p_value("t"))

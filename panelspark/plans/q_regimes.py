@@ -243,8 +243,17 @@ def _(spark, sf):
     return rg.split_table(ics(spark, sf), split_weights(spark, sf), 3, 6)
 
 
-NORM = """(0.5 + sign(t) / sqrt(2 * pi()) * (SELECT sum(pow(-1, k) * pow(abs(t), 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)))
-  FROM range(70) AS g(k)))"""
+def _fraction(depth: int = 24) -> str:
+    """The continued fraction a + 1 / (a + 2 / (a + ...)) of the normal tail, for a = abs(t)."""
+    text = "abs(t)"
+    for k in range(depth, 0, -1):
+        text = f"(abs(t) + {k} / {text})"
+    return text
+
+
+# the distribution function: a power series near zero, the tail's continued fraction from 4 on
+NORM = f"""(CASE WHEN abs(t) < 4 THEN 0.5 + sign(t) / sqrt(2 * pi()) * (SELECT sum(pow(-1, k) * pow(abs(t), 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)))
+  FROM range(70) AS g(k)) WHEN t IS NOT NULL THEN (1 + sign(t)) / 2 - sign(t) * exp(-t * t / 2) / sqrt(2 * pi()) / {_fraction()} END)"""
 
 
 @query("assign_families", "family split kind series p~6 adjusted~6 reject", f"""
@@ -274,16 +283,15 @@ def _(spark, sf):
     return rg.sector_measures(p.where("series <> 'market'"), p.where("series = 'market'"), "stress", 0.5, 3)
 
 
-SECTORS = [f"sector_{k}" for k in range(5)]
-
-
 @query("co_stress", "a b share~", """
 SELECT x.series AS a, y.series AS b, avg(CAST(x.stress > 0.5 AND y.stress > 0.5 AS DOUBLE)) AS share
 FROM probs x JOIN probs y ON x.date = y.date
 WHERE x.series <> 'market' AND y.series <> 'market'
-  AND x.date IN (SELECT date FROM probs WHERE series <> 'market' GROUP BY date HAVING count(*) = 5) GROUP BY 1, 2""", PROBS)
+  AND x.date IN (SELECT date FROM probs WHERE series <> 'market' GROUP BY date HAVING count(*) = (SELECT count(DISTINCT series) FROM probs WHERE series <> 'market')) GROUP BY 1, 2""", PROBS)
 def _(spark, sf):
-    return rg.co_stress(probs(spark, sf).where("series <> 'market'"), "stress", 0.5, SECTORS)
+    sectors = probs(spark, sf).where("series <> 'market'")
+    names = [r.series for r in sectors.select("series").distinct().orderBy("series").collect()]  # one for each sector
+    return rg.co_stress(sectors, "stress", 0.5, names)
 
 
 UTIL = """util AS (SELECT date, avg(volume / (volume + n_trades + 1)) AS u0, avg(n_trades / (volume + n_trades + 1)) AS u1 FROM panel GROUP BY date),

@@ -30,7 +30,7 @@ class RegimeFilter(StatefulProcessor):
     """Filtered regime probabilities of one series, carried from date to date.
 
     State: the last date and the predicted probabilities. Rows are taken in date order; a date at or
-    before the last one is rejected, so nothing already published changes.
+    before the last one changes nothing that is published and is reported as a ``late`` row without probabilities.
     """
 
     def __init__(self, means, variances, transition, initial):
@@ -52,6 +52,7 @@ class RegimeFilter(StatefulProcessor):
         for date, value in zip(frame["date"], frame["value"], strict=True):
             stamp = str(date)
             if stamp <= last:
+                out.append((key[0], date, *[None] * k, None, True))
                 continue
             logs = [-0.5 * (math.log(2 * math.pi * v) + (value - m) ** 2 / v)
                     for m, v in zip(self.means, self.variances, strict=True)]
@@ -61,21 +62,24 @@ class RegimeFilter(StatefulProcessor):
             f = [j / total for j in joint]
             pred = [sum(f[j] * self.transition[j][i] for j in range(k)) for i in range(k)]
             last = stamp
-            out.append((key[0], date, *f, math.log(total) + peak))
+            out.append((key[0], date, *f, math.log(total) + peak, False))
         self.state.update((last, *pred))
-        yield pd.DataFrame(out, columns=["series", "date", *[f"f{i}" for i in range(k)], "log_c"])
+        yield pd.DataFrame(out, columns=["series", "date", *[f"f{i}" for i in range(k)], "log_c", "late"])
 
     def close(self) -> None:
         pass
 
 
 def online_regime_filter(stream: DataFrame, means, variances, transition, initial, out: str, checkpoint: str):
-    """Run the filter over a (series, date, value) stream and append the filtered rows as parquet."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Run the filter over a (series, date, value) stream and append the filtered rows, and those that come late, as parquet.
+
+    The session has to name the RocksDB state store, which processors of this kind need.
+    """
+    provider = stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    if not provider.endswith("RocksDBStateStoreProvider"):
+        raise RuntimeError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider")
     k = len(initial)
-    schema = "series string, date date, " + ", ".join(f"f{i} double" for i in range(k)) + ", log_c double"
+    schema = "series string, date date, " + ", ".join(f"f{i} double" for i in range(k)) + ", log_c double, late boolean"
     filtered = stream.groupBy("series").transformWithStateInPandas(
         RegimeFilter(means, variances, transition, initial), schema, "append", "None")
     q = (filtered.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -84,19 +88,25 @@ def online_regime_filter(stream: DataFrame, means, variances, transition, initia
     return q
 
 
+#: The store of late quarters is divided by company into so many buckets; a batch reads the buckets it touches.
+BUCKETS = 64
+
+
 def late_quarters(stream: DataFrame, items, store: str, out: str, checkpoint: str):
     """Quarters arriving in any order: each batch recomputes the companies it touches.
 
-    A batch is written under its own id (a rerun overwrites itself), joined to everything known of
-    its companies, and their point-in-time values are written under the batch id; readers take the
-    newest batch per company.
+    A batch is written under its own id (a rerun overwrites itself) and by bucket of companies, joined to everything
+    known of its companies, and their point-in-time values are written under the batch id; readers take the newest batch
+    per company.
     """
     from ..operators.pit import fundamental_values, known_quarters
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        known = spark.read.parquet(store).where(F.col("batch_id") <= batch_id).drop("batch_id")
+        bucketed = batch.withColumn("bucket", F.pmod(F.hash("gvkey"), F.lit(BUCKETS)))
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
+        here = [r.bucket for r in spark.read.parquet(f"{store}/batch_id={batch_id}").select("bucket").distinct().collect()]
+        known = spark.read.parquet(store).where((F.col("batch_id") <= batch_id) & F.col("bucket").isin(here)).drop("batch_id", "bucket")
         touched = batch.select("gvkey").distinct()
         values = fundamental_values(known_quarters(known.join(touched, "gvkey", "left_semi"), items))
         values.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")

@@ -306,9 +306,11 @@ def test_online_filter_over_two_runs(spark, tmp_path):
     jobs.online_regime_filter(stream(), *args, out, ck)
     s.where("date >= '2020-01-03'").write.mode("append").parquet(src)
     jobs.online_regime_filter(stream(), *args, out, ck)
-    got = {r["date"]: r["f0"] for r in spark.read.parquet(out).collect()}
+    rows = spark.read.parquet(out).collect()
+    got = {r["date"]: r["f0"] for r in rows if not r["late"]}
     want = {r["date"]: r["calm"] for r in regimes.regime_filter(s, *args).collect()}
-    assert spark.read.parquet(out).count() == 6 and got == pytest.approx(want)
+    assert len(rows) == 7 and got == pytest.approx(want)
+    assert [(r["date"], r["f0"]) for r in rows if r["late"]] == [(dt.date(2020, 1, 3), None)]
 
 
 def test_late_quarters_stream_rerun(spark, tmp_path):
@@ -327,3 +329,49 @@ def test_late_quarters_stream_rerun(spark, tmp_path):
     got = {r["event"]: r["be"] for r in jobs.latest_values(spark, out).collect()}
     want = {r["event"]: r["be"] for r in pit.fundamental_values(pit.known_quarters(q, items)).collect()}
     assert got == want and len(got) == 3
+
+
+def test_anchor_years_before_the_calendar(spark):
+    from panelspark.operators.splits import calendar
+
+    days = spark.createDataFrame([(dt.date(2020, 1, d),) for d in (1, 2, 6, 7)], "date date")
+    cal = calendar(days)
+    asks = [dt.date(2016, 5, 1), dt.date(2019, 12, 31), dt.date(2020, 1, 1), dt.date(2020, 1, 3), dt.date(2020, 1, 6), dt.date(2020, 1, 7), dt.date(2020, 2, 1), None]
+    rows = spark.createDataFrame([(a,) for a in asks], "anchor date")
+    second = {r["anchor"]: r["out"] for r in pit.nth_trading_day_after(rows, cal, "anchor", 2, "out").collect()}
+    jan = lambda d: dt.date(2020, 1, d)
+    assert second == dict(zip(asks, [jan(2), jan(2), jan(6), jan(7), None, None, None, None]))
+    placed = {r["anchor"]: r["out"] for r in pit.place_on_calendar(rows, cal, "anchor", "out").collect()}
+    assert placed == dict(zip(asks, [jan(1), jan(1), jan(1), jan(6), jan(6), jan(7), None, None]))
+
+
+def test_open_intervals_hold_any_date(spark):
+    spells = spark.createDataFrame([("a", dt.date(2020, 1, 5), dt.date(9999, 12, 31)), ("b", dt.date(1, 1, 1), dt.date(2020, 1, 1)), ("c", None, dt.date(9999, 12, 31))],
+                                   "entity string, spell_start date, spell_end date")
+    rows = spark.createDataFrame([("a", dt.date(2101, 1, 15)), ("a", dt.date(2020, 1, 4)), ("b", dt.date(1850, 3, 1)), ("b", dt.date(2020, 1, 2)), ("c", dt.date(2020, 1, 2))], "entity string, date date")
+    assert sorted(map(tuple, pit.in_spell(rows, spells).collect())) == [("a", dt.date(2101, 1, 15)), ("b", dt.date(1850, 3, 1))]
+    listed = pit.by_month(spells, "spell_start", "spell_end", rows.where("entity = 'a'").agg(F.min("date"), F.max("date")))
+    assert listed.where("entity = 'a'").count() == 81 * 12 + 1
+
+
+def test_panel_folder_with_plain_parts_and_conflict_copies(spark, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    from panelspark.sources import files as fl
+
+    d = spark.createDataFrame([(dt.date(2020, 1, 1), 1, 2.0), (dt.date(2020, 1, 2), 1, 3.0)], "date date, entity int, value double").coalesce(1)
+    d.write.option("compression", "none").parquet(str(tmp_path / "close"))
+    part = next(p for p in Path(tmp_path / "close").iterdir() if p.name.endswith("c000.parquet"))
+    shutil.copy(part, part.with_name(part.name.replace(".parquet", " 2.parquet")))
+    assert sorted(map(tuple, fl.load_panel(spark, str(tmp_path), ["close"]).collect())) == [(dt.date(2020, 1, 1), 1, 2.0), (dt.date(2020, 1, 2), 1, 3.0)]
+
+
+def test_bar_order_of_large_keys(spark, tmp_path):
+    from panelspark.sources.tables import daily_bars
+
+    day = dt.datetime(2020, 1, 1)
+    rows = [(1, day, 2**40 + 5, 9, 10.0, 1.0), (1, day, 2**40 + 5, 10, 300000.0, 1.0), (1, day, 2**40 + 4, 2**30, 200000.0, 1.0), (1, day, 7, 8, 300000.0, 1.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    bar = daily_bars(spark, str(tmp_path)).first()
+    assert (bar.open, bar.close) == (300000.0, 300000.0) and bar.low == 10.0

@@ -93,3 +93,13 @@ def test_split_running_corrections(spark):
         b = {r["id"]: (r["adjusted"], r["reject"]) for r in fn(d, "p", ("fam",), ["id"], bound=None).collect()}
         assert a.keys() == b.keys()
         assert all(abs(a[k][0] - b[k][0]) < 1e-12 and a[k][1] == b[k][1] for k in a)
+
+
+def test_groups_without_values_and_null_keys(spark):
+    """A group whose values are all missing, a group of one row and the group of a missing key come back from both plans."""
+    rows = [(dt.date(2020, 1, 1), 1, None, None), (dt.date(2020, 1, 1), 2, None, 3.0), (dt.date(2020, 1, 2), 3, 5.0, None), (None, 4, 1.0, 1.0), (None, 5, 2.0, 8.0)]
+    d = spark.createDataFrame(rows, "date date, entity int, x double, y double")
+    q = {"lo": 0.25, "hi": 0.5}
+    assert sorted(map(str, SMALL.quantiles(d, "x", q).collect())) == sorted(map(str, UNKNOWN.quantiles(d, "x", q).collect()))
+    a = sorted(map(str, SMALL.winsor_all(d, ["x", "y"], 0.25).select("entity", "x", "y").collect()))
+    assert a == sorted(map(str, UNKNOWN.winsor_all(d, ["x", "y"], 0.25).select("entity", "x", "y").collect()))
