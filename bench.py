@@ -14,7 +14,7 @@ HEADLINE = (
     "weekly_panel", "momentum_ic_summary", "ts_mean_sum_max_min", "ts_median", "ts_rank", "ts_decay_ewm",
     "ts_corr", "window_drawdown", "cs_rank_pct", "cs_winsor", "cs_indneut", "cs_factorneut",
     "rank_to_unit", "top_n_mask", "ic_decay", "book_staggered", "decile_backtest", "alpha_fitness",
-    "sort_group_returns", "monotonic_relation_test",
+    "sort_group_returns", "monotonic_relation_test", "cs_rank_pct_split_plan", "alpha_fitness_split_plan",
 )
 
 
