@@ -14,39 +14,81 @@ Encode = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.nda
 class PieceMemo:
     """Maps pieces, known by their 64-bit hash, to id sequences held in one pool.
 
-    ``encode(data, starts, ends)`` gives the ids of some pieces, one after the other, and how many each has. At most
-    ``most`` pieces stay known from call to call; beyond that the memo starts afresh.
+    ``encode(data, starts, ends)`` gives the ids of some pieces, one after the other, and how many each has. The hashes
+    stand in an open table that is searched and filled for many pieces at a time. At most half its slots are used;
+    beyond that the memo starts afresh.
     """
 
-    def __init__(self, encode: Encode, most: int = 1 << 20):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Encode, slots: int = 1 << 22):
+        self.encode, self.slots = encode, slots
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.keys, self.places = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.known = 0
+        self.starts, self.sizes, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+        self.used = 0
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 if it isn't known."""
+        found, slot, open_ = np.full(len(keys), -1, np.int64), self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = self.places[slot[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+            slot[open_] = (slot[open_] + 1) % self.slots
+        return found
+
+    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            self.keys[slot[free]] = keys[free]
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.places[slot[won]] = numbers[won]
+            open_ = np.setdiff1d(open_, won, assume_unique=True)
+            slot[open_] = (slot[open_] + 1) % self.slots
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, sizes = self.encode(data, starts, ends)
+        self.pool = _room(self.pool, self.used + len(ids))
+        self.starts, self.sizes = _room(self.starts, self.known + len(keys)), _room(self.sizes, self.known + len(keys))
+        self.pool[self.used:self.used + len(ids)] = ids
+        here = slice(self.known, self.known + len(keys))
+        self.starts[here], self.sizes[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self._insert(keys, np.arange(self.known, self.known + len(keys), dtype=np.int32))
+        self.used, self.known = self.used + len(ids), self.known + len(keys)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces, one after the other, and how many each has."""
-        keys, first, inverse = np.unique(PrefixHash(data).of(starts, ends), return_index=True, return_inverse=True)
-        at, known = self._find(keys)
-        if not known.all():
-            fresh = np.flatnonzero(~known)
-            if len(self.keys) + len(fresh) > self.most:
+        keys = PrefixHash(data).of(starts, ends) | np.uint64(1)  # 0 marks a free slot
+        found = self._find(keys)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            distinct, first = np.unique(keys[fresh], return_index=True)
+            if self.known + len(distinct) > self.slots // 2:
                 self._forget()
                 fresh = np.arange(len(keys))  # the pieces of one call have to be known together
-            ids, sizes = self.encode(data, starts[first[fresh]], ends[first[fresh]])
-            places = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
-            everything = np.concatenate([self.keys, keys[fresh]])
-            order = np.argsort(everything, kind="stable")
-            self.keys, self.starts, self.sizes = everything[order], np.concatenate([self.starts, places])[order], np.concatenate([self.sizes, sizes])[order]
-            at, _ = self._find(keys)
-        sizes = self.sizes[at][inverse] if len(keys) else np.zeros(0, np.int64)
-        begins = self.starts[at][inverse] if len(keys) else sizes
-        ids = self.pool[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+                distinct, first = np.unique(keys, return_index=True)
+                while len(distinct) > self.slots // 2:
+                    self.slots *= 2
+                    self._forget()
+            self._learn(data, distinct, starts[fresh[first]], ends[fresh[first]])
+            found[fresh] = self._find(keys[fresh])
+        sizes = self.sizes[found].astype(np.int64)
+        before = np.cumsum(sizes) - sizes
+        ids = self.pool[np.repeat(self.starts[found] - before, sizes) + np.arange(int(sizes.sum()))]
         return ids, sizes
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a larger one that begins with it, with ``size`` places at least."""
+    if size <= len(array):
+        return array
+    larger = np.zeros(max(size, 2 * len(array)), array.dtype)
+    larger[:len(array)] = array
+    return larger

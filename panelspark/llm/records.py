@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -26,7 +27,7 @@ from .memo import PieceMemo
 from .words import SPACES, blocks, shuffle_partitions, store, text_bytes
 
 HEAD, TAIL, META = 12, 4, 9
-READ_BYTES = 8 << 20
+READ_BYTES = 4 << 20
 #: Bytes 0x1C-0x1F and the white space beyond ASCII: rows with any of it are not cut into pieces.
 _ODD_SPACE = np.zeros(256, bool)
 _ODD_SPACE[[*range(0x1C, 0x20)]] = True
@@ -93,15 +94,21 @@ def _frames(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end_id: in
     return b"".join(parts), lengths
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_json: str) -> TextEncoder:
+    """One encoder for all tasks of a worker, with the pieces it has met."""
+    return TextEncoder(tokenizer_json)
+
+
 def _write(tokenizer_json: str, folder: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = out = index = None
         records = tokens = 0
-        for block in blocks(batches, limit=8 << 20):
+        for block in blocks(batches, limit=2 << 20):
             if encoder is None:
-                encoder = TextEncoder(tokenizer_json)
+                encoder = _encoder(tokenizer_json)
                 path = f"{folder}/{attempt_name('ids')}"
                 out, index = Output(path + ".records"), Output(path + ".index")
             ids, bounds = encoder(block.column("text"))

@@ -94,7 +94,9 @@ class PrefixHash:
     def __init__(self, data: np.ndarray):
         powers, self.inverse = _power_tables(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[data] * powers[:len(data)], out=self.sums[1:])
+        np.take(_BYTE_CODES, data, out=self.sums[1:])
+        self.sums[1:] *= powers[:len(data)]
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
