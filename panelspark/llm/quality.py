@@ -118,40 +118,39 @@ def _descend(net: Network, step_gradient, steps: int, rate: float, decay: float
             net.weights[i] = net.weights[i] - rate * (first[i] / (1 - 0.9 ** t)) / (np.sqrt(second[i] / (1 - 0.999 ** t)) + 1e-8)
 
 
-def estimate_prior(net: Network, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, batch: int = 512, seed: int = 11) -> float:
-    """The share of positives among the unlabelled.
+def estimate_prior(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, batch: int = 512, seed: int = 11) -> float:
+    """The share of positives among the unlabelled (raw measures), estimated from the two samples alone.
 
-    A network told the two samples apart gives the density ratio of positives to unlabelled; on positives that no
-    negative resembles the ratio is 1 / prior. The mean over positives kept apart estimates it.
+    A network is told the samples apart on one half of each and ranks the other half. Where no negative ranks, the share
+    of the unlabelled above a cut is the prior times the positives' share; any negative above only raises the quotient. So
+    it is taken at cuts that keep a half to nine tenths of the positives, over both halves, and the least is the estimate.
     """
     rng = np.random.default_rng(seed)
-    held = rng.random(len(positive)) < 0.3
-    if held.all() or not held.any():
-        held = np.zeros(len(positive), bool)
-    train, test = positive[~held], positive[held] if held.any() else positive
+    quotients = np.zeros(len(_KEPT))
+    side_p, side_u = rng.permutation(len(positive)) % 2, rng.permutation(len(unlabelled)) % 2
+    for side in (0, 1):
+        net = Network(mean, scale, 17 + side)
+        p, u = net.inputs(positive), net.inputs(unlabelled)
+        train_p, train_u = (p[side_p == side], u[side_u == side]) if min(len(p), len(u)) > 1 else (p, u)
+        test_p, test_u = (p[side_p != side], u[side_u != side]) if min(len(p), len(u)) > 1 else (p, u)
 
-    def gradient() -> list[np.ndarray]:
-        z = np.concatenate([train[rng.integers(0, len(train), batch)], unlabelled[rng.integers(0, len(unlabelled), batch)]])
-        target = np.repeat([1.0, 0.0], batch)
-        return net.gradient(z, (_sigmoid(net.logits(z)) - target) / (2 * batch))
+        def gradient() -> list[np.ndarray]:
+            z = np.concatenate([train_p[rng.integers(0, len(train_p), batch)], train_u[rng.integers(0, len(train_u), batch)]])
+            return net.gradient(z, (_sigmoid(net.logits(z)) - np.repeat([1.0, 0.0], batch)) / (2 * batch))
 
-    _descend(net, gradient, steps, 5e-3, 1e-3)
-    ratio = np.exp(np.clip(net.logits(test), -10, 10))
-    return float(np.clip(1 / max(ratio.mean(), 1.0), 0.02, 0.98))
+        _descend(net, gradient, steps, 5e-3, 1e-3)
+        cuts = np.quantile(net.logits(test_p), 1 - _KEPT)
+        ranks = net.logits(test_u)
+        quotients += np.array([(ranks >= c).mean() for c in cuts]) / _KEPT / 2
+    return float(np.clip(quotients.min(), 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1500, batch: int = 1024, seed: int = 3) -> tuple[Network, float]:
-    """The network of least non-negative unbiased risk, and the prior used.
+_KEPT = np.array([0.5, 0.6, 0.7, 0.8, 0.9])
 
-    The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss; where the second term of
-    a batch is negative its gradient is turned round, so that the network doesn't fit the positives out of the unlabelled.
-    """
-    everything = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = everything.mean(0), everything.std(0) + 1e-3
+
+def _fit_at(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, batch: int, seed: int) -> Network:
     net = Network(mean, scale)
     p, u = net.inputs(positive), net.inputs(unlabelled)
-    if prior is None:
-        prior = estimate_prior(Network(mean, scale, 17), p, u)
     rng = np.random.default_rng(seed)
 
     def gradient() -> list[np.ndarray]:
@@ -166,9 +165,37 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return net.gradient(np.concatenate([zp, zu]), np.concatenate([by_p, by_u]) / batch)
 
     _descend(net, gradient, steps, 3e-3)
+    return net
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, rejected: np.ndarray | None = None, steps: int = 1500, batch: int = 1024, seed: int = 3) -> tuple[Network, float]:
+    """The network of least non-negative unbiased risk, and the prior used.
+
+    The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss; where the second term of
+    a batch is negative its gradient is turned round, so that the network doesn't fit the positives out of the unlabelled.
+
+    The minimiser reacts strongly to a prior that is a little too high. Where some labelled negatives (``rejected``) are at
+    hand they are no part of the risk, but decide between priors around the estimate: the one whose network tells positives
+    and negatives apart best at ``THRESHOLD`` is taken (of equals the lowest).
+    """
+    everything = np.concatenate([positive, unlabelled]).astype(np.float64)
+    mean, scale = everything.mean(0), everything.std(0) + 1e-3
+    estimate = estimate_prior(mean, scale, positive, unlabelled)
+    if rejected is None or not len(rejected):
+        prior = max(estimate - 0.02, 0.02)
+        return _fit_at(mean, scale, positive, unlabelled, prior, steps, batch, seed), prior
+    found = []
+    for prior in np.clip(estimate + _AROUND, 0.02, 0.98).tolist():
+        net = _fit_at(mean, scale, positive, unlabelled, prior, steps, batch, seed)
+        right = (net.scores(positive) >= THRESHOLD).mean() + (net.scores(rejected) < THRESHOLD).mean()
+        found.append((-right, prior, net))
+    _, prior, net = min(found, key=lambda f: f[:2])
     return net, prior
 
 
+_AROUND = np.array([-0.08, -0.06, -0.04, -0.02, 0.0, 0.02])
+
+
 def fold_of(doc_id, folds: int):
     """The CRC-32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -176,27 +203,31 @@ def fold_of(doc_id, folds: int):
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
-        yield pa.RecordBatch.from_arrays([block.column("trusted"), pa.array([r.tobytes() for r in features(block.column("text"))], pa.binary())], ["trusted", "x"])
+        yield pa.RecordBatch.from_arrays([block.column("kind"), pa.array([r.tobytes() for r in features(block.column("text"))], pa.binary())], ["kind", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Network | None:
     """Fit on documents (``doc_id``, ``text``) whose id's CRC-32 modulo 4 is not 2; None without a positive among them.
 
     Trusted positives are the labelled ids of ``quality`` 1 (and never 0), the ``most_positive`` with the smallest hashes;
-    unlabelled are the ``most_unlabelled`` ids with the smallest hashes, whatever their label. Only the measures of
-    these two bounded samples come to the driver; their ids travel to the scan.
+    unlabelled are the ``most_unlabelled`` ids with the smallest hashes, whatever their label; as many ids as positives, of
+    ``quality`` 0 (and never 1), choose the prior. Only the measures of these bounded samples come to the driver; their ids
+    travel to the scan.
     """
     learnable = fold_of(F.col("doc_id"), 4) != 2
-    trusted = (labels.where(learnable).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive).select("doc_id", F.lit(True).alias("trusted")))
-    plain = docs.select("doc_id").where(learnable).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_unlabelled).select("doc_id", F.lit(False).alias("trusted"))
-    sample = F.broadcast(trusted.union(plain))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(_features_of, "trusted boolean, x binary").collect()
-    by_kind = [sorted(bytes(r.x) for r in rows if r.trusted is kind) for kind in (True, False)]
-    if not all(by_kind):
+    judged = labels.where(learnable).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+
+    def sample(ids: DataFrame, most: int, kind: str) -> DataFrame:
+        return ids.orderBy(F.xxhash64("doc_id", F.lit(kind)), "doc_id").limit(most).select("doc_id", F.lit(kind).alias("kind"))
+
+    chosen = (sample(judged.where("lo = 1"), most_positive, "positive").union(sample(judged.where("lo = 0"), most_positive, "rejected"))
+              .union(sample(docs.select("doc_id").where(learnable).distinct(), most_unlabelled, "unlabelled")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_of, "kind string, x binary").collect()
+    raw = {kind: sorted(bytes(r.x) for r in rows if r.kind == kind) for kind in ("positive", "unlabelled", "rejected")}
+    if not raw["positive"] or not raw["unlabelled"]:
         return None
-    positive, unlabelled = (np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1) for raw in by_kind)
-    return fit(positive, unlabelled)[0]
+    tables = {kind: np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1) for kind, x in raw.items() if x}
+    return fit(tables["positive"], tables["unlabelled"], tables.get("rejected"))[0]
 
 
 def _score(net: Network | None):
