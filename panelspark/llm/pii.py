@@ -228,14 +228,14 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the number of all spans of each kind, the SHA-256 of the base spans' list and the list of all spans."""
+    """``doc_id``, the number of base spans of each kind, the SHA-256 of the base spans' list and the list of all spans."""
     found = find_pii(docs)
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind: str):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
