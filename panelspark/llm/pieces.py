@@ -9,6 +9,8 @@ the worst piece and is written as its byte pieces; so is a literal U+2581, so th
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -198,6 +200,18 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def shared_encoder(pieces: Pieces) -> Encoder:
+    """One encoder for all tasks of a worker that use the same model, with the chunks it has met."""
+    key = hashlib.sha256(pieces.pool.tobytes() + pieces.byte_ids.tobytes()).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(pieces)
+    return _encoders[key]
+
+
 def decode(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """The bytes of each row's ids, without the leading space."""
     sizes = pieces.bounds[ids + 1] - pieces.bounds[ids]
@@ -208,14 +222,14 @@ def decode(pieces: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of 4 MB of the last column."""
+    """Blocks of 2 MB of the last column."""
     for batch in batches:
-        yield from blocks([batch], batch.schema.names[-1])
+        yield from blocks([batch], batch.schema.names[-1], 2 << 20)
 
 
 def _encode(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces)
+        encoder = shared_encoder(pieces)
         for block in _rows(batches):
             ids, bounds = encoder(block.column(block.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], [*block.schema.names[:-1], "ids"])
@@ -257,11 +271,8 @@ def decode_pieces(df: DataFrame, model_file: str, ids_column: str = "piece_ids",
 
 def _summary(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-        import zlib
-
-        encoder = Encoder(pieces)
-        for block in blocks(batches):
+        encoder = shared_encoder(pieces)
+        for block in blocks(batches, limit=2 << 20):
             ids, bounds = encoder(block.column("text"))
             data, offsets = text_bytes(block.column("text"))
             raw = data.tobytes()
