@@ -86,34 +86,41 @@ def holidays(dates: DataFrame) -> DataFrame:
     return days.join(dates.select("date").distinct(), "date", "left_anti")
 
 
-def correlation_pairs(wide: DataFrame, cols) -> DataFrame:
-    """(a, b, corr): pairwise-complete correlations of the columns over the rows, in one pass."""
+def correlation_pairs(wide: DataFrame, cols, row: str = "date") -> DataFrame:
+    """(a, b, corr): pairwise-complete correlations of the columns over the rows, each pair once and with itself.
+
+    The columns become rows of (``row``, column, value); pairs meet on ``row`` and are sums per pair, combined map-side, so many
+    columns make more groups, not a wider projection.
+    """
     from .evaluate import safe_corr
 
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = wide.agg(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(a, b).alias("corr")) for a, b in pairs]).alias("x"))
-    return one.select(F.inline("x"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+    long = wide.select(row, cells.alias("c")).select(row, "c.*")
+    x, y = long.toDF(row, "ia", "a", "va"), long.toDF(row, "ib", "b", "vb")
+    both = x.join(y, row).where("ia <= ib")
+    return both.groupBy("a", "b").agg(safe_corr("va", "vb").alias("corr"))
+
+
+#: A finished search is pruned over so many of its best candidates.
+BEST = 500
 
 
-def greedy_prune(candidates: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
-    """(candidate, fitness, max_corr): accept by descending fitness while |corr| to the accepted stays
-    within the limit.
+def greedy_prune(candidates: DataFrame, pairs: DataFrame, limit: float, best: int = BEST) -> DataFrame:
+    """(candidate, fitness, max_corr): accept by descending fitness while |corr| to the accepted stays within the limit.
 
-    Correlations come from Spark; the accept loop sees one row per candidate of a finished search
-    (hundreds), never panel rows.
+    Accepting is sequential. It sees the ``best`` candidates and the correlations among these, so what comes to the driver is
+    bounded however many candidates and pairs there are. A missing correlation counts as none.
     """
-    cand = candidates.where("fitness > 0").orderBy(F.col("fitness").desc(), "candidate").collect()
-    corr = {}
-    for r in pairs.collect():
-        corr[(r["a"], r["b"])] = corr[(r["b"], r["a"])] = abs(r["corr"]) if r["corr"] is not None else 0.0
-    kept = []
-    for c in cand:
-        worst = max((corr.get((c["candidate"], k[0]), 0.0) for k in kept), default=0.0)
+    chosen = candidates.where("fitness > 0").orderBy(F.col("fitness").desc(), "candidate").limit(best)
+    names = F.broadcast(chosen.select("candidate"))
+    among = pairs.join(names.withColumnRenamed("candidate", "a"), "a", "left_semi").join(names.withColumnRenamed("candidate", "b"), "b", "left_semi")
+    size = {frozenset((r["a"], r["b"])): abs(r["corr"] or 0.0) for r in among.collect()}
+    kept: dict[str, tuple[float, float]] = {}
+    for r in chosen.collect():
+        worst = max((size.get(frozenset((r["candidate"], k)), 0.0) for k in kept), default=0.0)
         if worst <= limit:
-            kept.append((c["candidate"], float(c["fitness"]), float(worst)))
-    spark = candidates.sparkSession
-    return spark.createDataFrame(kept, "candidate string, fitness double, max_corr double")
+            kept[r["candidate"]] = (float(r["fitness"]), float(worst))
+    return candidates.sparkSession.createDataFrame([(k, *v) for k, v in kept.items()], "candidate string, fitness double, max_corr double")
 
 
 def qualifies(reports: DataFrame, ir_min: float = 0.07, tvr_max: float = 0.5, names_min: float = 160) -> DataFrame:

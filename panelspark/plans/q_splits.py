@@ -207,7 +207,21 @@ def _(spark, sf):
     return sm.correlation_pairs(candidate_pnl(spark, sf), CANDS)
 
 
-@query("greedy_prune", "candidate fitness~ max_corr~")
+FIT_SQL = " UNION ALL ".join(f"SELECT '{c}' AS candidate, abs(avg({c}) / stddev_samp({c})) AS fitness FROM pnl" for c in CANDS)
+PRUNE = f"""pairs AS ({CORR_SQL}), fit AS ({FIT_SQL}),
+ord AS (SELECT candidate, fitness, row_number() OVER (ORDER BY fitness DESC, candidate) AS i FROM fit WHERE fitness > 0),
+met AS (SELECT a, b, abs(corr) AS size FROM pairs WHERE a <> b UNION ALL SELECT b, a, abs(corr) FROM pairs WHERE a <> b),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS candidate, CAST(NULL AS DOUBLE) AS fitness, CAST(NULL AS DOUBLE) AS max_corr
+  UNION ALL
+  SELECT i, CASE WHEN worst <= 0.5 THEN list_append(kept, candidate) ELSE kept END, candidate, fitness, worst FROM (
+    SELECT o.i, w.kept, o.candidate, o.fitness, coalesce(max(m.size), 0) AS worst
+    FROM walk w JOIN ord o ON o.i = w.i + 1 LEFT JOIN met m ON m.a = o.candidate AND list_contains(w.kept, m.b)
+    GROUP BY o.i, w.kept, o.candidate, o.fitness))"""
+
+
+@query("greedy_prune", "candidate fitness~ max_corr~", "SELECT candidate, fitness, max_corr FROM walk WHERE max_corr <= 0.5",
+       more(SCORED, PNL, PRUNE).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, sf):
     pnl = candidate_pnl(spark, sf)
     fit = pnl.unpivot(["date"], list(CANDS), "candidate", "v").groupBy("candidate").agg(
