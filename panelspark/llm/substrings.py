@@ -14,17 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, blocks, grams, windows
+from .words import Words, blocks, grams, shuffle_partitions, windows
 
 WINDOW = 13
 #: Suffixes that one group may hold (8 bytes each and as much again for their documents).
 GROUP_SUFFIXES = 1 << 20
 #: With more than GROUP_SUFFIXES times this many suffixes groups grow in proportion, so the plan stays bounded.
 MOST_GROUPS = 4096
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 _FIRST_BITS, _NEXT_BITS = 12, 8
 
 
@@ -140,7 +140,16 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 _PACKED = pa.schema([("part", pa.int64()), ("local", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _PACKED_DDL = "part long, local boolean, docs binary, counts binary, keys binary"
-_FOUND = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (ids ^ (ids >> 11) ^ (ids >> 23)) % buckets
+
+
+def bucket_of(doc_id: Column, buckets: int) -> Column:
+    """The bucket of a document in which its text and the repeats found in it meet (``_bucket`` as a column)."""
+    return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 11)).bitwiseXOR(F.shiftright(doc_id, 23)), F.lit(buckets))
 
 
 def _suffixes(plan: Plan, size: int):
@@ -155,12 +164,12 @@ def _suffixes(plan: Plan, size: int):
             hashes = words.hashes()
             ids = np.asarray(block.column("id"), np.int64)[words.doc[starts]]
             node = grams(hashes, size)[starts]
-            place = plan.place(hashes, starts, size)
+            place = plan.place(hashes, starts, size).astype(np.int32)
+            del words, hashes, starts  # the block's largest arrays
             by_node = np.argsort(node, kind="stable")
-            group_of = place[by_node]
             keys, docs, least = _first_of(node, ids)
-            at = np.searchsorted(node[by_node], keys)
-            groups = group_of[at]
+            groups = place[by_node][np.searchsorted(node[by_node], keys)]
+            del node, ids, place, by_node
             first = docs == least
             for part, where in ((_pack(groups[first], docs[first], keys[first], False), first), (_pack(docs[~first] % plan.groups, docs[~first], keys[~first], True), ~first)):
                 if where.any():
@@ -168,37 +177,32 @@ def _suffixes(plan: Plan, size: int):
     return run
 
 
-def _by_doc(docs: np.ndarray, keys: np.ndarray) -> dict[str, list]:
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    own, at = np.unique(docs, return_index=True)
-    edges = [*at.tolist(), len(docs)]
-    return {"id": own.tolist(), "keys": [keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]}
-
-
-def _subtrees(table: pa.Table) -> pa.Table:
-    """The repeats of a group: leaves below nodes that a smaller document reaches too."""
-    docs, keys, known = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-    for row in table.to_pylist():
-        if row["local"]:
-            known.append(_unpack(row))
-        else:
+def _subtrees(buckets: int):
+    """The repeats of a group: leaves below nodes that a smaller document reaches too, one row for each bucket of documents."""
+    def run(table: pa.Table) -> pa.Table:
+        docs, keys, known = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        for row in table.to_pylist():
             d, k = _unpack(row)
-            docs.append(d)
-            keys.append(k)
-    k, d, least = _first_of(np.concatenate(keys), np.concatenate(docs))
-    known.append((d[d > least], k[d > least]))
-    return pa.Table.from_pydict(_by_doc(np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])), _FOUND)
-
+            if row["local"]:
+                known.append((d, k))
+            else:
+                docs.append(d)
+                keys.append(k)
+        k, d, least = _first_of(np.concatenate(keys), np.concatenate(docs))
+        known.append((d[d > least], k[d > least]))
+        d, k = np.concatenate([x for x, _ in known]), np.concatenate([x for _, x in known])
+        packed = _pack(_bucket(d, buckets), d, k, False)
+        return pa.Table.from_pydict({"bucket": packed["part"], **{c: packed[c] for c in ("docs", "counts", "keys")}}, _FOUND)
+    return run
 
-def repeats(docs: DataFrame, size: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """``id, keys``: packed hashes of a document's windows whose words also start in a document with a smaller id.
 
-    A document may have several rows. ``docs`` has ``id`` (not null) and ``text``.
+def repeats(docs: DataFrame, buckets: int, size: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+    """``bucket, docs, counts, keys``: by bucket of documents, packed hashes of the windows whose words also start in a document
+    with a smaller id. ``docs`` has ``id`` (not null) and ``text``.
     """
     plan = prefix_plan(docs, size, group_suffixes)
     leaves = docs.mapInArrow(_suffixes(plan, size), _PACKED_DDL)
-    return leaves.groupBy("part").applyInArrow(_subtrees, "id long, keys binary")
+    return leaves.groupBy("part").applyInArrow(_subtrees(buckets), "bucket long, docs binary, counts binary, keys binary")
 
 
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))
@@ -215,20 +219,19 @@ def _runs(gone: np.ndarray, first: np.ndarray) -> list[list[dict]]:
 
 
 def _strip(size: int, detail: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterator[pa.RecordBatch], found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words = Words(block.column("text"))
-            n = words.rows
             covered = np.zeros(len(words.doc) + 1, np.int64)
-            found = block.column("found").to_pylist()
-            if any(found):
+            ids = block.column("id").to_pylist()
+            if any(i in found for i in ids):
                 node = grams(words.hashes(), size)
                 starts = windows(words, size)
                 row_starts = np.searchsorted(starts, words.first)
-                for r in range(n):
-                    if found[r]:
+                for r, i in enumerate(ids):
+                    if i in found:
                         own = starts[row_starts[r]:row_starts[r + 1]]
-                        hit = own[np.isin(node[own], np.frombuffer(b"".join(found[r]), np.uint64))]
+                        hit = own[np.isin(node[own], found[i])]
                         covered[hit] += 1
                         covered[hit + size] -= 1
             gone = np.cumsum(covered[:-1]) > 0
@@ -246,9 +249,25 @@ def _strip(size: int, detail: bool):
             if detail:
                 columns |= {"kept_text": pa.array([t.decode() for t in texts], pa.string()), "spans": pa.array(_runs(gone, words.first), _SPANS)}
             yield pa.RecordBatch.from_pydict(columns)
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for row in replies.to_pylist():
+            d, k = _unpack(row)
+            docs.append(d)
+            keys.append(k)
+        docs, keys = np.concatenate(docs), np.concatenate(keys)
+        order = np.argsort(docs, kind="stable")
+        own, first = np.unique(docs[order], return_index=True)
+        found = dict(zip(own.tolist(), np.split(keys[order], first[1:]))) if len(own) else {}
+        schema = pa.schema(_DETAIL if detail else _DETAIL[:4])
+        return pa.Table.from_batches(strip(iter(texts.to_batches()), found), schema)
     return run
 
 
+_DETAIL = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("spans", _SPANS)]
+
+
 def remove_repeats(docs: DataFrame, size: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", detail: bool = True, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, with ``detail``, ``kept_text, spans`` of every row.
 
@@ -257,14 +276,16 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_column: str = "doc_id
     the removed maximal runs (word number, length), ``kept_text`` the kept words joined by one space.
 
     What travels: one leaf (8 bytes and its document) for each distinct window of a block of whole documents, by group; the
-    found windows and the texts, by document. A passage that very many documents share costs one leaf for each block, not for
+    found windows and the texts, by bucket of documents (as many as shuffle partitions). A passage that very many documents share costs one leaf for each block, not for
     each document, so no group grows with the number of copies in a block.
 
     Null and blank texts: no words, nothing removed. Shorter documents than a window keep all. Rows without an id are neither
     judged nor a source. Rows that repeat an id are one document: a row's windows are removed if a smaller id has them.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    found = repeats(docs.where("id is not null"), size, group_suffixes).groupBy("id").agg(F.collect_list("keys").alias("found"))
+    buckets = shuffle_partitions(docs.sparkSession)
+    found = repeats(docs.where("id is not null"), buckets, size, group_suffixes)
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<first_word: long, n_words: long>>" * detail
-    stripped = docs.join(found, "id", "left").mapInArrow(_strip(size, detail), schema)
+    texts = docs.withColumn("bucket", bucket_of(F.col("id"), buckets))
+    stripped = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_strip(size, detail), schema)
     return stripped.withColumnRenamed("id", "doc_id")
