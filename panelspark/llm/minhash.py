@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     classes = store(signed_rows.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
                     .agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     likely = _Likely(classes.select("node", "n_shingles", "sketch"), percent, permutations)
-    members = classes.select("node", F.explode("bands").alias("bucket"))
+    members = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = store(members.join(centres, "bucket"), "shared-buckets")
     pairs = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -165,10 +165,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     labels = components(links)
 
     # a bucket of two is decided; in others, members that are still apart are tested too
-    placed = (shared.where("m > 2").select("bucket", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    placed = (shared.where("m > 2").select("bucket", "band", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    across = store(likely.across(placed.join(mixed, "bucket", "left_semi")), "pairs-across")
+    across = store(likely.across(placed.join(mixed, "bucket", "left_semi"), classes.select("node", "bands")), "pairs-across")
     if not across.isEmpty():
         labels = components(links.union(_confirmed(across, docs, k, percent)))
 
@@ -183,14 +183,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
 class _Likely:
     """Pairs that may be links by set sizes (exact) and by the share of agreeing signature entries.
 
-    The entries that agree are a binomial count; 6.5 standard deviations below the linking share are let through, so a
-    link is lost with a chance of about 1e-10.
+    The entries that agree are a binomial count; six standard deviations below the linking share are let through, so a
+    link is lost with a chance of about 1e-9.
     """
 
     def __init__(self, traits: DataFrame, percent: int, permutations: int):
         self.traits, self.percent, self.words = traits, percent, 2 * permutations // 8
         j, n = percent / 100, 2 * permutations
-        self.least = int(n * j - 6.5 * (n * j * (1 - j)) ** 0.5)
+        self.least = int(n * j - 6 * (n * j * (1 - j)) ** 0.5)
 
     def _side(self, name: str) -> DataFrame:
         return self.traits.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
@@ -202,12 +202,16 @@ class _Likely:
     def of(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._test()).select("a", "b")
 
-    def across(self, members: DataFrame) -> DataFrame:
-        """Of members (bucket, node, component), the likely pairs of a bucket that lie in two components."""
-        x = members.withColumnRenamed("node", "a").withColumnRenamed("component", "ca").join(self._side("a"), "a")
-        y = members.withColumnRenamed("node", "b").withColumnRenamed("component", "cb").join(self._side("b"), "b")
+    def across(self, members: DataFrame, bands: DataFrame) -> DataFrame:
+        """Of members (bucket, band, node, component), the likely pairs of a bucket that lie in two components.
+
+        All tests are part of the join, so only likely links become rows, each in the first bucket that the two share.
+        """
+        members = members.join(bands, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+        x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("earlier").alias("ea")).join(self._side("a"), "a")
+        y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("earlier").alias("eb")).join(self._side("b"), "b")
         apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test()).select("a", "b").distinct()
+        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test() & ~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
