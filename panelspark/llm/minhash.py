@@ -15,6 +15,8 @@ from .words import SPACES, Words, blocks, grams, mix, signed, store, windows
 SHINGLE = 5
 PERMUTATIONS = 48
 BAND_ROWS = 4
+#: So many smallest hashes of a set decide which members of a bucket, beyond its star, are confirmed on full sets.
+SMALLEST = 192
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +88,14 @@ def _agreements(a: Column, b: Column, words: int) -> Column:
     return F.lit(8 * words) - differ
 
 
+def smallest(sets: np.ndarray, bounds: np.ndarray, most: int) -> pa.Array:
+    """The leading 32 bits of the ``most`` smallest hashes of each set."""
+    take = np.minimum(np.diff(bounds), most)
+    ends = np.cumsum(take)
+    at = np.repeat(bounds[:-1] - (ends - take), take) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((sets[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+
+
 def _lists(values: np.ndarray, full: np.ndarray, rows: int) -> pa.Array:
     """Row i of ``values`` as the list of the i-th full row; other rows have none."""
     ends = np.zeros(rows + 1, np.int32)
@@ -108,8 +118,8 @@ def _signatures(k: int, permutations: int, rows: int):
                 entries = signature(sets, starts, permutations)
                 keys, marks = bands(entries, rows), sketch(entries)
             yield pa.RecordBatch.from_arrays(
-                [block.column("id"), pa.array(size.astype(np.int64)), signed(digests[0]), signed(digests[1]), _lists(keys, full, len(size)), _lists(marks, full, len(size))],
-                ["id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                [block.column("id"), pa.array(size.astype(np.int64)), signed(digests[0]), signed(digests[1]), _lists(keys, full, len(size)), _lists(marks, full, len(size)),
+                 smallest(sets, bounds, SMALLEST)], ["id", "n_shingles", "set_a", "set_b", "bands", "sketch", "smallest"])
     return run
 
 
@@ -153,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed_rows = store(docs.mapInArrow(_signatures(k, permutations, band_rows),
-                                        "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"), "signatures")
+                                        "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, smallest array<int>"), "signatures")
     classes = store(signed_rows.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
                     .agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     likely = _Likely(classes.select("node", "n_shingles", "sketch"), percent, permutations)
@@ -168,7 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     placed = (shared.where("m > 2").select("bucket", "band", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    across = store(likely.across(placed.join(mixed, "bucket", "left_semi"), classes.select("node", "bands")), "pairs-across")
+    across = store(likely.across(placed.join(mixed, "bucket", "left_semi"), classes.select("node", "bands"),
+                                      signed_rows.select(F.col("id").alias("node"), "smallest")), "pairs-across")
     if not across.isEmpty():
         labels = components(links.union(_confirmed(across, docs, k, percent)))
 
@@ -202,16 +213,31 @@ class _Likely:
     def of(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._test()).select("a", "b")
 
-    def across(self, members: DataFrame, bands: DataFrame) -> DataFrame:
+    def _overlap(self) -> Column:
+        """Do the smallest hashes overlap as those of linked sets do?
+
+        A link has percent / (100 + percent) of both sizes together in common, so at least the share ``s`` of either set. Of
+        sets that are held whole the overlap decides (one is granted for equal leading bits). Otherwise every smallest hash
+        of the set whose list ends first that is in the other set is in its list too; of ``SMALLEST`` such, a binomial count
+        with share ``s`` is in common, of which six standard deviations are granted.
+        """
+        common = F.size(F.array_intersect("la", "lb"))
+        needed = F.lit(self.percent / (100 + self.percent)) * (F.col("na") + F.col("nb"))
+        s = F.least(needed / F.greatest("na", "nb"), F.lit(1.0))
+        drawn = s * SMALLEST - 6 * F.sqrt(SMALLEST * s * (1 - s)) - 1
+        return common >= F.when(F.greatest("na", "nb") <= SMALLEST, needed - 1).otherwise(drawn)
+
+    def across(self, members: DataFrame, bands: DataFrame, lists: DataFrame) -> DataFrame:
         """Of members (bucket, band, node, component), the likely pairs of a bucket that lie in two components.
 
-        All tests are part of the join, so only likely links become rows, each in the first bucket that the two share.
+        ``bands`` and ``lists`` have the band keys and the smallest hashes of each node's set. All tests are part of the join, the
+        cheap ones first, so only likely links become rows, each in the first bucket that the two share.
         """
-        members = members.join(bands, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-        x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("earlier").alias("ea")).join(self._side("a"), "a")
-        y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("earlier").alias("eb")).join(self._side("b"), "b")
+        members = members.join(bands, "node").join(lists, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+        x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("earlier").alias("ea"), F.col("smallest").alias("la")).join(self._side("a"), "a")
+        y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("earlier").alias("eb"), F.col("smallest").alias("lb")).join(self._side("b"), "b")
         apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test() & ~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
+        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test() & ~F.arrays_overlap("ea", "eb") & self._overlap()).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
