@@ -72,20 +72,23 @@ def bands(entries: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch(entries: np.ndarray) -> np.ndarray:
-    """A byte of each signature entry, eight to a word."""
-    low = np.ascontiguousarray((mix(entries) & np.uint64(255)).astype(np.uint8).T)
-    return low.view(np.uint64)
+    """Two bits of each signature entry, thirty-two to a word."""
+    low = np.zeros((entries.shape[1], -(-len(entries) // 32) * 32), np.uint64)
+    low[:, :len(entries)] = (mix(entries) & np.uint64(3)).T
+    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(low.reshape(len(low), -1, 32) << shifts, axis=2)
 
 
-def _agreements(a: Column, b: Column, words: int) -> Column:
-    """How many bytes two sketches have in common: the bits of each byte of the difference are folded into its lowest."""
+def _agreements(a: Column, b: Column, entries: int) -> Column:
+    """How many signature entries have equal sketches. A few operations a word, so that the join's generated code stays
+    small enough to be compiled.
+    """
     differ = F.lit(0)
-    for i in range(words):
+    for i in range(-(-entries // 32)):
         x = a[i].bitwiseXOR(b[i])
-        for n in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(8 * words) - differ
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        differ = differ + F.bit_count(x)
+    return F.lit(entries) - differ
 
 
 def smallest(sets: np.ndarray, bounds: np.ndarray, most: int) -> pa.Array:
@@ -194,21 +197,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
 class _Likely:
     """Pairs that may be links by set sizes (exact) and by the share of agreeing signature entries.
 
-    The entries that agree are a binomial count; six standard deviations below the linking share are let through, so a
-    link is lost with a chance of about 1e-9.
+    Two bits of an entry agree with probability J + (1 - J) / 4, so the agreements are a binomial count; six standard
+    deviations below the linking share are let through, so a link is lost with a chance of about 1e-9.
     """
 
     def __init__(self, traits: DataFrame, percent: int, permutations: int):
-        self.traits, self.percent, self.words = traits, percent, 2 * permutations // 8
-        j, n = percent / 100, 2 * permutations
-        self.least = int(n * j - 6 * (n * j * (1 - j)) ** 0.5)
+        self.traits, self.percent, self.entries = traits, percent, 2 * permutations
+        share = 0.25 + 0.75 * percent / 100
+        self.least = int(self.entries * share - 6 * (self.entries * share * (1 - share)) ** 0.5)
 
     def _side(self, name: str) -> DataFrame:
         return self.traits.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
 
     def _test(self) -> Column:
         sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        return sizes & (_agreements(F.col("sa"), F.col("sb"), self.words) >= self.least)
+        return sizes & (_agreements(F.col("sa"), F.col("sb"), self.entries) >= self.least)
 
     def of(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self._side("a"), "a").join(self._side("b"), "b").where(self._test()).select("a", "b")
