@@ -182,7 +182,7 @@ def viterbi(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 class Encoder:
     def __init__(self, pieces: Pieces):
-        self.memo = PieceMemo(lambda data, starts, ends: viterbi(pieces, data, starts, ends))
+        self.memo = PieceMemo(lambda data, starts, ends: viterbi(pieces, data, starts, ends), slots=1 << 21)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and the n + 1 bounds of the rows."""
@@ -227,12 +227,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from blocks([batch], batch.schema.names[-1], 2 << 20)
 
 
-def _encode(pieces: Pieces):
+def _encode(pieces: Pieces, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(pieces)
         for block in _rows(batches):
-            ids, bounds = encoder(block.column(block.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], [*block.schema.names[:-1], "ids"])
+            column = block.column(block.num_columns - 1)
+            ids, bounds = encoder(column)
+            made = {"ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))}
+            if checked:
+                data, offsets = text_bytes(column)
+                raw = data.tobytes()
+                back = decode(pieces, ids.astype(np.int64), bounds)
+                made["same"] = pa.array([raw[a:b] == t for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), back)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], *made.values()], [*block.schema.names[:-1], *made])
     return run
 
 
@@ -247,26 +254,27 @@ def _decode(pieces: Pieces):
     return run
 
 
-def _append(df: DataFrame, source: str, target: str, task, kind: T.DataType) -> DataFrame:
-    """``df`` with the column ``target`` that ``task`` makes of ``source``; the other columns travel in one struct, whatever their names."""
+def _append(df: DataFrame, source: str, task, made: dict[str, tuple[str, T.DataType]]) -> DataFrame:
+    """``df`` with the columns ``made`` (target -> name and type in the task) of ``source``; the other columns travel in one
+    struct, whatever their names."""
     packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(source).alias("source"))
-    name = "decoded" if kind == T.StringType() else "ids"
-    made = packed.mapInArrow(task, T.StructType([packed.schema["row"], T.StructField(name, kind)]))
-    return made.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c != target], F.col(name).alias(target))
+    out = packed.mapInArrow(task, T.StructType([packed.schema["row"], *[T.StructField(name, kind) for name, kind in made.values()]]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in made], *[F.col(name).alias(target) for target, (name, _) in made.items()])
 
 
-def encode_pieces(df: DataFrame, model_file: str, text_column: str = "text", target: str = "piece_ids") -> DataFrame:
+def encode_pieces(df: DataFrame, model_file: str, text_column: str = "text", target: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
     """``df`` with the piece ids (array of int) of every whole text; null and empty texts have none.
 
-    The model is read on the driver and travels with the tasks (its size is that of the vocabulary). No shuffle. A column
-    already named ``target`` is replaced.
+    With ``round_trip`` a column of that name says whether the ids decode to the text. The model is read on the driver and
+    travels with the tasks (its size is that of the vocabulary). No shuffle. Columns already named so are replaced.
     """
-    return _append(df, text_column, target, _encode(load_pieces(model_file)), T.ArrayType(T.IntegerType()))
+    made = {target: ("ids", T.ArrayType(T.IntegerType()))} | ({round_trip: ("same", T.BooleanType())} if round_trip else {})
+    return _append(df, text_column, _encode(load_pieces(model_file), round_trip is not None), made)
 
 
 def decode_pieces(df: DataFrame, model_file: str, ids_column: str = "piece_ids", target: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids stand for; null and empty lists give the empty text."""
-    return _append(df, ids_column, target, _decode(load_pieces(model_file)), T.StringType())
+    return _append(df, ids_column, _decode(load_pieces(model_file)), {target: ("decoded", T.StringType())})
 
 
 def _summary(pieces: Pieces):

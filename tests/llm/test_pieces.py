@@ -93,6 +93,8 @@ def test_columns(spark, pieces):
     for r in back.collect():
         assert r.decoded == (r.text or "") and r.ids == [1] and r.piece_ids == ids_of(pieces, [r.text])[0]
     assert all(r.round_trip and r.n_pieces == len(ids_of(pieces, [dict((i, t) for i, t, *_ in rows)[r.doc_id]])[0]) for r in round_trips(df, FILE).collect())
+    flagged = encode_pieces(df, FILE, round_trip="row")
+    assert flagged.columns == ["doc_id", "text", "ids", "piece_ids", "row"] and all(r.row is True and r.piece_ids == ids_of(pieces, [r.text])[0] for r in flagged.collect())
     empty = frame(spark, [], partitions=1)
     assert decode_pieces(encode_pieces(empty, FILE), FILE).collect() == [] and round_trips(empty, FILE).collect() == []
     assert decode_pieces(spark.createDataFrame([(None,), ([],)], "piece_ids array<int>"), FILE).collect()[0].decoded == ""
