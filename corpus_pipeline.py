@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.decontam import drop_contaminated
 from panelspark.llm.minhash import drop_near_duplicates
-from panelspark.llm.pieces import decode_pieces, encode_pieces
+from panelspark.llm.pieces import encode_pieces
 from panelspark.llm.pii import mask_pii
 from panelspark.llm.quality import keep_quality
 from panelspark.llm.words import store
@@ -46,10 +46,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, piece_ids, n_pieces, round_trip``: the ids of every text; ``round_trip`` says that they decode to it."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode_pieces(encode_pieces(docs, model, "text", "piece_ids"), model, "piece_ids", "decoded")
-    return back.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"),
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    encoded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), "text", "piece_ids", "round_trip")
+    return encoded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("encode", encode)]
