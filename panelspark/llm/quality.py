@@ -118,7 +118,7 @@ def _descend(net: Network, step_gradient, steps: int, rate: float, decay: float
             net.weights[i] = net.weights[i] - rate * (first[i] / (1 - 0.9 ** t)) / (np.sqrt(second[i] / (1 - 0.999 ** t)) + 1e-8)
 
 
-def estimate_prior(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, batch: int = 512, seed: int = 11) -> float:
+def estimate_prior(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, batch: int = 512, seed: int = 11) -> float:
     """The share of positives among the unlabelled (raw measures), estimated from the two samples alone.
 
     A network is told the samples apart on one half of each and ranks the other half. Where no negative ranks, the share
@@ -168,7 +168,7 @@ def _fit_at(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelle
     return net
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rejected: np.ndarray | None = None, steps: int = 1500, batch: int = 1024, seed: int = 3) -> tuple[Network, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, rejected: np.ndarray | None = None, steps: int = 700, batch: int = 512, seed: int = 3) -> tuple[Network, float]:
     """The network of least non-negative unbiased risk, and the prior used.
 
     The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss; where the second term of
@@ -193,7 +193,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rejected: np.ndarray | Non
     return net, prior
 
 
-_AROUND = np.array([-0.08, -0.06, -0.04, -0.02, 0.0, 0.02])
+_AROUND = np.array([-0.06, -0.04, -0.02, 0.0, 0.02])
 
 
 def fold_of(doc_id, folds: int):
