@@ -4,23 +4,31 @@ Forms give seed entities. The two words before a seed are a lexical pattern; pat
 are followed through the whole corpus. Spark scores the graph of patterns and the instances that follow them: a
 pattern is as good as the share of its followers that are known or believed, an instance as believable as its patterns
 together. Patterns that end above the threshold find identifiers whose form the seeds don't cover.
+
+Patterns are a Spark table, however many there are. Tasks get a bitmap of fixed size over the patterns' hashes, and what passes
+it is joined with the table, so a chance hit in the bitmap costs a row and changes nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .words import Words, blocks, store
+from .words import _power_tables, blocks, mix, store
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, and the least share of its kind's pattern-bearing seeds (so 200 patterns of a kind at most).
-LEAST_SEEDS, LEAST_SHARE = 3, 200
+#: Distinct seeds that a pattern needs.
+LEAST_SEEDS = 3
+#: Bits of the bitmap that travels to the tasks, and of one row of it.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
 ROUNDS = 3
 CONFIDENCE = 0.6
 
@@ -32,9 +40,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _FOLLOWER = {"email": re.compile(r"[^\s@]+@[^\s@]*[^\s@.,;:!?]")} | dict.fromkeys(("ip", "card", "phone"), re.compile(r"\+?[(0-9][0-9().\x20-]{3,}[0-9]"))
-_CONTEXT = re.compile(r"([^\W\d_]+)[^\S\n]+([^\W\d_]+)[^\w\n]{0,3}$")
-_LETTERLESS = np.ones(256, bool)
-_LETTERLESS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LETTERS = re.compile(r"[^\W\d_]+")
+_BLANKS = re.compile(r"[^\S\n]+")
 
 
 def luhn(digits: str) -> bool:
@@ -80,10 +87,66 @@ def _instance(kind: str, text: str) -> str:
     return text.lower() if kind == "email" else _digits(text)
 
 
-def _pattern(text: str, start: int) -> str | None:
-    """The two words before a place of the same line, lower-cased, or None."""
-    found = _CONTEXT.search(text, max(0, start - 80), start)
-    return f"{found[1]} {found[2]}".lower() if found else None
+def _context(text: str, start: int) -> str | None:
+    """The two words before a place of the same line, with up to three other characters in between, or None. Words are whole."""
+    end = start
+    while start - end < 3 and end and not (text[end - 1].isalnum() or text[end - 1] in "_\n"):
+        end -= 1
+    if end == start < len(text) and _LETTERS.match(text, start):
+        return None
+    words = []
+    for blank in (False, True):
+        place = end
+        while blank and place and text[place - 1].isspace() and text[place - 1] != "\n":
+            place -= 1
+        if blank and place == end:
+            return None
+        end = place
+        while place and text[place - 1].isalnum() and not text[place - 1].isdecimal():
+            place -= 1
+        if place == end:
+            return None
+        words.append(text[place:end])
+        end = place
+    return f"{words[1]} {words[0]}"
+
+
+_tables: list[np.ndarray] = []
+
+
+def _character_tables() -> list[np.ndarray]:
+    """For every code point: whether it is a letter, whether a blank, and its lower case (equal for all that ``lower`` makes equal)."""
+    if not _tables:
+        every = "".join(map(chr, range(0x110000)))
+        letter, blank, low = np.zeros(len(every), bool), np.zeros(len(every), bool), np.arange(len(every), dtype=np.uint32)
+        for form, table in ((_LETTERS, letter), (_BLANKS, blank)):
+            for m in form.finditer(every):
+                table[m.start():m.end()] = True
+        low[letter] = [ord(chr(c).lower()[0]) for c in np.flatnonzero(letter)]
+        low[ord("\u03c2")] = ord("\u03c3")  # a capital sigma becomes either
+        _tables.extend((letter, blank, low))
+    return _tables
+
+
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of words with only blanks of one line between: the text's number, the place of the pair's end, the pair's hash."""
+    letter, blank, low = _character_tables()
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(letter[points].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    other = np.concatenate([[0], np.cumsum(~blank[points], dtype=np.int32)])
+    powers, inverse = _power_tables(len(points))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(low[points].astype(np.uint64) + np.uint64(1)) * powers[:len(points)], out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * inverse[starts])
+    at = np.flatnonzero(other[starts[1:]] == other[ends[:-1]])
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+    row = np.searchsorted(first, ends[at + 1], "right") - 1
+    return row, ends[at + 1] - first[row], mix(h[at] * np.uint64(31) + h[at + 1])
+
+
+def _bit(pairs: np.ndarray, kind: str) -> np.ndarray:
+    return (mix(pairs + np.uint64(KINDS.index(kind) + 1)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -93,80 +156,87 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in _texts(batches):
-        found = {(kind, pattern, _instance(kind, text[a:b])) for text in texts for kind, a, b in base_spans(text) if (pattern := _pattern(text, a))}
-        yield pa.RecordBatch.from_pydict({name: pa.array([f[i] for f in found], pa.string()) for i, name in enumerate(("kind", "pattern", "instance"))})
+        found = {(kind, context, _instance(kind, text[a:b])) for text in texts for kind, a, b in base_spans(text) if (context := _context(text, a))}
+        found = sorted(found)
+        pairs = _pairs([context for _, context, _ in found])[2]
+        bits = {kind: _bit(pairs, kind).tolist() for kind in KINDS}
+        rows = list({(kind, context.lower(), bits[kind][i], instance) for i, (kind, context, instance) in enumerate(found)})
+        types = {"kind": pa.string(), "pattern": pa.string(), "bit": pa.int64(), "instance": pa.string()}
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types.items())})
+
+
+def induce_patterns(docs: DataFrame) -> DataFrame:
+    """``kind, pattern, bit`` of all patterns with at least ``LEAST_SEEDS`` distinct seeds."""
+    seeds = docs.select("text").mapInArrow(_seeds, "kind string, pattern string, bit long, instance string").distinct()
+    counts = seeds.groupBy("kind", "pattern", "bit").agg(F.count(F.lit(1)).alias("n"))
+    return store(counts.where(F.col("n") >= LEAST_SEEDS).drop("n"), "seed-patterns")
 
 
-def induce_patterns(docs: DataFrame) -> list[tuple[str, str]]:
-    """(kind, pattern) with at least ``LEAST_SEEDS`` distinct seeds and 1 / ``LEAST_SHARE`` of its kind's: a bounded list."""
-    seeds = docs.select("text").mapInArrow(_seeds, "kind string, pattern string, instance string").distinct()
-    counts = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
-    counts = store(counts, "seed-patterns")
-    totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
-    chosen = counts.join(totals, "kind").where((F.col("n") >= LEAST_SEEDS) & (F.col("n") * LEAST_SHARE >= F.col("total")))
-    return sorted((r.kind, r.pattern) for r in chosen.collect())
+def _bitmap(patterns: DataFrame) -> bytes:
+    """The patterns' bits, ``FILTER_BITS`` in all whatever the number of patterns (packed); empty without patterns."""
+    rows = patterns.groupBy(F.expr(f"bit div {FILTER_ROW}").alias("row")).agg(F.bitmap_construct_agg(F.expr(f"bit % {FILTER_ROW}")).alias("bits")).collect()
+    bits = bytearray(FILTER_BITS // 8 if rows else 0)
+    for r in rows:
+        bits[r["row"] * (FILTER_ROW // 8):(r["row"] + 1) * (FILTER_ROW // 8)] = r["bits"]
+    return zlib.compress(bytes(bits), 1)
 
 
 class _Finder:
-    """Places in texts that follow a pattern: two-word hashes of the block, then a look at the text itself."""
-
-    def __init__(self, patterns: list[tuple[str, str]]):
-        self.kinds: dict[str, list[str]] = {}
-        for kind, pattern in patterns:
-            self.kinds.setdefault(pattern, []).append(kind)
-        pairs = Words(pa.array([p for p in self.kinds], pa.string()), _LETTERLESS, lower=True)
-        h = pairs.hashes()
-        self.keys = np.unique(h[pairs.first[:-1]] * np.uint64(31) + h[pairs.first[:-1] + 1]) if len(h) else h
-
-    def rows(self, column: pa.Array) -> dict[int, list[int]]:
-        """By row, the byte offsets (in the row) at which a pattern's second word ends."""
-        words = Words(column, _LETTERLESS, lower=True)
-        if len(words.doc) < 2:
-            return {}
-        h = words.hashes()
-        at = np.flatnonzero(np.isin(h[:-1] * np.uint64(31) + h[1:], self.keys) & (words.doc[:-1] == words.doc[1:])) + 1
-        out: dict[int, list[int]] = {}
-        for r, end in zip(words.doc[at].tolist(), (words.ends[at] - words.offsets[words.doc[at]]).tolist()):
-            out.setdefault(r, []).append(end)
+    """Places in texts that may follow a pattern, by the hashes of all pairs of words of a block."""
+
+    def __init__(self, bitmap: bytes):
+        self.bits = np.frombuffer(zlib.decompress(bitmap), np.uint8)
+
+    def ends(self, texts: list[str]) -> dict[int, list[tuple[str, int]]]:
+        """By text, the kinds and the ends of the pairs of words that may be patterns of them."""
+        out: dict[int, list[tuple[str, int]]] = {}
+        if len(self.bits):
+            row, end, pairs = _pairs(texts)
+            for kind in KINDS:
+                bit = _bit(pairs, kind)
+                at = np.flatnonzero(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                for r, e in zip(row[at].tolist(), end[at].tolist()):
+                    out.setdefault(r, []).append((kind, e))
         return out
 
-    def followers(self, text: str, ends: list[int]) -> Iterator[tuple[str, str, int]]:
-        """(kind, pattern, place of what follows)."""
-        raw = text.encode()
-        for end in ends:
-            place = len(raw[:end].decode())
-            while place < len(text) and text[place] in " \t:=\"'<" and text[place] != "\n":
-                place += 1
-            pattern = _pattern(text, place)
-            for kind in self.kinds.get(pattern or "", ()):
-                yield kind, pattern, place
 
+def _follower(kind: str, text: str, end: int, base: dict[tuple[str, int], int]) -> tuple[int, int, bool] | None:
+    """What follows a pair of words: start, end and whether it is a seed."""
+    place = end
+    while place < len(text) and text[place] in " \t:=\"'<":
+        place += 1
+    if place - end > 3:
+        return None
+    if (kind, place) in base:
+        return place, base[kind, place], True
+    like = _FOLLOWER[kind].match(text, place)
+    return (place, like.end(), False) if like else None
 
-def _followed(patterns: list[tuple[str, str]]):
+
+def _followed(bitmap: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(patterns)
-        for block, texts in _texts(batches):
+        finder = _Finder(bitmap)
+        for _, texts in _texts(batches):
             seen: dict[tuple, int] = {}
-            for r, ends in finder.rows(block.column("text")).items():
+            for r, ends in finder.ends(texts).items():
                 base = {(k, a): b for k, a, b in base_spans(texts[r])}
-                for kind, pattern, place in finder.followers(texts[r], ends):
-                    seed = base.get((kind, place))
-                    like = None if seed else _FOLLOWER[kind].match(texts[r], place)
-                    what = _instance(kind, texts[r][place:seed] if seed else like[0]) if seed or like else None
-                    key = (kind, pattern, what, bool(seed))
+                for kind, end in ends:
+                    what = _follower(kind, texts[r], end, base)
+                    key = (kind, _context(texts[r], end).lower(), _instance(kind, texts[r][what[0]:what[1]]) if what else None, bool(what and what[2]))
                     seen[key] = seen.get(key, 0) + 1
             columns = {name: pa.array([k[i] for k in seen], t) for i, (name, t) in enumerate((("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())))}
             yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(list(seen.values()), pa.int64())})
     return run
 
 
-def score_patterns(docs: DataFrame, patterns: list[tuple[str, str]], rounds: int = ROUNDS) -> DataFrame:
+def score_patterns(docs: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``kind, pattern, confidence`` after ``rounds`` of scoring the pattern-instance graph.
 
     Followers that can be no identifier count in a pattern's total and are believed never, seeds always.
     """
-    edges = docs.select("text").mapInArrow(_followed(patterns), "kind string, pattern string, instance string, seed boolean, n long")
-    edges = store(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "pattern-graph")
+    edges = docs.select("text").mapInArrow(_followed(_bitmap(patterns)), "kind string, pattern string, instance string, seed boolean, n long")
+    edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    edges = store(edges.join(patterns, ["kind", "pattern"], "left_semi"), "pattern-graph")
     totals = edges.groupBy("kind", "pattern").agg(F.sum("n").alias("total"))
     links = edges.where("instance is not null")
     belief = F.when(F.col("seed"), 1.0).otherwise(0.0)
@@ -181,37 +251,101 @@ def score_patterns(docs: DataFrame, patterns: list[tuple[str, str]], rounds: int
     return scores
 
 
-def _find(patterns: list[tuple[str, str]]):
-    """Base spans and, for patterns (best first), what follows them if it overlaps no span yet."""
+Spans = list[tuple[str, int, int, bool]]
+
+
+def _candidates(text: str, ends: list[tuple[str, int]], base: list[tuple[str, int, int]]) -> list[dict]:
+    """What follows the pairs of words and overlaps no base span."""
+    starts, out = {(k, a): b for k, a, b in base}, []
+    for kind, end in ends:
+        what = _follower(kind, text, end, starts)
+        if what and (kind == "email" or len(_digits(text[what[0]:what[1]])) >= 5) and all(what[1] <= a or b <= what[0] for _, a, b in base):
+            out.append({"kind": kind, "pattern": _context(text, end).lower(), "start": what[0], "end": what[1]})
+    return out
+
+
+def _settled(base: list[tuple[str, int, int]], more: list[dict]) -> Spans:
+    """Base spans and, by patterns (best first), those of ``more`` that overlap no span yet."""
+    own = [(k, a, b, True) for k, a, b in base]
+    for m in sorted(more, key=lambda m: (-m["confidence"], m["kind"], m["pattern"], m["start"])):
+        if all(m["end"] <= a or b <= m["start"] for _, a, b, _ in own):
+            own.append((m["kind"], m["start"], m["end"], False))
+    return sorted(own, key=lambda s: (KINDS.index(s[0]), s[1]))
+
+
+def _without(bitmap: bytes, finish: Callable[[str, Spans], object], kind: pa.DataType):
+    """The rows without candidates, finished."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(patterns) if patterns else None
-        rank = {p: i for i, p in enumerate(patterns)}
+        finder = _Finder(bitmap)
         for block, texts in _texts(batches):
-            where = finder.rows(block.column("text")) if finder else {}
-            spans = []
+            ends, at, out = finder.ends(texts), [], []
             for r, text in enumerate(texts):
-                own = [(k, a, b, True) for k, a, b in base_spans(text)]
-                for kind, _, place in sorted(finder.followers(text, where[r]), key=lambda f: rank[f[:2]]) if r in where else ():
-                    like = _FOLLOWER[kind].match(text, place)
-                    if like and (kind == "email" or len(_digits(like[0])) >= 5) and all(like.end() <= a or b <= place for _, a, b, _ in own):
-                        own.append((kind, place, like.end(), False))
-                own.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
-                spans.append([{"kind": k, "start": a, "end": b, "base": f} for k, a, b, f in own])
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(spans, _SPANS)], ["id", "spans"])
+                base = base_spans(text)
+                if r not in ends or not _candidates(text, ends[r], base):
+                    at.append(r)
+                    out.append(finish(text, _settled(base, [])))
+            yield pa.RecordBatch.from_arrays([block.column("row").take(pa.array(at, pa.int64())), pa.array(out, kind)], ["row", "out"])
+    return run
+
+
+def _with(bitmap: bytes):
+    """The rows with candidates, numbered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, number = _Finder(bitmap), TaskContext.get().partitionId() << 36  # numbers of the stored rows
+        for block, texts in _texts(batches):
+            found = [(r, more) for r, ends in sorted(finder.ends(texts).items()) if (more := _candidates(texts[r], ends, base_spans(texts[r])))]
+            at = pa.array([r for r, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(at))), block.column("row").take(at), block.column("text").take(at),
+                                              pa.array([more for _, more in found], _CANDIDATES)], ["number", "row", "text", "candidates"])
+            number += len(at)
     return run
 
 
+def _finished(finish: Callable[[str, Spans], object], kind: pa.DataType):
+    """The rows with candidates, finished with those whose patterns are in the table."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts in _texts(batches):
+            out = [finish(text, _settled(base_spans(text), more or [])) for text, more in zip(texts, block.column("more").to_pylist())]
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(out, kind)], ["row", "out"])
+    return run
+
+
+_CANDIDATES = pa.list_(pa.struct([("kind", pa.string()), ("pattern", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_CANDIDATES_DDL = "array<struct<kind: string, pattern: string, start: long, end: long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 _SPANS_DDL = "array<struct<kind: string, start: long, end: long, base: boolean>>"
 
 
-def learn_patterns(docs: DataFrame, confidence: float = CONFIDENCE) -> list[tuple[str, str]]:
-    """The (kind, pattern) of at least ``confidence``, best first; a bounded list (see ``induce_patterns``)."""
+def pattern_table(docs: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """``kind, pattern, bit, confidence`` of all patterns of at least ``confidence``."""
     candidates = induce_patterns(docs)
-    if not candidates:
-        return []
-    good = score_patterns(docs, candidates).where(F.col("confidence") >= confidence).orderBy(F.desc("confidence"), "kind", "pattern")
-    return [(r.kind, r.pattern) for r in good.collect()]
+    good = score_patterns(docs, candidates).where(F.col("confidence") >= confidence)
+    return store(candidates.join(good, ["kind", "pattern"]), "patterns")
+
+
+def learn_patterns(docs: DataFrame, confidence: float = CONFIDENCE) -> list[tuple[str, str]]:
+    """The (kind, pattern) of ``pattern_table`` as a list, best first, to look at; the operators use the table."""
+    return [(r.kind, r.pattern) for r in pattern_table(docs, confidence).orderBy(F.desc("confidence"), "kind", "pattern").collect()]
+
+
+def _over_rows(packed: DataFrame, finish: Callable[[str, Spans], object], kind: pa.DataType, ddl: str) -> DataFrame:
+    """``row, out``: ``finish`` of the text and its spans, for every row of ``packed`` (``row, text``).
+
+    What a text holds depends on the text and the patterns alone, so the rows with candidates, the only ones that travel, are the
+    same in both passes.
+    """
+    patterns = pattern_table(packed.select("text"))
+    bitmap = _bitmap(patterns)
+    schema = T.StructType([packed.schema["row"], *T.StructType.fromDDL(f"out {ddl}").fields])
+    plain = packed.mapInArrow(_without(bitmap, finish, kind), schema)
+    if not zlib.decompress(bitmap):
+        return plain
+    wide = T.StructType([*T.StructType.fromDDL("number long").fields, packed.schema["row"], *T.StructType.fromDDL(f"text string, candidates {_CANDIDATES_DDL}").fields])
+    rows = store(packed.mapInArrow(_with(bitmap), wide), "pii-candidates")
+    found = rows.select("number", F.explode("candidates").alias("c")).select("number", "c.*").join(patterns.drop("bit"), ["kind", "pattern"])
+    more = found.groupBy("number").agg(F.collect_list(F.struct("kind", "pattern", "start", "end", "confidence")).alias("more"))
+    rest = rows.drop("candidates").join(more, "number", "left").select("row", "text", "more")
+    return plain.unionByName(rest.mapInArrow(_finished(finish, kind), schema))
 
 
 def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -220,11 +354,11 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Emails, IPv4 addresses, card numbers (16 to 19 digits, Luhn) and phone numbers (8 to 15 digits after a plus) are
     base spans, per kind leftmost and non-overlapping; spans of different kinds may overlap. Patterns add spans that
     overlap no other. Null text counts as empty; repeated rows get the same spans; other columns are ignored; an empty
-    table gives an empty result. Nothing but the pattern statistics is shuffled.
+    table gives an empty result. Only the pattern statistics and the texts that hold something behind a pattern are shuffled.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_find(learn_patterns(rows)), f"id {kind}, spans {_SPANS_DDL}").withColumnRenamed("id", "doc_id")
+    packed = docs.select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text_column).alias("text"))
+    found = _over_rows(packed, lambda text, spans: [dict(zip(("kind", "start", "end", "base"), s)) for s in spans], _SPANS, _SPANS_DDL)
+    return found.select(F.col("row.id").alias("doc_id"), F.col("out").alias("spans"))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -240,23 +374,13 @@ def pii_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def _mask(patterns: list[tuple[str, str]]):
-    find = _find(patterns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks([batch]):
-                texts, out = block.column("text").to_pylist(), []
-                found = next(find(iter([pa.RecordBatch.from_arrays([block.column("text"), block.column("text")], ["id", "text"])])))
-                for text, spans in zip(texts, found.column("spans").to_pylist()):
-                    at, parts = 0, []
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= at:
-                            parts += [text[at:s["start"]], f"[{s['kind'].upper()}]"]
-                        at = max(at, s["end"])
-                    out.append(None if text is None else "".join(parts) + text[at:])
-                yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(out, pa.string())], ["row", "masked"])
-    return run
+def _masked(text: str, spans: Spans) -> str:
+    at, parts = 0, []
+    for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
 
 
 def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -264,11 +388,9 @@ def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     All other columns stay, but for ``n_chars``, which is counted anew where present.
     """
-    from pyspark.sql import types as T
-
-    patterns = learn_patterns(docs.select(F.col(text_column).alias("text")))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_column].alias("text"))
-    masked = packed.mapInArrow(_mask(patterns), T.StructType([packed.schema["row"], T.StructField("masked", T.StringType())]))
+    masked = _over_rows(packed, _masked, pa.string(), "string")
+    masked = masked.withColumn("masked", F.when(F.col("row").getField(text_column).isNotNull(), F.col("out")))
     columns = {c: F.col("row").getField(c) for c in docs.columns} | {text_column: F.col("masked")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("masked").cast(docs.schema["n_chars"].dataType)

@@ -72,6 +72,17 @@ def test_contexts_find_unseen_forms(spark):
     assert masked[0].startswith("word Call me: [PHONE] or come.")
 
 
+def test_seeds_spread_over_many_contexts(spark):
+    """300 contexts of four seeds each: every one is a pattern, and the unseen forms behind them are found and masked."""
+    word = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+    rows = [(10 * i + k, f"so call {word(i)}: +1 555 {i:03} {k:04} or come", "en", "s") for i in range(300) for k in range(4)]
+    rows += [(10 * i + 9, f"so call {word(i)}: (0555) 123-4567 or come, room xx 123456", "en", "s") for i in range(300)]
+    docs = frame(spark, rows)
+    assert sorted(learn_patterns(docs)) == sorted(("phone", f"call {word(i)}") for i in range(300))
+    assert all([(s.kind, s.base) for s in r.spans] == [("phone", r.doc_id % 10 != 9)] for r in find_pii(docs).collect())
+    assert all("call" in r.text and r.text.split(": ")[1].startswith("[PHONE] or come") for r in mask_pii(docs).collect())
+
+
 def test_mask_keeps_columns(spark):
     rows = [(1, "a@b.cd x", 8, 1.5, "r"), (1, "a@b.cd x", 8, 1.5, "r"), (None, "", 0, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, masked double, row string")
