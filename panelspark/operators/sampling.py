@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_dir
 from .crosssection import CrossSection, _null_safe
 
 
@@ -101,26 +101,40 @@ def correlation_pairs(wide: DataFrame, cols, row: str = "date") -> DataFrame:
     return both.groupBy("a", "b").agg(safe_corr("va", "vb").alias("corr"))
 
 
-#: A finished search is pruned over so many of its best candidates.
-BEST = 500
+#: So many candidates are walked on the driver at a time.
+BLOCK = 500
 
 
-def greedy_prune(candidates: DataFrame, pairs: DataFrame, limit: float, best: int = BEST) -> DataFrame:
+def greedy_prune(candidates: DataFrame, pairs: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """(candidate, fitness, max_corr): accept by descending fitness while |corr| to the accepted stays within the limit.
 
-    Accepting is sequential. It sees the ``best`` candidates and the correlations among these, so what comes to the driver is
-    bounded however many candidates and pairs there are. A missing correlation counts as none.
+    Accepting is sequential, so the candidates are walked in blocks of the best undecided ones until none is left: the driver sees
+    one block and the correlations inside it, Spark then drops whatever is correlated beyond the limit with a newly accepted one.
+    A missing correlation counts as none.
     """
-    chosen = candidates.where("fitness > 0").orderBy(F.col("fitness").desc(), "candidate").limit(best)
-    names = F.broadcast(chosen.select("candidate"))
-    among = pairs.join(names.withColumnRenamed("candidate", "a"), "a", "left_semi").join(names.withColumnRenamed("candidate", "b"), "b", "left_semi")
-    size = {frozenset((r["a"], r["b"])): abs(r["corr"] or 0.0) for r in among.collect()}
-    kept: dict[str, tuple[float, float]] = {}
-    for r in chosen.collect():
-        worst = max((size.get(frozenset((r["candidate"], k)), 0.0) for k in kept), default=0.0)
-        if worst <= limit:
-            kept[r["candidate"]] = (float(r["fitness"]), float(worst))
-    return candidates.sparkSession.createDataFrame([(k, *v) for k, v in kept.items()], "candidate string, fitness double, max_corr double")
+    spark = candidates.sparkSession
+    path, schema = scratch_dir(spark, "pruned"), "candidate string, fitness double, max_corr double"
+    size = F.abs(F.coalesce(F.nanvl(F.col("corr").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("size")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")
+    met = materialize(pairs.select(both, size).groupBy("p.a", "p.b").agg(F.max("size").alias("size")))
+    left = materialize(candidates.where("fitness > 0").select("candidate", F.col("fitness").cast("double").alias("fitness"), F.lit(0.0).alias("max_corr")))
+    while True:
+        chosen = left.orderBy(F.col("fitness").desc(), "candidate").limit(block).collect()
+        names = F.broadcast(spark.createDataFrame([(r["candidate"],) for r in chosen], "a string"))
+        among = met.join(names, "a", "left_semi").join(names.toDF("b"), "b", "left_semi")
+        inside = {(r["a"], r["b"]): r["size"] for r in among.collect()}
+        kept: dict[str, tuple[float, float]] = {}
+        for name, fitness, worst in chosen:
+            worst = max([worst, *(inside.get((name, k), 0.0) for k in kept)])
+            if worst <= limit:
+                kept[name] = (fitness, worst)
+        new = spark.createDataFrame([(k, *v) for k, v in kept.items()], schema)
+        new.coalesce(1).write.mode("append").parquet(path)
+        if len(chosen) < block:
+            return spark.read.schema(schema).parquet(path).orderBy(F.col("fitness").desc(), "candidate")
+        near = met.join(F.broadcast(new.select(F.col("candidate").alias("b"))), "b").groupBy(F.col("a").alias("candidate")).agg(F.max("size").alias("size"))
+        left = left.join(names.toDF("candidate"), "candidate", "left_anti").join(near, "candidate", "left")
+        left = materialize(left.select("candidate", "fitness", F.greatest("max_corr", F.coalesce("size", F.lit(0.0))).alias("max_corr")).where(F.col("max_corr") <= limit))
 
 
 def qualifies(reports: DataFrame, ir_min: float = 0.07, tvr_max: float = 0.5, names_min: float = 160) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 from statistics import NormalDist
 
 import pandas as pd
@@ -260,6 +261,25 @@ def test_greedy_prune(spark):
     assert [r["candidate"] for r in sampling.greedy_prune(cand, pairs, 0.5).collect()] == ["a", "c"]
 
 
+def test_greedy_prune_looks_at_all_candidates(spark):
+    """Behind 600 variants of one signal stand two others; blocks of any size give what one walk gives."""
+    cand = [(f"v{i}", 1000.0 - i) for i in range(600)] + [("x", 2.0), ("y", 1.0)]
+    pairs = [("v0", f"v{i}", 0.9) for i in range(1, 600)] + [("x", "y", 0.1), ("y", "v0", -0.3)]
+    frames = spark.createDataFrame(cand, "candidate string, fitness double"), spark.createDataFrame(pairs, "a string, b string, corr double")
+    assert [tuple(r) for r in sampling.greedy_prune(*frames, 0.5).collect()] == [("v0", 1000.0, 0.0), ("x", 2.0, 0.0), ("y", 1.0, 0.3)]
+    rng = random.Random(5)
+    corr = {(a, b): float(rng.uniform(-1, 1)) for a in range(12) for b in range(a)}
+    kept = {}
+    for a in range(12):
+        worst = max([0.0, *(abs(corr[a, b]) for b in kept)])
+        if worst <= 0.5:
+            kept[a] = worst
+    cand = spark.createDataFrame([(f"{a:02}", 12.0 - a) for a in range(12)], "candidate string, fitness double")
+    pairs = spark.createDataFrame([(f"{a:02}", f"{b:02}", c) for (a, b), c in corr.items()], "a string, b string, corr double")
+    got = {int(r["candidate"]): r["max_corr"] for r in sampling.greedy_prune(cand, pairs, 0.5, block=3).collect()}
+    assert len(kept) > 1 and got == kept
+
+
 def test_file_layouts(spark, tmp_path):
     """Both layouts: date/code.parquet files and symbol.csv files with a duplicate date."""
     from panelspark.sources import files as fl
