@@ -201,16 +201,18 @@ class _Finder:
 
 
 def _follower(kind: str, text: str, end: int, base: dict[tuple[str, int], int]) -> tuple[int, int, bool] | None:
-    """What follows a pair of words: start, end and whether it is a seed."""
-    place = end
-    while place < len(text) and text[place] in " \t:=\"'<":
-        place += 1
-    if place - end > 3:
-        return None
-    if (kind, place) in base:
-        return place, base[kind, place], True
-    like = _FOLLOWER[kind].match(text, place)
-    return (place, like.end(), False) if like else None
+    """What follows a pair of words at any place of which the pair is the context: start, end and whether it is a seed (seeds first)."""
+    last = end
+    while last - end < 3 and last < len(text) and not (text[last].isalnum() or text[last] in "_\n"):
+        last += 1
+    for place in range(end, last + 1):
+        if (kind, place) in base:
+            return place, base[kind, place], True
+    for place in range(end, last + 1):
+        like = _FOLLOWER[kind].match(text, place)
+        if like and (kind != "email" or text[place] in _LOCAL or text[place].isalnum()):
+            return place, like.end(), False
+    return None
 
 
 def _followed(bitmap: bytes):

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from panelspark.llm.pii import base_spans, find_pii, learn_patterns, luhn, mask_pii, pii_report
+from panelspark.llm.pii import KINDS, _bit, _context, _follower, _pairs, base_spans, find_pii, learn_patterns, luhn, mask_pii, pii_report
 
 from .rows import ODD, documents, frame
 
@@ -83,6 +83,45 @@ def test_seeds_spread_over_many_contexts(spark):
     assert all("call" in r.text and r.text.split(": ")[1].startswith("[PHONE] or come") for r in mask_pii(docs).collect())
 
 
+@pytest.mark.parametrize("between", [". ", ", ", " - ", "; ", " [", ": ", " ", "\u201d ", " \u2014 ", "\u00a0"])
+@pytest.mark.parametrize("words", ["call me", "appelle \u00c9lise", "\u03a3\u039f\u03a3 \u039f\u0394\u039f\u03a3"])
+def test_what_induction_sees_the_finder_sees(words, between):
+    for kind, seed, other in (("phone", "+1 555 010 9999", "(0555) 123-4567"), ("email", "a.b@c.de", "someone@localhost")):
+        text = f"then \u201c{words}{between}{seed} or"
+        end = text.index(words) + len(words)
+        base = {(k, a): b for k, a, b in base_spans(text)}
+        assert _context(text, end + len(between)) == words and _follower(kind, text, end, base) == (end + len(between), text.index(" or"), True)
+        unseen = f"then {words.upper()}{between}{other} or"
+        at = unseen.index(words.upper()) + len(words)
+        assert _context(unseen, at).lower() == words.lower() and _follower(kind, unseen, at, {}) == (at + len(between), unseen.index(" or"), False)
+        bits = [set(_bit(p, k).tolist()) for k in KINDS for p in (_pairs([words])[2],)]
+        row, ends, pairs = _pairs(["x", text, unseen])
+        hit = {(r, e) for r, e, bit in zip(row.tolist(), ends.tolist(), _bit(pairs, kind).tolist()) if bit in bits[KINDS.index(kind)]}
+        assert hit == {(1, end), (2, at)}
+
+
+CONTEXT = re.compile(r"([^\W\d_]+)[^\S\n]+([^\W\d_]+)[^\w\n]{0,3}\Z")
+
+
+def test_contexts_are_those_of_the_plain_pattern():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("aB\u00e9\u4e00 \t\n\u00a0.,-_5\u00b2\u0301(") for _ in range(rng.randint(0, 14)))
+        found = CONTEXT.search(text)
+        assert _context(text, len(text)) == (f"{found[1]} {found[2]}" if found else None), text
+        ends = {e for e in range(1, len(text) + 1) if (e == len(text) or not re.match(r"[^\W\d_]", text[e])) and re.search(r"[^\W\d_]+[^\S\n]+[^\W\d_]+\Z", text[:e])}
+        assert set(_pairs(["", text, "b"])[1][_pairs(["", text, "b"])[0] == 1].tolist()) == ends, text
+
+
+def test_separators_between_context_and_identifier(spark):
+    """Seeds behind a dash or a full stop are followers like all others, and unseen forms there are found."""
+    for k, between in enumerate((" - ", ". ")):
+        rows = [(i, f"so call me{between}+1 555 {i:03} 0000 or", "en", "s") for i in range(9)] + [(9, f"so call me{between}(0555) 123-4567 or", "en", "s")]
+        docs = frame(spark, rows)
+        assert learn_patterns(docs) == [("phone", "call me")]
+        assert {r.doc_id: r.text for r in mask_pii(docs).collect()}[9] == f"so call me{between}[PHONE] or"
+
+
 def test_mask_keeps_columns(spark):
     rows = [(1, "a@b.cd x", 8, 1.5, "r"), (1, "a@b.cd x", 8, 1.5, "r"), (None, "", 0, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, masked double, row string")
