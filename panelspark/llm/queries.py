@@ -122,3 +122,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import language_scores
 
     return language_scores(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import looped_tails, periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents"), rewrite=looped_tails, detail=False)
