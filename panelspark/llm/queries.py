@@ -129,3 +129,17 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic import looped_tails, periodic_runs
 
     return periodic_runs(_table(spark, sf_dir, "documents"), rewrite=looped_tails, detail=False)
+
+
+@register
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
