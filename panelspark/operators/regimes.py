@@ -7,6 +7,7 @@ many series (sectors, candidates, entities) run side by side.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,33 +39,115 @@ def date_level_series(panel: DataFrame, value: Column, calendar_dates: DataFrame
 
 
 def regime_filter(series: DataFrame, means, variances, transition, initial, states=CALM_STRESS,
-                  by=("series",), order: str = "date", value: str = "value") -> DataFrame:
-    """(by, date, <states>, log_c): filtered probabilities and one-step log predictive density.
+                  by=("series",), order: str = "date", value: str = "value", horizon: int = 1) -> DataFrame:
+    """(by, order, <states>, log_c): filtered probabilities and one-step log predictive density.
 
-    The recursion is one linear pass over a series' dates, as an Arrow table; K is a small literal.
+    With a target known ``horizon`` dates later a date's prior is the posterior from ``horizon`` of its series' dates back, taken as
+    many steps ahead; the first ``horizon`` dates start from the initial distribution.
+
+    The recursion is a product of K x K matrices, so it is scanned by blocks: a series' year is one row of arrays, the product over a
+    block is taken for all blocks of an Arrow batch at once, the starts of a series' blocks follow from these products, and all blocks
+    are filtered from their starts side by side. A long series is spread over its years. ``order`` is a date; K and ``horizon`` are small literals.
     """
-    log_norm = [0.5 * (math.log(2.0 * math.pi) + math.log(v)) for v in variances]
-    chain = np.asarray(transition, dtype=float)
-    names = [order, *states, "log_c"]
-
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        values = np.asarray(table.column(value), dtype=float)
-        logs = -0.5 * (values[:, None] - np.asarray(means)) ** 2 / np.asarray(variances) - np.asarray(log_norm)
-        peak = logs.max(axis=1)
-        likelihood = np.exp(logs - peak[:, None])
-        filtered, total, ahead = np.empty_like(likelihood), np.empty(len(values)), np.asarray(initial, dtype=float)
-        for t in range(len(values)):
-            joint = ahead * likelihood[t]
-            total[t] = joint.sum()
-            filtered[t] = joint / total[t]
-            ahead = filtered[t] @ chain
-        columns = [table.column(c) for c in (*by, order)] + [pa.array(filtered[:, i]) for i in range(len(states))] + [pa.array(np.log(total) + peak)]
-        return pa.Table.from_arrays(columns, names=[*by, *names])
-
-    rows = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value))
-    fields = [rows.schema[c] for c in (*by, order)] + [T.StructField(c, T.DoubleType()) for c in (*states, "log_c")]
-    return rows.groupBy(*by).applyInArrow(scan, T.StructType(fields))
+    if horizon < 1:
+        raise ValueError(f"the filter needs a horizon >= 1, got {horizon}")
+    mean, variance, first = (np.asarray(v, dtype=float) for v in (means, variances, initial))
+    ahead, k = np.linalg.matrix_power(np.asarray(transition, dtype=float), horizon), len(states)
+    schema = series.schema
+    keys = [T.StructField(c, schema[c].dataType) for c in by]
+    block = F.trunc(order, "year").alias("_block")
+    plain = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value), block)
+    blocks = plain.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v")))).alias("_rows"))
+    products = blocks.select(*by, "_block", F.transform("_rows", lambda r: r["v"]).alias("_v")).mapInArrow(
+        _block_products(mean, variance, ahead, horizon), T.StructType([*keys, T.StructField("_block", T.DateType()), T.StructField("_n", T.LongType()), T.StructField("_product", T.ArrayType(T.DoubleType()))]))
+    starts = products.groupBy(*by).applyInArrow(
+        _block_starts(first, horizon), T.StructType([*keys, T.StructField("_block", T.DateType()), T.StructField("_start", T.ArrayType(T.DoubleType()))]))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_block")])
+    both = blocks.alias("l").join(starts.alias("r"), same).select(*[f"l.{c}" for c in by], "_rows", "_start")
+    fields = [*keys, T.StructField(order, schema[order].dataType), *[T.StructField(c, T.DoubleType()) for c in (*states, "log_c")]]
+    return both.mapInArrow(_filter_blocks(mean, variance, ahead, horizon, by, k), T.StructType(fields)).toDF(*by, order, *states, "log_c")
+
+
+def _likelihoods(values: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities of each value under each state over the largest of them, and the logarithm of that one."""
+    logs = -0.5 * ((values[..., None] - mean) ** 2 / variance + np.log(2.0 * math.pi * variance))
+    peak = logs.max(axis=-1)
+    return np.exp(logs - peak[..., None]), peak
+
+
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A list column as a rectangle, zeros behind, with the lengths and the mask of what is there."""
+    sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    there = np.arange(int(sizes.max(initial=0))) < sizes[:, None]
+    out = np.zeros(there.shape)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False)
+    return out, sizes, there
+
+
+def _block_products(mean, variance, ahead, horizon: int):
+    """For each block and each of the ``horizon`` chains inside it, the product of its steps: rows scaled apart, with the logarithm of their scale."""
+    k = len(mean)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes, there = _padded(batch.column("_v"))
+            n = len(sizes)
+            weight = _likelihoods(values, mean, variance)[0]
+            product, scale = np.tile(np.eye(k), (n, horizon, 1, 1)), np.zeros((n, horizon, k))
+            for t in range(values.shape[1]):
+                live, chain = there[:, t], t % horizon
+                step = (product[live, chain] * weight[live, t][:, None, :]) @ ahead
+                top = step.max(axis=2)
+                product[live, chain] = step / np.where(top > 0, top, 1.0)[:, :, None]
+                scale[live, chain] += np.log(np.where(top > 0, top, 1.0))
+            flat = np.concatenate([product, scale[..., None]], axis=3).reshape(n, -1)
+            arrays = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            kept = [c for c in batch.schema.names if c != "_v"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sizes), arrays], names=[*kept, "_n", "_product"])
+    return products
+
+
+def _block_starts(initial, horizon: int):
+    """The priors with which each chain enters each block of a series, in the order of the block's own rows."""
+    k = len(initial)
+
+    def starts(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        chains, offset, out = np.tile(initial, (horizon, 1)), 0, []
+        for n, flat in zip(table.column("_n").to_pylist(), table.column("_product").to_pylist()):
+            turn = (offset + np.arange(horizon)) % horizon
+            out.append(chains[turn].ravel().tolist())
+            parts = np.asarray(flat).reshape(horizon, k, k + 1)
+            for chain in range(min(horizon, n)):
+                rows, scale = parts[chain, :, :k], parts[chain, :, k]
+                weighted = chains[turn[chain]] * np.exp(scale - scale.max())
+                after = weighted @ rows
+                chains[turn[chain]] = after / after.sum()
+            offset += n
+        return table.drop_columns(["_n", "_product"]).append_column("_start", pa.array(out, pa.list_(pa.float64())))
+    return starts
+
+
+def _filter_blocks(mean, variance, ahead, horizon: int, by, k: int):
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("_rows")
+            inside = rows.flatten()
+            dates = inside.field("at")
+            values, sizes, there = _padded(pa.ListArray.from_arrays((rows.offsets.to_numpy() - rows.offsets[0].as_py()).astype(np.int32), inside.field("v")))
+            n = len(sizes)
+            prior = batch.column("_start").flatten().to_numpy(zero_copy_only=False).reshape(n, horizon, k).copy()
+            weight, peak = _likelihoods(values, mean, variance)
+            posterior, total = np.empty((*values.shape, k)), np.empty(values.shape)
+            for t in range(values.shape[1]):
+                joint = prior[:, t % horizon] * weight[:, t]
+                total[:, t] = joint.sum(axis=1)
+                posterior[:, t] = joint / total[:, t, None]
+                prior[:, t % horizon] = posterior[:, t] @ ahead
+            again = pa.array(np.repeat(np.arange(n), sizes))
+            found = [*[batch.column(c).take(again) for c in by], dates, *[pa.array(posterior[there][:, i]) for i in range(k)], pa.array((np.log(total) + peak)[there])]
+            yield pa.RecordBatch.from_arrays(found, names=[f"c{i}" for i in range(len(found))])
+    return filtered
 
 
 def gate_weights(probs: DataFrame, transition, kind: str, horizon: int = 1, states=CALM_STRESS) -> DataFrame:
@@ -115,16 +198,51 @@ def trailing_vol_state(series: DataFrame, w: int, by=("series",), value: str = "
     return d.withColumn("state", F.when(F.col("vol").isNotNull(), (F.col("vol") > F.col("threshold")).cast("int")))
 
 
+def earlier_smaller(values: np.ndarray) -> np.ndarray:
+    """For each value the number of earlier ones that are strictly smaller, by merging sorted blocks: O(T log^2 T), no step for each value.
+
+    Blocks of 1, 2, 4 ... values: each value of a right half counts the smaller ones of the left half beside it.
+    """
+    n = len(values)
+    ranks = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    found, place = np.zeros(n, np.int64), np.arange(n)
+    size = 1
+    while size < n:
+        # by pair of blocks, then rank; of equal ones the right half first, so that a left one counts only for larger ones
+        order = np.lexsort((place // size % 2 == 0, ranks, place // (2 * size)))
+        left = (place[order] // size % 2 == 0).astype(np.int64)
+        before = np.cumsum(left)
+        pair = place[order] // (2 * size)
+        begin = np.searchsorted(pair, pair)
+        before -= np.where(begin > 0, before[begin - 1], 0)
+        right = left == 0
+        found[order[right]] += before[right]
+        size *= 2
+    return found
+
+
 def causal_vol_assignment(series: DataFrame, w: int, calm_share: float, k: int, min_history: int,
                           by=("series",), value: str = "value") -> DataFrame:
-    """Add ``regime`` by trailing volatility against expanding quantiles; -1 until there is history."""
+    """Add ``regime`` by trailing volatility against expanding quantiles; -1 until there is history.
+
+    A volatility is among those that its quantile is taken of, so it lies above the interpolated quantile at c exactly if more
+    than floor((n - 1) c) of the n volatilities so far are smaller: one rank a date replaces all cuts. Ranks come from
+    merged sorted blocks, a series' dates as one Arrow table of key, date and volatility (bounded by the calendar).
+    """
     d = trailing_vol(series, w, by, value)
-    past = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    cuts = [calm_share + j * (1.0 - calm_share) / (k - 1) for j in range(k - 1)]
-    d = d.withColumn("_cuts", F.percentile("vol", F.array(*[F.lit(c) for c in cuts])).over(past))
-    level = _add([(F.col("vol") > F.col("_cuts")[j]).cast("int") for j in range(k - 1)])
-    ready = F.col("vol").isNotNull() & (F.count("vol").over(past) >= min_history)
-    return d.withColumn("regime", F.when(ready, level).otherwise(-1)).drop("_cuts")
+    cuts = np.array([calm_share + j * (1.0 - calm_share) / (k - 1) for j in range(k - 1)])
+
+    def assign(table: pa.Table) -> pa.Table:
+        table = table.sort_by("date")
+        vol = table.column("vol").to_numpy()
+        there = ~np.isnan(vol)
+        n = np.arange(1, int(there.sum()) + 1)
+        level = (earlier_smaller(vol[there])[:, None] > np.floor((n[:, None] - 1) * cuts)).sum(axis=1)
+        regime = np.full(len(vol), -1)
+        regime[there] = np.where(n >= min_history, level, -1)
+        return table.append_column("regime", pa.array(regime.astype(np.int32)))
+
+    return d.groupBy(*by).applyInArrow(assign, T.StructType([*d.schema.fields, T.StructField("regime", T.IntegerType())]))
 
 
 def runs(df: DataFrame, flag: Column, by, order: str = "date") -> DataFrame:

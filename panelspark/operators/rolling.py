@@ -304,22 +304,40 @@ def ewm_mean(df, x: str, span: int, out: str, min_obs: int | None = None,
              entity: str = "entity", date: str = "date"):
     """Exponentially weighted mean, span w, weights (1 - a)^age with a = 2 / (w + 1).
 
-    A missing value ages both sums and contributes to neither. The recursion is one linear pass over an entity's rows,
-    which are at most one per calendar date, as an Arrow table.
+    A missing value ages both sums and contributes to neither. The recursion is a scan by blocks of an entity's years: inside a block the sums
+    of values over their decay, scaled back, are plain running sums; the blocks' last sums, decayed over the rows between, give what each
+    block inherits. An entity's rows are spread over its years, and nothing leaves the JVM. Panels hold one row for each date, so a
+    block has at most 366 rows, far from the range of a double; a block of more than ``_BLOCK_ROWS`` rows ends the query.
     """
     need = default_min_obs(span) if min_obs is None else min_obs
     keep = 1.0 - 2.0 / (span + 1.0)
     df = df.drop(out)
-
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by(date)
-        num = den = 0.0
-        seen, means = 0, []
-        for v in table.column(x).to_pylist():
-            num, den = num * keep, den * keep
-            if v is not None:
-                num, den, seen = num + v, den + 1.0, seen + 1
-            means.append(num / den if seen >= need and den > 0 else None)
-        return table.append_column(out, pa.array(means, pa.float64()))
-
-    return df.groupBy(entity).applyInArrow(scan, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    if span == 1:
+        seen = F.count(x).over(W.partitionBy(entity).orderBy(date).rowsBetween(W.unboundedPreceding, 0))
+        return df.withColumn(out, F.when(seen >= need, F.col(x).cast("double")))
+    over = W.partitionBy(entity, "_block").orderBy(date)
+    run = over.rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn("_block", F.trunc(date, "year")).withColumn("_pos", F.row_number().over(over))
+    small = F.when(F.col("_pos") <= _BLOCK_ROWS, F.col("_pos")).otherwise(F.raise_error(F.lit(f"more than {_BLOCK_ROWS} rows of one entity in a year")).cast("int"))
+    grown, left = F.pow(F.lit(1.0 / keep), small), F.pow(F.lit(keep), F.col("_pos"))
+    value = F.col(x).cast("double")
+    rows = rows.withColumns({
+        "_num": left * F.coalesce(F.sum(value * grown).over(run), F.lit(0.0)),
+        "_den": left * F.coalesce(F.sum(F.when(value.isNotNull(), grown)).over(run), F.lit(0.0)),
+        "_seen": F.count(x).over(run)})
+    ends = rows.groupBy(entity, "_block").agg(
+        F.max("_pos").alias("n"), F.max_by("_num", "_pos").alias("num"), F.max_by("_den", "_pos").alias("den"), F.max("_seen").alias("seen"))
+    earlier = F.collect_list(F.struct("n", "num", "den", "seen")).over(
+        W.partitionBy(entity).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    nothing = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(0).cast("long").alias("seen"))
+    inherited = F.aggregate(earlier, nothing, lambda a, b: F.struct(
+        (a["num"] * F.pow(F.lit(keep), b["n"]) + b["num"]).alias("num"), (a["den"] * F.pow(F.lit(keep), b["n"]) + b["den"]).alias("den"), (a["seen"] + b["seen"]).alias("seen")))
+    ends = ends.select(F.col(entity).alias("_e"), F.col("_block").alias("_b"), inherited.alias("_in"))
+    joined = rows.join(ends, F.col(entity).eqNullSafe(F.col("_e")) & F.col("_block").eqNullSafe(F.col("_b")))
+    num, den = F.col("_num") + F.col("_in.num") * left, F.col("_den") + F.col("_in.den") * left
+    mean_ = F.when((F.col("_seen") + F.col("_in.seen") >= need) & (den > 0), num / den)
+    return joined.select(*df.columns, mean_.alias(out))
+
+
+#: Rows of an entity's year: the shortest span, 2, grows by 3 a row, so this many stay below 1e250.
+_BLOCK_ROWS = 520

@@ -58,6 +58,26 @@ def _(spark, sf):
     return probs(spark, sf)
 
 
+#: The filter for a target known five dates later: five chains, each through every fifth date, five steps of the matrix at a time.
+H = 5
+STAY, LEAVE = 2 / 3 + 0.85**H / 3, 2 / 3 - 0.85**H * 2 / 3
+HORIZON_SQL = f"""hfilt AS (
+  SELECT series, date, t, 2 / 3.0 * exp(l0 - greatest(l0, l1)) / (2 / 3.0 * exp(l0 - greatest(l0, l1)) + 1 / 3.0 * exp(l1 - greatest(l0, l1))) AS calm,
+         ln(2 / 3.0 * exp(l0 - greatest(l0, l1)) + 1 / 3.0 * exp(l1 - greatest(l0, l1))) + greatest(l0, l1) AS log_c FROM eta WHERE t <= {H}
+  UNION ALL
+  SELECT e.series, e.date, e.t, p0 * exp(l0 - m) / (p0 * exp(l0 - m) + (1 - p0) * exp(l1 - m)),
+         ln(p0 * exp(l0 - m) + (1 - p0) * exp(l1 - m)) + m
+  FROM (SELECT e.*, f.calm * {STAY!r} + (1 - f.calm) * {LEAVE!r} AS p0, greatest(l0, l1) AS m
+        FROM hfilt f JOIN eta e ON e.series = f.series AND e.t = f.t + {H}) e),
+hprobs5 AS (SELECT series, date, calm, 1 - calm AS stress, log_c FROM hfilt)"""
+PROBS_H5 = more(PROBS, HORIZON_SQL)
+
+
+@query("regime_filter_horizon", "series date calm~7 stress~7 log_c~7", "SELECT series, date, calm, stress, log_c FROM hprobs5", PROBS_H5)
+def _(spark, sf):
+    return rg.regime_filter(all_series(spark, sf), MEANS, VARS, TRANS, INIT, horizon=H)
+
+
 def window_sql(h):
     """P(calm) after j steps has the closed form pi + (xi - pi) * 0.85^j for this chain."""
     terms = " + ".join(f"(2 / 3.0 + (calm - 2 / 3.0) * pow(0.85, {j}))" for j in range(1, h + 1))

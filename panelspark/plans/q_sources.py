@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import infer as inf
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources import companies as co
 from ..sources import files as fl
 from ..sources.tables import daily_bars, market_series, table, weekly_bars, weekly_panel
@@ -13,7 +13,7 @@ from ..streaming import jobs
 from .oracle import DAY_BARS, MPANEL, PANEL, WEEK_BARS, with_
 from .q_infer import TRIALS, trials
 from .q_pit import FUND, W_PIT, W_LINKS, available
-from .q_regimes import INIT, MEANS, PROBS, TRANS, VARS, all_series
+from .q_regimes import INIT, MEANS, PROBS, PROBS_H5, TRANS, VARS, all_series
 from .registry import query
 
 
@@ -218,27 +218,40 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("stream_regime_filter", "series date calm~7 stress~7 log_c~7", "SELECT series, date, calm, stress, log_c FROM probs", PROBS)
-def _(spark, sf):
+def filter_stream(spark, sf, horizon):
     base = scratch_dir(spark, "filter")
-    all_series(spark, sf).where("value is not null").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("series string, date date, value double").parquet(f"{base}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    jobs.online_regime_filter(stream, MEANS, VARS, TRANS, INIT, f"{base}/out", f"{base}/ckpt")
+    rows = materialize(all_series(spark, sf).where("value is not null"))
+    # two drops of files, the second after the first has been filtered: the second run continues from the state store
+    stream = lambda: spark.readStream.schema("series string, date date, value double").parquet(f"{base}/in")
+    with jobs.rocksdb_state(spark):
+        for drop in (rows.where("year(date) < 1997"), rows.where("year(date) >= 1997")):
+            drop.write.mode("append").parquet(f"{base}/in")
+            jobs.online_regime_filter(stream(), MEANS, VARS, TRANS, INIT, f"{base}/out", f"{base}/ckpt", horizon)
     d = spark.read.parquet(f"{base}/out").where("not late")
     return d.withColumnsRenamed({"f0": "calm", "f1": "stress"})
 
 
+@query("stream_regime_filter", "series date calm~7 stress~7 log_c~7", "SELECT series, date, calm, stress, log_c FROM probs", PROBS)
+def _(spark, sf):
+    return filter_stream(spark, sf, 1)
+
+
+@query("stream_regime_filter_horizon", "series date calm~7 stress~7 log_c~7", "SELECT series, date, calm, stress, log_c FROM hprobs5", PROBS_H5)
+def _(spark, sf):
+    return filter_stream(spark, sf, 5)
+
+
 @query("stream_late_quarters", "gvkey# event asof_avail " + FUND, "SELECT * FROM vals", W_PIT)
 def _(spark, sf):
     base = scratch_dir(spark, "quarters")
     q = available(spark, sf).where("avail is not null")
     items = [*co.ITEMS, "oancfq"]
-    # every seventh quarter arrives in a second file, after its successors
-    q = q.select("gvkey", "fq_index", "avail", *items)
+    # every seventh quarter arrives after its successors
+    q = materialize(q.select("gvkey", "fq_index", "avail", *items))
     late = (F.col("gvkey") + F.col("fq_index")) % 7 == 0
-    q.where(~late).write.parquet(f"{base}/in/a")
-    q.where(late).write.parquet(f"{base}/in/b")
-    stream = spark.readStream.schema(q.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    jobs.late_quarters(stream, items, f"{base}/store", f"{base}/out", f"{base}/ckpt")
+    stream = lambda: spark.readStream.schema(q.schema).parquet(f"{base}/in")
+    with jobs.rocksdb_state(spark):
+        for drop in (q.where(~late), q.where(late)):
+            drop.write.mode("append").parquet(f"{base}/in")
+            jobs.late_quarters(stream(), items, f"{base}/out", f"{base}/ckpt")
     return jobs.latest_values(spark, f"{base}/out")

@@ -314,43 +314,6 @@ def test_delimited_header_and_identity(spark, tmp_path):
         fl.load_extract(spark, str(tmp_path / "b"), "t", {"source": "s", "lo": "2"})
 
 
-def test_online_filter_over_two_runs(spark, tmp_path):
-    """New dates continue the state; a repeated date changes nothing."""
-    from panelspark.streaming import jobs
-
-    args = ((0.0, 0.0), (0.04, 0.5), ((0.9, 0.1), (0.2, 0.8)), (0.6, 0.4))
-    s = series(spark, [0.1, -0.5, 0.9, 0.0, 0.05, 0.4]).withColumnRenamed("ic", "value")
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    stream = lambda: spark.readStream.schema("series string, date date, value double").parquet(src)
-    s.where("date <= '2020-01-03'").write.parquet(src)
-    jobs.online_regime_filter(stream(), *args, out, ck)
-    s.where("date >= '2020-01-03'").write.mode("append").parquet(src)
-    jobs.online_regime_filter(stream(), *args, out, ck)
-    rows = spark.read.parquet(out).collect()
-    got = {r["date"]: r["f0"] for r in rows if not r["late"]}
-    want = {r["date"]: r["calm"] for r in regimes.regime_filter(s, *args).collect()}
-    assert len(rows) == 7 and got == pytest.approx(want)
-    assert [(r["date"], r["f0"]) for r in rows if r["late"]] == [(dt.date(2020, 1, 3), None)]
-
-
-def test_late_quarters_stream_rerun(spark, tmp_path):
-    from panelspark.streaming import jobs
-
-    q = spark.createDataFrame([(7, 8080, dt.date(2020, 5, 1), *[10.0] * 18), (7, 8081, dt.date(2020, 8, 1), *[12.0] * 18),
-                               (7, 8079, dt.date(2020, 9, 1), *[9.0] * 18)],
-                              "gvkey int, fq_index int, avail date, " + ", ".join(f"{c} double" for c in (
-                                  "saleq cogsq ibq atq actq cheq lctq dlcq dlttq ltq ceqq seqq pstkq txditcq ivaoq ivstq mibq oancfq").split()))
-    items = q.columns[3:]
-    src, store, out, ck = (str(tmp_path / n) for n in ("in", "store", "out", "ck"))
-    stream = lambda: spark.readStream.schema(q.schema).parquet(src)
-    for lo, hi in ((8080, 8081), (8079, 8079)):
-        q.where(F.col("fq_index").between(lo, hi)).write.mode("append").parquet(src)
-        jobs.late_quarters(stream(), items, store, out, ck)
-    got = {r["event"]: r["be"] for r in jobs.latest_values(spark, out).collect()}
-    want = {r["event"]: r["be"] for r in pit.fundamental_values(pit.known_quarters(q, items)).collect()}
-    assert got == want and len(got) == 3
-
-
 def test_anchor_years_before_the_calendar(spark):
     from panelspark.operators.splits import calendar
 
