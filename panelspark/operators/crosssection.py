@@ -406,36 +406,51 @@ class CrossSection:
     def factor_neutral(self, df, y, factors, out) -> DataFrame:
         """Residual of the group's least-squares regression of y on an intercept and the factors.
 
-        One map-side combined pass collects the normal-equation sums of every group; the tiny
-        systems are solved with Gaussian elimination unrolled as Column expressions, and the
-        coefficients come back through a join on the group.
+        Two passes of group aggregates: means over the complete rows, then sums of products of what is left, so that nothing is lost to the level of
+        the inputs. The tiny systems are solved with Gaussian elimination unrolled as Column expressions. A factor without variation of
+        its own (next to the ones before it) leaves the group without residuals.
         """
-        xs = ["_one", *factors]
         ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *factors)])
-        df = df.withColumn("_one", F.lit(1.0)).withColumn("_ok", ok)
-        sums = {f"_s{i}_{j}": F.sum(F.when(F.col("_ok"), F.col(xs[i]) * F.col(xs[j])))
-                for i in range(len(xs)) for j in range(i, len(xs))}
-        sums |= {f"_t{i}": F.sum(F.when(F.col("_ok"), F.col(xs[i]) * F.col(y))) for i in range(len(xs))}
+        names = [y, *factors]
+        df = df.withColumn("_ok", ok)
+        df = self.attach(df, _k=F.count(F.when(F.col("_ok"), 1)), **{f"_m{i}": F.avg(F.when(F.col("_ok"), F.col(c))) for i, c in enumerate(names)})
+        df = df.withColumns({f"_c{i}": F.when(F.col("_ok"), F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(names)})
+        p = len(factors)
+        sums = {f"_s{i}_{j}": F.sum(F.col(f"_c{i + 1}") * F.col(f"_c{j + 1}")) for i in range(p) for j in range(i, p)}
+        sums |= {f"_t{i}": F.sum(F.col(f"_c{i + 1}") * F.col("_c0")) for i in range(p)}
         df = self.attach(df, **sums)
-        df, beta = solve_columns(df, len(xs))
-        fit = sum((F.col(b) * F.col(x) for b, x in zip(beta, xs, strict=True)), F.lit(0.0))
-        return df.withColumn(out, F.when(F.col("_ok"), F.col(y) - fit)).drop(
-            *sums, *beta, "_one", "_ok", *[c for c in df.columns if c.startswith("_ge")])
+        df, beta = solve_columns(df, p, [F.col("_k") * F.col(f"_m{i + 1}") * F.col(f"_m{i + 1}") for i in range(p)])
+        fit = sum((F.col(b) * F.col(f"_c{i + 1}") for i, b in enumerate(beta)), F.lit(0.0))
+        return df.withColumn(out, F.col("_c0") - fit).drop(
+            *sums, *beta, "_ok", "_k", *[f"_m{i}" for i in range(p + 1)], *[f"_c{i}" for i in range(p + 1)], *[c for c in df.columns if c.startswith("_ge")])
 
 
-def solve_columns(df: DataFrame, p: int) -> tuple[DataFrame, list[str]]:
+#: A pivot below the first share of its own diagonal entry, or an entry below the second share of the squares of its level, counts as zero.
+PIVOT_SHARE, LEVEL_SHARE = 1e-12, 1e-27
+
+
+def solve_columns(df: DataFrame, p: int, levels: list[Column] | None = None) -> tuple[DataFrame, list[str]]:
     """Solve the symmetric p x p system held in ``_s{i}_{j}`` / ``_t{i}`` columns; returns ``_b{i}``.
 
     p is a small literal (the number of regressors), so elimination unrolls into p levels of
-    projections that stay in generated code.
+    projections that stay in generated code. Pivots are judged against their column: the part that earlier columns don't explain has to be more
+    than rounding of the whole, and with ``levels`` (sums of squares of what was subtracted in centring) more than rounding of these.
     """
     a = [[f"_s{min(i, j)}_{max(i, j)}" for j in range(p)] + [f"_t{i}"] for i in range(p)]
+
+    def pivot(k: int) -> Column:
+        value, own = F.col(a[k][k]), F.col(f"_s{k}_{k}")
+        real = value > PIVOT_SHARE * own
+        if levels is not None:
+            real = real & (own > LEVEL_SHARE * levels[k])
+        return F.when(real, value)
+
     for k in range(p):
         new, names = [], {}
         for i in range(k + 1, p):
             for j in range(k + 1, p + 1):
                 name = f"_ge{k}_{i}_{j}"
-                expr = F.col(a[i][j]) - F.col(a[i][k]) / zero_to_null(a[k][k]) * F.col(a[k][j])
+                expr = F.col(a[i][j]) - F.col(a[i][k]) / pivot(k) * F.col(a[k][j])
                 new.append(expr.alias(name))
                 names[(i, j)] = name
         df = df.select("*", *new)
@@ -446,5 +461,5 @@ def solve_columns(df: DataFrame, p: int) -> tuple[DataFrame, list[str]]:
         rhs = F.col(a[i][p])
         for j in range(i + 1, p):
             rhs = rhs - F.col(a[i][j]) * F.col(beta[j])
-        df = df.withColumn(beta[i], rhs / zero_to_null(a[i][i]))
+        df = df.withColumn(beta[i], rhs / pivot(i))
     return df, beta

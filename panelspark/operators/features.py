@@ -166,16 +166,23 @@ def seasonality(df: DataFrame, monthly: DataFrame, out: str, first: int = 2, las
 
 
 def coskew(df: DataFrame, out: str, x: str = "ret", y: str = "mkt", w: int = 21) -> DataFrame:
-    """mean(x y^2) / (sx sy^2) with both centred inside the window."""
+    """mean(x y^2) / (sx sy^2) with both centred inside the window.
+
+    The window's pairs are kept as an array of at most ``w`` and centred before they are multiplied.
+    """
     a, b = ts.pairwise(x, y)
-    d = df.withColumns({"_x": a, "_y": b})
-    f = ts.frame(w)
-    n = F.count("_x").over(f)
-    mx, my = F.avg("_x").over(f), F.avg("_y").over(f)
-    third = (F.avg(F.col("_x") * F.col("_y") * F.col("_y")).over(f) - 2 * my * F.avg(F.col("_x") * F.col("_y")).over(f)
-             + my * my * mx - mx * F.avg(F.col("_y") * F.col("_y")).over(f) + 2 * mx * my * my - mx * my * my)
-    scale = F.stddev_pop("_x").over(f) * F.var_pop("_y").over(f)
-    return d.withColumn(out, F.when(n >= need(w), third / F.nullif(scale, F.lit(0.0)))).drop("_x", "_y")
+    d = df.withColumn("_p", F.when(a.isNotNull(), F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))))
+    d = d.withColumn("_w", F.collect_list("_p").over(ts.frame(w))).withColumn("_n", F.size("_w").cast("double"))
+
+    def total(term):
+        return F.aggregate("_w", F.lit(0.0), lambda acc, p: acc + term(p))
+
+    d = d.withColumns({"_mx": total(lambda p: p["x"]) / F.nullif("_n", F.lit(0.0)), "_my": total(lambda p: p["y"]) / F.nullif("_n", F.lit(0.0))})
+    cx, cy = lambda p: p["x"] - F.col("_mx"), lambda p: p["y"] - F.col("_my")
+    d = d.withColumns({"_sxyy": total(lambda p: cx(p) * cy(p) * cy(p)), "_sxx": total(lambda p: cx(p) * cx(p)), "_syy": total(lambda p: cy(p) * cy(p))})
+    scale = F.sqrt(F.col("_sxx") / F.nullif("_n", F.lit(0.0))) * F.col("_syy")
+    return d.withColumn(out, F.when(F.col("_n") >= need(w), F.col("_sxyy") / F.nullif(scale, F.lit(0.0)))).drop(
+        "_p", "_w", "_n", "_mx", "_my", "_sxyy", "_sxx", "_syy")
 
 
 def ivol_capm(r: str = "ret", m: str = "mkt", w: int = 21):

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import norm_cdf, norm_ppf, zero_to_null
+from ..session import materialize
 from .crosssection import CrossSection, split_running
 from .evaluate import long_run_variance
 
@@ -80,18 +81,24 @@ def psr(sharpe: Column, benchmark: Column) -> Column:
 
 
 def expected_max_sharpe(n: Column, variance: Column) -> Column:
-    """Expected best Sharpe of n unskilled trials with the given cross-trial variance."""
-    # the mean of the largest of n normals lies between the quantiles exceeded once in n and once in e n draws
-    once, rarer = (norm_ppf(1.0 - 1.0 / (n * spread)) for spread in (1.0, math.e))
-    best = once + EULER_GAMMA * (rarer - once)
-    return F.when((n > 1) & (variance != 0), best * F.sqrt(variance)).when(n.isNotNull() & variance.isNotNull(), 0.0)
+    """Expected best Sharpe of n unskilled trials with the given cross-trial variance (Bailey and Lopez de Prado, 2014):
+
+    sqrt(V) ((1 - gamma) Z^-1(1 - 1/n) + gamma Z^-1(1 - 1/(n e))).
+    """
+    best = (1.0 - EULER_GAMMA) * norm_ppf(1.0 - 1.0 / n) + EULER_GAMMA * norm_ppf(1.0 - 1.0 / (n * math.e))
+    return F.when((n > 1) & (variance != 0), F.sqrt(variance) * best).when(n.isNotNull() & variance.isNotNull(), 0.0)
+
+
+def _with_one_row(rows: DataFrame, **aggs: Column) -> DataFrame:
+    """Aggregates over the whole table, combined map-side into one row, on every row of it."""
+    rows = materialize(rows)
+    one = rows.agg(*[a.alias(k) for k, a in aggs.items()])
+    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(one.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
 def deflated_sharpe(table: DataFrame) -> DataFrame:
     """``sharpe_table`` rows of one family: the hurdle from the family and each row's DSR."""
-    w = W.partitionBy(F.lit(0))
-    n, v = F.count("sharpe").over(w).cast("double"), F.var_pop("sharpe").over(w)
-    d = table.withColumns({"n_trials": n, "sr_variance": v})
+    d = _with_one_row(table, n_trials=F.count("sharpe").cast("double"), sr_variance=F.var_pop("sharpe"))
     d = d.withColumn("hurdle", expected_max_sharpe(F.col("n_trials"), F.col("sr_variance")))
     return d.withColumn("dsr", psr(F.col("sharpe"), F.col("hurdle")))
 
@@ -153,14 +160,14 @@ def across_seeds(rows: DataFrame, by, value: str) -> DataFrame:
 
 
 def candidate_winner(rows: DataFrame, candidate: str, value: str, mode: str = "max") -> DataFrame:
-    """Per candidate mean and sd over seeds and folds, with the winner flagged and the count."""
+    """Per candidate mean and sd over seeds and folds, with the winner flagged and the count; ties go to the first name.
+
+    Candidates without any value can't win.
+    """
     g = across_seeds(rows, (candidate,), value)
-    w = W.partitionBy(F.lit(0))
-    order = F.col("mean").desc() if mode == "max" else F.col("mean").asc()
-    return g.withColumns({
-        "winner": F.row_number().over(w.orderBy(order, candidate)) == 1,
-        "n_candidates": F.count(F.lit(1)).over(w),
-    })
+    key = F.struct((-F.col("mean") if mode == "max" else F.col("mean")).alias("m"), F.col(candidate).alias("c"))
+    d = _with_one_row(g, _best=F.min(F.when(F.col("mean").isNotNull(), key)), n_candidates=F.count(F.lit(1)))
+    return d.withColumn("winner", F.coalesce(F.col(candidate).eqNullSafe(F.col("_best.c")) & F.col("_best").isNotNull(), F.lit(False))).drop("_best")
 
 
 def selection_table(rows: DataFrame, setting: str, fold: str, loss: str) -> DataFrame:
@@ -169,10 +176,9 @@ def selection_table(rows: DataFrame, setting: str, fold: str, loss: str) -> Data
     g = rows.groupBy(setting).agg(
         F.avg(loss).alias("mean_loss"), F.coalesce(F.stddev_samp(loss), F.lit(0.0)).alias("sd_loss"),
         F.count(loss).alias("runs"))
-    g = g.withColumn("se", F.col("sd_loss") / F.sqrt("runs"))
-    w = W.partitionBy(F.lit(0))
-    g = g.withColumn("_b", F.min(F.struct("mean_loss", "se")).over(w))
-    return g.withColumn("within_one_se", F.col("mean_loss") <= F.col("_b.mean_loss") + F.col("_b.se")).drop("_b")
+    g = g.withColumn("se", F.col("sd_loss") / F.sqrt(F.nullif("runs", F.lit(0))))
+    d = _with_one_row(g, _b=F.min(F.when(F.col("mean_loss").isNotNull(), F.struct("mean_loss", "se"))))
+    return d.withColumn("within_one_se", F.col("mean_loss") <= F.col("_b.mean_loss") + F.col("_b.se")).drop("_b")
 
 
 def selection_deviations(chosen: DataFrame, given: DataFrame) -> DataFrame:

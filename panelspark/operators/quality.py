@@ -261,27 +261,29 @@ def monthly_compounded(daily: DataFrame, r: str, share: float = 0.8) -> DataFram
 
 
 def ridge(df: DataFrame, y: str, xs, weight: str, lam: float) -> DataFrame:
-    """(term, coef): weighted ridge, intercept unpenalised, from one pass of normal-equation sums.
+    """(term, coef): weighted ridge, intercept unpenalised.
 
-    p(p+1)/2 + p sums are combined map-side; the p x p solve is unrolled as Column expressions.
+    Two passes: weighted means (one row, broadcast), then the weighted sums of products about them, combined map-side. The penalty doesn't touch the
+    intercept, so the slopes solve the centred p x p system, unrolled as Column expressions, and the means give the intercept.
     """
     from functools import reduce
 
     from .crosssection import solve_columns
 
-    cols = [*xs, "_one"]
+    xs = list(xs)
+    names, p = [*xs, y], len(xs)
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, weight, *xs)])
-    d = df.where(ok).withColumn("_one", F.lit(1.0))
-    p = len(cols)
-    sums = []
-    for i in range(p):
-        for j in range(i, p):
-            pen = lam if i == j and i < p - 1 else 0.0
-            sums.append((F.sum(F.col(cols[i]) * F.col(cols[j]) * F.col(weight)) + F.lit(pen)).alias(f"_s{i}_{j}"))
-        sums.append(F.sum(F.col(cols[i]) * F.col(y) * F.col(weight)).alias(f"_t{i}"))
-    one, beta = solve_columns(d.agg(*sums), p)
-    cells = F.array(*[F.struct(F.lit("intercept" if c == "_one" else c).alias("term"), F.col(b).alias("coef"))
-                      for c, b in zip(cols, beta, strict=True)])
+    d = df.where(ok).select(F.col(weight).alias("_w"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(names)], F.lit(1).alias("_k"))
+    means = d.agg(*[(F.sum(F.col("_w") * F.col(f"_x{i}")) / F.sum("_w")).alias(f"_m{i}") for i in range(p + 1)]).withColumn("_k", F.lit(1))
+    c = d.join(F.broadcast(means), "_k").select("_w", *[f"_m{i}" for i in range(p + 1)], *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_c{i}") for i in range(p + 1)])
+    sums = [(F.sum(F.col("_w") * F.col(f"_c{i}") * F.col(f"_c{j}")) + F.lit(float(lam) if i == j else 0.0)).alias(f"_s{i}_{j}") for i in range(p) for j in range(i, p)]
+    sums += [F.sum(F.col("_w") * F.col(f"_c{i}") * F.col(f"_c{p}")).alias(f"_t{i}") for i in range(p)]
+    one, beta = solve_columns(c.agg(*sums, *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(p + 1)]), p)
+    level = F.col(f"_m{p}")
+    for i, b in enumerate(beta):
+        level = level - F.col(b) * F.col(f"_m{i}")
+    cells = F.array(*[F.struct(F.lit(x).alias("term"), F.col(b).alias("coef")) for x, b in zip(xs, beta, strict=True)],
+                    F.struct(F.lit("intercept").alias("term"), level.alias("coef")))
     return one.select(F.inline(cells))
 
 
@@ -295,10 +297,13 @@ def ridge_predict(df: DataFrame, coefs: DataFrame, xs, out: str) -> DataFrame:
     return d.withColumn(out, fit).drop("_k", "_b")
 
 
-def pooled_folds(scored: DataFrame, arms: dict[str, str], keys) -> DataFrame:
+def pooled_folds(scored: DataFrame, arms: dict[str, str], keys, first_year: int | None = None) -> DataFrame:
     """The folds' predictions of every arm in long form (``arm``, keys, ``pred``), from one pass over the scored rows.
 
-    ``arms`` names the prediction column of each arm; the folds are rows of one table, told apart by one of the keys.
+    ``arms`` names the prediction column of each arm; the folds are rows of one table, told apart by one of the keys. Folds before
+    ``first_year`` have no predictions of their own: their rows only train the first fold, so they are no part of the pool.
     """
+    if first_year is not None:
+        scored = scored.where(F.year("date") >= first_year)
     stacked = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(c).alias("pred")) for arm, c in arms.items()]))
     return scored.select(*keys, stacked.alias("_a")).select(*keys, "_a.arm", "_a.pred")

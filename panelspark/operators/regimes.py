@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.elementwise import col, hard_split, p_value, zero_to_null
+from ..session import materialize
 from .evaluate import kish, long_run_variances, overlap_kernels, safe_corr
 
 CALM_STRESS = ("calm", "stress")
@@ -310,22 +311,51 @@ def weighted_regime_ic(d: DataFrame, ic: str, states=CALM_STRESS, by=("series",)
         kish("w").alias("eff_dates"))
 
 
-def _inverse(s: dict[tuple[int, int], Column], k: int) -> list[list[Column]]:
-    """Closed-form inverse of a symmetric 2x2 or 3x3 system of Columns (NULL when singular)."""
-    g = lambda i, j: s[(min(i, j), max(i, j))]
-    if k == 2:
-        det = zero_to_null(g(0, 0) * g(1, 1) - g(0, 1) * g(0, 1))
-        return [[g(1, 1) / det, -g(0, 1) / det], [-g(0, 1) / det, g(0, 0) / det]]
-    if k != 3:
-        raise ValueError("two or three regimes")
-    cof = [[None] * 3 for _ in range(3)]
-    for i in range(3):
-        for j in range(3):
-            r, c = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
-            minor = g(r[0], c[0]) * g(r[1], c[1]) - g(r[0], c[1]) * g(r[1], c[0])
-            cof[i][j] = minor * float((-1) ** (i + j))
-    det = zero_to_null(_add([g(0, j) * cof[0][j] for j in range(3)]))
-    return [[cof[j][i] / det for j in range(3)] for i in range(3)]
+#: A pivot below this share of its column's own sum of squares (columns scaled alike) counts as zero.
+RANK_TOLERANCE = 1e-12
+
+
+def pivoted_inverses(grams: np.ndarray, tolerance: float = RANK_TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """``inverses, ranks`` of a stack of Gram matrices by elimination on the largest remaining diagonal entry.
+
+    Columns are scaled to unit sums of squares first, so the test is one of direction, not of size: the elimination of a matrix ends
+    where no remaining column keeps a share above ``tolerance`` of itself, and the number of steps is its rank. Inverses of matrices
+    without full rank are not numbers.
+    """
+    n, k = grams.shape[:2]
+    size = np.sqrt(np.maximum(np.einsum("nii->ni", grams), 0.0))
+    scale = np.where(size > 0, size, 1.0)
+    a = grams / scale[:, :, None] / scale[:, None, :]
+    done, rank, every = np.zeros((n, k), bool), np.zeros(n, np.int64), np.arange(n)
+    for _ in range(k):
+        left = np.where(done, -np.inf, np.einsum("nii->ni", a))
+        at = left.argmax(axis=1)
+        go = left[every, at] > tolerance
+        row, pivot = a[every, at], np.where(go, left[every, at], 1.0)
+        swept = a - row[:, :, None] * row[:, None, :] / pivot[:, None, None]
+        line = row / pivot[:, None]
+        # a swept column holds the inverse's entries with the sign that later steps need
+        line[every, at] = -1.0 / pivot
+        swept[every, at, :] = line
+        swept[every, :, at] = line
+        a = np.where(go[:, None, None], swept, a)
+        done[every, at] |= go
+        rank += go
+    inverse = -a / scale[:, :, None] / scale[:, None, :]
+    return np.where((rank == k)[:, None, None], inverse, np.nan), rank
+
+
+def _solve_grams(k: int, by):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sums = batch.column("_sums").flatten().to_numpy(zero_copy_only=False).reshape(n, k, k + 1)
+            inverse, rank = pivoted_inverses(sums[:, :, :k])
+            coef = (inverse @ sums[:, :, k:])[:, :, 0]
+            flat = np.concatenate([inverse.reshape(n, -1), coef], axis=1)
+            solved = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], batch.column("_n"), pa.array(rank), solved], names=[*by, "_n", "_rank", "_solved"])
+    return solve
 
 
 def regime_regression(d: DataFrame, ic: str, lags: int, kernel: str, states=CALM_STRESS,
@@ -337,44 +367,50 @@ def regime_regression(d: DataFrame, ic: str, lags: int, kernel: str, states=CALM
 
 def regime_regressions(d: DataFrame, ic: str, choices: dict[str, tuple[int, str]], states=CALM_STRESS,
                        by=("series",)) -> DataFrame:
-    """(by, term, estimate, n, se_<name>, t_<name>, kernel_<name> ...) for several error choices.
+    """(by, term, estimate, n, se_<name>, t_<name>, kernel_<name> ...) for several error choices and any number of regimes.
 
     Terms are the regimes and ``contrast`` (last minus first). Standard errors come from the scalar
-    series a'(X'X)^-1 x_t e_t: each term's series goes through the same long-run variance.
+    series a'(X'X)^-1 x_t e_t: each term's series goes through the same long-run variance. A series whose weights do not
+    span all regimes (the rank of X'X is below their number), or with no more dates than regimes, is undefined: its terms have no
+    estimate, and the kernel ``none``.
+
+    The Gram sums of a series are combined map-side into one row, factored there, and joined back to its dates.
     """
-    k = len(states)
-    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (ic, *states)])
-    w = W.partitionBy(*by)
-    sums = {(i, j): F.sum(F.col(states[i]) * F.col(states[j])).over(w) for i in range(k) for j in range(i, k)}
-    rows = d.where(ok).select(
-        *by, "date", ic, *states, *[c.alias(f"_s{i}{j}") for (i, j), c in sums.items()],
-        *[F.sum(F.col(states[i]) * F.col(ic)).over(w).alias(f"_t{i}") for i in range(k)])
-    inv = _inverse({key: F.col(f"_s{key[0]}{key[1]}") for key in sums}, k)
-    rows = rows.select(*by, "date", ic, *states, *[f"_t{i}" for i in range(k)],
-                       *[inv[i][j].alias(f"_v{i}{j}") for i in range(k) for j in range(k)])
-    coef = [_add([F.col(f"_v{i}{j}") * F.col(f"_t{j}") for j in range(k)]) for i in range(k)]
-    rows = rows.withColumns({f"_c{i}": c for i, c in enumerate(coef)})
-    rows = rows.withColumn("_e", F.col(ic) - _add([F.col(f"_c{i}") * F.col(s) for i, s in enumerate(states)]))
+    k, by = len(states), tuple(by)
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in (ic, *states)])
+    rows = materialize(d.where(ok).select(*by, "date", F.col(ic).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(states)]))
+    cells = [F.sum(F.col(f"_x{min(i, j)}") * F.col(f"_x{max(i, j)}")) if j < k else F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(k) for j in range(k + 1)]
+    grams = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array(*cells).alias("_sums"))
+    keys = [T.StructField(c, rows.schema[c].dataType) for c in by]
+    solved = materialize(grams.mapInArrow(_solve_grams(k, by), T.StructType(
+        [*keys, T.StructField("_n", T.LongType()), T.StructField("_rank", T.LongType()), T.StructField("_solved", T.ArrayType(T.DoubleType()))])))
+    good = (F.col("_rank") == k) & (F.col("_n") > k)
+    names = [(name, np.eye(k)[i]) for i, name in enumerate(states)] + [("contrast", np.eye(k)[-1] - np.eye(k)[0])]
+
+    fine = solved.where(good).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_solved")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    joined = rows.join(fine, same)
+    inverse, coef = lambda i, j: F.col("_solved")[i * k + j], lambda i: F.col("_solved")[k * k + i]
+    joined = joined.withColumn("_e", F.col("_y") - _add([coef(i) * F.col(f"_x{i}") for i in range(k)]))
 
     def z(a):
-        return _add([F.col(s) * _add([F.col(f"_v{i}{j}") * float(a[j]) for j in range(k)])
-                     for i, s in enumerate(states)]) * F.col("_e")
-
-    units = np.eye(k)
-    contrast = units[-1] - units[0]
-    terms = [(s, units[i], F.col(f"_c{i}")) for i, s in enumerate(states)]
-    terms.append(("contrast", contrast, F.col(f"_c{k - 1}") - F.col("_c0")))
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("term"), z(a).alias("z"), c.alias("estimate")) for n, a, c in terms]))
-    long = rows.select(*by, "date", cells.alias("x")).select(*by, "date", "x.term", "x.z", "x.estimate")
+        return _add([F.col(f"_x{i}") * _add([inverse(i, j) * float(a[j]) for j in range(k)]) for i in range(k)]) * F.col("_e")
+
+    def estimate(a):
+        return _add([coef(i) * float(a[i]) for i in range(k)])
+
+    long = joined.select(*by, "date", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("term"), z(a).alias("z"), estimate(a).alias("estimate")) for n, a in names])).alias("x"))
     # the estimate is one value per term, so it travels as a grouping key
-    lrv = long_run_variances(long, "z", choices, (*by, "term", "estimate"))
-    out = [*by, "term", "estimate", "n"]
+    lrv = long_run_variances(long.select(*by, "date", "x.*"), "z", choices, (*by, "term", "estimate"))
+    out, none = [*by, "term", "estimate", "n"], []
     for name in choices:
         v = F.col(f"lrv_{name}")
         se = F.when(v >= 0, F.sqrt(F.col("n") * v))
         out += [se.alias(f"se_{name}"), (F.col("estimate") / zero_to_null(se)).alias(f"t_{name}"), f"kernel_{name}"]
-    return lrv.select(*out)
+        none += [F.lit(None).cast("double").alias(f"se_{name}"), F.lit(None).cast("double").alias(f"t_{name}"), F.lit("none").alias(f"kernel_{name}")]
+    undefined = solved.where(~good).select(*by, F.explode(F.array(*[F.lit(n) for n, _ in names])).alias("term"), F.lit(None).cast("double").alias("estimate"), F.col("_n").alias("n"), *none)
+    return lrv.select(*out).unionByName(undefined)
 
 
 def split_table(ics: DataFrame, weights: dict[tuple[str, str], DataFrame], h: int, nw_min_lag: int) -> DataFrame:

@@ -7,6 +7,11 @@ sorted by a single task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,19 +91,75 @@ def holidays(dates: DataFrame) -> DataFrame:
     return days.join(dates.select("date").distinct(), "date", "left_anti")
 
 
-def correlation_pairs(wide: DataFrame, cols, row: str = "date") -> DataFrame:
+#: Columns of one block of the correlation matrix.
+CORRELATION_BLOCK = 128
+
+
+def correlation_pairs(wide: DataFrame, cols, block: int = CORRELATION_BLOCK) -> DataFrame:
     """(a, b, corr): pairwise-complete correlations of the columns over the rows, each pair once and with itself.
 
-    The columns become rows of (``row``, column, value); pairs meet on ``row`` and are sums per pair, combined map-side, so many
-    columns make more groups, not a wider projection.
+    The matrix is made by blocks: an Arrow batch of rows is cut into blocks of ``block`` columns, each block travels once for every other one, and
+    a pair of blocks gives all its sums as masked matrix products (about the columns' means, so levels don't matter). Partial sums of the
+    batches are added up for each pair of columns. What is written grows with the columns squared and with the rows, not with their product.
+    A missing or non-finite value counts as missing; a column that doesn't vary over a pair's rows has no correlation.
     """
-    from .evaluate import safe_corr
-
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
-    long = wide.select(row, cells.alias("c")).select(row, "c.*")
-    x, y = long.toDF(row, "ia", "a", "va"), long.toDF(row, "ib", "b", "vb")
-    both = x.join(y, row).where("ia <= ib")
-    return both.groupBy("a", "b").agg(safe_corr("va", "vb").alias("corr"))
+    cols = list(cols)
+    n_blocks = -(-len(cols) // block)
+    rows = materialize(wide.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, len(cols)))
+        return np.where(np.isfinite(x), x, np.nan)
+
+    def column_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros(len(cols)), np.zeros(len(cols))
+        for batch in batches:
+            x = matrix(batch)
+            total, count = total + np.nansum(x, axis=0), count + np.isfinite(x).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(cols), dtype=np.int32), "total": total, "n": count})
+
+    sums = rows.mapInArrow(column_sums, "i int, total double, n double").groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    means = np.zeros(len(cols))
+    for r in sums.collect():  # one row for each column
+        means[r["i"]] = r["total"] / r["n"] if r["n"] else 0.0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            x = matrix(batch) - means
+            for i in range(n_blocks):
+                own = np.ascontiguousarray(x[:, i * block:(i + 1) * block]).tobytes()
+                low, high = [min(i, j) for j in range(n_blocks)], [max(i, j) for j in range(n_blocks)]
+                yield pa.RecordBatch.from_pydict({
+                    "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()), "batch": pa.array([(part << 32) + number] * n_blocks, pa.int64()),
+                    "is_high": pa.array([i > j for j in range(n_blocks)]), "cells": pa.array([own] * n_blocks, pa.binary())})
+
+    def products(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        width = lambda i: min(block, len(cols) - i * block)
+        sides = {s: np.frombuffer(c, np.float64).reshape(-1, width(high if s else low)) for s, c in zip(table.column("is_high").to_pylist(), table.column("cells").to_pylist())}
+        x, y = sides[False], sides.get(True, sides[False])
+        there_x, there_y = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        found = {"n": there_x.T @ there_y, "sx": x.T @ there_y, "sy": there_x.T @ y, "sxx": (x * x).T @ there_y, "syy": there_x.T @ (y * y), "sxy": x.T @ y}
+        a, b = np.meshgrid(low * block + np.arange(width(low)), high * block + np.arange(width(high)), indexing="ij")
+        once = (a <= b).ravel()
+        return pa.table({"i": pa.array(a.ravel()[once].astype(np.int32)), "j": pa.array(b.ravel()[once].astype(np.int32)), **{k: v.ravel()[once] for k, v in found.items()}})
+
+    moments = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    pieces = rows.mapInArrow(cut, "low int, high int, batch long, is_high boolean, cells binary")
+    parts = pieces.groupBy("low", "high", "batch").applyInArrow(products, "i int, j int, " + ", ".join(f"{m} double" for m in moments))
+    g = parts.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in moments])
+    n = F.nullif("n", F.lit(0.0))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    varies = (vx > VARIES * F.col("sxx")) & (vy > VARIES * F.col("syy"))
+    corr = F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    names = F.array(*[F.lit(c) for c in cols])
+    return g.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), corr.alias("corr"))
+
+
+#: A column whose squares about the pair's mean are a smaller share than this of its squares doesn't vary.
+VARIES = 1e-13
 
 
 #: So many candidates are walked on the driver at a time.

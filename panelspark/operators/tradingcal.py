@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# End dates of the scheduled policy meetings.
+# End dates of the scheduled policy meetings, of the years that the default table covers.
 FOMC = """
 2011-01-26 2011-03-15 2011-04-27 2011-06-22 2011-08-09 2011-09-21 2011-11-02 2011-12-13
 2012-01-25 2012-03-13 2012-04-25 2012-06-20 2012-08-01 2012-09-13 2012-10-24 2012-12-12
@@ -54,8 +54,19 @@ def _position(d: DataFrame, name: str, keys) -> DataFrame:
         f"days_until_last_trading_day_of_{name}": F.count(F.lit(1)).over(w) - n})
 
 
-def calendar_features(dates: DataFrame) -> DataFrame:
-    """17 calendar columns per trading date."""
+def published_meetings(spark: SparkSession) -> DataFrame:
+    """(date) of the listed meetings; other years, or another bank's meetings, come as a table of the caller's."""
+    return spark.createDataFrame([(x,) for x in FOMC], "date string").select(F.col("date").cast("date").alias("date"))
+
+
+def calendar_features(dates: DataFrame, meetings: DataFrame | None = None) -> DataFrame:
+    """17 calendar columns per trading date.
+
+    ``meetings`` (date) are the policy meetings that the two meeting counters count from and to; without it the published ones. A
+    meeting on a day without trading counts for no date, a date before the first or after the last meeting has no counter.
+    """
+    if meetings is None:
+        meetings = published_meetings(dates.sparkSession)
     d = dates.select("date").distinct().withColumn("_pos", F.row_number().over(_one()))
     d = d.withColumns({
         "day_of_the_week": F.weekday("date") + 1, "month_of_the_year": F.month("date"), "quarter_of_year": F.quarter("date"),
@@ -68,9 +79,9 @@ def calendar_features(dates: DataFrame) -> DataFrame:
     d = since_until(d, expiry & (F.col("month_of_the_year") % 3 == 0),
                     "days_since_last_quarterly_options_expiration", "days_until_next_quarterly_options_expiration")
     d = _holidays(d)
-    d = since_until(d, F.col("date").isin([F.lit(x).cast("date") for x in FOMC]),
-                    "days_since_last_fomc_meeting", "days_until_next_fomc_meeting")
-    return d.drop("_pos", "_y")
+    met = meetings.select("date").where("date is not null").distinct().withColumn("_met", F.lit(True))
+    d = since_until(d.join(met, "date", "left"), F.col("_met"), "days_since_last_fomc_meeting", "days_until_next_fomc_meeting")
+    return d.drop("_pos", "_y", "_met")
 
 
 def _holidays(d: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.crosssection import CrossSection
 from ..operators.sampling import balanced_sample
 from ..operators.splits import calendar, purge_overlap
 from ..sources.tables import (
-    market_panel, market_series, names_bound, user_hours, weekly_bars, weekly_panel, with_market,
+    market_panel, market_series, names_bound, table, user_hours, weekly_bars, weekly_panel, with_market,
 )
 from .chain import Chain, lag, mean, rows, skew, std, tmax, tmin, tsum, var
 from .oracle import MPANEL, PANEL, WEEK_BARS, more, with_
@@ -267,6 +267,22 @@ def _(spark, sf):
     return tc.calendar_features(trading_days(spark, sf))
 
 
+# another bank's meetings on the calendar's own dates: the busy Wednesdays with an order of an eleventh customer
+OWN = W_CAL.replace("INTERVAL 192 MONTH", "INTERVAL 0 MONTH").replace("fomc AS (SELECT CAST(unnest([" + ", ".join(f"'{d}'" for d in tc.FOMC) + "]) AS DATE) AS date)",
+    "fomc AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey % 11 = 0 AND isodow(o_orderdate) = 3)")
+
+
+def own_calendar(spark, sf):
+    days = busy_days(spark, sf).select("date").distinct().where(F.weekday("date") < 5)
+    met = table(spark, sf, "orders").where("o_custkey % 11 = 0").select(F.to_date("o_orderdate").alias("date")).where(F.weekday("date") == 2)
+    return tc.calendar_features(days, met)
+
+
+@query("calendar_features_own_meetings", "date " + " ".join(f"{c}#" for c in CAL_COLS), "SELECT * FROM calf", OWN)
+def _(spark, sf):
+    return own_calendar(spark, sf)
+
+
 STRESS_SQL = " + ".join(f"CASE WHEN {c} {'<=' if op == 'le' else '>='} {k} THEN 1 ELSE 0 END" for c, op, k in tc.STRESS_GATES)
 
 
@@ -277,6 +293,13 @@ def _(spark, sf):
     return d.withColumns({"weight": tc.event_weight("stress"), "training_weight": tc.training_weight("stress")})
 
 
+@query("event_stress_own_meetings", "date stress# weight~ training_weight~", f"""
+SELECT date, stress, CASE WHEN stress > 0 THEN 1.0 + stress ELSE 0 END AS weight, 1 + 3.0 * CAST(stress > 0 AS INT) AS training_weight FROM (SELECT date, {STRESS_SQL} AS stress FROM calf)""", OWN)
+def _(spark, sf):
+    d = own_calendar(spark, sf).withColumn("stress", tc.event_stress())
+    return d.withColumns({"weight": tc.event_weight("stress"), "training_weight": tc.training_weight("stress")})
+
+
 def _o(agg, x, w):
     f = f"(ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count({x}) OVER {f} >= {max(2, w // 2)} THEN {agg}({x}) OVER {f} END"

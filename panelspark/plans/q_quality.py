@@ -182,8 +182,8 @@ ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')}) WHERE ye
 
 @query("pooled_fold_results", "arm mean~ t~ n#", summary_sql("arms", "ic", 2, by="arm"), more(SCORED, ARMS))
 def _(spark, sf):
-    d = scored(spark, sf).where("year(date) >= 1996").withColumn("fold", F.year("date"))
-    pooled = ql.pooled_folds(d, {"base": "s1", "alt": "s2"}, ["date", "entity", "fold", "y3"])
+    d = scored(spark, sf).withColumn("fold", F.year("date"))
+    pooled = ql.pooled_folds(d, {"base": "s1", "alt": "s2"}, ["date", "entity", "fold", "y3"], first_year=1996)
     ics = ev.rank_ic(pooled, "pred", "y3", by=("arm", "date"), bound=names_bound(spark, sf))
     return ev.series_summary(ics, "ic", 2, by=("arm",))
 

@@ -10,7 +10,7 @@ from ..operators.splits import calendar, calendar_year_folds
 from ..session import materialize
 from ..sources.tables import market_series, names_bound, table, weekly_panel
 from .oracle import MPANEL, more
-from .q_evaluate import IC2, SCORED_SQL, hac_sql, ics, scored
+from .q_evaluate import IC2, SCORED_SQL, hac_sql, ic_sql, ics, scored
 from .registry import query
 
 MEANS, VARS = (0.0, 0.0), (0.04, 0.16)
@@ -241,6 +241,38 @@ def _(spark, sf):
     return rg.regime_regression(d, "ic", 2, "uniform")
 
 
+# three regimes: stress is divided by the sign of the market's return of the date
+THREE = ("calm", "stress_up", "stress_down")
+JOINED3 = """joined3 AS (SELECT i.series, i.date, i.ic, p.calm AS w0, CASE WHEN m.mkt >= 0 THEN p.stress ELSE 0 END AS w1, CASE WHEN m.mkt >= 0 THEN 0 ELSE p.stress END AS w2
+  FROM ics i JOIN probs p ON p.date = i.date AND p.series = 'market' JOIN market m ON m.date = i.date)"""
+_CELLS = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _cofactor(i: int, j: int) -> str:
+    """The cofactor of a symmetric 3 x 3 matrix of sums."""
+    g = lambda a, b: f"s{min(a, b)}{max(a, b)}"
+    r, c = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
+    sign = "" if (i + j) % 2 == 0 else "-"
+    return f"{sign}({g(r[0], c[0])} * {g(r[1], c[1])} - {g(r[0], c[1])} * {g(r[1], c[0])})"
+
+
+REGRESS3 = f"""n3 AS (SELECT series, count(*) AS dates, {", ".join(f"sum(w{i} * w{j}) AS s{i}{j}" for i, j in _CELLS)}, {", ".join(f"sum(w{i} * ic) AS t{i}" for i in range(3))} FROM joined3 GROUP BY 1),
+i3 AS (SELECT series, {", ".join(f"{_cofactor(i, j)} / det AS v{i}{j}" for i in range(3) for j in range(3))}, t0, t1, t2
+  FROM (SELECT *, s00 * {_cofactor(0, 0)} + s01 * {_cofactor(0, 1)} + s02 * {_cofactor(0, 2)} AS det FROM n3)),
+c3 AS (SELECT *, {", ".join(f"v{i}0 * t0 + v{i}1 * t1 + v{i}2 * t2 AS c{i}" for i in range(3))} FROM i3),
+zr AS (SELECT j.series, date, term, CASE term WHEN 'calm' THEN c0 WHEN 'stress_up' THEN c1 WHEN 'stress_down' THEN c2 ELSE c2 - c0 END AS est,
+  ({" + ".join(f"w{i} * (v{i}0 * a0 + v{i}1 * a1 + v{i}2 * a2)" for i in range(3))}) * (ic - c0 * w0 - c1 * w1 - c2 * w2) AS z
+  FROM joined3 j JOIN c3 ON c3.series = j.series, (VALUES ('calm', 1, 0, 0), ('stress_up', 0, 1, 0), ('stress_down', 0, 0, 1), ('contrast', -1, 0, 1)) AS terms(term, a0, a1, a2))"""
+
+
+@query("regime_regression_three", "series term estimate~7 se~7 t~6 kernel n#", regression_sql("r", 2, "uniform"), more(PROBS_IC, JOINED3, REGRESS3))
+def _(spark, sf):
+    series = all_series(spark, sf)
+    weights = market_probs(spark, sf).join(series.where("series = 'market'").select("date", "value"), "date").select(
+        "date", "calm", F.when(F.col("value") >= 0, F.col("stress")).otherwise(0.0).alias("stress_up"), F.when(F.col("value") >= 0, 0.0).otherwise(F.col("stress")).alias("stress_down"))
+    return rg.regime_regression(ics(spark, sf).join(weights, "date"), "ic", 2, "uniform", states=THREE)
+
+
 WINDOWED = f"""wprobs AS (SELECT date, {window_sql(3)} AS calm, 1 - {window_sql(3)} AS stress FROM probs WHERE series = 'market'),
 hprobs AS (SELECT date, 1.0 - CAST(stress > 0.5 AS INT) AS calm, CAST(stress > 0.5 AS INT) * 1.0 AS stress FROM wprobs),
 fprobs AS (SELECT date, calm, stress FROM probs WHERE series = 'market')""" + "".join(
@@ -291,6 +323,36 @@ def _(spark, sf):
     return rg.assign_families(t, ["s1"], "window")
 
 
+# ten series, each signal inside each sector: a primary family of three and an exploratory one of seven
+SECTOR_ICS = "stacked AS (SELECT 's1_' || sector AS series, date, s1 AS pred, y3 FROM scored WHERE sector IS NOT NULL UNION ALL SELECT 's2_' || sector, date, s2, y3 FROM scored WHERE sector IS NOT NULL)," \
+    "\nics AS (" + ic_sql("pred", "y3", by="series, date", src="stacked") + ")"
+FAMILY_SQL = " UNION ALL ".join(f"SELECT '{s}' AS split, '{k}' AS kind, a.* FROM ({regression_sql(t, 2, 'uniform')}) a" for t, (s, k) in SPLITS.items() if t != "f")
+PRIMARY = ("s1_0", "s1_1", "s1_2")
+FAMILY_PREFIX = more(PROBS, SCORED_SQL, SECTOR_ICS, WINDOWED, *[regression_ctes(f"j{t}", t) for t in "wh"], f"""
+ft AS (SELECT *, CASE family WHEN 'primary' THEN cdf ELSE 2 * least(cdf, 1 - cdf) END AS p FROM (
+  SELECT *, {NORM} AS cdf, CASE WHEN split = 'soft' AND series IN {PRIMARY} THEN 'primary' WHEN split = 'soft' THEN 'exploratory' ELSE 'robustness' END AS family
+  FROM ({FAMILY_SQL}) WHERE term = 'contrast')),
+fo AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, split, kind, series) AS i, count(*) OVER (PARTITION BY family) AS m FROM ft WHERE p IS NOT NULL)""")
+
+
+@query("assign_families_of_several", "family split kind series p~6 adjusted~6 reject", """
+SELECT a.family, a.split, a.kind, a.series, any_value(a.p) AS p,
+  CASE a.family WHEN 'primary' THEN least(1, max((a.m - b.i + 1) * b.p) FILTER (WHERE b.i <= a.i)) WHEN 'exploratory' THEN least(1, min(b.p * b.m / b.i) FILTER (WHERE b.i >= a.i)) END AS adjusted,
+  CASE a.family WHEN 'primary' THEN least(1, max((a.m - b.i + 1) * b.p) FILTER (WHERE b.i <= a.i)) <= 0.05
+    WHEN 'exploratory' THEN min(a.i) <= coalesce(max(b.i) FILTER (WHERE b.p <= b.i / b.m * 0.1), 0) END AS reject
+FROM fo a JOIN fo b ON a.family = b.family GROUP BY 1, 2, 3, 4""", FAMILY_PREFIX)
+def _(spark, sf):
+    from ..operators import evaluate as ev
+    from ..operators.quality import pooled_folds
+
+    d = scored(spark, sf).where("sector is not null")
+    stacked = pooled_folds(d, {"s1": "s1", "s2": "s2"}, ["date", "entity", "sector", "y3"])
+    stacked = stacked.withColumn("series", F.concat_ws("_", "arm", F.col("sector").cast("string")))
+    found = ev.rank_ic(stacked, "pred", "y3", by=("series", "date"), bound=names_bound(spark, sf))
+    weights = {k: w for k, w in split_weights(spark, sf).items() if k[1] == "window"}
+    return rg.assign_families(rg.split_table(found, weights, 3, 6), PRIMARY, "window")
+
+
 @query("sector_measures", "series dates# share_stressed~ share_stressed_while_calm~ p_stress_given_calm~ corr_with_market~6 episodes#", """
 SELECT s.series, count(*) AS dates, avg(CAST(s.stress > 0.5 AS DOUBLE)) AS share_stressed,
   avg(CAST(s.stress > 0.5 AND m.stress <= 0.5 AS DOUBLE)) AS share_stressed_while_calm,

@@ -7,7 +7,7 @@ most one row per calendar week however many fact rows that entity has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,31 +34,60 @@ def names_bound(spark: SparkSession, sf_dir: str) -> int | None:
     return table(spark, sf_dir, "supplier").count()
 
 
-def _trade_order():
-    """Order of the facts inside one bar: weekday, then order, then line, as one DECIMAL(38).
+#: Bits of a bar key for the order and the line; three more for the weekday fill a BIGINT.
+_ORDER_BITS, _LINE_BITS = 48, 12
 
-    A decimal keeps the first/last aggregates in hash aggregation with map-side combining; a struct would force
-    sort-based aggregation. Orders take 19 digits and lines 10, so any BIGINT and INT fits without overlap.
+
+def _trade_order() -> tuple[Column, Column]:
+    """Order of the facts inside one bar: weekday, then order, then line, as a BIGINT, and as a DECIMAL(38) for keys that don't fit one.
+
+    Plain keys keep the first/last aggregates in hash aggregation with map-side combining; a struct would force
+    sort-based aggregation. A fact has one of the two keys, the other is NULL: orders below 2^48 and lines below 2^12 take the
+    integer, and only others pay for a decimal, in which orders take 19 digits and lines 10.
     """
-    digits = F.concat(
-        (F.weekday("l_shipdate") + 1).cast("string"),
-        F.lpad(F.col("l_orderkey").cast("bigint").cast("string"), 19, "0"),
-        F.lpad(F.col("l_linenumber").cast("bigint").cast("string"), 10, "0"))
-    return digits.cast("decimal(38,0)")
+    day, order, line = F.weekday("l_shipdate").cast("bigint"), F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint")
+    fits = order.between(0, (1 << _ORDER_BITS) - 1) & line.between(0, (1 << _LINE_BITS) - 1)
+    short = F.shiftleft(day, _ORDER_BITS + _LINE_BITS) + F.shiftleft(order, _LINE_BITS) + line
+    return F.when(fits, short), F.when(~fits, _wide_key(day, order, line))
+
+
+def _wide_key(day: Column, order: Column, line: Column) -> Column:
+    """The same order for any BIGINT: ten digits above the line, nineteen above the order; negative ones come before."""
+    ten, nineteen = (F.lit(f"1{'0' * n}").cast("decimal(38,0)") for n in (10, 19))
+    d = lambda c: c.cast("decimal(38,0)")
+    return ((d(day) * ten * nineteen + d(order) * ten).cast("decimal(38,0)") + d(line)).cast("decimal(38,0)")
+
+
+def _first_and_last(price: str, cond: Column | None = None) -> tuple[Column, Column]:
+    """The price of the first and of the last fact of a group, over both kinds of keys."""
+    def on(c):
+        return F.col(c) if cond is None else F.when(cond, F.col(c))
+
+    short, wide, value = on("seq"), on("seq_wide"), on(price)
+
+    def pick(extreme, by, before):
+        as_wide = _wide_key(F.shiftright(extreme(short), _ORDER_BITS + _LINE_BITS),
+                            F.shiftright(extreme(short), _LINE_BITS).bitwiseAND((1 << _ORDER_BITS) - 1), extreme(short).bitwiseAND((1 << _LINE_BITS) - 1))
+        wide_first = extreme(wide).isNotNull() & (extreme(short).isNull() | before(extreme(wide), as_wide))
+        return F.when(wide_first, by(value, wide)).otherwise(by(value, short))
+
+    return (pick(F.min, F.min_by, lambda a, b: a < b), pick(F.max, F.max_by, lambda a, b: a > b))
 
 
 def _bars(spark: SparkSession, sf_dir: str, period, hours: bool = False) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
+    seq, wide = _trade_order()
     facts = li.select(
         F.col("l_suppkey").alias("entity"), period.alias("date"), price.alias("price"),
-        _trade_order().alias("seq"), "l_quantity", "l_extendedprice", "l_linenumber",
+        seq.alias("seq"), wide.alias("seq_wide"), "l_quantity", "l_extendedprice", "l_linenumber",
     )
+    first, last = _first_and_last("price")
     return facts.groupBy("entity", "date").agg(
-        F.min_by("price", "seq").alias("open"),
+        first.alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
+        last.alias("close"),
         F.sum("l_quantity").alias("volume"),
         F.round(F.sum("l_extendedprice"), 2).alias("dollar_volume"),
         F.count(F.lit(1)).alias("n_trades"),
@@ -130,8 +159,7 @@ def _hour_aggregates() -> list:
         return F.when(cond, F.col(c))
 
     vwap = F.sum(on(last, "l_extendedprice")) / F.sum(on(last, "l_quantity"))
-    o1, c1 = F.min_by(on(first, "price"), on(first, "seq")), F.max_by(on(first, "price"), on(first, "seq"))
-    o2, c2 = F.min_by(on(last, "price"), on(last, "seq")), F.max_by(on(last, "price"), on(last, "seq"))
+    (o1, c1), (o2, c2) = _first_and_last("price", first), _first_and_last("price", last)
     tilt = F.max(on(last, "price")) + F.min(on(last, "price")) - 2 * F.avg(on(last, "price"))
     return [
         vwap.alias("vwap_last"),

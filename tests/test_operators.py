@@ -350,11 +350,22 @@ def test_panel_folder_with_plain_parts_and_conflict_copies(spark, tmp_path):
     assert sorted(map(tuple, fl.load_panel(spark, str(tmp_path), ["close"]).collect())) == [(dt.date(2020, 1, 1), 1, 2.0), (dt.date(2020, 1, 2), 1, 3.0)]
 
 
-def test_bar_order_of_large_keys(spark, tmp_path):
-    from panelspark.sources.tables import daily_bars
-
-    day = dt.datetime(2020, 1, 1)
-    rows = [(1, day, 2**40 + 5, 9, 10.0, 1.0), (1, day, 2**40 + 5, 10, 300000.0, 1.0), (1, day, 2**40 + 4, 2**30, 200000.0, 1.0), (1, day, 7, 8, 300000.0, 1.0)]
+@pytest.mark.parametrize("big", [2**40, 2**50, 0])
+def test_bar_order_of_large_keys(spark, tmp_path, big):
+    """Keys that fit a BIGINT with the weekday, keys that don't, negative ones, and both kinds in one bar."""
+    from panelspark.sources.tables import daily_bars, weekly_bars
+
+    monday, tuesday = dt.datetime(2020, 1, 6), dt.datetime(2020, 1, 7)
+    rows = [(1, monday, big + 5, 9, 10.0, 1.0), (1, monday, big + 5, 10, 300000.0, 1.0), (1, monday, big + 4, 2**30, 200000.0, 1.0), (1, monday, 3, 8, 400000.0, 1.0),
+            (2, monday, 3, 1, 1.0, 1.0), (2, monday, -3, 1, 2.0, 1.0), (2, tuesday, -9, 1, 3.0, 1.0), (2, tuesday, 9, 1, 4.0, 1.0),
+            (3, tuesday, 2**62, 2, 5.0, 1.0), (3, tuesday, 2**62, 1, 6.0, 1.0), (3, monday, 2**63 - 1, 1, 7.0, 1.0)]
     spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    bar = daily_bars(spark, str(tmp_path)).first()
-    assert (bar.open, bar.close) == (300000.0, 300000.0) and bar.low == 10.0
+
+    def want(keep):
+        groups = {}
+        for entity, day, order, line, price, _ in rows:
+            groups.setdefault((entity, keep(day)), []).append((day, order, line, price))
+        return {k: (min(v)[3], max(v)[3]) for k, v in groups.items()}
+
+    for bars, keep in ((daily_bars, lambda d: d.date()), (weekly_bars, lambda d: monday.date())):
+        assert {(r.entity, r.date): (r.open, r.close) for r in bars(spark, str(tmp_path)).collect()} == want(keep)
