@@ -217,7 +217,7 @@ def earnings_timing(rows: DataFrame, cal: DataFrame, reports: DataFrame, cycle:
     an expected report is ``cycle`` days after a past one and counts when it falls within ``ahead``
     business days (a multiple of five, so a fixed number of calendar days on weekdays).
     """
-    from .pit import asof_join, interval_join, nth_trading_day_after, place_on_calendar
+    from .pit import asof_join, nth_trading_day_after, place_on_calendar, rows_inside
 
     if ahead % 5:
         raise ValueError("ahead must be a multiple of five business days")
@@ -231,7 +231,7 @@ def earnings_timing(rows: DataFrame, cal: DataFrame, reports: DataFrame, cycle:
     known = r.where("_known is not null").groupBy("entity").agg(F.min("_known").alias("_first"))
     days = ahead // 5 * 7
     due = r.select("entity", F.date_add("rdq_date", cycle - days).alias("_a"), F.date_add("rdq_date", cycle - 1).alias("_b")).distinct()
-    near = interval_join(d.select("entity", "date"), due, ["entity"], "date", "_a", "_b", "left_semi").withColumn("_near", F.lit(1.0))
+    near = rows_inside(d.select("entity", "date"), due, ["entity"], "date", "_a", "_b").withColumn("_near", F.lit(1.0))
     d = d.join(known, "entity", "left").join(near, ["entity", "date"], "left")
     return d.withColumn("earn_next5", F.when(F.col("date") >= F.col("_first"), F.coalesce("_near", F.lit(0.0)))).drop("_first", "_near")
 

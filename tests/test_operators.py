@@ -333,6 +333,7 @@ def test_open_intervals_hold_any_date(spark):
                                    "entity string, spell_start date, spell_end date")
     rows = spark.createDataFrame([("a", dt.date(2101, 1, 15)), ("a", dt.date(2020, 1, 4)), ("b", dt.date(1850, 3, 1)), ("b", dt.date(2020, 1, 2)), ("c", dt.date(2020, 1, 2))], "entity string, date date")
     assert sorted(map(tuple, pit.in_spell(rows, spells).collect())) == [("a", dt.date(2101, 1, 15)), ("b", dt.date(1850, 3, 1))]
+    assert "Generate" not in pit.in_spell(rows, spells)._jdf.queryExecution().toString()
     listed = pit.by_month(spells, "spell_start", "spell_end", rows.where("entity = 'a'").agg(F.min("date"), F.max("date")))
     assert listed.where("entity = 'a'").count() == 81 * 12 + 1
 
@@ -369,3 +370,19 @@ def test_bar_order_of_large_keys(spark, tmp_path, big):
 
     for bars, keep in ((daily_bars, lambda d: d.date()), (weekly_bars, lambda d: monday.date())):
         assert {(r.entity, r.date): (r.open, r.close) for r in bars(spark, str(tmp_path)).collect()} == want(keep)
+
+
+def test_sweep_equals_all_pairs(spark):
+    """Overlapping, nested, empty and open intervals, repeated rows, missing keys and dates."""
+    rng = random.Random(9)
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    spans = [(rng.choice("abc"), day(a := rng.randrange(300)), day(a + rng.choice((-3, 0, 1, 5, 40)))) for _ in range(40)]
+    spans += [("d", day(5), dt.date(9999, 12, 31)), ("e", None, day(9)), ("e", day(9), None), (None, day(0), day(99))]
+    rows = [(rng.choice("abcde"), day(rng.randrange(-5, 320)), i) for i in range(400)] + [(None, day(3), 1000), ("a", None, 1001), ("d", dt.date(9999, 12, 31), 1002)]
+    rows += rows[:3]
+    iv = spark.createDataFrame(spans, "entity string, spell_start date, spell_end date")
+    df = spark.createDataFrame(rows, "entity string, date date, i int").repartition(4)
+    hit = lambda r: any(k is not None and k == r[0] and r[1] is not None and a is not None and b is not None and a <= r[1] <= b for k, a, b in spans)
+    got = pit.membership_flag(df, iv).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((*r, hit(r))) for r in rows)
+    assert sorted(str(tuple(r)) for r in pit.in_spell(df, iv).collect()) == sorted(str(r) for r in rows if hit(r))
