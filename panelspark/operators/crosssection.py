@@ -48,7 +48,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
 
 
 def split_order(values: DataFrame, by: list[str], order: list[str], count: str | None) -> DataFrame:
-    """Add ``before`` (rows ordered earlier in the group), ``nth`` and ``n`` (group size), exactly.
+    """Add ``before`` (rows ordered earlier in the group), ``nth``, ``n`` (group size) and ``last`` (the highest ``nth``), exactly.
 
     ``values`` is range-partitioned by (group, order), written once, and each range is numbered on
     its own; offsets come from one small row per (range, group). With ``count`` a row stands for
@@ -64,7 +64,7 @@ def split_order(values: DataFrame, by: list[str], order: list[str], count: str |
         *by, "_part",
         F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"),
         F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_k0"),
-        F.sum("_w").over(parts).alias("n"),
+        F.sum("_w").over(parts).alias("n"), F.sum("_k").over(parts).alias("last"),
     )
     inside = W.partitionBy(*by, "_part").orderBy(*order)
     numbered = ranged.withColumn(
@@ -75,7 +75,7 @@ def split_order(values: DataFrame, by: list[str], order: list[str], count: str |
         *values.columns,
         (F.col("_before") + F.col("_w0")).alias("before"),
         (F.col("_nth") + F.col("_k0")).alias("nth"),
-        "n",
+        "n", "last",
     )
 
 
@@ -122,41 +122,47 @@ class CrossSection:
 
     # ------------------------------------------------------------------ group aggregates
 
-    def attach(self, df: DataFrame, **aggs: Column) -> DataFrame:
-        """Add group aggregates to every row (``aggs``: output name -> aggregate Column)."""
+    def attach(self, df: DataFrame, stored: bool = False, **aggs: Column) -> DataFrame:
+        """Add group aggregates to every row (``aggs``: output name -> aggregate Column).
+
+        The split plan reads the rows twice. It writes them once, unless the caller says that they are ``stored``: a projection of a table or
+        of a checkpoint.
+        """
         if self.windowed:
             w = self._window()
             return df.select("*", *[a.over(w).alias(k) for k, a in aggs.items()])
-        df = materialize(df)
+        df = df if stored else materialize(df)
         table = df.groupBy(*self.by).agg(*[a.alias(k) for k, a in aggs.items()])
         return _null_safe(df, table, list(self.by))
 
     # ------------------------------------------------------------------ ranks
 
-    def ranks(self, df: DataFrame, x: str, prefix: str = "r") -> DataFrame:
-        """Add ``<prefix>_lt`` (values below), ``_eq`` (ties incl. own), ``_n`` (values), ``_dense``.
+    def ranks(self, df: DataFrame, x: str, prefix: str = "r", stored: bool = False) -> DataFrame:
+        """Add ``<prefix>_lt`` (values below), ``_eq`` (ties incl. own), ``_n`` (values), ``_dense``, ``_top`` (distinct values).
 
-        NULL inputs get NULL in all four. Everything rank-like is arithmetic on these.
+        NULL inputs get NULL in all five. Everything rank-like is arithmetic on these. The split plan orders the distinct values of the group; rows
+        only meet their value's facts.
         """
-        lt, eq, n, dense = (f"{prefix}_{s}" for s in ("lt", "eq", "n", "dense"))
+        lt, eq, n, dense, top = (f"{prefix}_{s}" for s in ("lt", "eq", "n", "dense", "top"))
         if self.windowed:
             w = self._window()
             ordered = w.orderBy(F.col(x).asc_nulls_last())
             # the peers of a row: a range frame of the same sort, so ties cost no second sort
             tie = ordered.rangeBetween(W.currentRow, W.currentRow)
             has = F.col(x).isNotNull()
-            return df.select(
+            d = df.select(
                 "*",
                 F.when(has, F.rank().over(ordered) - 1).alias(lt),
                 F.when(has, F.count(F.lit(1)).over(tie)).alias(eq),
                 F.when(has, F.count(F.col(x)).over(w)).alias(n),
                 F.when(has, F.dense_rank().over(ordered)).alias(dense),
             )
-        df = materialize(df)
+            return d.select("*", F.when(F.col(dense).isNotNull(), F.max(dense).over(w)).alias(top))
+        df = df if stored else materialize(df)
         counts = self._value_counts(df, x)
         ordered = split_order(counts, list(self.by), [x], "_eq").select(
             *self.by, x, F.col("before").alias(lt), F.col("_eq").alias(eq),
-            F.col("n").alias(n), F.col("nth").alias(dense),
+            F.col("n").alias(n), F.col("nth").alias(dense), F.col("last").alias(top),
         )
         return _null_safe(df, ordered, [*self.by, x])
 
@@ -184,10 +190,9 @@ class CrossSection:
     def rank_dense12(self, df: DataFrame, x: str, out: str) -> DataFrame:
         """Dense rank scaled to [1, 2]."""
         df = self.ranks(df, x, "_r")
-        df = self.attach(df, _top=F.max("_r_dense"))
         return df.withColumn(
-            out, 1.0 + (F.col("_r_dense") - 1) / F.nullif(F.col("_top") - 1, F.lit(0))
-        ).drop("_r_lt", "_r_eq", "_r_n", "_r_dense", "_top")
+            out, 1.0 + (F.col("_r_dense") - 1) / F.nullif(F.col("_r_top") - 1, F.lit(0))
+        ).drop("_r_lt", "_r_eq", "_r_n", "_r_dense", "_r_top")
 
     def tent(self, df: DataFrame, x: str, out: str) -> DataFrame:
         """1 - 2 |pct rank - 0.5|: highest for the middle of the cross-section."""
@@ -197,7 +202,7 @@ class CrossSection:
     def _derive(self, df, x, out, fn) -> DataFrame:
         df = self.ranks(df, x, "_r")
         names = ["_r_lt", "_r_eq", "_r_n", "_r_dense"]
-        return df.withColumn(out, fn(*[F.col(c) for c in names])).drop(*names)
+        return df.withColumn(out, fn(*[F.col(c) for c in names])).drop(*names, "_r_top")
 
     def ordinal(self, df: DataFrame, x: str, out: str, tie: str = "entity", n: str | None = None) -> DataFrame:
         """Row number by (x, tie) among the rows that have x; optionally the group's count ``n``."""
@@ -217,7 +222,7 @@ class CrossSection:
         rest = df.where(F.col(x).isNull())
         if n:
             rest = CrossSection(self.by, None)._join_counts(rest, df, x, n)
-        return ranked.drop("before").unionByName(
+        return ranked.drop("before", "last").unionByName(
             rest.withColumn(out, F.lit(None).cast("bigint")).select(*df.columns, *extra, out)
             if n else rest.withColumn(out, F.lit(None).cast("bigint")), allowMissingColumns=False,
         )
@@ -236,15 +241,19 @@ class CrossSection:
 
     # ------------------------------------------------------------------ quantiles
 
-    def quantiles(self, df: DataFrame, x: str, probs: dict[str, float]) -> DataFrame:
+    def quantiles(self, df: DataFrame, x: str, probs: dict[str, float], stored: bool = False) -> DataFrame:
         """One row per group: linearly interpolated quantiles (exact), ``probs``: name -> level."""
         if self.windowed:
             q = F.percentile(F.col(x), F.array(*[F.lit(float(p)) for p in probs.values()]))
             table = df.groupBy(*self.by).agg(q.alias("_q"))
             return table.select(*self.by, *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
-        df = materialize(df.select(*self.by, x))
-        counts = self._value_counts(df, x)
-        o = split_order(counts, list(self.by), [x], "_eq")
+        df = df.select(*self.by, x) if stored else materialize(df.select(*self.by, x))
+        table = self._ordered_quantiles(split_order(self._value_counts(df, x), list(self.by), [x], "_eq"), x, probs)
+        # a group without values has no value counts, but is a group all the same
+        return _null_safe(df.select(*self.by).distinct(), table, list(self.by)) if self.by else table
+
+    def _ordered_quantiles(self, ordered: DataFrame, x: str, probs: dict[str, float]) -> DataFrame:
+        """The quantiles of each group that has values, from its values in order with their counts."""
         aggs = []
         for k, p in probs.items():
             pos = (F.col("n") - 1) * F.lit(float(p))
@@ -253,20 +262,18 @@ class CrossSection:
                 F.min(F.when(last >= F.floor(pos), F.col(x))).alias(f"{k}_lo"),
                 F.min(F.when(last >= F.ceil(pos), F.col(x))).alias(f"{k}_hi"),
             ]
-        table = o.groupBy(*self.by).agg(F.max("n").alias("_n"), *aggs)
+        table = ordered.groupBy(*self.by).agg(F.max("n").alias("_n"), *aggs)
         frac = {k: ((F.col("_n") - 1) * F.lit(float(p))) % 1 for k, p in probs.items()}
-        table = table.select(*self.by, *[
+        return table.select(*self.by, *[
             (F.col(f"{k}_lo") * (1 - frac[k]) + F.col(f"{k}_hi") * frac[k]).alias(k) for k in probs])
-        # a group without values has no value counts, but is a group all the same
-        return _null_safe(df.select(*self.by).distinct(), table, list(self.by)) if self.by else table
 
-    def with_quantiles(self, df: DataFrame, x: str, probs: dict[str, float]) -> DataFrame:
+    def with_quantiles(self, df: DataFrame, x: str, probs: dict[str, float], stored: bool = False) -> DataFrame:
         if self.windowed:
             q = F.percentile(F.col(x), F.array(*[F.lit(float(p)) for p in probs.values()]))
             out = df.withColumn("_q", q.over(self._window()))
             return out.select(*df.columns, *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
-        df = materialize(df)
-        return _null_safe(df, self.quantiles(df, x, probs), list(self.by))
+        df = df if stored else materialize(df)
+        return _null_safe(df, self.quantiles(df, x, probs, stored=True), list(self.by))
 
     # ------------------------------------------------------------------ derived operators
 
@@ -281,9 +288,9 @@ class CrossSection:
             out, 1.0 + (F.col(x) - F.col("_lo")) / zero_to_null(F.col("_hi") - F.col("_lo"))
         ).drop("_lo", "_hi")
 
-    def winsor(self, df, x, out, p: float, remove_extreme: bool = False) -> DataFrame:
+    def winsor(self, df, x, out, p: float, remove_extreme: bool = False, stored: bool = False) -> DataFrame:
         """Clip to the p and 1 - p quantiles, or set the extremes to zero."""
-        df = self.with_quantiles(df, x, {"_lo": p, "_hi": 1.0 - p})
+        df = self.with_quantiles(df, x, {"_lo": p, "_hi": 1.0 - p}, stored)
         x_, lo, hi = F.col(x), F.col("_lo"), F.col("_hi")
         if remove_extreme:
             value = F.when(x_.isNull(), None).when((x_ < lo) | (x_ > hi), 0.0).otherwise(x_)
@@ -301,7 +308,7 @@ class CrossSection:
             df = materialize(df)
             long = df.select(*self.by, F.explode(F.array(*[
                 F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
-            ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p})
+            ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p}, stored=True)
             wide = ends.groupBy(*self.by).agg(*[
                 F.max(F.when(F.col("_x") == i, F.array("_lo", "_hi"))).alias(f"_q_{x}") for i, x in enumerate(xs)])
             d = _null_safe(df, wide, list(self.by))
@@ -315,10 +322,10 @@ class CrossSection:
         keep = (F.col("_pct") <= tail) | (F.col("_pct") > 1.0 - tail)
         return df.withColumn(out, F.when(keep, F.col(x))).drop("_pct")
 
-    def demean(self, df, x, out, group: str | None = None) -> DataFrame:
+    def demean(self, df, x, out, group: str | None = None, stored: bool = False) -> DataFrame:
         """x minus the group mean; with ``group``, within it, and missing where it is missing."""
         g = self if group is None else CrossSection((*self.by, group), self.bound)
-        df = g.attach(df, _m=F.avg(x))
+        df = g.attach(df, stored, _m=F.avg(x))
         value = F.col(x) - F.col("_m")
         if group is not None:
             value = F.when(F.col(group).isNotNull(), value)
@@ -382,10 +389,21 @@ class CrossSection:
         return df.withColumn(out, F.col(y) - F.col("_m")).drop("_m")
 
     def unit_gross(self, df, x, out) -> DataFrame:
-        """Subtract the median, divide by the sum of absolute values."""
-        df = self.with_quantiles(df, x, {"_med": 0.5}).withColumn("_c", F.col(x) - F.col("_med"))
-        df = self.attach(df, _g=F.sum(F.abs("_c")))
-        return df.withColumn(out, F.col("_c") / zero_to_null("_g")).drop("_med", "_c", "_g")
+        """Subtract the median, divide by the sum of absolute values.
+
+        In the split plan both facts of a group come from its values in order with their counts; the rows are read once more.
+        """
+        if self.windowed:
+            df = self.with_quantiles(df, x, {"_med": 0.5}).withColumn("_c", F.col(x) - F.col("_med"))
+            df = self.attach(df, _g=F.sum(F.abs("_c")))
+            return df.withColumn(out, F.col("_c") / zero_to_null("_g")).drop("_med", "_c", "_g")
+        df = materialize(df)
+        ordered = split_order(self._value_counts(df, x), list(self.by), [x], "_eq")
+        medians = self._ordered_quantiles(ordered, x, {"_med": 0.5})
+        gross = _null_safe(ordered, medians, list(self.by)).groupBy(*self.by).agg(
+            F.max("_med").alias("_med"), F.sum(F.abs(F.col(x) - F.col("_med")) * F.col("_eq")).alias("_g"))
+        d = _null_safe(df, gross, list(self.by))
+        return d.withColumn(out, (F.col(x) - F.col("_med")) / zero_to_null("_g")).drop("_med", "_g")
 
     def at_least(self, df, names: int) -> DataFrame:
         """Rows of groups with at least ``names`` rows."""
@@ -401,7 +419,7 @@ class CrossSection:
             2.0 * (lt + (eq + 1) / 2.0 - 1.0) / F.nullif(n - 1, F.lit(0)) - 1.0)
         use = F.col(group).isNotNull() & (n >= min_names)
         return df.withColumn(out, F.when(use, unit).otherwise(F.col("_all"))).drop(
-            "_i_lt", "_i_eq", "_i_n", "_i_dense", "_all")
+            "_i_lt", "_i_eq", "_i_n", "_i_dense", "_i_top", "_all")
 
     def factor_neutral(self, df, y, factors, out) -> DataFrame:
         """Residual of the group's least-squares regression of y on an intercept and the factors.

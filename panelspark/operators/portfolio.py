@@ -159,12 +159,12 @@ def calendar_lag(x: str, pos: str, k: int = 1):
 
 
 def alpha_positions(df: DataFrame, alpha: str, universe, industry: str | None, winsor: float | None,
-                    bound: int | None = None) -> DataFrame:
+                    bound: int | None = None, stored: bool = False) -> DataFrame:
     """Add ``position``: masked, industry-neutral, (winsorised,) median-neutral, unit gross."""
     xs = CrossSection(("date",), bound)
     d = df.withColumn("_a", F.when(universe, sanitize(alpha)))
     if industry is not None:
-        d = xs.demean(d, "_a", "_a2", industry).drop("_a").withColumnRenamed("_a2", "_a")
+        d = xs.demean(d, "_a", "_a2", industry, stored).drop("_a").withColumnRenamed("_a2", "_a")
     if winsor is not None:
         d = xs.winsor(d, "_a", "_a2", winsor).drop("_a").withColumnRenamed("_a2", "_a")
     return xs.unit_gross(d, "_a", "position").drop("_a")
@@ -218,12 +218,12 @@ def alpha_fitness(df: DataFrame, alpha: str, ret: str, universe, industry: str |
     df = materialize(df.select("date", "entity", alpha, ret, *group, universe.alias("_u")))
     universe = F.col("_u")
     raw = df.withColumn("_raw", F.when(universe, sanitize(alpha))).withColumn("_abs", F.abs("_raw"))
-    spread = xs.quantiles(raw, "_abs", {"_scale": 0.5}).join(
+    spread = xs.quantiles(raw, "_abs", {"_scale": 0.5}, stored=True).join(
         raw.groupBy("date").agg(F.stddev_samp("_raw").alias("_sd"), F.count("_raw").alias("_cells")), "date")
     disp = spread.agg(
         F.percentile(F.coalesce(F.col("_sd") / zero_to_null("_scale"), F.lit(0.0)), F.lit(0.5)).alias("dispersion"),
         F.sum("_cells").alias("cells"))
-    s = alpha_series(alpha_positions(df, alpha, universe, industry, 0.01, bound), ret, delay)
+    s = alpha_series(alpha_positions(df, alpha, universe, industry, 0.01, bound, stored=True), ret, delay)
     root = float(trading_days) ** 0.5
     g = s.agg(
         (F.lit(root) * F.avg("pnl") / zero_to_null(F.stddev_samp("pnl"))).alias("ir"),

@@ -10,7 +10,8 @@ from .registry import REGISTRY, Query
 
 NAMES = """cs_rank_pct cs_winsor cs_factorneut cs_indneut within_sector_rank rank_to_unit market_neutral_target top_n_mask
 prediction_metrics rank_ic_ordinal_ties momentum_ic_summary ic_decay quantile_legs book_staggered decile_backtest
-sort_group_returns alpha_fitness terminals holm benjamini_hochberg""".split()
+sort_group_returns alpha_fitness terminals holm benjamini_hochberg cs_rank_ordinal cs_remove_middle top_n_per_group half_sample_ics
+long_short_by_date run_report training_table cross_section_inputs""".split()
 SETTING = "panelspark.crosssection.plan"
 
 
