@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from panelspark.llm.pieces import Encoder, decode, decode_pieces, encode_pieces, load_pieces, round_trips
+from panelspark.llm.pieces import Encoder, _merged, compatible, decode, decode_pieces, encode_pieces, load_pieces, round_trips
 
 from .rows import ODD, documents, frame
 
@@ -26,53 +26,58 @@ def ids_of(pieces, texts):
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def best_score(model, chunk):
-    """Plain Viterbi over one chunk, by characters: the best total and, with the longer last piece on ties, its pieces."""
-    known = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    worst = min(s for _, s in known.values()) - 10
-    best = [(0.0, [])]
-    for end in range(1, len(chunk) + 1):
-        options = []
-        for start in range(max(0, end - 48), end):
-            piece = chunk[start:end]
-            if piece in known:
-                options.append((best[start][0] + known[piece][1], start, [known[piece][0]]))
-            elif end - start == 1:
-                options.append((best[start][0] + worst, start, [3 + b for b in piece.replace("▁", " ").encode()]))
-        top = max(options, key=lambda o: (o[0], -o[1]))
-        best.append((top[0], best[top[1]][1] + top[2]))
-    return best[-1][1]
-
-
-def test_segmentation_is_the_best_one(pieces):
+def texts_of(spark, sf):
+    return [r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect()]
+
+
+def test_ids_are_the_models(spark, pieces):
+    """Id for id what the library gives, for the documents and for texts that are odd in some way."""
     model = sentencepiece.SentencePieceProcessor(model_file=FILE)
     rng = random.Random(3)
-    words = ["".join(rng.choice(["th", "on", "er", "é", "ñ", "Z", "!", "日", "\U0001f389", "\n", "qx", "ing"]) for _ in range(rng.randint(1, 9))) for _ in range(150)]
-    words += ["  " * 3 + "a", "x" * 31, "ab" * 60, "é" * 40 + "\n" + "the" * 30]
-    for word, ids in zip(words, ids_of(pieces, words)):
-        expected, chunk = [], "▁"
-        for c in word.replace(" ", "▁"):
-            if c == "▁" and chunk[-1] != "▁":
-                expected += best_score(model, chunk)
-                chunk = ""
-            chunk += c
-        assert ids == expected + best_score(model, chunk), word
-
-
-def test_library_finds_the_same_best_segmentation(pieces):
-    """The library's own Viterbi on the same pieces and scores, where no character is unknown."""
+    parts = ["th", "on", "er", "é", "ñ", "Z", "!", "日", "本", "\U0001f389", "\n", "qx", "ing", " ", "  ", "   ", "a", "aa", "=", "==", "ß", "0", "1", "Ω"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(1, 400))) for _ in range(300)]  # long chunks
+    texts += ["x" * 5000, "ab" * 3000, " " * 100 + "a", "the" * 999, "日本語" * 700, "é" * 4001 + "\n", "", " ", "international", "the house is green"]
+    texts += [t.replace("▁", "_") for t in [x or "" for x in ODD] + [t or "" for _, t, *_ in documents(30)]] + texts_of(spark, "sf0.01")
+    for text, own, want in zip(texts, ids_of(pieces, texts), model.encode(texts)):
+        assert own == want, text[:200]
+
+
+def test_compatible_pairs_equal_merging_their_text(pieces):
+    model = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    rng = np.random.default_rng(4)
+    known = np.concatenate([ids for _, ids in pieces.by_length.values()])
+    left = rng.choice(known, 20_000)
+    near = known[np.argsort(rng.random(len(known)))]
+    right = np.where(rng.random(len(left)) < 0.5, rng.choice(known, len(left)), rng.choice(near[:300], len(left)))
+    text = lambda i: pieces.pool[pieces.bounds[i]:pieces.bounds[i + 1]].tobytes().decode()
+    order = {text(i): r for i, r in enumerate(pieces.rank.tolist()) if r >= 0}
+    ok = compatible(pieces, left, right)
+    assert 0.05 < ok.mean() < 0.995
+    for a, b, good in zip(left.tolist(), right.tolist(), ok.tolist()):
+        assert (_merged(text(a) + text(b), order)[0] == [text(a), text(b)]) == good, (text(a), text(b))
+    assert len(known) > 31_000 and model.vocab_size() == len(pieces.rank)
+
+
+def test_very_long_chunk_takes_linear_time(pieces):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        assert sum(ids_of(pieces, ["xy" * n])[0]) > 0
+        return time.process_time() - start
+
+    took(100)
+    assert took(40_000) < 12 * max(took(8_000), 0.05)
+
+
+def test_other_models_are_refused(tmp_path):
     with open(FILE, "rb") as f:
         spec = proto.ModelProto.FromString(f.read())
     spec.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
-    viterbi = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-    words = sorted({w for _, t, *_ in documents(20) for w in (t or "").split() if w.isalpha() and len(w) < 20})[:600]
-    total = lambda ids: sum(viterbi.get_score(i) for i in ids)
-    same = 0
-    for word, own in zip(words, ids_of(pieces, words)):
-        other = viterbi.encode(word)
-        same += own == other
-        assert own == other or total(own) > total(other), word  # it takes a word that is one piece without search
-    assert same > 0.98 * len(words)
+    (tmp_path / "unigram.model").write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError, match="merges"):
+        load_pieces(str(tmp_path / "unigram.model"))
 
 
 def test_decoding_gives_every_text_back(pieces):
