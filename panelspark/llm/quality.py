@@ -118,7 +118,7 @@ def _descend(net: Network, step_gradient, steps: int, rate: float, decay: float
             net.weights[i] = net.weights[i] - rate * (first[i] / (1 - 0.9 ** t)) / (np.sqrt(second[i] / (1 - 0.999 ** t)) + 1e-8)
 
 
-def estimate_prior(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, batch: int = 512, seed: int = 11) -> float:
+def estimate_prior(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, batch: int = 512, seed: int = 11) -> float:
     """The share of positives among the unlabelled (raw measures), estimated from the two samples alone.
 
     A network is told the samples apart on one half of each and ranks the other half. Where no negative ranks, the share
@@ -168,32 +168,23 @@ def _fit_at(mean: np.ndarray, scale: np.ndarray, positive: np.ndarray, unlabelle
     return net
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rejected: np.ndarray | None = None, steps: int = 700, batch: int = 512, seed: int = 3) -> tuple[Network, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, batch: int = 1024, seed: int = 3) -> tuple[Network, float]:
     """The network of least non-negative unbiased risk, and the prior used.
 
     The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss; where the second term of
     a batch is negative its gradient is turned round, so that the network doesn't fit the positives out of the unlabelled.
 
-    The minimiser reacts strongly to a prior that is a little too high. Where some labelled negatives (``rejected``) are at
-    hand they are no part of the risk, but decide between priors around the estimate: the one whose network tells positives
-    and negatives apart best at ``THRESHOLD`` is taken (of equals the lowest).
+    The minimiser reacts strongly to a prior that is a little too high and hardly to one that is a little too low, so ``MARGIN`` is
+    taken off the estimate. No labelled negative is used, neither for the risk nor for the prior.
     """
     everything = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = everything.mean(0), everything.std(0) + 1e-3
-    estimate = estimate_prior(mean, scale, positive, unlabelled)
-    if rejected is None or not len(rejected):
-        prior = max(estimate - 0.02, 0.02)
-        return _fit_at(mean, scale, positive, unlabelled, prior, steps, batch, seed), prior
-    found = []
-    for prior in np.clip(estimate + _AROUND, 0.02, 0.98).tolist():
-        net = _fit_at(mean, scale, positive, unlabelled, prior, steps, batch, seed)
-        right = (net.scores(positive) >= THRESHOLD).mean() + (net.scores(rejected) < THRESHOLD).mean()
-        found.append((-right, prior, net))
-    _, prior, net = min(found, key=lambda f: f[:2])
-    return net, prior
+    prior = max(estimate_prior(mean, scale, positive, unlabelled) - MARGIN, 0.02)
+    return _fit_at(mean, scale, positive, unlabelled, prior, steps, batch, seed), prior
 
 
-_AROUND = np.array([-0.06, -0.04, -0.02, 0.0, 0.02])
+#: What is taken off the estimated class prior.
+MARGIN = 0.02
 
 
 def fold_of(doc_id, folds: int):
@@ -203,15 +194,16 @@ def fold_of(doc_id, folds: int):
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
-        yield pa.RecordBatch.from_arrays([block.column("kind"), pa.array([r.tobytes() for r in features(block.column("text"))], pa.binary())], ["kind", "x"])
+        measures = pa.array([r.tobytes() for r in features(block.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([block.column("kind"), block.column("doc_id").cast(pa.int64()), measures], ["kind", "doc_id", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Network | None:
     """Fit on documents (``doc_id``, ``text``) whose id's CRC-32 modulo 4 is not 2; None without a positive among them.
 
     Trusted positives are the labelled ids of ``quality`` 1 (and never 0), the ``most_positive`` with the smallest hashes;
-    unlabelled are the ``most_unlabelled`` ids with the smallest hashes, whatever their label; as many ids as positives, of
-    ``quality`` 0 (and never 1), choose the prior. Only the measures of these bounded samples come to the driver; their ids
+    unlabelled are the ``most_unlabelled`` ids with the smallest hashes, whatever their label. Only the measures of these bounded
+    samples come to the driver, one row for each id (of the rows that repeat an id the one with the least measures); their ids
     travel to the scan.
     """
     learnable = fold_of(F.col("doc_id"), 4) != 2
@@ -220,14 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     def sample(ids: DataFrame, most: int, kind: str) -> DataFrame:
         return ids.orderBy(F.xxhash64("doc_id", F.lit(kind)), "doc_id").limit(most).select("doc_id", F.lit(kind).alias("kind"))
 
-    chosen = (sample(judged.where("lo = 1"), most_positive, "positive").union(sample(judged.where("lo = 0"), most_positive, "rejected"))
-              .union(sample(docs.select("doc_id").where(learnable).distinct(), most_unlabelled, "unlabelled")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_of, "kind string, x binary").collect()
-    raw = {kind: sorted(bytes(r.x) for r in rows if r.kind == kind) for kind in ("positive", "unlabelled", "rejected")}
+    chosen = sample(judged.where("lo = 1"), most_positive, "positive").union(
+        sample(docs.select("doc_id").where(learnable).distinct(), most_unlabelled, "unlabelled"))
+    measured = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_of, "kind string, doc_id long, x binary")
+    rows = measured.groupBy("kind", "doc_id").agg(F.min("x").alias("x")).collect()
+    raw = {kind: sorted(bytes(r.x) for r in rows if r.kind == kind) for kind in ("positive", "unlabelled")}
     if not raw["positive"] or not raw["unlabelled"]:
         return None
-    tables = {kind: np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1) for kind, x in raw.items() if x}
-    return fit(tables["positive"], tables["unlabelled"], tables.get("rejected"))[0]
+    tables = {kind: np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1) for kind, x in raw.items()}
+    return fit(tables["positive"], tables["unlabelled"])[0]
 
 
 def _score(net: Network | None):
