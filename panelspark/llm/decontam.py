@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_ALNUM, Words, blocks, store
+from panelspark.session import scratch_dir
+
+from .files import Output, attempt_name, resolve
+from .words import NOT_ALNUM, Words, blocks, shuffle_partitions, store
 
 WINDOW = 10
 #: Test texts are looked up in blocks of at most so many bytes (one item at least), so what travels to the tasks is bounded.
 TEST_BLOCK_BYTES = 8 << 20
 _SHARD = "shard string, gap int, ids binary, first binary, terms binary, bounds binary, postings binary"
-_MATCH = "shard string, row int, id long, n_words long, n_hit long, items array<string>, hit_words array<int>"
+_MATCH = "id long, n_words long, n_hit long, items array<string>, hit_words array<int>"
 
 
 def _index(gap: int):
@@ -124,53 +127,90 @@ class Tests:
             self.by_length[n] = (np.array(same, np.uint64), [sorted(set(windows[w])) for w in same])
 
 
-def _lookup(tests: Tests, slop: int | None):
+def _cut_items(folder: str):
+    """The items of a partition in blocks of bounded size, each a file in the shared folder; its path is the row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
+
+        def written() -> pa.RecordBatch:
+            path = f"{folder}/{attempt_name('items')}.arrow"
+            out = Output(path)
+            table = pa.table({"item": pa.array(ids, pa.string()), "text": pa.array(texts, pa.large_string())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            out.write(sink.getvalue().to_pybytes())
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [path]})
+
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                items: dict[int, set[str]] = {}
-                hit = np.zeros(int(shard.first[-1]) + 1, bool)
-                for n, (windows, owners) in tests.by_length.items():
-                    places, counts = shard.counts(windows.ravel())
-                    places, counts = places.reshape(-1, n), counts.reshape(-1, n)
-                    for w in np.flatnonzero(counts.min(1) > 0).tolist():
-                        if slop is None:
-                            at = phrase_starts(shard, places[w], counts[w])
-                            for j in range(n):
-                                hit[at + j] = True
-                        else:
-                            at = near_positions(shard, places[w], counts[w], slop)
-                            hit[at] = True
-                        for r in np.unique(shard.rows_at(at)).tolist():
-                            items.setdefault(r, set()).update(owners[w])
-                where = np.flatnonzero(hit)
-                bounds = np.searchsorted(where, shard.first)
-                n_words = np.diff(shard.first) - shard.gap
-                out = {"shard": [row["shard"]] * len(shard.ids), "row": list(range(len(shard.ids))), "id": [], "n_words": [], "n_hit": [], "items": [], "hit_words": []}
-                for r, doc in enumerate(shard.ids.tolist()):
-                    own = where[bounds[r]:bounds[r + 1]] - shard.first[r]
-                    out["id"].append(None if doc == -(1 << 63) else doc)
-                    out["n_words"].append(int(n_words[r]))
-                    out["n_hit"].append(len(own))
-                    out["items"].append(sorted(items.get(r, ())))
-                    out["hit_words"].append(own.astype(np.int32))
-                types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                if held and held + len(text) > TEST_BLOCK_BYTES:
+                    yield written()
+                    ids, texts, held = [], [], 0
+                ids.append(item)
+                texts.append(text)
+                held += len(text)
+        if ids:
+            yield written()
     return run
 
 
-def _blocks_of(benchmark: DataFrame, size: int) -> Iterator[Tests]:
-    """The test items in blocks of bounded size, in the order of their ids."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.orderBy("item").toLocalIterator():
-        if held and held + len(row.text) > TEST_BLOCK_BYTES:
-            yield Tests(ids, texts, size)
-            ids, texts, held = [], [], 0
-        ids.append(row.item)
-        texts.append(row.text)
-        held += len(row.text)
-    yield Tests(ids, texts, size)
+def _read_items(path: str, size: int) -> Tests:
+    system, name = resolve(path)
+    with system.open_input_file(name) as f:
+        table = pa.ipc.open_stream(f.read()).read_all()
+    return Tests(table.column("item").to_pylist(), table.column("text").to_pylist(), size)
+
+
+def _lookup(paths: list[str], size: int, slop: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = path_of = None
+        for batch in batches:
+            shards = [Shard(row) for row in batch.to_pylist()]
+            hits = [np.zeros(int(s.first[-1]) + 1, bool) for s in shards]
+            owners_of: list[dict[int, set[str]]] = [{} for _ in shards]
+            for path in paths:  # one block of items in memory; every shard of the batch meets it
+                if path_of != path:
+                    tests, path_of = _read_items(path, size), path
+                for shard, hit, items in zip(shards, hits, owners_of):
+                    _meet(shard, tests, slop, hit, items)
+            for shard, hit, items in zip(shards, hits, owners_of):
+                yield _judged(shard, hit, items)
+    return run
+
+
+def _meet(shard: Shard, tests: Tests, slop: int | None, hit: np.ndarray, items: dict[int, set[str]]) -> None:
+    """Mark the words of a shard inside occurrences of the windows, and note the items by row."""
+    for n, (windows, owners) in tests.by_length.items():
+        places, counts = shard.counts(windows.ravel())
+        places, counts = places.reshape(-1, n), counts.reshape(-1, n)
+        for w in np.flatnonzero(counts.min(1) > 0).tolist():
+            if slop is None:
+                at = phrase_starts(shard, places[w], counts[w])
+                for j in range(n):
+                    hit[at + j] = True
+            else:
+                at = near_positions(shard, places[w], counts[w], slop)
+                hit[at] = True
+            for r in np.unique(shard.rows_at(at)).tolist():
+                items.setdefault(r, set()).update(owners[w])
+
+
+def _judged(shard: Shard, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+    where = np.flatnonzero(hit)
+    bounds = np.searchsorted(where, shard.first)
+    n_words = np.diff(shard.first) - shard.gap
+    out = {"id": [], "n_words": [], "n_hit": [], "items": [], "hit_words": []}
+    for r, doc in enumerate(shard.ids.tolist()):
+        own = where[bounds[r]:bounds[r + 1]] - shard.first[r]
+        out["id"].append(None if doc == -(1 << 63) else doc)
+        out["n_words"].append(int(n_words[r]))
+        out["n_hit"].append(len(own))
+        out["items"].append(sorted(items.get(r, ())))
+        out["hit_words"].append(own.astype(np.int32))
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
 
 def match(index: DataFrame, benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -180,19 +220,14 @@ def match(index: DataFrame, benchmark: DataFrame, item_column: str = "item_id",
     windows are exact phrases: ``hit_words`` are the word numbers inside any occurrence. With ``slop``, a window matches where
     all its terms lie within ``slop`` words of an occurrence of its rarest term, whose word numbers are given; ``slop``
     has to be smaller than the index's gap. ``items`` are the items (as strings) with a matching window. The items are a
-    stated query set: they are looked up against all shards in blocks of at most ``TEST_BLOCK_BYTES``. Items without words or
+    stated query set: tasks write them to the shared folder in blocks of at most ``TEST_BLOCK_BYTES`` (one item at least), and every
+    task of the index reads block after block for its shards. The driver sees the blocks' paths only. Items without words or
     id never match; an item given twice counts once.
     """
     tests = benchmark.select(F.col(item_column).cast("string").alias("item"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).where("item is not null")
-    found = [index.mapInArrow(_lookup(block, slop), _MATCH) for block in _blocks_of(tests, size)]
-    if len(found) == 1:
-        return found[0].drop("shard", "row")
-    parts = found[0]
-    for other in found[1:]:
-        parts = parts.unionByName(other)
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words"))))
-    return (parts.groupBy("shard", "row", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), words.alias("hit_words"))
-            .select("id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), "items", "hit_words"))
+    folder = scratch_dir(index.sparkSession, "benchmark-items")
+    paths = sorted(r.path for r in store(tests.coalesce(shuffle_partitions(index.sparkSession)).mapInArrow(_cut_items(folder), "path string"), "benchmark-blocks").collect())
+    return index.mapInArrow(_lookup(paths, size, slop), _MATCH)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,7 +237,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns stay. Rows without an id stay unjudged."""
-    bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark window; all columns stay.
+
+    Contamination is a matter of the text alone, so the index knows texts by their 64-bit hash: null and repeated ids don't matter, rows
+    with equal texts go or stay together. (Of a billion texts one is taken for a contaminated one with a chance of about one in a
+    million for every twenty contaminated texts.)
+    """
+    texts = docs.select(F.xxhash64(text_column).alias("doc_id"), F.col(text_column).alias("text"))
+    bad = contamination(texts, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs[text_column]) == bad["__bad"], "left_anti")

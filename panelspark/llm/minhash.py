@@ -244,8 +244,17 @@ class _Likely:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group of near-duplicates; all columns stay. Rows without an id stay."""
-    kept = near_duplicates(docs, percent, id_column, text_column).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    has_id = F.col(id_column).isNotNull()
-    once = docs.where(has_id).join(kept, docs[id_column] == F.col("__kept_id"), "left_semi").dropDuplicates([id_column])
-    return once.unionByName(docs.where(~has_id))
+    """``docs`` with one row of each group of near-duplicates; all columns stay.
+
+    Rows are judged by their own texts, whatever their ids: they are written once with a number of their own, and the numbers are what is
+    compared. Of a group the row with the smallest id stays (null ids last; of equal ids the first number), so null and repeated ids neither
+    escape nor stand for each other. Rows without words are linked with nothing and stay.
+    """
+    number = next(n for n in ("__row", "__row_", "__row__") if n not in docs.columns)
+    rows = store(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    judged = store(near_duplicates(rows.select(F.col(number).alias("id"), F.col(text_column).alias("text")), percent, "id", "text"), "judged")
+    ids = rows.select(F.col(number).alias("row"), F.col(id_column).alias("id"))
+    named = judged.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias("__stays")).union(judged.where("n_shingles = 0").select("doc_id"))
+    return rows.join(stay, rows[number] == stay["__stays"], "left_semi").drop(number)

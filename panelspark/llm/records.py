@@ -2,8 +2,8 @@
 
 A record is ``length`` (8 bytes), its masked CRC-32C (4), the data and the data's masked CRC-32C (4), little-endian: the
 framing that record readers of training frameworks share. The data is one serialized sequence: the document id (8
-bytes), the bytes of one id (2 or 4), then the ids. The index file has (document id, offset, data length) as three
-8-byte integers for each record.
+bytes), the bytes of one id (2 or 4, with the highest bit set where the document has no id), then the ids. The index file has (document id,
+offset, data length) as three 8-byte integers for each record; without an id the smallest integer stands for it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .words import SPACES, blocks, shuffle_partitions, store, text_bytes
 
 HEAD, TAIL, META = 12, 4, 9
 READ_BYTES = 4 << 20
+#: The bit beside a record's id width, and the integer in the id's place, where a document has no id.
+NO_ID, NO_ID_MARK = 0x80, -(1 << 63)
 #: Bytes 0x1C-0x1F and the white space beyond ASCII: rows with any of it are not cut into pieces.
 _ODD_SPACE = np.zeros(256, bool)
 _ODD_SPACE[[*range(0x1C, 0x20)]] = True
@@ -77,12 +79,12 @@ class TextEncoder:
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
 
 
-def _frames(doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end_id: int, width: int) -> tuple[bytes, np.ndarray]:
+def _frames(doc_ids: np.ndarray, nameless: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end_id: int, width: int) -> tuple[bytes, np.ndarray]:
     """The framed records of a block and the data length of each."""
     kind = np.uint16 if width == 2 else np.uint32
     data = []
-    for doc, a, b in zip(doc_ids.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-        data.append(doc.to_bytes(8, "little", signed=True) + bytes([width]) + np.append(ids[a:b], end_id).astype(kind).tobytes())
+    for doc, no_id, a, b in zip(doc_ids.tolist(), nameless.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        data.append(doc.to_bytes(8, "little", signed=True) + bytes([width | NO_ID * no_id]) + np.append(ids[a:b], end_id).astype(kind).tobytes())
     lengths = np.fromiter(map(len, data), np.int64, len(data))
     whole = np.frombuffer(b"".join(data), np.uint8)
     body = masked(crc32c(whole, np.concatenate([[0], np.cumsum(lengths)]))).astype("<u4").tobytes()
@@ -112,8 +114,9 @@ def _write(tokenizer_json: str, folder: str, end_id: int, width: int):
                 path = f"{folder}/{attempt_name('ids')}"
                 out, index = Output(path + ".records"), Output(path + ".index")
             ids, bounds = encoder(block.column("text"))
-            doc_ids = np.asarray(block.column("id"), np.int64)
-            frames, lengths = _frames(doc_ids, ids, bounds, end_id, width)
+            nameless = block.column("id").is_null().to_numpy(zero_copy_only=False)
+            doc_ids = block.column("id").fill_null(NO_ID_MARK).to_numpy(zero_copy_only=False)
+            frames, lengths = _frames(doc_ids, nameless, ids, bounds, end_id, width)
             sizes = lengths + HEAD + TAIL
             at = out.write(frames) + np.cumsum(sizes) - sizes
             index.write(np.stack([doc_ids, at, lengths], 1).astype("<i8").tobytes())
@@ -132,7 +135,7 @@ def write_records(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id
     The rows are range-partitioned by id (one shuffle of the texts); part p's file holds smaller ids than part p + 1's.
     The table has ``part, path`` (to which .records and .index are added), ``records, tokens`` and ``first_token``, the
     tokens of all files before. The tokenizer's file (``tokenizer_file``) is read on the driver and travels with the task. A null
-    text is empty; a null id is refused; rows with equal ids stay together, in the order of their texts' hashes.
+    text is empty; rows with a null id come last, in records that say so; rows with equal ids stay together, in the order of their texts' hashes.
     """
     folder = folder or scratch_dir(docs.sparkSession, "records")
     source = Path(tokenizer_file).read_text(encoding="utf-8")
@@ -140,8 +143,8 @@ def write_records(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id
 
     width = 2 if Tokenizer.from_str(source).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("id", F.raise_error(F.lit("record without id")).cast("long")))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = (F.asc_nulls_last("id"), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     parts = store(ordered.mapInArrow(_write(source, folder, end_id, width), "part long, path string, records long, tokens long"), "record-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return store(parts.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "record-table")
@@ -154,8 +157,8 @@ def read_index(path: str) -> np.ndarray:
         return np.frombuffer(f.read(), "<i8").reshape(-1, 3)
 
 
-def open_frames(raw: bytes, index: np.ndarray) -> list[np.ndarray]:
-    """The id sequences of consecutive records; lengths, checksums and document ids are verified."""
+def open_frames(raw: bytes, index: np.ndarray) -> tuple[list[np.ndarray], list[bool]]:
+    """The id sequences of consecutive records and which have no document id; lengths, checksums and document ids are verified."""
     buffer = np.frombuffer(raw, np.uint8)
     at, lengths = index[:, 1] - index[0, 1], index[:, 2]
     heads = np.ascontiguousarray(buffer[at[:, None] + np.arange(HEAD)])
@@ -166,13 +169,14 @@ def open_frames(raw: bytes, index: np.ndarray) -> list[np.ndarray]:
     good &= np.ascontiguousarray(heads[:, 8:]).view("<u4")[:, 0] == masked(crc32c(np.ascontiguousarray(heads[:, :8]).ravel(), np.arange(len(at) + 1) * 8))
     if not good.all():
         raise ValueError(f"record at {index[~good][0, 1]}: damaged")
-    out = []
+    out, nameless = [], []
     for doc, a, b in zip(index[:, 0].tolist(), (ends - lengths).tolist(), ends.tolist()):
         record = data[a:b].tobytes()
         if int.from_bytes(record[:8], "little", signed=True) != doc:
             raise ValueError(f"record of {record[:8]!r} under id {doc}")
-        out.append(np.frombuffer(record, "<u2" if record[8] == 2 else "<u4", offset=META))
-    return out
+        out.append(np.frombuffer(record, "<u2" if record[8] & ~NO_ID == 2 else "<u4", offset=META))
+        nameless.append(bool(record[8] & NO_ID))
+    return out, nameless
 
 
 def _read(with_ids: bool):
@@ -186,9 +190,9 @@ def _read(with_ids: bool):
                     last = max(first + 1, int(np.searchsorted(index[:, 1], index[first, 1] + READ_BYTES)))
                     part = index[first:last]
                     begin, end = int(part[0, 1]), int(part[-1, 1] + part[-1, 2] + HEAD + TAIL)
-                    sequences = open_frames(ranges.read(row["path"] + ".records", begin, end - begin), part)
+                    sequences, nameless = open_frames(ranges.read(row["path"] + ".records", begin, end - begin), part)
                     sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
-                    columns = {"id": pa.array(part[:, 0]), "start": pa.array(at + np.cumsum(sizes) - sizes), "n_tokens": pa.array(sizes),
+                    columns = {"id": pa.array(part[:, 0], pa.int64(), mask=np.array(nameless)), "start": pa.array(at + np.cumsum(sizes) - sizes), "n_tokens": pa.array(sizes),
                                "ids_crc32": pa.array([zlib.crc32(s.astype("<u4").tobytes()) for s in sequences], pa.int64())}
                     if with_ids:
                         columns["ids"] = pa.array([s.astype(np.int32) for s in sequences], pa.list_(pa.int32()))
@@ -217,8 +221,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             one = np.array([[row["id"], row["offset"], row["length"]]])
-            ids = open_frames(ranges.read(row["path"] + ".records", row["offset"], row["length"] + HEAD + TAIL), one)[0]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([row["id"]], pa.int64()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
+            (ids,), (no_id,) = open_frames(ranges.read(row["path"] + ".records", row["offset"], row["length"] + HEAD + TAIL), one)
+            yield pa.RecordBatch.from_pydict({"id": pa.array([None if no_id else row["id"]], pa.int64()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
 
 
 def read_shuffled(files: DataFrame, seed: int, partitions: int | None = None) -> DataFrame:

@@ -69,7 +69,19 @@ def test_odd_rows(spark):
     assert got == sorted([(None, 4, 3), (2, 0, 0), (2, 4, 3), (2, 4, 3)], key=str)
     assert contamination(frame(spark, [], partitions=1), benchmark).collect() == []
     assert all(not r.contaminated for r in contamination(frame(spark, rows), spark.createDataFrame([], ITEMS)).collect())
-    assert len(drop_contaminated(frame(spark, rows), benchmark).collect()) == 1 + 0  # the row without id stays unjudged
+    assert [r.text for r in drop_contaminated(frame(spark, rows), benchmark).collect()] == [None]
+    clash = spark.createDataFrame([(1, "x y z", 3, 4), (1, "so a b c", 3, 4), (None, "so a b c", 3, 4), (None, "fine", 3, 4)], "doc_id long, text string, __bad long, id long")
+    kept = drop_contaminated(clash, benchmark)  # rows of one id are judged each by its own text
+    assert kept.columns == clash.columns and sorted(r.text for r in kept.collect()) == ["fine", "x y z"]
+
+
+def test_very_long_texts(spark):
+    """A text over several blocks' size, and one whose words are all the same."""
+    filler = " ".join(f"f{i % 977}" for i in range(1_200_000))
+    phrase = " ".join(f"k{i}" for i in range(12))
+    rows = [(1, filler + " " + phrase + " " + filler, "e", "s"), (2, "same " * 300_000, "e", "s"), (3, phrase, "e", "s")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in contamination(frame(spark, rows), spark.createDataFrame([(5, phrase), (6, "same " * 10)], ITEMS)).collect()}
+    assert got == {1: (2_400_012, 12, 1), 2: (300_000, 300_000, 1), 3: (12, 12, 1)}
 
 
 def test_proximity(spark):

@@ -54,13 +54,15 @@ def test_files_hold_every_document_in_order(spark):
             with pytest.raises(ValueError):
                 open_frames(bytes(raw), index)
             raw[spot] ^= 1
-        assert len(open_frames(bytes(raw), index)) == f.records
+        assert len(open_frames(bytes(raw), index)[0]) == f.records
 
 
 def test_repeats_nulls_and_empty_table(spark):
-    rows = [(7, "b", "x", 1), (7, "a", "x", 1), (7, "b", "x", 1), (2, None, "x", 1)]
-    got = read_records(write_records(spark.createDataFrame(rows, "doc_id long, text string, path string, part int"), FILE)).orderBy("start").collect()
-    assert [(r.id, r.start, r.n_tokens) for r in got] == [(2, 0, 1), (7, 1, 2), (7, 3, 2), (7, 5, 2)]
+    least = -(1 << 63)
+    rows = [(7, "b", "x", 1), (7, "a", "x", 1), (7, "b", "x", 1), (2, None, "x", 1), (None, "b", "x", 1), (None, None, "x", 1), (least, "a", "x", 1)]
+    files = write_records(spark.createDataFrame(rows, "doc_id long, text string, path string, part int"), FILE)
+    got = read_records(files).orderBy("start").collect()
+    assert [(r.id, r.start) for r in got] == [(least, 0), (2, 2), (7, 3), (7, 5), (7, 7), (None, got[5].start), (None, got[6].start)]
+    assert [r.n_tokens for r in got[:5]] == [2, 1, 2, 2, 2] and sorted(r.n_tokens for r in got[5:]) == [1, 2] and got[5].start == 9
+    assert sorted(str(r.id) for r in read_shuffled(files, seed=3).collect()) == sorted(str(r[0]) for r in rows)
     assert read_records(write_records(frame(spark, [], partitions=1), FILE)).collect() == []
-    with pytest.raises(Exception, match="record without id"):
-        write_records(spark.createDataFrame([(None, "b")], "doc_id long, text string"), FILE)
