@@ -276,7 +276,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         pairs = PairTable(pieces)
         self.pieces = pieces
-        self.memo = PieceMemo(lambda data, starts, ends: segment(pieces, pairs, data, starts, ends), slots=1 << 21)
+        self.memo = PieceMemo(lambda data, starts, ends: segment(pieces, pairs, data, starts, ends), slots=1 << 20)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after the other, and the n + 1 bounds of the rows."""

@@ -6,6 +6,7 @@ a polynomial over a random table of its bytes, taken from one prefix sum over th
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a finished task's arrays have left in the allocators to the system: a worker that waits for the next task holds it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
