@@ -1,6 +1,6 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, in numpy, on the whole corpus.
 
-Symbols are the ``FREQUENT`` (768) commonest training tokens and ``CLASSES`` classes of the others (by their last two bytes). The
+Symbols are the ``FREQUENT`` (2048) commonest training tokens and ``CLASSES`` classes of the others (by their last two bytes). The
 model predicts the next symbol from the two before: the sum of their vectors, each weighted by its position, times the
 candidate's vector, plus its bias. Inside a class a token has its share of the class's training counts, with 0.1 added to
 each known token's count and 0.1 for all unknown ones, so the probabilities of a context sum to one.
@@ -12,6 +12,7 @@ the score of a candidate is a sum over the two context words, all normalisers ar
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .quality import fold_of
 from .words import Words, blocks, mix, store
 
-FREQUENT, CLASSES = 768, 256
+FREQUENT, CLASSES = 2048, 256
 #: Counts of so many tokens travel to every task; those of the rest are joined.
 HEAD_TOKENS = 1 << 16
 SIZE, NOISE, BATCH, EPOCHS, RATE = 16, 64, 2048, 2, 0.3
@@ -153,12 +154,15 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What each (context word, candidate) adds for the word before and the one before that, the biases, and the log normaliser of each context."""
-        r, q, c, b = (self.arrays[k].astype(np.float64) for k in self.names)
+        r, q, c, b = (self.arrays[k] for k in self.names)
         near, far = (r * c[0]) @ q.T, (r * c[1]) @ q.T
         top_near, top_far, top_b = near.max(1), far.max(1), b.max()
-        total = (np.exp(near - top_near[:, None]) * np.exp(b - top_b)) @ np.exp(far - top_far[:, None]).T
-        norm = np.log(total) + top_near[:, None] + top_far[None, :] + top_b
-        return near.astype(np.float32), far.astype(np.float32), b.astype(np.float32), norm.astype(np.float32)
+        by_near, by_far = np.exp(near - top_near[:, None]) * np.exp(b - top_b), np.exp(far - top_far[:, None])
+        norm = np.empty((len(r), len(r)), np.float32)
+        for a in range(0, len(r), 256):  # sums of positive terms: rows of the product at double precision
+            total = by_near[a:a + 256].astype(np.float64) @ by_far.T.astype(np.float64)
+            norm[a:a + 256] = np.log(total) + top_near[a:a + 256, None] + top_far[None, :] + top_b
+        return near, far, b, norm
 
 
 def _scatter(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: np.float32) -> None:
@@ -202,31 +206,54 @@ def _train(vocabulary: Vocabulary, start: np.ndarray, rate: float, seed: int):
                 model.step(before[part], before2[part], symbols[part], noise, log_noise, rate / np.sqrt(1 + steps / 200))
             seen += len(symbols)
         if seen:
-            flat = model.pack()
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(flat), dtype=np.int32)), "weighted": pa.array(flat * seen), "weight": pa.array(np.full(len(flat), float(seen)))})
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "weight": pa.array([float(seen)]), "weighted": pa.array([(model.pack() * seen).tobytes()], pa.binary())})
     return run
 
 
+#: Models of tasks are added up in groups of tasks, then of groups, so that the last step sees so many sums at most.
+SUMMED_IN = (1024, 32)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of some models."""
+    total = np.zeros(len(table.column("weighted")[0].as_py()) // 8)
+    for flat in table.column("weighted"):
+        total += np.frombuffer(flat.as_buffer(), np.float64)
+    return pa.table({"slot": pa.array([table.column("slot")[0].as_py()], pa.int64()), "weight": pa.array([float(np.sum(table.column("weight").to_numpy()))]), "weighted": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, words: Vocabulary, epochs: int = EPOCHS, rate: float = RATE) -> LogBilinear:
-    """Train on all of ``docs`` (``text``); the model has a fixed number of cells, summed by Spark and brought to the driver once an epoch."""
+    """Train on all of ``docs`` (``text``): a task's model is one row, rows are added up in Spark, and the driver sees at most 32 sums an epoch."""
     model = LogBilinear.start(words.symbol_counts)
     for epoch in range(epochs):
-        cells = docs.select("text").mapInArrow(_train(words, model.pack(), rate / (1 + 2 * epoch), epoch), "cell int, weighted double, weight double")
-        mean = cells.groupBy("cell").agg((F.sum("weighted") / F.sum("weight")).alias("value")).collect()
-        if not mean:
+        parts = docs.select("text").mapInArrow(_train(words, model.pack(), rate / (1 + 2 * epoch), epoch), "slot long, weight double, weighted binary")
+        for width in SUMMED_IN:
+            parts = parts.withColumn("slot", F.col("slot") % width).groupBy("slot").applyInArrow(_added, "slot long, weight double, weighted binary")
+        sums = parts.orderBy("slot").collect()
+        if not sums:
             break
-        flat = np.zeros(len(model.pack()))
-        flat[[r.cell for r in mean]] = [r.value for r in mean]
-        model = LogBilinear.unpack(flat)
+        model = LogBilinear.unpack(sum(np.frombuffer(r.weighted, np.float64) for r in sums) / sum(r.weight for r in sums))
     return model
 
 
 _SCORED = "row long, id long, n_tokens long, head_known long, head_base double, model double, rare_keys array<long>, rare_n array<int>"
 
 
+_known_tables: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _tables_of(model: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One set of tables for all tasks of a worker that score with the same model."""
+    key = hashlib.sha256(model.pack().tobytes()).digest()
+    if key not in _known_tables:
+        _known_tables.clear()
+        _known_tables[key] = model.tables()
+    return _known_tables[key]
+
+
 def _score(words: Vocabulary, model: LogBilinear):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far, bias, norm = model.tables()
+        near, far, bias, norm = _tables_of(model)
         end = words.end
         log_counts = np.append(np.log10(words.counts + 0.1), 0.0)
         log_totals = np.log10(words.class_totals)
