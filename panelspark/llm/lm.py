@@ -143,7 +143,8 @@ class LogBilinear:
         own = np.einsum("ij,ij->i", context, q[target]) + b[target] - (k + log_noise[target])
         other = context @ q[noise].T + (b[noise] - (k + log_noise[noise]))
         from_own = 1 / (1 + np.exp(np.clip(own, -30, 30)))            # 1 - P(data)
-        from_other = -1 / (1 + np.exp(-np.clip(other, -30, 30)))      # - P(data)
+        with np.errstate(over="ignore"):
+            from_other = -1 / (1 + np.exp(-other))                    # - P(data)
         by_context = from_own[:, None] * q[target] + from_other @ q[noise]
         scale = np.float32(rate)
         _scatter(q, np.concatenate([target, noise]), np.concatenate([from_own[:, None] * context, from_other.T @ context]), scale)
@@ -167,6 +168,7 @@ class LogBilinear:
 
 def _scatter(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: np.float32) -> None:
     """Move each row by the sum of its gradients over the root of their number, which keeps frequent symbols stable."""
+    rows = rows.astype(np.uint16)  # symbols are few; sixteen bits are sorted by their digits
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     at = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
