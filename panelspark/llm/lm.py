@@ -1,6 +1,6 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, in numpy, on the whole corpus.
 
-Symbols are the ``FREQUENT`` (2048) commonest training tokens and ``CLASSES`` classes of the others (by their last two bytes). The
+Symbols are the ``FREQUENT`` (1024) commonest training tokens and ``CLASSES`` classes of the others (by their last two bytes). The
 model predicts the next symbol from the two before: the sum of their vectors, each weighted by its position, times the
 candidate's vector, plus its bias. Inside a class a token has its share of the class's training counts, with 0.1 added to
 each known token's count and 0.1 for all unknown ones, so the probabilities of a context sum to one.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .quality import fold_of
 from .words import Words, blocks, mix, store
 
-FREQUENT, CLASSES = 2048, 256
+FREQUENT, CLASSES = 1024, 256
 #: Counts of so many tokens travel to every task; those of the rest are joined.
 HEAD_TOKENS = 1 << 16
 SIZE, NOISE, BATCH, EPOCHS, RATE = 16, 64, 2048, 2, 0.3
@@ -47,7 +47,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, limit=8 << 20):
+    for block in blocks(batches):
         keys, classes, _, _ = tokens_of(block.column("text"))
         distinct, first, n = np.unique(keys, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_pydict({"key": pa.array(distinct.view(np.int64)), "class": pa.array(classes[first].astype(np.int32)), "n": pa.array(n)})
