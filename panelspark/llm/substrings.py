@@ -1,10 +1,10 @@
-"""Repeated passages by prefix-partitioned suffix trees over words.
+"""Repeated passages from suffixes partitioned by word prefixes of variable length.
 
-The suffixes of all documents are split by word prefixes of variable length: a prefix whose suffixes would not fit in
-memory is extended by a word. Each memory-sized group of prefixes is one task's work; its subtrees are cut at the depth
-of a window, where every node that suffixes of two documents reach is a repeat. Adjacent repeats of a document join to its
-maximal repeats. Words are 64-bit hashes, a prefix is known by leading bits of its words' hashes, a node at window depth
-by the 64-bit hash of the window.
+The suffixes of all documents are split by word prefixes: a prefix whose suffixes would not fit in memory is extended by a
+word. Each memory-sized group of prefixes is one table in memory. No tree is built inside it: of the suffix tree only the nodes
+at window depth are held, as sorted 64-bit hashes of windows, and every one that suffixes of two documents reach is a repeat.
+Adjacent repeats of a document join to its maximal repeats. Words are 64-bit hashes, a prefix is known by leading bits of
+its words' hashes.
 """
 
 from __future__ import annotations
@@ -22,17 +22,25 @@ from .words import Words, blocks, grams, shuffle_partitions, windows
 WINDOW = 13
 #: Suffixes that one group may hold (8 bytes each and as much again for their documents).
 GROUP_SUFFIXES = 1 << 20
-#: With more than GROUP_SUFFIXES times this many suffixes groups grow in proportion, so the plan stays bounded.
+#: Groups of prefixes that the plan names at most. Beyond GROUP_SUFFIXES times this many suffixes a group of prefixes is dealt
+#: to several tables by the hash of the window, so that these keep their size and the plan stays bounded.
 MOST_GROUPS = 4096
+#: Bytes of text that meet their repeats in one table.
+BUCKET_BYTES = 128 << 20
 BLOCK = 4 << 20
+_BYTES = -1
 _FIRST_BITS, _NEXT_BITS = 12, 8
 
 
 class Plan:
     """The tree of prefixes: for each depth a table from (node, code of the next word) to a group, or to -1 - a deeper node."""
 
-    def __init__(self, levels: list[np.ndarray], groups: int):
-        self.levels, self.groups = levels, groups
+    def __init__(self, levels: list[np.ndarray], groups: int, splits: int = 1, text_bytes: int = 0):
+        self.levels, self.groups, self.splits, self.text_bytes = levels, groups, splits, text_bytes
+
+    def part(self, groups: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The table of a leaf: its group, and where groups are dealt to several tables, a share of the windows' hashes."""
+        return groups.astype(np.int64) * self.splits + (node % np.uint64(self.splits)).astype(np.int64)
 
     def place(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """The group (or -1 - node, where the plan ends) of the suffixes that start at ``starts``."""
@@ -56,6 +64,8 @@ def _counts(plan: Plan, size: int):
         depth, total = len(plan.levels), {}
         for block in blocks(batches):
             words = Words(block.column("text"))
+            if not depth:
+                total[_BYTES] = total.get(_BYTES, 0) + len(words.data)
             if not len(words.doc):
                 continue
             hashes, starts = words.hashes(), windows(words, size)
@@ -70,22 +80,25 @@ def _counts(plan: Plan, size: int):
     return run
 
 
-def prefix_plan(docs: DataFrame, size: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> Plan:
+def prefix_plan(docs: DataFrame, size: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES, most_groups: int = MOST_GROUPS) -> Plan:
     """Count the suffixes below each prefix, one pass for each prefix length, and extend the prefixes that are too large.
 
     What comes to the driver are counts of prefix cells: 4096 for one word, 256 for each prefix that is extended, of which
-    there are ``MOST_GROUPS`` at most at every depth. A prefix as deep as a window is one node and not extended.
+    there are ``most_groups`` at most at every depth. A prefix as deep as a window is one node and not extended. The first
+    pass also counts the bytes of all texts.
     """
     levels: list[np.ndarray] = []
     leaves: list[tuple[tuple, int, int, int]] = []
     paths: list[tuple] = [()]
-    most = group_suffixes
+    most, text_bytes = group_suffixes, 0
     while paths and len(levels) < size:
         depth = len(levels)
         found = docs.select("text").mapInArrow(_counts(Plan(levels, 0), size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
         table = np.zeros((1 << _FIRST_BITS) if depth == 0 else len(paths) << _NEXT_BITS, np.int64)
         if depth == 0:
-            most = max(group_suffixes, -(-sum(r.n for r in found) // MOST_GROUPS))
+            text_bytes = sum(r.n for r in found if r.cell == _BYTES)
+            found = [r for r in found if r.cell != _BYTES]
+            most = max(group_suffixes, -(-sum(r.n for r in found) // most_groups))
         deeper: list[tuple] = []
         for r in sorted(found):
             path = (*paths[r.cell >> _NEXT_BITS if depth else 0], r.cell)
@@ -102,7 +115,7 @@ def prefix_plan(docs: DataFrame, size: int = WINDOW, group_suffixes: int = GROUP
             group, held = group + 1, 0
         levels[depth][c] = group
         held += n
-    return Plan(levels, group + 1)
+    return Plan(levels, group + 1, -(-most // group_suffixes), text_bytes)
 
 
 def _first_of(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +184,9 @@ def _suffixes(plan: Plan, size: int):
             groups = place[by_node][np.searchsorted(node[by_node], keys)]
             del node, ids, place, by_node
             first = docs == least
-            for part, where in ((_pack(groups[first], docs[first], keys[first], False), first), (_pack(docs[~first] % plan.groups, docs[~first], keys[~first], True), ~first)):
+            parts = plan.part(groups, keys)
+            parts[~first] = docs[~first] % (plan.groups * plan.splits)
+            for part, where in ((_pack(parts[first], docs[first], keys[first], False), first), (_pack(parts[~first], docs[~first], keys[~first], True), ~first)):
                 if where.any():
                     yield pa.RecordBatch.from_pydict(part, _PACKED)
     return run
@@ -196,11 +211,10 @@ def _subtrees(buckets: int):
     return run
 
 
-def repeats(docs: DataFrame, buckets: int, size: int = WINDOW, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def repeats(docs: DataFrame, buckets: int, plan: Plan, size: int = WINDOW) -> DataFrame:
     """``bucket, docs, counts, keys``: by bucket of documents, packed hashes of the windows whose words also start in a document
     with a smaller id. ``docs`` has ``id`` (not null) and ``text``.
     """
-    plan = prefix_plan(docs, size, group_suffixes)
     leaves = docs.mapInArrow(_suffixes(plan, size), _PACKED_DDL)
     return leaves.groupBy("part").applyInArrow(_subtrees(buckets), "bucket long, docs binary, counts binary, keys binary")
 
@@ -268,7 +282,8 @@ def _strip(size: int, detail: bool):
 _DETAIL = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("spans", _SPANS)]
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", detail: bool = True, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", detail: bool = True, group_suffixes: int = GROUP_SUFFIXES,
+                   most_groups: int = MOST_GROUPS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` and, with ``detail``, ``kept_text, spans`` of every row.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A window is ``size`` consecutive words of one document. Every word covered by a
@@ -276,16 +291,19 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_column: str = "doc_id
     the removed maximal runs (word number, length), ``kept_text`` the kept words joined by one space.
 
     What travels: one leaf (8 bytes and its document) for each distinct window of a block of whole documents, by group; the
-    found windows and the texts, by bucket of documents (as many as shuffle partitions). A passage that very many documents share costs one leaf for each block, not for
-    each document, so no group grows with the number of copies in a block.
+    found windows and the texts, by bucket of documents: as many as shuffle partitions, and more where a bucket would hold over
+    ``bucket_bytes`` of text. A passage that very many documents share costs one leaf for each block, not for each document, so no
+    group grows with the number of copies in a block. Groups hold ``group_suffixes`` suffixes or one node, whatever the input.
 
     Null and blank texts: no words, nothing removed. Shorter documents than a window keep all. Rows without an id are neither
-    judged nor a source. Rows that repeat an id are one document: a row's windows are removed if a smaller id has them.
+    judged nor a source and are spread over all buckets. Rows that repeat an id are one document: a row's windows are removed if a smaller id has them.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    buckets = shuffle_partitions(docs.sparkSession)
-    found = repeats(docs.where("id is not null"), buckets, size, group_suffixes)
+    known = docs.where("id is not null")
+    plan = prefix_plan(known, size, group_suffixes, most_groups)
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-plan.text_bytes // bucket_bytes))
+    found = repeats(known, buckets, plan, size)
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<first_word: long, n_words: long>>" * detail
-    texts = docs.withColumn("bucket", bucket_of(F.col("id"), buckets))
+    texts = docs.withColumn("bucket", F.coalesce(bucket_of(F.col("id"), buckets), F.pmod(F.monotonically_increasing_id(), F.lit(buckets))))
     stripped = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_strip(size, detail), schema)
     return stripped.withColumnRenamed("id", "doc_id")

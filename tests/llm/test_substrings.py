@@ -54,6 +54,23 @@ def test_removed_words_equal_brute_force(spark, make, group):
         assert sum(s.n_words for s in r.spans) == r.n_removed and all(s.n_words >= 13 for s in r.spans)
 
 
+@pytest.mark.parametrize("make", [documents, hot_rows])
+def test_bounded_plan_and_buckets_equal_brute_force(spark, make):
+    rows = make()
+    docs = frame(spark, rows, partitions=5)
+    plan = prefix_plan(docs.selectExpr("doc_id as id", "text"), 13, 64, 4)
+    assert plan.splits > 1 and plan.groups <= 8
+    assert plan.text_bytes == sum(len((t or "").encode()) for _, t, *_ in rows)
+    got = remove_repeats(docs, group_suffixes=64, most_groups=4, bucket_bytes=500).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == brute_force(rows)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"a{i} b", "en", "s") for i in range(200)] + [(1, "a b", "en", "s")]
+    got = remove_repeats(frame(spark, rows, partitions=3), detail=False).collect()
+    assert len(got) == 201 and all(r.n_removed == 0 and r.n_words == 2 for r in got)
+
+
 def test_plan_splits_what_is_too_large(spark):
     rows = [(i, " ".join(["the of"] * 30 + [f"w{i}"] * 3), "en", "s") for i in range(50)]
     docs = frame(spark, rows).selectExpr("doc_id as id", "text")
