@@ -43,6 +43,15 @@ def test_ties_nulls_and_repeats(spark):
                   ("org", "/a", "block"), ("x.net", "", "block"), ("é.Éx.org", "/ü/l", "block")])
 
 
+def test_hot_urls_keep_all_rows(spark):
+    urls = [None if i % 3 == 0 else "http://a.org/x" if i % 3 == 1 else f"http://h{i}.com/fr/{i}" for i in range(6000)]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls)], "page_id long, url string, salt int, row int")
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    got = filter_urls(pages, rules).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: judge(u, list(URL_RULES)) for i, u in enumerate(urls)}
+    assert len(got) == 6000 and all((r.salt, r.row) == (1, 2) for r in got)
+
+
 def test_no_rules_and_no_pages(spark):
     check(spark, [])
     empty = spark.createDataFrame([], "page_id long, url string")
