@@ -6,7 +6,7 @@ import hashlib
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .words import blocks, store, text_bytes
 ROW_BYTES = 192
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Digests that hold more than one in so many rows are hot; there are fewer than this.
+MOST_HOT = 1024
 _PLACES = "id long, n_bytes long, media_sha256 string, shard string, offset long, length long"
 
 
@@ -113,18 +115,35 @@ def _write(folder: str, level: int):
     return run
 
 
+def beside(rows: DataFrame, facts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the facts of their digests; ``facts`` makes one row for each ``media_sha256`` of the rows it is given.
+
+    Rows of a digest that holds more than a share of 1 / MOST_HOT of all rows (empty texts, mass copies) meet their facts by broadcast, of
+    fewer than MOST_HOT rows of fixed size; only the others are dealt by digest, so no task gets one digest's rows. ``rows`` is
+    a stored table.
+    """
+    counts = rows.groupBy("media_sha256").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(store(counts.where(F.col("n") * MOST_HOT > rows.count()).select("media_sha256"), "hot-digests"))
+    few, many = rows.join(hot, "media_sha256", "left_anti"), rows.join(hot, "media_sha256", "left_semi")
+    return few.join(facts(few), "media_sha256").unionByName(many.join(F.broadcast(facts(many)), "media_sha256"))
+
+
 def write_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", folder: str | None = None, level: int = 6) -> DataFrame:
     """Store every text as a PNG member of a tar shard; return ``id, n_bytes, media_sha256, shard, offset, length``, one row per row.
 
     Each task streams its rows into one tar of its own under ``folder`` (the shared folder if not given), so no payload is
     shuffled and a repeated task writes a fresh file. Within a shard a payload is stored once; across shards the index
     names, for each digest, the smallest (shard, offset), and every row points there; copies in other shards are
-    members that nothing points to, at most one for each shard and payload. Null texts are empty (192 spaces).
+    members that nothing points to, at most one for each shard and payload. Null texts are empty (192 spaces); repeated rows and
+    ids are rows of their own with equal places; a very long text is one member. A digest that very many rows share is not dealt to
+    one task (``beside``).
     """
     folder = folder or scratch_dir(docs.sparkSession, "media")
     rows = store(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(_write(folder, level), _PLACES.replace("id long", f"id {docs.schema[id_column].dataType.simpleString()}")), "media-rows")
-    index = rows.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    return rows.select("id", "n_bytes", "media_sha256").join(index, "media_sha256").select("id", "n_bytes", "media_sha256", "place.*")
+    def index(part: DataFrame) -> DataFrame:
+        return part.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
+
+    return beside(rows, index).select("id", "n_bytes", "media_sha256", "place.*")
 
 
 def _read(columns: dict[str, pa.DataType], whole: bool):
@@ -164,6 +183,11 @@ def media_features(places: DataFrame) -> DataFrame:
     return _contents(places).mapInArrow(_read(columns, True), "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
+def media_facts(places: DataFrame) -> DataFrame:
+    """The stored table ``places`` with the columns of ``media_features`` and ``media_metadata``."""
+    return beside(places, lambda part: media_features(part).join(media_metadata(part), "media_sha256"))
+
+
 def media_payloads(places: DataFrame) -> DataFrame:
     """``media_sha256, payload`` (binary), read back from the shards."""
     return _contents(places).mapInArrow(_read({"media_sha256": pa.string(), "payload": pa.binary()}, True), "media_sha256 string, payload binary")

@@ -60,12 +60,11 @@ FROM named n LEFT JOIN fits f ON n.host = f.host AND n.path = f.path AND f.place
 
 @register
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import media_features, media_metadata, write_media
+    from .media import media_facts, write_media
     from .words import store
 
     places = store(write_media(_table(spark, sf_dir, "documents")), "media-places")
-    facts = media_features(places).join(media_metadata(places), "media_sha256")
-    return places.join(facts, "media_sha256").selectExpr(
+    return media_facts(places).selectExpr(
         "id AS doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "length AS media_bytes", "media_sha256", "feature",
         "width", "height", "shard", "offset")
 

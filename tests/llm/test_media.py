@@ -6,7 +6,7 @@ import tarfile
 import zlib
 
 from panelspark.llm.files import resolve
-from panelspark.llm.media import HEADER_BYTES, from_png, media_features, media_metadata, media_payloads, png_header, to_png, write_media
+from panelspark.llm.media import HEADER_BYTES, from_png, media_facts, media_features, media_metadata, media_payloads, png_header, to_png, write_media
 from panelspark.llm.words import store
 
 from .rows import documents, frame
@@ -51,7 +51,17 @@ def test_payloads_come_back(spark):
                 assert hashlib.sha256(tar.extractfile(member).read()).hexdigest() + ".png" == member.name
 
 
+def test_hot_digests_keep_all_rows(spark):
+    rows = [(i, "" if i % 3 else f"text {i}", "en", "s") for i in range(1500)] + [(7, None, "en", "s"), (1, "x" * 100000, "en", "s")]
+    places = store(write_media(frame(spark, rows, partitions=4)), "places")
+    got = media_facts(places).collect()
+    want = [(i, len((t or "").encode()), hashlib.sha256(padded(t)).hexdigest(), len(padded(t)) // 192) for i, t, *_ in rows]
+    assert sorted((r.id, r.n_bytes, r.payload_sha256, r.height) for r in got) == sorted(want)
+    assert len({(r.media_sha256, r.shard, r.offset) for r in got}) == len({r.media_sha256 for r in got})
+
+
 def test_empty_table_and_null_id(spark):
     assert write_media(frame(spark, [], partitions=1)).collect() == []
+    assert media_facts(store(write_media(frame(spark, [], partitions=1)), "places")).collect() == []
     one = write_media(spark.createDataFrame([(None, None, "x", 1)], "doc_id long, text string, shard string, offset int")).collect()
     assert [(r.id, r.n_bytes) for r in one] == [(None, 0)]
