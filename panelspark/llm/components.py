@@ -28,16 +28,15 @@ def _settled(e: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``id, component`` of every id in ``links`` (columns a, b; direction and repeats don't matter).
 
     The component is the smallest id reachable. A round is three aggregations and two joins, written to the shared folder; the
-    rounds grow with the logarithm of the longest path. Links with a null end are ignored.
+    rounds grow with the logarithm of the longest path, and every round but the last brings ends nearer to their smallest id, so they
+    end without a limit. Links with a null end are ignored.
     """
     edges = store(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
-        if _settled(edges):
-            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    while not _settled(edges):
         edges = store(_small_star(_large_star(edges)), "stars")
-    raise RuntimeError("components: not settled")
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

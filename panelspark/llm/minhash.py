@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     if not across.isEmpty():
         labels = components(links.union(_confirmed(across, docs, k, percent)))
 
-    nodes = classes.select("set_a", "set_b", "n_shingles", "node")
+    # classes meet their components before rows do: rows are dealt once, and copies of one set beyond a task's share are split (AQE)
+    nodes = classes.select("set_a", "set_b", "n_shingles", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
     result = signed_rows.select("id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b", "n_shingles"], "left")
-    result = result.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return result.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
