@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -256,21 +258,43 @@ def score_patterns(docs: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -
 Spans = list[tuple[str, int, int, bool]]
 
 
+class _Taken:
+    """The stretches of a text that base spans hold, by start with the furthest end so far, and disjoint ones added later."""
+
+    def __init__(self, base: list[tuple[str, int, int]]) -> None:
+        spans = sorted((a, b) for _, a, b in base)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+        self.added: list[tuple[int, int]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether the stretch meets no base span and none added; a search in each of the two lists."""
+        before = bisect_left(self.starts, end)
+        if before and self.ends[before - 1] > start:
+            return False
+        before = bisect_left(self.added, (end, end))
+        return not before or self.added[before - 1][1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.added, (start, end))
+
+
 def _candidates(text: str, ends: list[tuple[str, int]], base: list[tuple[str, int, int]]) -> list[dict]:
     """What follows the pairs of words and overlaps no base span."""
-    starts, out = {(k, a): b for k, a, b in base}, []
+    starts, taken, out = {(k, a): b for k, a, b in base}, _Taken(base), []
     for kind, end in ends:
         what = _follower(kind, text, end, starts)
-        if what and (kind == "email" or len(_digits(text[what[0]:what[1]])) >= 5) and all(what[1] <= a or b <= what[0] for _, a, b in base):
+        if what and (kind == "email" or len(_digits(text[what[0]:what[1]])) >= 5) and taken.free(what[0], what[1]):
             out.append({"kind": kind, "pattern": _context(text, end).lower(), "start": what[0], "end": what[1]})
     return out
 
 
 def _settled(base: list[tuple[str, int, int]], more: list[dict]) -> Spans:
     """Base spans and, by patterns (best first), those of ``more`` that overlap no span yet."""
-    own = [(k, a, b, True) for k, a, b in base]
+    own, taken = [(k, a, b, True) for k, a, b in base], _Taken(base)
     for m in sorted(more, key=lambda m: (-m["confidence"], m["kind"], m["pattern"], m["start"])):
-        if all(m["end"] <= a or b <= m["start"] for _, a, b, _ in own):
+        if taken.free(m["start"], m["end"]):
+            taken.add(m["start"], m["end"])
             own.append((m["kind"], m["start"], m["end"], False))
     return sorted(own, key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from panelspark.llm.pii import KINDS, _bit, _context, _follower, _pairs, base_spans, find_pii, learn_patterns, luhn, mask_pii, pii_report
+from panelspark.llm.pii import KINDS, _bit, _context, _follower, _pairs, _settled, _Taken, base_spans, find_pii, learn_patterns, luhn, mask_pii, pii_report
 
 from .rows import ODD, documents, frame
 
@@ -129,3 +129,30 @@ def test_mask_keeps_columns(spark):
     assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "[EMAIL] x", 9, 1.5, "r")] * 2 + [(None, "", 0, None, None)]))
     assert pii_report(frame(spark, [], partitions=1)).collect() == []
+
+
+def test_added_spans_overlap_no_other():
+    """Against comparing every candidate with every span."""
+    rng = random.Random(8)
+    for _ in range(400):
+        stretch = lambda: (a := rng.randrange(60), a + rng.randint(1, 9))
+        base = [(rng.choice(KINDS), *stretch()) for _ in range(rng.randint(0, 5))]
+        more = [{"kind": rng.choice(KINDS), "pattern": rng.choice("ab"), "start": a, "end": b, "confidence": rng.choice((0.6, 0.9))}
+                for a, b in (stretch() for _ in range(rng.randint(0, 12)))]
+        apart = lambda a, b, spans: all(b <= c or d <= a for c, d in spans)
+        taken = _Taken(base)
+        for a, b in (stretch() for _ in range(10)):
+            assert taken.free(a, b) == apart(a, b, [s[1:] for s in base])
+        own = [s[1:] for s in base]
+        for m in sorted(more, key=lambda m: (-m["confidence"], m["kind"], m["pattern"], m["start"])):
+            if apart(m["start"], m["end"], own):
+                own.append((m["start"], m["end"]))
+        assert sorted(s[1:3] for s in _settled(base, more)) == sorted(own)
+
+
+def test_one_long_text_full_of_contexts(spark):
+    """Tens of thousands of seeds and unseen forms behind one context in one text: every one is found."""
+    seeds = " ".join(f"so call me: +1 555 {i:07} or" for i in range(24_000))
+    unseen = " ".join(f"so call me: (0555) {i:07} or" for i in range(6_000))
+    found = {r.doc_id: (len(r.spans), sum(s.base for s in r.spans)) for r in find_pii(frame(spark, [(1, seeds + " " + unseen, "en", "s"), (2, None, "en", "s")])).collect()}
+    assert found == {1: (30_000, 24_000), 2: (0, 0)}
