@@ -176,14 +176,14 @@ def _(spark, sf):
     return ql.prediction_distribution(scored(spark, sf), "s1", (0.01, 0.1, 0.9, 0.99), None)
 
 
-ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')}) WHERE year(date) >= 1996
-  UNION ALL SELECT 'alt', * FROM ({ic_sql('s2', 'y3')}) WHERE year(date) >= 1996)"""
+ARMS = f"""arms AS (SELECT 'base' AS arm, * FROM ({ic_sql('s1', 'y3')})
+  UNION ALL SELECT 'alt', * FROM ({ic_sql('s2', 'y3')}))"""
 
 
 @query("pooled_fold_results", "arm mean~ t~ n#", summary_sql("arms", "ic", 2, by="arm"), more(SCORED, ARMS))
 def _(spark, sf):
     d = scored(spark, sf).withColumn("fold", F.year("date"))
-    pooled = ql.pooled_folds(d, {"base": "s1", "alt": "s2"}, ["date", "entity", "fold", "y3"], first_year=1996)
+    pooled = ql.pooled_folds(d, {"base": "s1", "alt": "s2"}, ["date", "entity", "fold", "y3"])
     ics = ev.rank_ic(pooled, "pred", "y3", by=("arm", "date"), bound=names_bound(spark, sf))
     return ev.series_summary(ics, "ic", 2, by=("arm",))
 

@@ -386,3 +386,13 @@ def test_sweep_equals_all_pairs(spark):
     got = pit.membership_flag(df, iv).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str((*r, hit(r))) for r in rows)
     assert sorted(str(tuple(r)) for r in pit.in_spell(df, iv).collect()) == sorted(str(r) for r in rows if hit(r))
+
+
+def test_pooled_folds(spark):
+    """Every arm's predictions of every fold; with a first year, earlier folds are no part of the pool."""
+    from panelspark.operators.quality import pooled_folds
+
+    rows = spark.createDataFrame([("1994-01-03", 1.0, 2.0), ("1996-05-06", 3.0, None)], "date string, a double, b double").withColumn("date", F.to_date("date"))
+    got = lambda **k: sorted(((r.date.year, r.arm, r.pred) for r in pooled_folds(rows, {"x": "a", "y": "b"}, ["date"], **k).collect()), key=str)
+    assert got() == [(1994, "x", 1.0), (1994, "y", 2.0), (1996, "x", 3.0), (1996, "y", None)]
+    assert got(first_year=1996) == [(1996, "x", 3.0), (1996, "y", None)]
