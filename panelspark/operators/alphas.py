@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import div, zero_to_null
 from . import rolling as ts
+from .rolled import roll, rolled
 from .tradingcal import EARNINGS_GATES, STRESS_GATES, event_stress, event_weight
 
 #: Tuned windows and winsor level of the rank-25 core.
@@ -77,11 +78,14 @@ def reversal_core(xs, df: DataFrame, out: str, stoch_w: int = 20, zs: int = 10,
         "_vr": ts.std("ret1", 20) / zero_to_null("ret20")})
     d = xs.winsor(d, "_vr", "_vw", 0.02)
     d = xs.zscore(d, "_rv", "_rz")
-    d = d.withColumns({"_rd": ts.delta("_rv", 3), "_vm": ts.median("_vw", 3)})
-    d = d.withColumn("_in", -F.col("_st") - F.col("_vm"))
-    core = -ts.zscore("_st", zs) - (
-        ((ts.median("_rz", med) - ts.mean("ret20", 20)) + ts.skew("_rd", 33)) - ts.mean("_in", 15))
-    return d.withColumn(out, core).drop("_st", "_rv", "_vr", "_vw", "_rz", "_rd", "_vm", "_in")
+    d = rolled(
+        d.withColumn("_ms", -F.col("_st")), _r3=roll("delay", "_rv", 3), _rd=roll("less", ("_rv", "_r3")), _vm=roll("median", "_vw", 3),
+        _in=roll("less", ("_ms", "_vm")), _mean=roll("mean", "_st", zs), _std=roll("std", "_st", zs), _med=roll("median", "_rz", med),
+        _mr=roll("mean", "ret20", 20), _sk=roll("skew", "_rd", 33), _mi=roll("mean", "_in", 15))
+    z = (F.col("_st") - F.col("_mean")) / zero_to_null("_std")
+    core = -z - (((F.col("_med") - F.col("_mr")) + F.col("_sk")) - F.col("_mi"))
+    return d.withColumn(out, core).drop(
+        "_st", "_rv", "_vr", "_vw", "_rz", "_rd", "_vm", "_in", "_ms", "_r3", "_mean", "_std", "_med", "_mr", "_sk", "_mi")
 
 
 def reversal_earnings_gated(xs, df: DataFrame, lo: int = 0, hi: int = 12) -> DataFrame:
@@ -100,20 +104,19 @@ def rank25_core(xs, df: DataFrame, out: str, p: dict = RANK25, rank=rank01) -> D
         "_vs": ts.std("ret1", p["w_volstd"]), "_co": div(F.col("close") - F.col("open"), "open")})
     d = d.withColumn("_ds", ts.mean("_dv", p["w_size"]))
     d = rank(xs, rank(xs, d, "_ds", "_sz"), "_vs", "_vk")
-    d = d.withColumns({
-        "_d1": ts.mean("_vk", p["w_vrmean"]), "_ss": F.col("_st") + F.col("_sz"),
-        "_s1": ts.mean("_sz", p["w_s1"]), "_md": ts.median("_co", p["w_med"])})
-    d = d.withColumns({
-        "_i1": ts.mean("_ss", p["w_in1"]), "_s2": ts.mean("_s1", p["w_s2"]), "_sk": ts.skew("_md", p["w_skew"])})
-    d = d.withColumns({"_i2": ts.mean("_i1", p["w_in2"]), "_s3": ts.mean("_s2", p["w_s3"])})
-    d = d.withColumn("_c", (-F.col("_st") / zero_to_null("_d1")) / zero_to_null("_i2"))
-    d = d.withColumns({
-        "_a": ts.zscore("_c", p["w_zs"]) - F.col("_sz"),
-        "_b": F.col("_st") + ((F.col("_sk") + (F.col("_sz") + F.col("ret5"))) + ts.min_("_s3", p["w_min"]))})
-    d = rank(xs, d.withColumn("_h", ts.mean("_a", p["w_out"])), "_b", "_br")
+    d = rolled(
+        d.withColumns({"_ss": F.col("_st") + F.col("_sz"), "_ms": -F.col("_st")}).drop("_dv", "_vs", "_ds"),
+        _d1=roll("mean", "_vk", p["w_vrmean"]), _s1=roll("mean", "_sz", p["w_s1"]), _md=roll("median", "_co", p["w_med"]),
+        _i1=roll("mean", "_ss", p["w_in1"]), _s2=roll("mean", "_s1", p["w_s2"]), _sk=roll("skew", "_md", p["w_skew"]),
+        _i2=roll("mean", "_i1", p["w_in2"]), _s3=roll("mean", "_s2", p["w_s3"]), _mn=roll("min", "_s3", p["w_min"]),
+        _q=roll("ratio", ("_ms", "_d1")), _c=roll("ratio", ("_q", "_i2")),
+        _cm=roll("mean", "_c", p["w_zs"]), _cs=roll("std", "_c", p["w_zs"]), _cd=roll("less", ("_c", "_cm")),
+        _z=roll("ratio", ("_cd", "_cs")), _a=roll("less", ("_z", "_sz")), _h=roll("mean", "_a", p["w_out"]))
+    d = d.withColumn("_b", F.col("_st") + ((F.col("_sk") + (F.col("_sz") + F.col("ret5"))) + F.col("_mn")))
+    d = rank(xs, d, "_b", "_br")
     return d.withColumn(out, F.col("_h") - F.col("_br")).drop(
-        "_st", "_dv", "_vs", "_co", "_ds", "_sz", "_vk", "_d1", "_ss", "_s1", "_md", "_i1", "_s2", "_sk", "_i2", "_s3",
-        "_c", "_a", "_b", "_h", "_br")
+        "_st", "_co", "_sz", "_vk", "_d1", "_ss", "_ms", "_s1", "_md", "_i1", "_s2", "_sk", "_i2", "_s3", "_mn",
+        "_q", "_c", "_cm", "_cs", "_cd", "_z", "_a", "_b", "_h", "_br")
 
 
 def rank25_gated(xs, df: DataFrame, p: dict = RANK25, gates=GATES_CORE) -> DataFrame:
@@ -133,10 +136,10 @@ def vol_regime_coupling(xs, df: DataFrame, gates=GATES_WIDE, vol: int = 20, corr
     """Smoothed correlation of volatility level minus surprise with returns, against the price trend."""
     d = df.withColumn("_v", ts.std("ret1", vol))
     d = d.withColumn("_x", ts.mean("_v", 20) - ts.zscore("_v", 10))
-    d = d.withColumn("_k", ts.corr("_x", "ret20", corr_w))
-    d = d.withColumn("_m", ts.max_("_k", 10)).withColumn("_n", ts.mean("_m", 20))
-    d = d.withColumn("core", ts.max_("_n", 5) - div("close", ts.mean("close", 20)))
-    return finish_alpha(xs, with_stress(d, gates), "core", 0.01, F.col("w")).drop("_v", "_x", "_k", "_m", "_n", "core")
+    d = rolled(
+        d, _k=roll("corr", ("_x", "ret20"), corr_w), _m=roll("max", "_k", 10), _n=roll("mean", "_m", 20), _top=roll("max", "_n", 5), _ma=roll("mean", "close", 20))
+    d = d.withColumn("core", F.col("_top") - div("close", "_ma"))
+    return finish_alpha(xs, with_stress(d, gates), "core", 0.01, F.col("w")).drop("_v", "_x", "_k", "_m", "_n", "_top", "_ma", "core")
 
 
 def closing_skew(xs, df: DataFrame, gates=GATES_WIDE, w: int = 1) -> DataFrame:
@@ -163,15 +166,16 @@ def ranked_closing_skew(xs, df: DataFrame, gates=GATES_CYCLE, w: int = 60) -> Da
 
 
 def residual_reversal(xs, df: DataFrame, out: str, market: str = "mkt", beta_w: int = 60, vol: int = 20) -> DataFrame:
-    res = F.col("ret5") - ts.corr("ret1", market, beta_w) * ts.sum_(market, 5)
-    d = df.withColumn("_res", -res / zero_to_null(ts.std("ret1", vol)))
+    d = rolled(df, _be=roll("corr", ("ret1", market), beta_w), _sm=roll("sum", market, 5), _sd=roll("std", "ret1", vol))
+    res = F.col("ret5") - F.col("_be") * F.col("_sm")
+    d = d.withColumn("_res", -res / zero_to_null("_sd")).drop("_be", "_sm", "_sd")
     return rank01(xs, d, "_res", out).drop("_res")
 
 
-def efficacy(df: DataFrame, signal: str, out: str, w: int = 60, ret: str = "ret1") -> DataFrame:
-    """Per-entity rolling correlation of the previous signal with the return."""
-    d = df.withColumn("_l", ts.delay(signal, 1))
-    return d.withColumn(out, ts.corr("_l", ret, w)).drop("_l")
+def efficacy(df: DataFrame, ret: str = "ret1", **signals: tuple[str, int]) -> DataFrame:
+    """Per-entity rolling correlations of previous signals with the return, one pass for all (output: signal and window)."""
+    lagged = {f"_l_{s}": roll("delay", s, 1) for s, _ in signals.values()}
+    return rolled(df, **lagged, **{out: roll("corr", (f"_l_{s}", ret), w) for out, (s, w) in signals.items()}).drop(*lagged)
 
 
 def adaptive(xs, df: DataFrame, mode: str, w: int = 60, gates=GATES_BLEND, fast: int = 20, slow: int = 120) -> DataFrame:
@@ -183,16 +187,16 @@ def adaptive(xs, df: DataFrame, mode: str, w: int = 60, gates=GATES_BLEND, fast:
     """
     d = rank01(xs, df.withColumn("_s", ts.mean("skew_last", 1, 1)), "_s", "a")
     if mode == "single":
-        d = rank01(xs, efficacy(d, "a", "_e", w), "_e", "_er").withColumn("score", F.col("a") * F.col("_er"))
+        d = rank01(xs, efficacy(d, _e=("a", w)), "_e", "_er").withColumn("score", F.col("a") * F.col("_er"))
     elif mode == "decay":
-        d = efficacy(efficacy(d, "a", "_f", fast), "a", "_g", slow).withColumn("_e", F.col("_f") - F.col("_g"))
+        d = efficacy(d, _f=("a", fast), _g=("a", slow)).withColumn("_e", F.col("_f") - F.col("_g"))
         d = rank01(xs, d, "_e", "_er").withColumn("score", F.col("a") * F.col("_er"))
     elif mode == "pure":
         d = d.withColumn("_rev", -F.col("ret1") / zero_to_null(ts.std("ret1", 20)))
-        d = rank01(xs, efficacy(d, "_rev", "_e", w), "_e", "score")
+        d = rank01(xs, efficacy(d, _e=("_rev", w)), "_e", "score")
     elif mode in ("blend", "switch", "gated"):
         d = residual_reversal(xs, d, "b", beta_w=w)
-        d = efficacy(efficacy(d, "a", "_ea", w), "b", "_eb", w)
+        d = efficacy(d, _ea=("a", w), _eb=("b", w))
         if mode == "switch":
             pick = F.coalesce((F.col("_ea") > F.col("_eb")).cast("double"), F.lit(0.0))
             d = d.withColumn("score", F.col("a") * pick + F.col("b") * (1.0 - pick))
@@ -232,24 +236,25 @@ def characteristics(df: DataFrame, w: int = 60) -> DataFrame:
         "_l": ts.delay("ret1", 1), "_up": F.col("ret1") * (sgn + 1.0) * 0.5, "_dn": F.col("ret1") * (1.0 - sgn) * 0.5,
         "_j": F.col("days_until_next_earnings") - ts.delay("days_until_next_earnings", 1)})
     d = d.withColumn("_ann", (F.col("_j") / zero_to_null(F.abs("_j").cast("double")) + 1.0) * 0.5)
-    d = d.withColumn("_ra", F.col("ret1") * F.col("_ann"))
+    d = rolled(
+        d.withColumn("_ra", F.col("ret1") * F.col("_ann")).drop("_j"), autocorr=roll("corr", ("ret1", "_l"), w), ret_volume=roll("corr", ("ret1", "volume"), w),
+        _s5=roll("std", "ret5", w), _s1=roll("std", "ret1", w), _sf=roll("std", "ret1", 5), _su=roll("std", "_up", w), _sd=roll("std", "_dn", w),
+        _tr=roll("sum", "_ra", 4 * w), _ta=roll("sum", "_ann", 4 * w))
     return d.withColumns({
-        "autocorr": ts.corr("ret1", "_l", w), "var_ratio": ts.std("ret5", w) / zero_to_null(ts.std("ret1", w) * 5.0 ** 0.5),
-        "vol_term": ts.std("ret1", 5) / zero_to_null(ts.std("ret1", w)), "ret_volume": ts.corr("ret1", "volume", w),
-        "semivol": ts.std("_up", w) / zero_to_null(ts.std("_dn", w)),
-        "announcement": ts.sum_("_ra", 4 * w) / zero_to_null(ts.sum_("_ann", 4 * w))}).drop("_l", "_up", "_dn", "_j", "_ann", "_ra")
+        "var_ratio": F.col("_s5") / zero_to_null(F.col("_s1") * 5.0 ** 0.5), "vol_term": div("_sf", "_s1"),
+        "semivol": div("_su", "_sd"), "announcement": div("_tr", "_ta")}).drop(
+        "_l", "_up", "_dn", "_ann", "_ra", "_s5", "_s1", "_sf", "_su", "_sd", "_tr", "_ta")
 
 
 def relational(df: DataFrame, market: str = "mkt", fast: int = 60, slow: int = 250, skip: int = 20) -> DataFrame:
     """Betas, their instability and term structure, idiosyncratic share, momentum, path, seasonality."""
-    d = df.withColumns({
-        "beta": ts.corr("ret1", market, slow), "_bf": ts.corr("ret1", market, fast),
-        "_sgn": F.col("ret1") / zero_to_null(F.abs("ret1")), "_ls": ts.delay("ret20", slow)})
+    d = rolled(
+        df.withColumn("_sgn", F.col("ret1") / zero_to_null(F.abs("ret1"))), beta=roll("corr", ("ret1", market), slow), _bf=roll("corr", ("ret1", market), fast),
+        _ls=roll("delay", "ret20", slow), beta_instability=roll("std", "_bf", fast), _near=roll("delay", "close", skip), _far=roll("delay", "close", slow),
+        momentum=roll("ratio", ("_near", "_far")), _top=roll("max", "high", slow), consistency=roll("mean", "_sgn", slow), seasonal=roll("mean", "_ls", 5))
     return d.withColumns({
-        "beta_instability": ts.std("_bf", fast), "beta_term": F.col("_bf") - F.col("beta"),
-        "idio_share": 1.0 - F.col("_bf") * F.col("_bf"), "momentum": div(ts.delay("close", skip), ts.delay("close", slow)),
-        "high_proximity": div("close", ts.max_("high", slow)), "consistency": ts.mean("_sgn", slow),
-        "seasonal": ts.mean("_ls", 5)}).drop("_bf", "_sgn", "_ls")
+        "beta_term": F.col("_bf") - F.col("beta"), "idio_share": 1.0 - F.col("_bf") * F.col("_bf"),
+        "high_proximity": div("close", "_top")}).drop("_bf", "_sgn", "_ls", "_near", "_far", "_top")
 
 
 def range_geometry(df: DataFrame, w: int = 20, slow: int = 60) -> DataFrame:

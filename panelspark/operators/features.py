@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.elementwise import zero_to_null
 from . import rolling as ts
+from .rolled import roll, rolled
 
 #: Columns that identify a row or carry its bar.
 IDENTIFIERS = ("date", "entity", "asset", "open", "high", "low", "close", "volume")
@@ -79,19 +81,22 @@ TERMINALS = ("c_ma20", "c_ma60", "hl", "co", "gap", "stoch", "ret1", "ret5", "re
 
 def terminals(xs, df: DataFrame, market: str = "mkt", group: str = "industry", year: int = 252) -> DataFrame:
     """17 dimensionless inputs, each sanitized and winsorised per date at 1% / 99%."""
-    from ..functions.elementwise import div, sanitize, zero_to_null
+    from ..functions.elementwise import div, sanitize
 
     c, o = F.col("close"), F.col("open")
     prev = ts.delay("close", 1)
-    d = df.withColumns({
-        "ret1": ts.simple_return("close", 1), "ret5": ts.simple_return("close", 5), "ret20": ts.simple_return("close", 20),
-        "adv": ts.mean("dollar_volume", 60, 20), "_hi": ts.max_("high", 20), "_lo": ts.min_("low", 20)})
+    d = df.select("date", "entity", group, "open", "high", "low", "close", "volume", "dollar_volume", market)
     d = d.withColumns({
-        "c_ma20": div(c, ts.mean("close", 20)), "c_ma60": div(c, ts.mean("close", 60)), "hl": div("high", "low"),
-        "co": div(c - o, o), "gap": div(o - prev, prev), "stoch": div(c - F.col("_lo"), F.col("_hi") - F.col("_lo")),
-        "v_ma20": div("volume", ts.mean("volume", 20)), "dv_adv": div("dollar_volume", "adv"), "vol20": ts.std("ret1", 20),
-        "beta60": ts.corr("ret1", market, 60), "amihud": F.abs("ret1") / zero_to_null("dollar_volume") * 1e9,
-        "hi52": div(c, ts.max_("close", year, min(120, year // 2)))})
+        "ret1": ts.simple_return("close", 1), "ret5": ts.simple_return("close", 5), "ret20": ts.simple_return("close", 20), "gap": div(o - prev, prev)})
+    d = rolled(
+        d, adv=roll("mean", "dollar_volume", 60, 20), _hi=roll("max", "high", 20), _lo=roll("min", "low", 20), _m20=roll("mean", "close", 20),
+        _m60=roll("mean", "close", 60), _v20=roll("mean", "volume", 20), vol20=roll("std", "ret1", 20), beta60=roll("corr", ("ret1", market), 60),
+        _top=roll("max", "close", year, min(120, year // 2)))
+    d = d.select(
+        "date", "entity", group, "ret1", "ret5", "ret20", "gap", "adv", "vol20", "beta60",
+        div(c, "_m20").alias("c_ma20"), div(c, "_m60").alias("c_ma60"), div("high", "low").alias("hl"), div(c - o, o).alias("co"),
+        div(c - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("stoch"), div("volume", "_v20").alias("v_ma20"),
+        div("dollar_volume", "adv").alias("dv_adv"), (F.abs("ret1") / zero_to_null("dollar_volume") * 1e9).alias("amihud"), div(c, "_top").alias("hi52"))
     d = xs.rank_pct(d, "adv", "size")
     d = xs.demean(d, "ret1", "_n", group)
     d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))).drop("_n")
@@ -108,11 +113,15 @@ def snapshot_and_sequence(df: DataFrame, market: DataFrame) -> DataFrame:
                       F.col("vol_20d").alias("mkt_vol_20d"))
     d = df.join(F.broadcast(m), "date", "left")  # one row per date
     d = d.withColumn("_down", F.least("ret", F.lit(0.0))).withColumn("_down", F.when(F.col("ret").isNotNull(), F.col("_down")))
+    d = rolled(
+        d.withColumns({"ret_1d": F.col("ret"), "_adj": F.col("volume") * zero_to_null("share_factor")}),
+        **{f"ret_{w}d": roll("sum", "ret", w, w) for w in (5, 20, 60)}, mom_120d=roll("sum", "ret", 120, 120),
+        **{f"vol_{w}d": roll("std", "ret", w, w) for w in (5, 20, 60)}, downside_vol_20d=roll("std", "_down", 20, 20),
+        drawdown_60d=roll("drawdown", "ret", 59), _dv=roll("mean", "dollar_volume", 20, 20),
+        _vm=roll("mean", "_adj", 20, 20), _vs=roll("std", "_adj", 20, 20))
     d = d.withColumns({
-        "ret_1d": F.col("ret"), **{f"ret_{w}d": ts.sum_("ret", w, w) for w in (5, 20, 60)}, "mom_120d": ts.sum_("ret", 120, 120),
-        **{f"vol_{w}d": ts.std("ret", w, w) for w in (5, 20, 60)}, "downside_vol_20d": ts.std("_down", 20, 20),
-        "drawdown_60d": ts.drawdown("ret", 59), "dollar_vol_20d": F.log(ts.mean("dollar_volume", 20, 20)),
-        "volume_z_20d": ts.volume_z("volume", "share_factor", 20, 20)})
+        "dollar_vol_20d": F.log("_dv"),
+        "volume_z_20d": F.when(F.col("_vs") > 0, (F.col("_adj") - F.col("_vm")) / F.col("_vs"))}).drop("_adj", "_dv", "_vm", "_vs")
     return d.withColumns({
         "rel_ret_1d": F.col("ret_1d") - F.col("mkt_ret_1d"), "rel_ret_20d": F.col("ret_20d") - F.col("mkt_ret_20d"),
         "rel_vol_20d": F.col("vol_20d") / F.nullif(F.col("mkt_vol_20d"), F.lit(0.0))}).drop("_down")
@@ -138,9 +147,11 @@ def high_ratio(p: str, w: int = 252):
 def beta_bab(df: DataFrame, out: str, r: str = "ret", m: str = "mkt", overlap: int = 3, corr_w: int = 1260,
              corr_min: int = 750, vol_w: int = 252) -> DataFrame:
     """Correlation of overlapping sums over a long window times the volatility ratio."""
-    d = df.withColumns({"_r": ts.sum_(r, overlap, overlap), "_m": ts.sum_(m, overlap, overlap)})
-    ratio = ts.std(r, vol_w, need(vol_w)) / F.nullif(ts.std(m, vol_w, need(vol_w)), F.lit(0.0))
-    return d.withColumn(out, ts.corr("_r", "_m", corr_w, corr_min) * ratio).drop("_r", "_m")
+    d = rolled(
+        df, _r=roll("sum", r, overlap, overlap), _m=roll("sum", m, overlap, overlap), _corr=roll("corr", ("_r", "_m"), corr_w, corr_min),
+        _sr=roll("std", r, vol_w, need(vol_w)), _sm=roll("std", m, vol_w, need(vol_w)))
+    ratio = F.col("_sr") / F.nullif(F.col("_sm"), F.lit(0.0))
+    return d.withColumn(out, F.col("_corr") * ratio).drop("_r", "_m", "_corr", "_sr", "_sm")
 
 
 def amihud(df: DataFrame, out: str, r_simple: str, dollar_m: str, w: int = 126) -> DataFrame:

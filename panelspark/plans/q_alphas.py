@@ -59,7 +59,13 @@ def chain() -> Chain:
     return Chain(BASE, "af2")
 
 
-def alpha_query(name, c: Chain, outs="log_alpha~"):
+#: What the operators with trailing windows of whole batches read: only these columns travel.
+GATE_FIELDS = " ".join(g for g, _, _ in GATES)
+BARS = "date entity open high low close volume ret1 ret5 ret20 days_until_next_earnings " + GATE_FIELDS
+SKEWS = "date entity skew_last mkt ret1 ret5 " + GATE_FIELDS
+
+
+def alpha_query(name, c: Chain, outs="log_alpha~", reads=None):
     def wrap(fn):
         cols = ", ".join(t.rstrip("#").split("~")[0] for t in outs.split())
 
@@ -69,7 +75,8 @@ def alpha_query(name, c: Chain, outs="log_alpha~"):
 
         @query(name, KEY + outs, f"SELECT date, entity, {cols} FROM {src}", c.prefix)
         def _(spark, sf):
-            out = fn(CrossSection(("date",), names_bound(spark, sf)), fields(spark, sf))
+            d = fields(spark, sf)
+            out = fn(CrossSection(("date",), names_bound(spark, sf)), d if reads is None else d.select(*reads.split()))
             return out.withColumn("log_alpha", signlog("alpha")) if exact else out
 
         return fn
@@ -98,7 +105,7 @@ def _(xs, d):
     return al.auction_displacement(xs, d)
 
 
-@alpha_query("alpha_reversal_earnings_gated", reversal(chain(), 20, 10, 20).final("core", 0.01, "CAST(du BETWEEN 0 AND 12 AS INT)"))
+@alpha_query("alpha_reversal_earnings_gated", reversal(chain(), 20, 10, 20).final("core", 0.01, "CAST(du BETWEEN 0 AND 12 AS INT)"), reads=BARS)
 def _(xs, d):
     return al.reversal_earnings_gated(xs, d)
 
@@ -119,7 +126,7 @@ def rank25(c: Chain, p, rank) -> Chain:
     return c.add(core="h_ - br")
 
 
-@alpha_query("alpha_rank25_event_gated", rank25(chain(), SMALL, "rank01").final("core", SMALL["winsor"], WT), "log_alpha~6")
+@alpha_query("alpha_rank25_event_gated", rank25(chain(), SMALL, "rank01").final("core", SMALL["winsor"], WT), "log_alpha~6", reads=BARS)
 def _(xs, d):
     return al.rank25_gated(xs, d, SMALL, GATES)
 
@@ -128,7 +135,7 @@ BASE25 = al.RANK25_BASE | {"w_size": 40, "w_skew": 30}
 
 
 @alpha_query("rank25_parameterised_core", rank25(chain(), BASE25, "pct").winsor("core_w", "core", BASE25["winsor"]).add(
-    alpha="CASE WHEN du BETWEEN 0 AND 12 THEN core_w END"), "log_alpha~6")
+    alpha="CASE WHEN du BETWEEN 0 AND 12 THEN core_w END"), "log_alpha~6", reads=BARS)
 def _(xs, d):
     return al.rank25_window_gated(xs, d, BASE25)
 
@@ -139,7 +146,7 @@ def coupling(c: Chain) -> Chain:
     return c.add(core=f"({tmax('n_', 5)}) - close / nullif({mean('close', 20)}, 0)")
 
 
-@alpha_query("alpha_vol_regime_coupling", coupling(chain()).final("core", 0.01, WT))
+@alpha_query("alpha_vol_regime_coupling", coupling(chain()).final("core", 0.01, WT), reads=BARS)
 def _(xs, d):
     return al.vol_regime_coupling(xs, d, GATES)
 
@@ -149,7 +156,7 @@ def _(xs, d):
     return al.closing_skew(xs, d, GATES)
 
 
-@alpha_query("alpha_reversal_low_vol", lovol(reversal(chain(), 10, 80, 10), 20).final("core", 0.01, f"({WT}) * lovol"))
+@alpha_query("alpha_reversal_low_vol", lovol(reversal(chain(), 10, 80, 10), 20).final("core", 0.01, f"({WT}) * lovol"), reads=BARS)
 def _(xs, d):
     return al.reversal_low_vol(xs, d, GATES)
 
@@ -186,33 +193,33 @@ def blend(c: Chain) -> Chain:
     return eff(eff(c, "ea", "a"), "eb", "b")
 
 
-@alpha_query("alpha_adaptive_blend_gated", blend(chain()).rank01("ra", "ea").rank01("rb", "eb").add(score="a * ra + b * rb").final("score", 0.01, WT))
+@alpha_query("alpha_adaptive_blend_gated", blend(chain()).rank01("ra", "ea").rank01("rb", "eb").add(score="a * ra + b * rb").final("score", 0.01, WT), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "gated", gates=GATES)
 
 
-@alpha_query("adaptive_blend", blend(chain()).rank01("ra", "ea").rank01("rb", "eb").add(score="a * ra + b * rb").final("score", 0.01))
+@alpha_query("adaptive_blend", blend(chain()).rank01("ra", "ea").rank01("rb", "eb").add(score="a * ra + b * rb").final("score", 0.01), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "blend")
 
 
-@alpha_query("adaptive_switch", blend(chain()).add(score="CASE WHEN coalesce(ea > eb, false) THEN a + b * 0 ELSE b + a * 0 END").final("score", 0.01))
+@alpha_query("adaptive_switch", blend(chain()).add(score="CASE WHEN coalesce(ea > eb, false) THEN a + b * 0 ELSE b + a * 0 END").final("score", 0.01), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "switch")
 
 
-@alpha_query("adaptive_single", eff(chain().rank01("a", "skew_last"), "ea", "a").rank01("er", "ea").add(score="a * er").final("score", 0.01))
+@alpha_query("adaptive_single", eff(chain().rank01("a", "skew_last"), "ea", "a").rank01("er", "ea").add(score="a * er").final("score", 0.01), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "single")
 
 
 @alpha_query("signal_decay", eff(eff(chain().rank01("a", "skew_last"), "ef", "a", 20), "eg", "a", 120).add(dd="ef - eg").rank01("er", "dd").add(
-    score="a * er").final("score", 0.01))
+    score="a * er").final("score", 0.01), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "decay")
 
 
-@alpha_query("predictability_rank", eff(chain().add(rev=f"-ret1 / nullif({std('ret1', 20)}, 0)"), "er", "rev").rank01("score", "er").final("score", 0.01))
+@alpha_query("predictability_rank", eff(chain().add(rev=f"-ret1 / nullif({std('ret1', 20)}, 0)"), "er", "rev").rank01("score", "er").final("score", 0.01), reads=SKEWS)
 def _(xs, d):
     return al.adaptive(xs, d, "pure")
 
@@ -237,7 +244,7 @@ CHAR.corr("autocorr", "ret1", "l_", 40).corr("ret_volume", "ret1", "volume", 40)
     semivol=f"{std('up', 40)} / nullif({std('dn', 40)}, 0)", announcement=f"{tsum('ra', 160)} / nullif({tsum('ann', 160)}, 0)")
 
 
-@alpha_query("stock_characteristics", CHAR, "autocorr~ var_ratio~ vol_term~6 ret_volume~ semivol~6 announcement~")
+@alpha_query("stock_characteristics", CHAR, "autocorr~ var_ratio~ vol_term~6 ret_volume~ semivol~6 announcement~", reads="date entity ret1 ret5 volume days_until_next_earnings")
 def _(xs, d):
     return al.characteristics(d, 40)
 
@@ -247,7 +254,7 @@ REL = chain().corr("beta", "ret1", "mkt", 100).corr("bf", "ret1", "mkt", 30).add
     high_proximity=f"close / nullif({tmax('high', 100)}, 0)", consistency=mean("sgn", 100), seasonal=mean("ls", 5))
 
 
-@alpha_query("relational_features", REL, "beta~ beta_instability~ beta_term~ idio_share~ momentum~ high_proximity~ consistency~ seasonal~")
+@alpha_query("relational_features", REL, "beta~ beta_instability~ beta_term~ idio_share~ momentum~ high_proximity~ consistency~ seasonal~", reads="date entity close high mkt ret1 ret20")
 def _(xs, d):
     return al.relational(d, fast=30, slow=100, skip=8)
 

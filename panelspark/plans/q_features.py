@@ -91,7 +91,8 @@ SNAP.add(downside_vol_20d=std("dn", 20, 20), volume_z_20d=f"(va - ({mean('va', 2
 @query("snapshot_and_sequence", KEY + " ".join(f"{c}~" for c in SNAP_COLS), f"SELECT date, entity, {', '.join(SNAP_COLS)} FROM {SNAP.source}", SNAP.prefix)
 def _(spark, sf):
     p = weekly_panel(spark, sf).withColumn("share_factor", F.when(F.weekofyear("date") < 20, 1.0).otherwise(2.0))
-    return ft.snapshot_and_sequence(p, ft.market_frame(market_series(p), 5))
+    m = ft.market_frame(market_series(p), 5)
+    return ft.snapshot_and_sequence(p.select("date", "entity", "ret", "volume", "dollar_volume", "share_factor"), m)
 
 
 MOM = Chain(MPANEL, "mpanel").add(
@@ -115,7 +116,7 @@ BAB = Chain(MPANEL, "mpanel").add(rvol=std("sig", 21, 17), r3=tsum("sig", 3, 3),
 
 @feat("rvol_and_beta_bab", BAB, "rvol~ beta_bab~")
 def _(spark, sf, p):
-    p = p.withColumn("rvol", ts.std("sig", 21, ft.need(21)))
+    p = p.select("date", "entity", "sig", "mkt").withColumn("rvol", ts.std("sig", 21, ft.need(21)))
     return ft.beta_bab(p, "beta_bab", "sig", "mkt", 3, 120, 60, 52)
 
 
