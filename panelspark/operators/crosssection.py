@@ -15,9 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.elementwise import col, zero_to_null
 from ..session import materialize
@@ -137,11 +140,11 @@ class CrossSection:
 
     # ------------------------------------------------------------------ ranks
 
-    def ranks(self, df: DataFrame, x: str, prefix: str = "r", stored: bool = False) -> DataFrame:
+    def ranks(self, df: DataFrame, x: str, prefix: str = "r", stored: bool = False, base: DataFrame | None = None) -> DataFrame:
         """Add ``<prefix>_lt`` (values below), ``_eq`` (ties incl. own), ``_n`` (values), ``_dense``, ``_top`` (distinct values).
 
         NULL inputs get NULL in all five. Everything rank-like is arithmetic on these. The split plan orders the distinct values of the group; rows
-        only meet their value's facts.
+        only meet their value's facts. ``base`` holds the same rows' values of ``x`` in stored form: several ranks of one table need one writing.
         """
         lt, eq, n, dense, top = (f"{prefix}_{s}" for s in ("lt", "eq", "n", "dense", "top"))
         if self.windowed:
@@ -158,19 +161,23 @@ class CrossSection:
                 F.when(has, F.dense_rank().over(ordered)).alias(dense),
             )
             return d.select("*", F.when(F.col(dense).isNotNull(), F.max(dense).over(w)).alias(top))
-        df = df if stored else materialize(df)
-        counts = self._value_counts(df, x)
+        df = df if stored or base is not None else materialize(df)
+        counts = self._value_counts(df if base is None else base, x)
         ordered = split_order(counts, list(self.by), [x], "_eq").select(
             *self.by, x, F.col("before").alias(lt), F.col("_eq").alias(eq),
             F.col("n").alias(n), F.col("nth").alias(dense), F.col("last").alias(top),
         )
         return _null_safe(df, ordered, [*self.by, x])
 
+    def store(self, df: DataFrame) -> DataFrame | None:
+        """The rows in stored form, where this cross-section takes the split plan; else nothing."""
+        return None if self.windowed else materialize(df)
+
     def _value_counts(self, df: DataFrame, x: str) -> DataFrame:
         return df.where(F.col(x).isNotNull()).groupBy(*self.by, x).agg(F.count(F.lit(1)).alias("_eq"))
 
-    def rank_avg(self, df: DataFrame, x: str, out: str) -> DataFrame:
-        return self._derive(df, x, out, lambda lt, eq, n, d: lt + (eq + 1) / 2.0)
+    def rank_avg(self, df: DataFrame, x: str, out: str, base: DataFrame | None = None) -> DataFrame:
+        return self._derive(df, x, out, lambda lt, eq, n, d: lt + (eq + 1) / 2.0, base)
 
     def rank_pct(self, df: DataFrame, x: str, out: str) -> DataFrame:
         """Average-tie rank / n, in (0, 1]."""
@@ -179,12 +186,13 @@ class CrossSection:
     def rank_centered(self, df: DataFrame, x: str, out: str) -> DataFrame:
         return self._derive(df, x, out, lambda lt, eq, n, d: (lt + (eq + 1) / 2.0) / n - 0.5)
 
-    def rank_to_unit(self, df: DataFrame, x: str, out: str) -> DataFrame:
+    def rank_to_unit(self, df: DataFrame, x: str, out: str, base: DataFrame | None = None) -> DataFrame:
         """Average rank mapped to [-1, 1]; a single value gets 0."""
         return self._derive(
             df, x, out,
             lambda lt, eq, n, d: F.when(n == 1, 0.0).otherwise(
                 2.0 * (lt + (eq + 1) / 2.0 - 1.0) / F.nullif(n - 1, F.lit(0)) - 1.0),
+            base,
         )
 
     def rank_dense12(self, df: DataFrame, x: str, out: str) -> DataFrame:
@@ -199,8 +207,8 @@ class CrossSection:
         return self._derive(
             df, x, out, lambda lt, eq, n, d: 1.0 - 2.0 * F.abs((lt + (eq + 1) / 2.0) / n - 0.5))
 
-    def _derive(self, df, x, out, fn) -> DataFrame:
-        df = self.ranks(df, x, "_r")
+    def _derive(self, df, x, out, fn, base=None) -> DataFrame:
+        df = self.ranks(df, x, "_r", base=base)
         names = ["_r_lt", "_r_eq", "_r_n", "_r_dense"]
         return df.withColumn(out, fn(*[F.col(c) for c in names])).drop(*names, "_r_top")
 
@@ -299,19 +307,17 @@ class CrossSection:
         return df.withColumn(out, value).drop("_lo", "_hi")
 
     def winsor_all(self, df, xs, p: float) -> DataFrame:
-        """Clip several columns in place: one window with all quantiles, or one pass over all columns' value counts."""
+        """Clip several columns in place: a group's columns side by side, or one pass over all columns' value counts."""
         if self.windowed:
-            w = self._window()
-            probs = F.array(F.lit(float(p)), F.lit(1.0 - p))
-            d = df.select("*", *[F.percentile(F.col(x), probs).over(w).alias(f"_q_{x}") for x in xs])
-        else:
-            df = materialize(df)
-            long = df.select(*self.by, F.explode(F.array(*[
-                F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
-            ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p}, stored=True)
-            wide = ends.groupBy(*self.by).agg(*[
-                F.max(F.when(F.col("_x") == i, F.array("_lo", "_hi"))).alias(f"_q_{x}") for i, x in enumerate(xs)])
-            d = _null_safe(df, wide, list(self.by))
+            schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in xs else f.dataType) for f in df.schema.fields])
+            return df.groupBy(*self.by).applyInArrow(_clip_columns(list(xs), p), schema)
+        df = materialize(df)
+        long = df.select(*self.by, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
+        ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p}, stored=True)
+        wide = ends.groupBy(*self.by).agg(*[
+            F.max(F.when(F.col("_x") == i, F.array("_lo", "_hi"))).alias(f"_q_{x}") for i, x in enumerate(xs)])
+        d = _null_safe(df, wide, list(self.by))
         clip = {x: F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col(f"_q_{x}")[1]), F.col(f"_q_{x}")[0])) for x in xs}
         return d.withColumns(clip).drop(*[f"_q_{x}" for x in xs])
 
@@ -370,11 +376,11 @@ class CrossSection:
         df = self.attach(df, _n=F.count(inv), _s=F.sum(inv))
         return df.withColumn(out, F.col("_n") / zero_to_null("_s")).drop("_n", "_s")
 
-    def weighted_mean(self, df, x, weight, out) -> DataFrame:
+    def weighted_mean(self, df, x, weight, out, stored: bool = False) -> DataFrame:
         """sum(w x) / sum(w) over rows that have both; missing when the weights sum to zero."""
         ok = F.col(x).isNotNull() & F.col(weight).isNotNull()
         df = self.attach(
-            df,
+            df, stored,
             _num=F.sum(F.when(ok, F.col(x) * F.col(weight))),
             _den=F.sum(F.when(ok, F.col(weight))),
         )
@@ -409,11 +415,14 @@ class CrossSection:
         """Rows of groups with at least ``names`` rows."""
         return self.attach(df, _k=F.count(F.lit(1))).where(F.col("_k") >= names).drop("_k")
 
-    def within_or_all(self, df, x, group, out, min_names: int) -> DataFrame:
+    def within_or_all(self, df, x, group, out, min_names: int, base: DataFrame | None = None) -> DataFrame:
         """Unit rank inside ``group`` when it has enough values, else over the whole date."""
         inside = CrossSection((*self.by, group), self.bound)
-        df = inside.ranks(df, x, "_i")
-        df = self.rank_to_unit(df, x, "_all")
+        if base is None:
+            base = self.store(df)
+            df = df if base is None else base
+        df = inside.ranks(df, x, "_i", base=base)
+        df = self.rank_to_unit(df, x, "_all", base)
         lt, eq, n = F.col("_i_lt"), F.col("_i_eq"), F.col("_i_n")
         unit = F.when(n == 1, 0.0).otherwise(
             2.0 * (lt + (eq + 1) / 2.0 - 1.0) / F.nullif(n - 1, F.lit(0)) - 1.0)
@@ -443,6 +452,27 @@ class CrossSection:
             *sums, *beta, "_ok", "_k", *[f"_m{i}" for i in range(p + 1)], *[f"_c{i}" for i in range(p + 1)], *[c for c in df.columns if c.startswith("_ge")])
 
 
+def _clip_columns(xs: list[str], p: float):
+    """For the rows of one bounded group: each column cut to its interpolated p and 1 - p quantiles, a missing value stays missing."""
+
+    def level(v: np.ndarray, q: float) -> float:
+        at = (len(v) - 1) * q
+        lo, hi = int(np.floor(at)), int(np.ceil(at))
+        return float(v[lo] if lo == hi or v[lo] == v[hi] else (hi - at) * v[lo] + (at - lo) * v[hi])
+
+    def run(t: pa.Table) -> pa.Table:
+        for x in xs:
+            c = t[x].cast(pa.float64())
+            lost, v = c.is_null().to_numpy(), c.fill_null(0.0).to_numpy()
+            if not lost.all():
+                order = np.sort(v[~lost])
+                v = np.maximum(np.fmin(v, level(order, 1.0 - p)), level(order, p))
+            t = t.set_column(t.schema.get_field_index(x), x, pa.array(v, mask=lost))
+        return t
+
+    return run
+
+
 #: A pivot below the first share of its own diagonal entry, or an entry below the second share of the squares of its level, counts as zero.
 PIVOT_SHARE, LEVEL_SHARE = 1e-12, 1e-27
 

@@ -262,14 +262,18 @@ def cross_section_inputs(xs, df: DataFrame, ranked, unranked, price_flagged, fun
     from .universe import zero_fill
 
     s = CrossSection((*xs.by, sector), xs.bound)
-    d = s.weighted_mean(df, "mom_12_1", weight, "ind_mom_12_1")
-    d = s.weighted_mean(d, "ret_20d", weight, "_sr")
-    d = d.withColumn("ret_20d_ind_rel", F.col("ret_20d") - F.col("_sr")).drop("_sr")
+    reads = dict.fromkeys(["date", "entity", *xs.by, sector, weight, "mom_12_1", "ret_20d", *ranked, *unranked, *price_flagged, *fund_flagged, *within])
+    d = s.store(df.select(*reads))
+    d = s.weighted_mean(df.select(*reads) if d is None else d, "mom_12_1", weight, "ind_mom_12_1", stored=True)
+    d = s.weighted_mean(d, "ret_20d", weight, "_sr", stored=True)  # joined by group: what it adds up are stored columns
+    d = d.withColumn("ret_20d_ind_rel", F.col("ret_20d") - F.col("_sr")).drop("_sr", *{weight} - {*ranked, *unranked, *price_flagged, *fund_flagged, *within})
     names = [*ranked, "ind_mom_12_1", "ret_20d_ind_rel"]
+    base = xs.store(d)
+    d = d if base is None else base
     for c in within:
-        d = xs.within_or_all(d, c, sector, f"{c}_sector", min_names)
+        d = xs.within_or_all(d, c, sector, f"{c}_sector", min_names, base)
     for c in names:
-        d = xs.rank_to_unit(d, c, "_u").drop(c).withColumnRenamed("_u", c)
+        d = xs.rank_to_unit(d, c, "_u", base).drop(c).withColumnRenamed("_u", c)
     cols = [*names, *unranked, *[f"{c}_sector" for c in within]]
     d = zero_fill(d, cols, {"flag_price_missing": list(price_flagged), "flag_fund_missing": list(fund_flagged)})
     return d.select("date", "entity", *cols, *sector_dummies(sector, sector_codes),
