@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.elementwise import col, zero_to_null
-from ..session import materialize
+from ..session import materialize, materialize_columns
 
 #: A group up to this many rows may be sorted by a single task.
 MAX_GROUP_ROWS = 1_000_000
@@ -59,7 +59,8 @@ def split_order(values: DataFrame, by: list[str], order: list[str], count: str |
     """
     weight = F.col(count) if count else F.lit(1)
     spread = [*by, *order]
-    ranged = materialize(values.repartitionByRange(*spread).withColumn("_part", F.spark_partition_id()))
+    # distinct values have no equal keys, rows may
+    ranged = (materialize_columns if count else materialize)(values.repartitionByRange(*spread).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_k"))
     parts = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -171,7 +172,7 @@ class CrossSection:
 
     def store(self, df: DataFrame) -> DataFrame | None:
         """The rows in stored form, where this cross-section takes the split plan; else nothing."""
-        return None if self.windowed else materialize(df)
+        return None if self.windowed else materialize_columns(df)
 
     def _value_counts(self, df: DataFrame, x: str) -> DataFrame:
         return df.where(F.col(x).isNotNull()).groupBy(*self.by, x).agg(F.count(F.lit(1)).alias("_eq"))
@@ -311,7 +312,7 @@ class CrossSection:
         if self.windowed:
             schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in xs else f.dataType) for f in df.schema.fields])
             return df.groupBy(*self.by).applyInArrow(_clip_columns(list(xs), p), schema)
-        df = materialize(df)
+        df = materialize_columns(df)
         long = df.select(*self.by, F.explode(F.array(*[
             F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
         ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p}, stored=True)

@@ -132,22 +132,52 @@ def _extremes(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nothing & m.any(axis=1), np.nan, low), np.where(m, x, -np.inf).max(axis=1)
 
 
-def _centred(x: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values less their window's mean, and that mean. A value of the window goes first, so equal values leave zeros."""
-    last = x.shape[1] - 1 - np.argmax(m[:, ::-1], axis=1)
-    base = x[np.arange(len(x)), last]
-    d = np.where(m, x - base[:, None], 0.0)
-    mean = d.sum(axis=1) / n
-    return np.where(m, d - mean[:, None], 0.0), base + mean
+def _lines(x: np.ndarray, m: np.ndarray):
+    """The windows' first values, then their second ones and so on, with their presence."""
+    for k in range(x.shape[1]):
+        yield np.ascontiguousarray(x[:, k]), np.ascontiguousarray(m[:, k])
+
+
+def _total(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sums in row order, as Spark adds them up."""
+    total = np.zeros(len(x))
+    for v, has in _lines(x, m):
+        total = np.where(has, total + v, total)
+    return total
+
+
+def _moments(x: np.ndarray, m: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Centred second (and third) moments, value by value like Spark's aggregates, so that equal windows give equal bits."""
+    n, mean, m2, m3 = (np.zeros(len(x)) for _ in range(4))
+    for v, has in _lines(x, m):
+        after = n + 1.0
+        d = v - mean
+        dn = d / after
+        new = m2 + d * (d - dn)
+        if third:
+            m3 = np.where(has, m3 - 3.0 * dn * new + d * (d * d - dn * dn), m3)
+        n, mean, m2 = np.where(has, after, n), np.where(has, mean + dn, mean), np.where(has, new, m2)
+    return m2, m3
+
+
+def _comoment(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    n, mx, my, c = (np.zeros(len(x)) for _ in range(4))
+    for (v, has), (u, _) in zip(_lines(x, m), _lines(y, m), strict=True):
+        after = n + 1.0
+        dx = v - mx
+        ny = my + (u - my) / after
+        c = np.where(has, c + dx * (u - ny), c)
+        n, mx, my = np.where(has, after, n), np.where(has, mx + dx / after, mx), np.where(has, ny, my)
+    return c
 
 
 def _windows(r: Roll, m: np.ndarray, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     count = m.sum(axis=1)
     ok, n, x = (count >= r.need) & (count > 0), count.astype(float), xs[0]
     if r.kind == "sum":
-        return x.sum(axis=1), ok
+        return _total(x, m), ok
     if r.kind == "mean":
-        return x.sum(axis=1) / n, ok
+        return _total(x, m) / n, ok
     if r.kind in ("min", "max"):
         return _extremes(x, m)[r.kind == "max"], ok
     if r.kind == "median":
@@ -158,21 +188,18 @@ def _windows(r: Roll, m: np.ndarray, xs: list[np.ndarray]) -> tuple[np.ndarray,
     if r.kind == "drawdown":
         path = np.cumsum(x, axis=1)
         return np.exp(path[:, -1] - np.maximum(path.max(axis=1), 0.0)) - 1.0, count == r.w
-    d, _ = _centred(x, m, n)
-    square = np.einsum("ij,ij->i", d, d)
     if r.kind in ("var", "std"):
-        v = square / (n - 1.0)
+        v = _moments(x, m)[0] / (n - 1.0)
         return (np.sqrt(v) if r.kind == "std" else v), ok & (count > 1)
     if r.kind == "skew":
-        g = np.sqrt(n) * np.einsum("ij,ij,ij->i", d, d, d) / np.sqrt(square * square * square)
+        square, cube = _moments(x, m, third=True)
+        g = np.sqrt(n) * cube / np.sqrt(square * square * square)
         return g * np.sqrt(n * (n - 1.0)) / (n - 2.0), (count >= max(3, r.need)) & (square != 0)
     if r.kind == "corr":
-        e, _ = _centred(xs[1], m, n)
-        other = np.einsum("ij,ij->i", e, e)
         varies = np.ones(len(n), bool)
         for v in xs:
             low, high = _extremes(v, m)
             varies &= (high > low) | (np.isnan(high) & ~np.isnan(low))
-        scale = np.sqrt(square / n) * np.sqrt(other / n)
-        return np.einsum("ij,ij->i", d, e) / n / scale, (count >= max(2, r.need)) & varies & (scale != 0)
+        scale = np.sqrt(_moments(x, m)[0] / n) * np.sqrt(_moments(xs[1], m)[0] / n)
+        return _comoment(x, xs[1], m) / n / scale, (count >= max(2, r.need)) & varies & (scale != 0)
     raise ValueError(f"unknown kind {r.kind!r}")

@@ -45,16 +45,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once, as Parquet in the checkpoint folder, and read it from there.
+    """Write ``df`` once to the checkpoint folder and cut its lineage.
 
     Used where a plan reads the same rows several times and joins them back on computed doubles: a
-    recomputed sum may differ in its last bit, a stored one cannot. Columns take about half the disk of a checkpoint's rows,
-    and a reader takes only those it needs. Columns of a type that Parquet lacks take a checkpoint.
+    recomputed sum may differ in its last bit, a checkpointed one cannot.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def materialize_columns(df: DataFrame) -> DataFrame:
+    """The same as Parquet, which takes less disk and gives a reader only the columns it needs.
+
+    Files are read in another order than they were written, so this is for steps that don't number rows with equal keys. Columns of a type
+    that Parquet lacks take a checkpoint.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "rows")
     if "void" in df.schema.simpleString() or not df.columns:
-        return df.checkpoint(eager=True)
+        return materialize(df)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
