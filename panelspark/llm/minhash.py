@@ -17,6 +17,8 @@ PERMUTATIONS = 48
 BAND_ROWS = 4
 #: So many smallest hashes of a set decide which members of a bucket, beyond its star, are confirmed on full sets.
 SMALLEST = 192
+#: About so many further centres are tried in a bucket of many members before its pairs across components are tested.
+CENTRES = 4
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +159,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     bands with a chance of 2e-8, at J = 0.8 with 3e-6) and the whole signatures agree about as often (``_Likely``).
 
     Equal sets collapse first, so groups of exact copies are one node. In a bucket every member is compared with the
-    bucket's smallest id only (a star). Buckets whose members still lie in several components are then completed: their
-    pairs across components are tested in the join by size and signature, and only likely links are emitted and confirmed.
-    So no link between components is lost and a group of m copies costs about m pairs.
+    bucket's smallest id only (a star). Buckets of many members that still lie in several components get further stars, about
+    ``CENTRES`` members drawn by hash. Buckets whose members are then apart are completed: their pairs across components are
+    tested in the join by size and signature, and only likely links are emitted and confirmed. So no link between components is
+    lost and a group of m copies costs about m pairs, also if many of its texts are linked but few with the smallest id.
 
     Null, empty or blank text: n_shingles 0, a component of its own. Null id: component_id null, kept true. Rows that
     repeat an id are one document. Other columns are ignored, whatever their names. An empty table gives an empty result.
@@ -177,12 +180,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     links = store(_confirmed(store(likely.of(pairs), "pairs"), docs, k, percent), "links")
     labels = components(links)
 
-    # a bucket of two is decided; in others, members that are still apart are tested too
-    placed = (shared.where("m > 2").select("bucket", "band", "node").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    across = store(likely.across(placed.join(mixed, "bucket", "left_semi"), classes.select("node", "bands"),
-                                      signed_rows.select(F.col("id").alias("node"), "smallest")), "pairs-across")
+    # a bucket of two is decided; in others, members that are still apart are tested too, in large ones with a few centres first
+    lists = signed_rows.select(F.col("id").alias("node"), "smallest")
+    mixed = store(_mixed(shared.where("m > 2"), labels), "mixed-buckets")
+    crowded = mixed.where(F.col("m") > 8 * CENTRES)
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("m") < CENTRES << 20  # mostly the same members in all their buckets
+    stars = store(likely.stars(crowded, drawn, lists), "pairs-centres")
+    if not stars.isEmpty():
+        links = store(links.union(_confirmed(stars, docs, k, percent)), "links-centres")
+        labels = components(links)
+        mixed = store(_mixed(mixed.drop("component"), labels), "mixed-buckets")
+    across = store(likely.across(mixed, classes.select("node", "bands"), lists), "pairs-across")
     if not across.isEmpty():
         labels = components(links.union(_confirmed(across, docs, k, percent)))
 
@@ -194,6 +202,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, band, node, m, component`` of the members (bucket, band, node, m) of buckets that hold more than one component."""
+    placed = (members.select("bucket", "band", "node", "m").join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return placed.join(apart, "bucket", "left_semi")
+
+
 class _Likely:
     """Pairs that may be links by set sizes (exact) and by the share of agreeing signature entries.
 
@@ -230,17 +246,28 @@ class _Likely:
         drawn = s * SMALLEST - 6 * F.sqrt(SMALLEST * s * (1 - s)) - 1
         return common >= F.when(F.greatest("na", "nb") <= SMALLEST, needed - 1).otherwise(drawn)
 
+    def _met(self, name: str, members: DataFrame, lists: DataFrame) -> DataFrame:
+        """One side of a join of members (bucket, node, component and more), with all that its tests read."""
+        own = members.join(lists, "node").withColumnsRenamed({"node": name, "component": f"c{name}", "smallest": f"l{name}"})
+        return own.join(self._side(name), name).withColumnRenamed("bucket", f"bucket_{name}")
+
+    def stars(self, members: DataFrame, drawn: Column, lists: DataFrame) -> DataFrame:
+        """Of members (bucket, node, component), the likely pairs of a bucket that lie in two components and have a ``drawn`` member as ``a``."""
+        members = members.select("bucket", "node", "component", drawn.alias("drawn"))
+        x, y = self._met("a", members.where("drawn").drop("drawn"), lists), self._met("b", members.drop("drawn"), lists)
+        apart = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("ca") != F.col("cb"))
+        return x.join(y, apart & self._test() & self._overlap()).select("a", "b").distinct()
+
     def across(self, members: DataFrame, bands: DataFrame, lists: DataFrame) -> DataFrame:
         """Of members (bucket, band, node, component), the likely pairs of a bucket that lie in two components.
 
         ``bands`` and ``lists`` have the band keys and the smallest hashes of each node's set. All tests are part of the join, the
         cheap ones first, so only likely links become rows, each in the first bucket that the two share.
         """
-        members = members.join(bands, "node").join(lists, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-        x = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("earlier").alias("ea"), F.col("smallest").alias("la")).join(self._side("a"), "a")
-        y = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("earlier").alias("eb"), F.col("smallest").alias("lb")).join(self._side("b"), "b")
+        members = members.select("bucket", "band", "node", "component").join(bands, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band"))).drop("band", "bands")
+        x, y = (self._met(name, members.withColumnRenamed("earlier", f"e{name}"), lists) for name in "ab")
         apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-        return x.join(y, (x["bucket"] == y["bucket"]) & apart & self._test() & ~F.arrays_overlap("ea", "eb") & self._overlap()).select("a", "b").distinct()
+        return x.join(y, (F.col("bucket_a") == F.col("bucket_b")) & apart & self._test() & ~F.arrays_overlap("ea", "eb") & self._overlap()).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

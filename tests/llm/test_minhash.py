@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from panelspark.llm import minhash
 from panelspark.llm.components import components
 from panelspark.llm.minhash import bands, drop_near_duplicates, near_duplicates, signature
 
@@ -62,6 +63,26 @@ def test_members_of_a_bucket_that_are_far_from_its_centre(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == expected
 
 
+def test_a_group_that_is_not_linked_with_its_smallest_ids_costs_no_square_of_its_pairs(spark, monkeypatch):
+    # the smallest ids share buckets with a group of near copies, but are linked with none of them
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+
+    def changed(at):
+        return " ".join(f"z{rng.randrange(10**6)}" if j in at else w for j, w in enumerate(base))
+
+    far = [changed(set(range(i % 20, 400, 20))) for i in range(32)]
+    near = [changed({rng.randrange(400)}) for _ in range(80)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(far + near)]
+    sizes, store = {}, minhash.store
+    monkeypatch.setattr(minhash, "store", lambda df, name: (out := store(df, name), sizes.update({name: out.count()}))[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_force(rows, 85)
+    assert {c for i, (_, c) in got.items() if i >= len(far)} == {len(far)}
+    pairs = {name: n for name, n in sizes.items() if name.startswith("pairs")}
+    assert len(pairs) == 3 and pairs["pairs-across"] < 2 * len(rows) and sum(pairs.values()) < len(near) ** 2 / 2, pairs
+
+
 def test_odd_rows_and_clashing_columns(spark):
     schema = "doc_id long, text string, id long, bucket string, node long"
     rows = [(None, "a b c d e f", 1, "x", 2), (3, None, 1, "x", 2), (4, "a b c d e f", 1, None, 2), (4, "a b c d e f", 1, "x", 2), (9, "A b c d e f", None, "x", 2), (5, "", 1, "x", 2)]
