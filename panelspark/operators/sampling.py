@@ -35,23 +35,31 @@ def _first_of_class(df: DataFrame, by: list[str], cap: str, keys, bound: int | N
     return d.where(F.col(cap).isNull() | (F.col("_o") <= F.col(cap))).drop("_h", "_key", "_o", cap)
 
 
+def _capped_zeros(df: DataFrame, label: str, multiple: float, keys, bound: int | None) -> DataFrame:
+    """Class 0 of stored rows, at most ``multiple`` times the number of nonzero rows; only its rows are put in order."""
+    total = df.agg(F.floor(F.sum((F.col(label) != 0).cast("bigint")) * F.lit(float(multiple))).alias("_cap"))
+    d = _null_safe(df.where(F.col(label) == 0).withColumn("_zero", F.lit(1)), F.broadcast(total), [])
+    return _first_of_class(d, ["_zero"], "_cap", keys, bound).drop("_zero")
+
+
 def downsample_zero(df: DataFrame, label: str, multiple: float, keys=("date", "entity"),
                     bound: int | None = None) -> DataFrame:
     """Cap class 0 at ``multiple`` times the number of nonzero rows."""
     df = materialize(df)
-    total = df.agg(F.floor(F.sum((F.col(label) != 0).cast("bigint")) * F.lit(float(multiple))).alias("_c"))
-    d = _null_safe(df, total, []).withColumn("_zero", (F.col(label) == 0).cast("int"))
-    d = d.withColumn("_cap", F.when(F.col("_zero") == 1, F.col("_c"))).drop("_c")
-    return _first_of_class(d, ["_zero"], "_cap", keys, bound).drop("_zero")
+    rest = df.where(F.col(label).isNull() | (F.col(label) != 0))
+    return rest.unionByName(_capped_zeros(df, label, multiple, keys, bound))
 
 
 def balance_signed(df: DataFrame, label: str, keys=("date", "entity"), bound: int | None = None) -> DataFrame:
     """For every level |k| >= 1 keep as many +k as -k rows; class 0 is left out."""
-    d = materialize(df.where(F.col(label) != 0))
+    return _balanced_signs(materialize(df.where(F.col(label) != 0)), label, keys, bound)
+
+
+def _balanced_signs(d: DataFrame, label: str, keys, bound: int | None) -> DataFrame:
     level = F.abs(F.col(label)).alias("_lvl")
     n = d.groupBy(level).agg(
         F.least(F.sum((F.col(label) > 0).cast("bigint")), F.sum((F.col(label) < 0).cast("bigint"))).alias("_cap"))
-    d = _null_safe(d.withColumn("_lvl", F.abs(F.col(label))), n, ["_lvl"])  # one row per level
+    d = _null_safe(d.withColumn("_lvl", F.abs(F.col(label))), F.broadcast(n), ["_lvl"])  # one row per level: a shuffle would put a level into one task
     return _first_of_class(d, [label], "_cap", keys, bound).drop("_lvl")
 
 
@@ -61,8 +69,8 @@ def balanced_sample(df: DataFrame, y: str, thresholds, multiple: float, keys=("d
     from ..functions.elementwise import signed_bucket
 
     d = materialize(df.where(F.abs(y) < limit).withColumn("y_bucket", signed_bucket(y, thresholds)))
-    zeros = downsample_zero(d, "y_bucket", multiple, keys, bound).where("y_bucket = 0")
-    return zeros.unionByName(balance_signed(d, "y_bucket", keys, bound))
+    zeros = _capped_zeros(d, "y_bucket", multiple, keys, bound)
+    return zeros.unionByName(_balanced_signs(d.where("y_bucket <> 0"), "y_bucket", keys, bound))
 
 
 def replay_subset(df: DataFrame, round_col: str, share: int, keys=("date", "entity")) -> DataFrame:

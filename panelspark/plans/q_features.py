@@ -389,5 +389,6 @@ WHERE CASE WHEN k = 0 THEN rn <= floor(nz * 0.5) ELSE rn <= least(np, nn) END"""
 def _(spark, sf):
     p = weekly_panel(spark, sf).withColumns({
         "f1": ts.mean("ret", 5), "f2": ts.std("ret", 10), "y": ts.forward_log_return("close", 3) / 10})
+    p = p.select("date", "entity", "f1", "f2", "y")  # rows are stored before they are put in order, so columns that nothing reads go first
     train = purge_overlap(p.where("date <= '1999-12-27'"), 5).dropna(subset=["f1", "f2", "y"])
     return balanced_sample(train, "y", (0.05, 0.1), 0.5, bound=None)

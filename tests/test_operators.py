@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 import random
 from statistics import NormalDist
@@ -280,6 +281,22 @@ def test_greedy_prune_looks_at_all_candidates(spark):
     assert len(kept) > 1 and got == kept
 
 
+def test_a_balanced_sample_orders_class_zero_and_nonzero_rows_once(spark, monkeypatch):
+    """Only the rows that are drawn from are put in order, with the same picks as of each class by itself."""
+    d = spark.range(400).select(F.lit("2020-01-02").alias("date"), F.col("id").alias("entity"),
+                                F.when(F.col("id") % 5 == 0, 0.1).when(F.col("id") % 5 == 1, -0.1).otherwise(0.0).alias("y"))
+    ordered, first = [], sampling._first_of_class
+    monkeypatch.setattr(sampling, "_first_of_class", lambda df, *a: (ordered.append(df.count()), first(df, *a))[1])
+    got = sampling.balanced_sample(d, "y", (0.05,), 0.5)
+    assert sorted(ordered) == [160, 240] and got.columns == ["date", "entity", "y", "y_bucket"]
+    rows = {k: {r["entity"] for r in got.where(F.col("y_bucket") == k).collect()} for k in (-1, 0, 1)}
+    order = sorted((hashlib.md5(f"2020-01-02|{i}".encode()).hexdigest(), i) for i in range(400) if i % 5 > 1)
+    assert rows == {-1: set(range(1, 400, 5)), 0: {i for _, i in order[:80]}, 1: set(range(0, 400, 5))}
+    unlabelled = d.select("date", "entity", F.when(F.col("entity") > 3, F.signum("y").cast("int")).alias("k"))
+    z = sampling.downsample_zero(unlabelled, "k", 0.0)
+    assert {(r["k"], r["count"]) for r in z.groupBy("k").count().collect()} == {(None, 4), (1, 79), (-1, 79)}
+
+
 def test_file_layouts(spark, tmp_path):
     """Both layouts: date/code.parquet files and symbol.csv files with a duplicate date."""
     from panelspark.sources import files as fl
