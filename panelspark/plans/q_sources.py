@@ -108,16 +108,12 @@ def _(spark, sf):
 SELECT CAST(entity AS VARCHAR) AS symbol, date, CASE WHEN day(date) % 3 = 0 THEN close + 1 ELSE close END AS close FROM bars_w""", with_(WEEK_BARS))
 def _(spark, sf):
     path = scratch_dir(spark, "symbols")
-    w = weekly_bars(spark, sf).select(F.col("entity").cast("string").alias("symbol"), "date", "close", F.lit(0).alias("k"))
-    again = w.where("dayofmonth(date) % 3 = 0").withColumns({"close": F.col("close") + 1, "k": F.lit(1)})
-    write_csv_by_symbol(w.unionByName(again), path)
-    return fl.read_symbol_cache(spark, path, "date date, close double")
-
-
-def write_csv_by_symbol(df, path):
-    """One csv per symbol; the sort starts with the folder column, so the writer keeps line order."""
-    rows = df.repartition("symbol").sortWithinPartitions("symbol", "date", "k").drop("k")
-    rows.write.partitionBy("symbol").option("header", True).csv(path)
+    w = weekly_bars(spark, sf).select(F.col("entity").cast("string").alias("symbol"), "date", "close")
+    # every third day has a second line
+    w = w.withColumn("k", F.explode(F.when(F.dayofmonth("date") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    w = w.withColumn("close", F.when(F.col("k") == 1, F.col("close") + 1).otherwise(F.col("close")))
+    folders = fl.write_symbol_cache(w, path, ["date", "close"], ["date", "k"])
+    return fl.read_symbol_cache(spark, folders, "date date, close double")
 
 
 @query("save_and_load_panel", "date entity# close~ volume~2", "SELECT date, entity, close, volume FROM bars_w WHERE entity % 10 <> 3", with_(WEEK_BARS))

@@ -316,6 +316,30 @@ def test_file_layouts(spark, tmp_path):
     assert sorted((r["symbol"], r["date"].day, r["close"]) for r in rows) == [("X", 2, 5.0), ("X", 3, 2.0)]
 
 
+def test_symbol_files_are_written_by_their_tasks(spark, tmp_path):
+    """One csv per symbol, whole across batches, in line order; a folder for each task and not for each symbol, one for missing symbols."""
+    from panelspark.sources import files as fl
+
+    d = spark.range(2000).select(
+        F.when(F.col("id") % 40 != 39, F.concat(F.lit("s"), F.col("id") % 40)).alias("symbol"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 80).cast("int")).alias("date"),
+        F.when(F.col("id") % 7 > 0, F.col("id") / 8).alias("close"), F.lit("a,b").alias("name"), (F.col("id") % 80 >= 40).cast("int").alias("k"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        folders = fl.write_symbol_cache(d, f"file:{tmp_path}/sym", ["date", "close", "name"], ["date", "k"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [p for p in (tmp_path / "sym").rglob("*") if p.is_file()]
+    assert len(found) == 40 and len({p.parent for p in found if p.name != "part.csv"}) <= len(folders) < 40
+    text = next(p for p in found if p.name == "s7.csv").read_text().splitlines()
+    assert text[:4] == ["date,close,name", '2020-01-01,,"a,b"', '2020-01-01,5.875,"a,b"', '2020-01-02,10.875,"a,b"'] and len(text) == 51
+    got = {(r["symbol"], r["date"].isoformat()): (r["close"], r["name"]) for r in fl.read_symbol_cache(spark, folders, "date date, close double, name string").collect()}
+    last = {(r["symbol"] or "__HIVE_DEFAULT_PARTITION__", r["date"].isoformat()): (r["close"], r["name"]) for r in d.where("k = 1").collect()}
+    assert len(last) == 1000 and got == last
+    none = fl.write_symbol_cache(d.where("id < 0"), f"file:{tmp_path}/none", ["date", "close"], ["date", "k"])
+    assert fl.read_symbol_cache(spark, none, "date date, close double").count() == 0
+
+
 def test_delimited_header_and_identity(spark, tmp_path):
     from panelspark.sources import files as fl
 
