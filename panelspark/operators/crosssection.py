@@ -431,6 +431,17 @@ class CrossSection:
         return df.withColumn(out, F.when(use, unit).otherwise(F.col("_all"))).drop(
             "_i_lt", "_i_eq", "_i_n", "_i_dense", "_i_top", "_all")
 
+    def ranks_side_by_side(self, df, xs, to, within=(), group: str | None = None, min_names: int = 1) -> DataFrame:
+        """Ranks of several columns in place (``to``: ``unit`` or ``centered``), for bounded groups only; a task sorts its rows once, and not for each column.
+
+        For each column of ``within`` there is also ``<column>_<group>``: its unit rank inside ``group`` when that has enough values, else over all rows.
+        """
+        if not self.windowed:
+            raise ValueError("ranks side by side need a bound on the rows of a group")
+        fields = [T.StructField(f.name, T.DoubleType() if f.name in xs else f.dataType) for f in df.schema.fields]
+        fields += [T.StructField(f"{c}_{group}", T.DoubleType()) for c in within]
+        return df.groupBy(*self.by).applyInArrow(_rank_columns(list(xs), {"unit": _unit, "centered": _centered}[to], list(within), group, min_names), T.StructType(fields))
+
     def factor_neutral(self, df, y, factors, out) -> DataFrame:
         """Residual of the group's least-squares regression of y on an intercept and the factors.
 
@@ -453,6 +464,56 @@ class CrossSection:
             *sums, *beta, "_ok", "_k", *[f"_m{i}" for i in range(p + 1)], *[f"_c{i}" for i in range(p + 1)], *[c for c in df.columns if c.startswith("_ge")])
 
 
+def _unit(lt: np.ndarray, eq: np.ndarray, n) -> np.ndarray:
+    return np.where(n == 1, 0.0, 2.0 * (lt + (eq + 1) / 2.0 - 1.0) / np.maximum(n - 1, 1) - 1.0)
+
+
+def _centered(lt: np.ndarray, eq: np.ndarray, n) -> np.ndarray:
+    return (lt + (eq + 1) / 2.0) / n - 0.5
+
+
+def _numbered(c: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which entries are there, and of these: the number of each one's value in order (NaN is one value, the highest) and the count of each value."""
+    has = c.is_valid().to_numpy()
+    _, at, counts = np.unique(c.drop_null().to_numpy(), return_inverse=True, return_counts=True)
+    return has, at, counts
+
+
+def _rank_columns(xs: list[str], to, within: list[str], group: str | None, min_names: int):
+    """For the rows of one bounded group: each column's ranks, and the unit ranks inside the rows' classes where these have enough values."""
+
+    def spread(has: np.ndarray, v: np.ndarray) -> pa.Array:
+        whole = np.zeros(len(has))
+        whole[has] = v
+        return pa.array(whole, mask=~has)
+
+    def run(t: pa.Table) -> pa.Table:
+        ranks, more = {}, {}
+        for x in {*xs, *within}:
+            has, at, counts = _numbered(t[x])
+            facts = ((np.cumsum(counts) - counts)[at], counts[at], np.int64(len(at)))
+            if x in xs:
+                ranks[x] = spread(has, to(*facts))
+            if x in within:
+                known, code, classes = _numbered(t[group])
+                own = np.full(len(has), -1)
+                own[known] = code
+                own = own[has]
+                # numbers of (class, value) in order; those of a class follow each other, missing classes come first
+                pairs, at, eq = np.unique((own + 1) * len(counts) + at, return_inverse=True, return_counts=True)
+                size = np.bincount(own + 1, minlength=len(classes) + 1)
+                lt = (np.cumsum(eq) - eq)[at] - (np.cumsum(size) - size)[own + 1]
+                use = (own >= 0) & (size[own + 1] >= min_names)
+                more[f"{x}_{group}"] = spread(has, np.where(use, _unit(lt, eq[at], size[own + 1]), _unit(*facts)))
+        for x, v in ranks.items():
+            t = t.set_column(t.schema.get_field_index(x), x, v)
+        for x in within:
+            t = t.append_column(f"{x}_{group}", more[f"{x}_{group}"])
+        return t
+
+    return run
+
+
 def _clip_columns(xs: list[str], p: float):
     """For the rows of one bounded group: each column cut to its interpolated p and 1 - p quantiles, a missing value stays missing."""
 

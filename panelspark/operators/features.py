@@ -268,12 +268,15 @@ def cross_section_inputs(xs, df: DataFrame, ranked, unranked, price_flagged, fun
     d = s.weighted_mean(d, "ret_20d", weight, "_sr", stored=True)  # joined by group: what it adds up are stored columns
     d = d.withColumn("ret_20d_ind_rel", F.col("ret_20d") - F.col("_sr")).drop("_sr", *{weight} - {*ranked, *unranked, *price_flagged, *fund_flagged, *within})
     names = [*ranked, "ind_mom_12_1", "ret_20d_ind_rel"]
-    base = xs.store(d)
-    d = d if base is None else base
-    for c in within:
-        d = xs.within_or_all(d, c, sector, f"{c}_sector", min_names, base)
-    for c in names:
-        d = xs.rank_to_unit(d, c, "_u", base).drop(c).withColumnRenamed("_u", c)
+    if xs.windowed:
+        d = xs.ranks_side_by_side(d.withColumnRenamed(sector, "sector"), names, "unit", within, "sector", min_names).withColumnRenamed("sector", sector)
+    else:
+        base = xs.store(d)
+        d = base
+        for c in within:
+            d = xs.within_or_all(d, c, sector, f"{c}_sector", min_names, base)
+        for c in names:
+            d = xs.rank_to_unit(d, c, "_u", base).drop(c).withColumnRenamed("_u", c)
     cols = [*names, *unranked, *[f"{c}_sector" for c in within]]
     d = zero_fill(d, cols, {"flag_price_missing": list(price_flagged), "flag_fund_missing": list(fund_flagged)})
     return d.select("date", "entity", *cols, *sector_dummies(sector, sector_codes),
@@ -306,9 +309,13 @@ def training_table(xs, df: DataFrame, terms, universe, group: str, next_return:
     d = df.withColumns({"_u": universe, "_y": F.when(universe, F.col(next_return))})
     d = xs.demean(d, "_y", "_yn", group)
     d = xs.rank_centered(d, "_yn", "y")
-    for t in terms:
-        d = d.withColumn("_x", F.when(F.col("_u"), F.col(t)))
-        d = xs.rank_centered(d, "_x", "_r").drop(t, "_x").withColumnRenamed("_r", t)
+    if xs.windowed:
+        d = d.withColumns({t: F.when(F.col("_u"), F.col(t)) for t in terms}).select(*dict.fromkeys(["date", "entity", *xs.by, *terms, "y", stress]))
+        d = xs.ranks_side_by_side(d, terms, "centered")
+    else:
+        for t in terms:
+            d = d.withColumn("_x", F.when(F.col("_u"), F.col(t)))
+            d = xs.rank_centered(d, "_x", "_r").drop(t, "_x").withColumnRenamed("_r", t)
     d = d.withColumn("weight", training_weight(stress))
     return d.select("date", "entity", *terms, "y", "weight").dropna(subset=[*terms, "y"])
 

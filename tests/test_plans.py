@@ -103,3 +103,33 @@ def test_groups_without_values_and_null_keys(spark):
     assert sorted(map(str, SMALL.quantiles(d, "x", q).collect())) == sorted(map(str, UNKNOWN.quantiles(d, "x", q).collect()))
     a = sorted(map(str, SMALL.winsor_all(d, ["x", "y"], 0.25).select("entity", "x", "y").collect()))
     assert a == sorted(map(str, UNKNOWN.winsor_all(d, ["x", "y"], 0.25).select("entity", "x", "y").collect()))
+
+
+def test_ranks_side_by_side_equal_ranks_one_by_one(spark):
+    """Ties, NaN, both zeros, missing values and classes, classes of one row, rows that come twice and a missing date."""
+    rng = random.Random(11)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), 1.5, -2.0]
+    rows = [(dt.date(2020, 1, e % 3 + 1) if e % 50 else None, e // 2, rng.choice(values), rng.gauss(0, 1) if e % 5 else None, e % 9, e % 6 if e % 6 < 5 else None) for e in range(400)]
+    rows += [(dt.date(2020, 2, 1), 900, 3.0, None, 1, 7), (dt.date(2020, 2, 2), 901, None, None, None, None)]
+    d = spark.createDataFrame(rows, "date date, entity int, a double, b double, c int, g int").withColumn("row", F.monotonically_increasing_id()).cache()
+    for to, one in (("unit", SMALL.rank_to_unit), ("centered", SMALL.rank_centered)):
+        got = SMALL.ranks_side_by_side(d, ["a", "b", "c"], to, ["b", "a"], "g", 18)
+        want = SMALL.within_or_all(SMALL.within_or_all(d, "b", "g", "b_g", 18), "a", "g", "a_g", 18)
+        for x in "abc":
+            want = one(want, x, "u").drop(x).withColumnRenamed("u", x)
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(got.columns)).collect()))
+
+
+def test_cross_section_inputs_sorts_a_dates_rows_once(spark):
+    """The sorts of a task don't add up with the columns: one by class for the means, one by date for all ranks; training tables likewise."""
+    from panelspark.operators import features as ft
+
+    cols = ["mom_12_1", "ret_20d", "rvol", "log_me", "be_me"]
+    d = spark.range(60).select(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("date"), F.col("id").alias("entity"),
+                               (F.col("id") % 2).alias("sector"), F.rand(1).alias("me"), *[F.rand(i).alias(c) for i, c in enumerate(cols)])
+    out = ft.cross_section_inputs(SMALL, d, cols, [], cols[:4], cols[4:], cols[4:], "sector", "me", range(2), 5)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Sort [") == 0 and plan.count("Window [") == 2 and plan.count("FlatMapGroupsInArrow") == 1
+    assert out.count() == 60 and sum(n.startswith("be_me_") for n in out.columns) == 1
+    t = ft.training_table(SMALL, d, cols, F.col("me") > 0.1, "sector", "ret_20d", "sector")
+    assert t._jdf.queryExecution().sparkPlan().toString().count("FlatMapGroupsInArrow") == 1
