@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.elementwise import col, zero_to_null
 from ..session import materialize, materialize_columns
+from . import packed
 
 #: A group up to this many rows may be sorted by a single task.
 MAX_GROUP_ROWS = 1_000_000
@@ -130,14 +131,14 @@ class CrossSection:
         """Add group aggregates to every row (``aggs``: output name -> aggregate Column).
 
         The split plan reads the rows twice. It writes them once, unless the caller says that they are ``stored``: a projection of a table or
-        of a checkpoint.
+        of a checkpoint. Then the groups' facts are written too, so that Spark knows their size and need not deal the rows anew to join a small table.
         """
         if self.windowed:
             w = self._window()
             return df.select("*", *[a.over(w).alias(k) for k, a in aggs.items()])
-        df = df if stored else materialize(df)
-        table = df.groupBy(*self.by).agg(*[a.alias(k) for k, a in aggs.items()])
-        return _null_safe(df, table, list(self.by))
+        rows = df if stored else materialize(df)
+        table = rows.groupBy(*self.by).agg(*[a.alias(k) for k, a in aggs.items()])
+        return _null_safe(rows, materialize_columns(table) if stored else table, list(self.by))
 
     # ------------------------------------------------------------------ ranks
 
@@ -307,21 +308,51 @@ class CrossSection:
             value = F.when(x_.isNotNull(), F.greatest(F.least(x_, hi), lo))
         return df.withColumn(out, value).drop("_lo", "_hi")
 
-    def winsor_all(self, df, xs, p: float) -> DataFrame:
-        """Clip several columns in place: a group's columns side by side, or one pass over all columns' value counts."""
+    def winsor_all(self, df, xs, p: float, parts=None) -> DataFrame:
+        """Clip several columns in place: a group's columns side by side, or by ends that come from the few values around them.
+
+        ``parts``: (stored table, columns) that hold the columns for the split plan, where ``df`` joins them and isn't stored itself.
+        """
         if self.windowed:
             schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in xs else f.dataType) for f in df.schema.fields])
             return df.groupBy(*self.by).applyInArrow(_clip_columns(list(xs), p), schema)
-        df = materialize_columns(df)
-        long = df.select(*self.by, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])).alias("_e")).select(*self.by, "_e._x", "_e._v")
-        ends = CrossSection((*self.by, "_x"), None).quantiles(long.where("_v is not null"), "_v", {"_lo": p, "_hi": 1.0 - p}, stored=True)
-        wide = ends.groupBy(*self.by).agg(*[
-            F.max(F.when(F.col("_x") == i, F.array("_lo", "_hi"))).alias(f"_q_{x}") for i, x in enumerate(xs)])
+        if parts is None:
+            df = materialize_columns(df)
+            parts = [(df, list(xs))]
+        wide = materialize_columns(self._ends(parts, p))
         d = _null_safe(df, wide, list(self.by))
         clip = {x: F.when(F.col(x).isNotNull(), F.greatest(F.least(F.col(x), F.col(f"_q_{x}")[1]), F.col(f"_q_{x}")[0])) for x in xs}
         return d.withColumns(clip).drop(*[f"_q_{x}" for x in xs])
 
+    def _ends(self, parts, p: float) -> DataFrame:
+        """One row per group: ``_q_<column>``, the p and 1 - p quantiles (exact), from stored tables with columns of the same groups.
+
+        Summaries of what each task holds say between which values a place lies; only these values are counted and put in order.
+        """
+        keys, probs, tables = list(self.by), [p, 1.0 - p], []
+        for table, xs in parts:
+            near = materialize_columns(packed.value_brackets(table, keys, xs, probs))
+            long = table.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_x"), F.col(x).cast("double").alias("_v")) for i, x in enumerate(xs)])))
+            met = _null_safe(long.where("_v is not null"), near, [*keys, "_x"])
+            cells = F.array(*[F.when(F.col("_v") <= F.col("_hi")[t], F.struct(F.lit(t).alias("_t"), F.when(F.col("_v") >= F.col("_lo")[t], F.col("_v")).alias("_v")))
+                              for t in range(len(probs))])
+            cell = [*keys, "_x", "_n", "_t"]
+            counts = met.select(*keys, "_x", "_n", F.inline(F.array_compact(cells))).groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_eq"))
+            counts = materialize_columns(counts)
+            below = counts.where("_v is null").select(*[c for c in cell if c != "_n"], F.col("_eq").alias("_below"))
+            ordered = split_order(counts.where("_v is not null"), cell, ["_v"], "_eq")
+            ordered = _null_safe(ordered, below, [c for c in cell if c != "_n"])
+            pos = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in probs]), F.col("_t") + 1)
+            last = F.coalesce("_below", F.lit(0)) + F.col("before") + F.col("_eq") - 1
+            ends = ordered.groupBy(*cell).agg(F.min(F.when(last >= F.floor(pos), F.col("_v"))).alias("_a"), F.min(F.when(last >= F.ceil(pos), F.col("_v"))).alias("_b"))
+            value = F.col("_a") * (1 - pos % 1) + F.col("_b") * (pos % 1)
+            at = lambda i, t: F.max(F.when((F.col("_x") == i) & (F.col("_t") == t), F.col("_end")))
+            tables.append(ends.select(*keys, "_x", "_t", value.alias("_end")).groupBy(*keys).agg(
+                *[F.array(*[at(i, t) for t in range(len(probs))]).alias(f"_q_{x}") for i, x in enumerate(xs)]))
+        if keys:  # a group without values has no value counts, but is a group all the same
+            tables.insert(0, parts[0][0].select(*keys).distinct())
+        return reduce(lambda a, b: _null_safe(a, b, keys), tables)
+
     def remove_middle(self, df, x, out, share: float) -> DataFrame:
         """Keep only the two tails of (1 - share) / 2 by percentile rank."""
         tail = round((1.0 - share) / 2.0, 12)
@@ -432,15 +463,46 @@ class CrossSection:
             "_i_lt", "_i_eq", "_i_n", "_i_dense", "_i_top", "_all")
 
     def ranks_side_by_side(self, df, xs, to, within=(), group: str | None = None, min_names: int = 1) -> DataFrame:
-        """Ranks of several columns in place (``to``: ``unit`` or ``centered``), for bounded groups only; a task sorts its rows once, and not for each column.
+        """Ranks of several columns in place (``to``: ``unit``, ``centered`` or ``pct``); a task sorts a bounded group's rows once, and not for each column.
 
         For each column of ``within`` there is also ``<column>_<group>``: its unit rank inside ``group`` when that has enough values, else over all rows.
+        The split plan deals the rows once for all columns, see ``packed``.
         """
-        if not self.windowed:
-            raise ValueError("ranks side by side need a bound on the rows of a group")
+        scale = {"unit": _unit, "centered": _centered, "pct": _pct}[to]
         fields = [T.StructField(f.name, T.DoubleType() if f.name in xs else f.dataType) for f in df.schema.fields]
         fields += [T.StructField(f"{c}_{group}", T.DoubleType()) for c in within]
-        return df.groupBy(*self.by).applyInArrow(_rank_columns(list(xs), {"unit": _unit, "centered": _centered}[to], list(within), group, min_names), T.StructType(fields))
+        if self.windowed:
+            return df.groupBy(*self.by).applyInArrow(_rank_columns(list(xs), scale, list(within), group, min_names), T.StructType(fields))
+        columns = list(dict.fromkeys([*xs, *within]))
+        if not all(isinstance(df.schema[c].dataType, packed.ORDERED) for c in columns):
+            return self._ranks_one_by_one(df, xs, to, within, group, min_names)
+
+        def finish(known):
+            out = {}
+            for x in xs:
+                has, *facts = known[x, False]
+                out[x] = packed.spread(has, scale(*facts))
+            for x in within:
+                (has, *facts), (classed, *own) = known[x, False], known[x, True]
+                rank, use = _unit(*facts), classed[has]
+                rank[use] = np.where(own[2] >= min_names, _unit(*own), rank[use])
+                out[f"{x}_{group}"] = packed.spread(has, rank)
+            return out
+
+        names = {*xs, *(f"{c}_{group}" for c in within)}
+        rows = packed.pack(df, list(self.by))
+        ranked = packed.ranked(rows, list(self.by), [*[(c, False) for c in columns], *[(c, True) for c in within]], finish, [f for f in fields if f.name in names], group if within else None)
+        return ranked.select(*[f.name for f in fields])
+
+    def _ranks_one_by_one(self, df, xs, to, within, group, min_names) -> DataFrame:
+        """The same for values of types without a 64-bit order."""
+        rank = {"unit": self.rank_to_unit, "centered": self.rank_centered, "pct": self.rank_pct}[to]
+        names = df.columns
+        for c in within:
+            df = self.within_or_all(df, c, group, f"{c}_{group}", min_names)
+        for c in xs:
+            df = rank(df, c, "_u").drop(c).withColumnRenamed("_u", c)
+        return df.select(*names, *[f"{c}_{group}" for c in within])
 
     def factor_neutral(self, df, y, factors, out) -> DataFrame:
         """Residual of the group's least-squares regression of y on an intercept and the factors.
@@ -468,8 +530,12 @@ def _unit(lt: np.ndarray, eq: np.ndarray, n) -> np.ndarray:
     return np.where(n == 1, 0.0, 2.0 * (lt + (eq + 1) / 2.0 - 1.0) / np.maximum(n - 1, 1) - 1.0)
 
 
+def _pct(lt: np.ndarray, eq: np.ndarray, n) -> np.ndarray:
+    return (lt + (eq + 1) / 2.0) / n
+
+
 def _centered(lt: np.ndarray, eq: np.ndarray, n) -> np.ndarray:
-    return (lt + (eq + 1) / 2.0) / n - 0.5
+    return _pct(lt, eq, n) - 0.5
 
 
 def _numbered(c: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -482,18 +548,13 @@ def _numbered(c: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rank_columns(xs: list[str], to, within: list[str], group: str | None, min_names: int):
     """For the rows of one bounded group: each column's ranks, and the unit ranks inside the rows' classes where these have enough values."""
 
-    def spread(has: np.ndarray, v: np.ndarray) -> pa.Array:
-        whole = np.zeros(len(has))
-        whole[has] = v
-        return pa.array(whole, mask=~has)
-
     def run(t: pa.Table) -> pa.Table:
         ranks, more = {}, {}
         for x in {*xs, *within}:
             has, at, counts = _numbered(t[x])
             facts = ((np.cumsum(counts) - counts)[at], counts[at], np.int64(len(at)))
             if x in xs:
-                ranks[x] = spread(has, to(*facts))
+                ranks[x] = packed.spread(has, to(*facts))
             if x in within:
                 known, code, classes = _numbered(t[group])
                 own = np.full(len(has), -1)
@@ -504,7 +565,7 @@ def _rank_columns(xs: list[str], to, within: list[str], group: str | None, min_n
                 size = np.bincount(own + 1, minlength=len(classes) + 1)
                 lt = (np.cumsum(eq) - eq)[at] - (np.cumsum(size) - size)[own + 1]
                 use = (own >= 0) & (size[own + 1] >= min_names)
-                more[f"{x}_{group}"] = spread(has, np.where(use, _unit(lt, eq[at], size[own + 1]), _unit(*facts)))
+                more[f"{x}_{group}"] = packed.spread(has, np.where(use, _unit(lt, eq[at], size[own + 1]), _unit(*facts)))
         for x, v in ranks.items():
             t = t.set_column(t.schema.get_field_index(x), x, v)
         for x in within:

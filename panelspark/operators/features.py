@@ -97,11 +97,21 @@ def terminals(xs, df: DataFrame, market: str = "mkt", group: str = "industry", y
         div(c, "_m20").alias("c_ma20"), div(c, "_m60").alias("c_ma60"), div("high", "low").alias("hl"), div(c - o, o).alias("co"),
         div(c - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias("stoch"), div("volume", "_v20").alias("v_ma20"),
         div("dollar_volume", "adv").alias("dv_adv"), (F.abs("ret1") / zero_to_null("dollar_volume") * 1e9).alias("amihud"), div(c, "_top").alias("hi52"))
-    d = xs.rank_pct(d, "adv", "size")
-    d = xs.demean(d, "ret1", "_n", group)
-    d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))).drop("_n")
-    d = d.select("date", "entity", *[sanitize(t).alias(t) for t in TERMINALS])
-    return xs.winsor_all(d, TERMINALS, 0.01)
+    if xs.windowed:
+        d = xs.rank_pct(d, "adv", "size")
+        d = xs.demean(d, "ret1", "_n", group)
+        idio = F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))
+        return xs.winsor_all(d.withColumn("idio", idio).select("date", "entity", *[sanitize(t).alias(t) for t in TERMINALS]), TERMINALS, 0.01)
+    own = [t for t in TERMINALS if t != "size"]
+    rows = xs.store(d.withColumn("_row", F.monotonically_increasing_id()))
+    # the ranks' rows are narrow; the wide ones are dealt once, to meet them
+    size = xs.ranks_side_by_side(rows.select(*xs.by, "_row", F.col("adv").alias("size")), ["size"], "pct")
+    size = xs.store(size.select(*xs.by, "_row", sanitize("size").alias("size")))
+    d = xs.demean(rows, "ret1", "_n", group, stored=True)
+    d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1")))
+    d = d.select(*dict.fromkeys(["date", "entity", "_row", *xs.by]), *[sanitize(t).alias(t) for t in own])
+    both = d.join(size.select("_row", "size"), "_row").select(*dict.fromkeys(["date", "entity", *xs.by]), *TERMINALS)
+    return xs.winsor_all(both, TERMINALS, 0.01, [(d, own), (size, ["size"])])
 
 
 def snapshot_and_sequence(df: DataFrame, market: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .packed import codes
 from .rolling import default_min_obs
 
 #: Entries of the block of windows that is worked on at a time.
@@ -52,12 +53,6 @@ def rolled(df: DataFrame, entity: str = "entity", date: str = "date", **columns:
     return rows.repartition(entity).sortWithinPartitions(entity, date).mapInArrow(run, schema)
 
 
-def _codes(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    coded = column.dictionary_encode(null_encoding="encode")
-    return np.asarray(coded.indices) if isinstance(coded, pa.DictionaryArray) else np.asarray(coded.combine_chunks().indices)
-
-
 def _whole_entities(batches: Iterator[pa.RecordBatch], entity: str) -> Iterator[pa.RecordBatch]:
     """Batches cut where the entity changes; the last entity of a batch waits for the next one."""
     held: list[pa.RecordBatch] = []
@@ -66,7 +61,7 @@ def _whole_entities(batches: Iterator[pa.RecordBatch], entity: str) -> Iterator[
             continue
         held.append(b)
         t = pa.Table.from_batches(held)
-        code = _codes(t[entity])
+        code = codes(t[entity])
         cut = np.flatnonzero(code[1:] != code[:-1])
         if len(cut):
             end = int(cut[-1]) + 1
@@ -77,7 +72,7 @@ def _whole_entities(batches: Iterator[pa.RecordBatch], entity: str) -> Iterator[
 
 
 def _with_columns(b: pa.RecordBatch, entity: str, names: list[str], columns: dict[str, Roll]) -> pa.RecordBatch:
-    code = _codes(b.column(entity))
+    code = codes(b.column(entity))
     n = len(code)
     first = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))

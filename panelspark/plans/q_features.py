@@ -69,7 +69,8 @@ for _t in ft.TERMINALS:
 @query("terminals", KEY + " ".join(f"{t}~6" for t in ft.TERMINALS),
        f"SELECT date, entity, {', '.join(f'w_{t} AS {t}' for t in ft.TERMINALS)} FROM {TERM.source}", TERM.prefix)
 def _(spark, sf):
-    return ft.terminals(xs(spark, sf), market_panel(spark, sf), year=100)
+    reads = ["date", "entity", "industry", "open", "high", "low", "close", "volume", "dollar_volume"]
+    return ft.terminals(xs(spark, sf), market_panel(spark, sf, columns=reads), year=100)
 
 
 SNAP_COLS = ("ret_1d", "ret_5d", "ret_20d", "ret_60d", "mom_120d", "vol_5d", "vol_20d", "vol_60d", "downside_vol_20d", "drawdown_60d",

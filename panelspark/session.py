@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "panelspark", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster the session comes from the job."""
@@ -64,10 +67,22 @@ def materialize_columns(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark, "rows")
     if "void" in df.schema.simpleString() or not df.columns:
         return materialize(df)
-    df.write.parquet(path)
+    with _shuffles_end_with_the_write(spark):
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_end_with_the_write(spark: SparkSession):
+    """What is shuffled for a stored table isn't read again, so Spark removes it after the write and not whenever the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints: shared on a cluster, scratch space in a local session."""
     ensure_checkpoint_dir(spark)

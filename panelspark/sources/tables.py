@@ -141,14 +141,19 @@ def market_series(panel: DataFrame) -> DataFrame:
 
 def with_market(panel: DataFrame, bound: int | None = None) -> DataFrame:
     """Attach ``mkt`` to every row; the panel itself is evaluated once."""
-    ok = F.col("ret").isNotNull()
-    d = CrossSection(("date",), bound).attach(
-        panel, _n=F.sum(F.col("ret") * F.col("dollar_volume")), _d=F.sum(F.when(ok, F.col("dollar_volume"))))
+    ok, xs = F.col("ret").isNotNull(), CrossSection(("date",), bound)
+    d = xs.attach(
+        panel if xs.windowed else xs.store(panel), stored=True,
+        _n=F.sum(F.col("ret") * F.col("dollar_volume")), _d=F.sum(F.when(ok, F.col("dollar_volume"))))
     return d.withColumn("mkt", F.col("_n") / F.col("_d")).drop("_n", "_d")
 
 
-def market_panel(spark: SparkSession, sf_dir: str, hours: bool = False) -> DataFrame:
-    return with_market(weekly_panel(spark, sf_dir, hours), names_bound(spark, sf_dir))
+def market_panel(spark: SparkSession, sf_dir: str, hours: bool = False, columns=None) -> DataFrame:
+    """``columns``: those of the panel that the caller reads; a stored panel then has no others."""
+    panel = weekly_panel(spark, sf_dir, hours)
+    if columns is not None:
+        panel = panel.select(*dict.fromkeys([*columns, "date", "ret", "dollar_volume"]))
+    return with_market(panel, names_bound(spark, sf_dir))
 
 
 def _hour_aggregates() -> list:

@@ -133,3 +133,81 @@ def test_cross_section_inputs_sorts_a_dates_rows_once(spark):
     assert out.count() == 60 and sum(n.startswith("be_me_") for n in out.columns) == 1
     t = ft.training_table(SMALL, d, cols, F.col("me") > 0.1, "sector", "ret_20d", "sector")
     assert t._jdf.queryExecution().sparkPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def _odd_rows(spark):
+    """Ties, NaN, both zeros, missing values and classes, classes of one row, rows that come twice and a missing date, in several tasks."""
+    rng = random.Random(11)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), 1.5, -2.0]
+    rows = [(dt.date(2020, 1, e % 3 + 1) if e % 50 else None, e // 2, rng.choice(values), rng.gauss(0, 1) if e % 5 else None, e % 9, e % 6 if e % 6 < 5 else None) for e in range(400)]
+    rows += [(dt.date(2020, 2, 1), 900, 3.0, None, 1, 7), (dt.date(2020, 2, 2), 901, None, None, None, None)]
+    d = spark.createDataFrame(rows, "date date, entity int, a double, b double, c int, g int").withColumn("row", F.monotonically_increasing_id())
+    return d.repartition(5).cache()
+
+
+def _lines(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_split_ranks_and_ends_of_many_columns_equal_the_window_plan(spark, monkeypatch, small):
+    """Whole pieces in one range each, and pieces of few rows in ranges of few values."""
+    from panelspark.operators import packed
+
+    if small:
+        for name, value in (("RANGE_VALUES", 40), ("STEP", 3), ("BLOCK_ROWS", 50)):
+            monkeypatch.setattr(packed, name, value)
+    d = _odd_rows(spark)
+    for to in ("unit", "centered", "pct"):
+        a, b = (xs.ranks_side_by_side(d, ["a", "b", "c"], to, ["b", "a"], "g", 18) for xs in (SMALL, UNKNOWN))
+        assert a.schema.simpleString() == b.schema.simpleString() and _lines(a) == _lines(b)
+    cuts = packed._range_cuts(packed.pack(d, ["date"]), ["date"], [("b", False), ("a", True)], "g")
+    assert bool(cuts) == small
+    assert _lines(SMALL.winsor_all(d, ["a", "b", "c"], 0.1)) == _lines(UNKNOWN.winsor_all(d, ["a", "b", "c"], 0.1))
+
+
+def test_only_values_near_a_place_travel_for_a_quantile(spark):
+    """The values between which a place lies are a small share of a column, and the place is among them."""
+    from panelspark.operators import packed
+
+    d = spark.range(0, 50_000, 1, 4).select(F.lit(1).alias("date"), F.xxhash64("id").cast("double").alias("x"))
+    near = packed.value_brackets(d, ["date"], ["x"], [0.01, 0.5]).first()
+    ordered = [r[0] for r in d.select("x").orderBy("x").collect()]
+    for p, lo, hi in zip((0.01, 0.5), near["_lo"], near["_hi"], strict=True):
+        at = int(p * 49_999)
+        assert near["_n"] == 50_000 and lo <= ordered[at] and ordered[at + 1] <= hi
+        assert sum(lo <= x <= hi for x in ordered) < 1_000
+
+
+def _no_checkpoint(monkeypatch):
+    """Rows are stored as columns, packed or not: a plan that writes wide rows for each column or step fails."""
+    from panelspark.operators import crosssection, evaluate
+
+    def refuse(df):
+        raise AssertionError(f"whole rows are written: {df.columns}")
+
+    for module in (crosssection, evaluate):
+        monkeypatch.setattr(module, "materialize", refuse)
+
+
+def test_terminals_without_a_bound(spark, monkeypatch):
+    """Equal rows, and no step of the split plan writes whole rows once more."""
+    from panelspark.operators import features as ft
+
+    _no_checkpoint(monkeypatch)
+    d = spark.range(600).select(F.date_add(F.lit("2020-01-01").cast("date"), (7 * F.floor(F.col("id") / 10)).cast("int")).alias("date"), (F.col("id") % 10).alias("entity"),
+                                F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("industry"), *[(1 + F.rand(i)).alias(c) for i, c in enumerate(
+                                    ["open", "high", "low", "close", "volume", "dollar_volume"])], F.sin("id").alias("mkt")).cache()
+    a, b = (ft.terminals(xs, d, year=100) for xs in (SMALL, UNKNOWN))
+    assert a.columns == b.columns and b.count() == 600
+    same(a, b, ft.TERMINALS)
+
+
+def test_stored_columns_leave_no_shuffle_files(spark):
+    """Spark removes what was shuffled for a stored table with the write; the session's setting stays."""
+    from panelspark import session
+
+    before = spark.conf.get(session._CLEANUP)
+    d = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    assert session.materialize_columns(d).count() == 7 and d.count() == 7
+    assert spark.conf.get(session._CLEANUP) == before
