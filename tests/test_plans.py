@@ -203,6 +203,20 @@ def test_terminals_without_a_bound(spark, monkeypatch):
     same(a, b, ft.TERMINALS)
 
 
+def test_cross_section_inputs_without_a_bound_deal_rows_once(spark):
+    """One join for all ranks, where there was one (and a table of wide rows) for each; equal rows."""
+    from panelspark.operators import features as ft
+
+    cols = ["mom_12_1", "ret_20d", "rvol", "log_me", "be_me"]
+    d = spark.range(90).select(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("date"), F.col("id").alias("entity"),
+                               F.when(F.col("id") % 11 > 0, F.col("id") % 2).alias("sector"), F.rand(1).alias("me"),
+                               *[F.when(F.rand(9 + i) > 0.1, F.round(F.rand(i), 1)).alias(c) for i, c in enumerate(cols)]).cache()
+    a, b = (ft.cross_section_inputs(xs, d, cols, [], cols[:4], cols[4:], cols[4:], "sector", "me", range(2), 5) for xs in (SMALL, UNKNOWN))
+    assert b._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    assert a.columns == b.columns
+    same(a, b, b.columns[2:])
+
+
 def test_stored_columns_leave_no_shuffle_files(spark):
     """Spark removes what was shuffled for a stored table with the write; the session's setting stays."""
     from panelspark import session
