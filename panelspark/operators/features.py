@@ -43,9 +43,10 @@ def lagged_labels(panel: DataFrame, r: str, horizon: int, lags, bound: int | Non
     from .crosssection import CrossSection
 
     cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("y")) for k in lags])
+    xs = CrossSection(("date", "lag"), bound)
     d = panel.select("date", "entity", *keep, *[ts.forward_sum(r, horizon, k).alias(f"_y{k}") for k in lags])
-    d = d.select("date", "entity", *keep, F.inline(cells))
-    return CrossSection(("date", "lag"), bound).demean(d, "y", "label")
+    d = d if xs.windowed else xs.store(d)
+    return xs.demean(d.select("date", "entity", *keep, F.inline(cells)), "y", "label", stored=True)
 
 
 def adjust_volume(rows: DataFrame, factors: DataFrame, factor: str, out: str) -> DataFrame:

@@ -217,6 +217,36 @@ def test_cross_section_inputs_without_a_bound_deal_rows_once(spark):
     same(a, b, b.columns[2:])
 
 
+def test_run_report_without_a_bound(spark, monkeypatch):
+    """Forecasts that tie across the edges of the legs, all of a date's forecasts equal, dates with fewer names than legs; no whole rows are written."""
+    from panelspark.operators import evaluate as ev
+
+    d = spark.range(1200).select(F.date_add(F.lit("2020-01-01").cast("date"), (7 * F.floor(F.col("id") / 30)).cast("int")).alias("date"), (F.col("id") % 30).alias("entity"),
+                                 F.when(F.rand(1) > 0.1, F.rand(2) - 0.5).alias("r"), F.floor(4 * F.rand(3)).cast("double").alias("s1"),
+                                 F.when(F.col("id") >= 300, F.lit(1.0)).when(F.col("id") % 30 < 4, F.rand(4)).alias("s2")).cache()
+    d.count()
+    a = ev.run_report(d, ["s1", "s2"], "r", 3, (0, 1), 5, bound=10_000).collect()
+    real = CrossSection.ordinal
+    tied = []
+    _no_checkpoint(monkeypatch)
+
+    def ordinal(self, df, *args):
+        from panelspark.session import materialize
+
+        tied.append(df.count())
+        with monkeypatch.context() as m:
+            from panelspark.operators import crosssection
+            m.setattr(crosssection, "materialize", materialize)
+            return real(self, df, *args)
+
+    monkeypatch.setattr(CrossSection, "ordinal", ordinal)
+    b = ev.run_report(d, ["s1", "s2"], "r", 3, (0, 1), 5, bound=None).collect()
+    key = lambda r: (r["predictor"], r["lag"])
+    assert len(a) == len(b) == 4 and len(tied) == 1 and tied[0] > 0
+    for p, q in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
+        assert all(x == y or (x is not None and y is not None and abs(x - y) < 1e-9 * max(1, abs(x)) if not isinstance(x, str) else False) for x, y in zip(p, q, strict=True)), (p, q)
+
+
 def test_stored_columns_leave_no_shuffle_files(spark):
     """Spark removes what was shuffled for a stored table with the write; the session's setting stays."""
     from panelspark import session
