@@ -309,16 +309,16 @@ def training_table(xs, df: DataFrame, terms, universe, group: str, next_return:
     missing = [t for t in terms if t not in df.columns]
     if missing:
         raise KeyError(f"missing features {missing}")
-    d = df.withColumns({"_u": universe, "_y": F.when(universe, F.col(next_return))})
-    d = xs.demean(d, "_y", "_yn", group)
-    d = xs.rank_centered(d, "_yn", "y")
+    d = df.withColumns({"_g": F.col(group), "_y": F.when(universe, F.col(next_return)), **{t: F.when(universe, F.col(t)) for t in terms}})
+    d = d.select(*dict.fromkeys(["date", "entity", *xs.by, "_g", *terms, "_y", stress]))
+    d = d if xs.windowed else xs.store(d)
+    d = xs.demean(d, "_y", "_yn", "_g", stored=True)
     if xs.windowed:
-        d = d.withColumns({t: F.when(F.col("_u"), F.col(t)) for t in terms}).select(*dict.fromkeys(["date", "entity", *xs.by, *terms, "y", stress]))
-        d = xs.ranks_side_by_side(d, terms, "centered")
+        d = xs.rank_centered(d, "_yn", "y")
+        d = xs.ranks_side_by_side(d.select(*dict.fromkeys(["date", "entity", *xs.by, *terms, "y", stress])), terms, "centered")
     else:
-        for t in terms:
-            d = d.withColumn("_x", F.when(F.col("_u"), F.col(t)))
-            d = xs.rank_centered(d, "_x", "_r").drop(t, "_x").withColumnRenamed("_r", t)
+        d = d.withColumnRenamed("_yn", "y").select(*dict.fromkeys(["date", "entity", *xs.by, *terms, "y", stress]))
+        d = xs.ranks_side_by_side(d, [*terms, "y"], "centered")
     d = d.withColumn("weight", training_weight(stress))
     return d.select("date", "entity", *terms, "y", "weight").dropna(subset=[*terms, "y"])
 

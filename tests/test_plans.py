@@ -217,6 +217,18 @@ def test_cross_section_inputs_without_a_bound_deal_rows_once(spark):
     same(a, b, b.columns[2:])
 
 
+def test_training_table_without_a_bound(spark, monkeypatch):
+    from panelspark.operators import features as ft
+
+    _no_checkpoint(monkeypatch)
+    d = spark.range(90).select(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("date"), F.col("id").alias("entity"),
+                               F.when(F.col("id") % 11 > 0, F.col("id") % 2).alias("industry"), (F.col("id") % 2).cast("int").alias("stress"),
+                               *[F.when(F.rand(9 + i) > 0.1, F.round(F.rand(i), 1)).alias(c) for i, c in enumerate(["vol", "mom", "nr", "u"])]).cache()
+    a, b = (ft.training_table(xs, d, ["vol", "mom"], F.col("u") > 0.2, "industry", "nr", "stress") for xs in (SMALL, UNKNOWN))
+    assert a.columns == b.columns and b.count() > 30
+    same(a, b, ["vol", "mom", "y", "weight"])
+
+
 def test_run_report_without_a_bound(spark, monkeypatch):
     """Forecasts that tie across the edges of the legs, all of a date's forecasts equal, dates with fewer names than legs; no whole rows are written."""
     from panelspark.operators import evaluate as ev
