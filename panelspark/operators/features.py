@@ -104,13 +104,14 @@ def terminals(xs, df: DataFrame, market: str = "mkt", group: str = "industry", y
         idio = F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1"))
         return xs.winsor_all(d.withColumn("idio", idio).select("date", "entity", *[sanitize(t).alias(t) for t in TERMINALS]), TERMINALS, 0.01)
     own = [t for t in TERMINALS if t != "size"]
-    rows = xs.store(d.withColumn("_row", F.monotonically_increasing_id()))
+    clean = {t: sanitize(t) for t in own if t not in ("ret1", "idio")}  # before rows are stored, so that it happens once
+    rows = xs.store(d.withColumns({**clean, "_row": F.monotonically_increasing_id()}))
     # the ranks' rows are narrow; the wide ones are dealt once, to meet them
     size = xs.ranks_side_by_side(rows.select(*xs.by, "_row", F.col("adv").alias("size")), ["size"], "pct")
     size = xs.store(size.select(*xs.by, "_row", sanitize("size").alias("size")))
     d = xs.demean(rows, "ret1", "_n", group, stored=True)
     d = d.withColumn("idio", F.when(F.col(group).isNotNull(), F.col("_n")).otherwise(F.col("ret1")))
-    d = d.select(*dict.fromkeys(["date", "entity", "_row", *xs.by]), *[sanitize(t).alias(t) for t in own])
+    d = d.withColumns({t: sanitize(t) for t in ("ret1", "idio")}).select(*dict.fromkeys(["date", "entity", "_row", *xs.by]), *own)
     both = d.join(size.select("_row", "size"), "_row").select(*dict.fromkeys(["date", "entity", *xs.by]), *TERMINALS)
     return xs.winsor_all(both, TERMINALS, 0.01, [(d, own), (size, ["size"])])
 
